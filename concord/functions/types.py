@@ -1,0 +1,58 @@
+"""Type-name normalisation into equivalence groups (schema check, §1.2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Type-equivalence groups that decide whether two declared
+# column types are compatible.  Spark spellings are added to the groups.
+TYPE_GROUPS = {
+    "STRING": ["VARCHAR", "STRING", "TEXT", "CHAR", "NVARCHAR"],
+    "INTEGER": ["INT", "BIGINT", "INTEGER", "SMALLINT", "TINYINT", "INT64", "INT32",
+                "LONG", "BYTE", "SHORT"],
+    "FLOAT": ["FLOAT", "DOUBLE", "REAL", "DECIMAL", "NUMERIC", "FLOAT8", "FLOAT4",
+              "DOUBLE PRECISION"],
+    "BOOLEAN": ["BOOLEAN", "BOOL"],
+    "DATE": ["DATE"],
+    "TIMESTAMP": ["TIMESTAMP", "DATETIME", "TIMESTAMPTZ", "TIMESTAMP WITH TIME ZONE",
+                  "TIMESTAMP_NTZ", "TIMESTAMP_LTZ"],
+}
+
+NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
+                 T.FloatType, T.DoubleType, T.DecimalType)
+FRACTIONAL_TYPES = (T.FloatType, T.DoubleType)
+
+
+def type_group_map() -> Column:
+    """``map<string,string>`` literal from raw type name to group name."""
+    pairs = []
+    for group, names in TYPE_GROUPS.items():
+        for n in names:
+            pairs += [F.lit(n), F.lit(group)]
+    return F.create_map(*pairs)
+
+
+def normalize_type(raw: Column) -> Column:
+    """Upper-case, strip ``(...)`` parameters, map into its group; unknown
+    names keep their cleaned spelling, empty/NULL becomes ``UNKNOWN``."""
+    clean = F.trim(F.upper(F.substring_index(raw, "(", 1)))
+    return (F.when(raw.isNull() | (F.trim(raw) == ""), F.lit("UNKNOWN"))
+            .otherwise(F.coalesce(F.element_at(type_group_map(), clean), clean)))
+
+
+def schema_catalog(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """Column catalog ``(pair_id, side, name, type, ordinal)`` for named
+    frames; keys of ``frames`` are ``(pair_id, side)`` tuples.  Only
+    schema metadata travels; no data is read."""
+    rows = []
+    for (pair_id, side), df in frames.items():
+        for i, f in enumerate(df.schema.fields, start=1):
+            rows.append((str(pair_id), side, f.name, f.dataType.simpleString().upper(), i))
+    schema = "pair_id string, side string, name string, type string, ordinal int"
+    return spark.createDataFrame(rows, schema)
+
+
+def is_numeric(dt: T.DataType) -> bool:
+    return isinstance(dt, NUMERIC_TYPES)
