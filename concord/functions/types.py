@@ -51,7 +51,8 @@ def schema_catalog(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFra
         for i, f in enumerate(df.schema.fields, start=1):
             rows.append((str(pair_id), side, f.name, f.dataType.simpleString().upper(), i))
     schema = "pair_id string, side string, name string, type string, ordinal int"
-    return spark.createDataFrame(rows, schema)
+    from ..session import literal_rows
+    return literal_rows(spark, rows, schema)
 
 
 def is_numeric(dt: T.DataType) -> bool:

@@ -225,8 +225,9 @@ def lineage_mismatch(artifacts: DataFrame, records: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- I13
 def _edges(spark) -> DataFrame:
+    from ..session import literal_rows
     rows = [(a, b) for a, bs in TRANSITIONS.items() for b in bs]
-    return spark.createDataFrame(rows, "from_name string, to_name string")
+    return literal_rows(spark, rows, "from_name string, to_name string")
 
 
 def state_name(n: Column) -> Column:

@@ -84,8 +84,9 @@ def edge_check(src: DataFrame | None, tgt: DataFrame | None, keys: list[str] | N
     differs; SKIPPED with score 1.0 when a side is missing."""
     if src is None or tgt is None:
         spark = (src or tgt).sparkSession
-        return spark.createDataFrame(
-            [("EdgeCaseValidator", "SKIPPED", "INFO", 1.0, 0, scenario)],
+        from ...session import literal_rows
+        return literal_rows(
+            spark, [("EdgeCaseValidator", "SKIPPED", "INFO", 1.0, 0, scenario)],
             "check_name string, status string, severity string, score double, mismatch_count long, scenario string")
     n = null_count_diff(src, tgt).select(F.col("differs").cast("long").alias("n"))
     b = boundary_keyset_diff(src, tgt, keys, values).agg(F.count("*").alias("b"))

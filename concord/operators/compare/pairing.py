@@ -1,85 +1,88 @@
 """D8 — greedy pairing of residual rows inside one key group.
 
-Runs in ``applyInPandas`` on groups whose size is bounded by the caller
-(residual rows of one key, split into hash buckets of at most
-``group_limit`` rows per side).  Rows are ordered by their values so the
-result does not depend on input order.  Pairs are chosen the way a greedy
-"most equal columns first" scan chooses them: at each level ``c`` (all
-columns equal, then one fewer, ...) every remaining source row in order
-takes the first remaining target row that agrees on exactly ``c``
-columns.  Surplus rows come back with no partner.
+Used from ``mapInArrow`` over residual rows that Spark has hash-partitioned
+by (key, bucket) and sorted, so each group is contiguous; group sizes are
+bounded by the caller (hot keys are split into buckets of at most
+``group_limit`` rows per side).  Rows of a group are ordered by their
+values (NULL first) so the result does not depend on input order.  Pairs
+are chosen as a greedy "most equal columns first" scan does: for each
+level ``c`` (all columns equal, then one fewer, ...) every remaining
+source row in order takes the first remaining target row that agrees on
+exactly ``c`` columns.  Surplus rows come back with no partner.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 _NUM = re.compile(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
 
 
+def _is_null(v) -> bool:
+    return v is None or (isinstance(v, float) and math.isnan(v))
+
+
 def _as_float(v):
-    if v is None:
-        return np.nan
-    if isinstance(v, (bool, np.bool_)):
+    if isinstance(v, bool):
         return float(v)
-    if isinstance(v, (int, float, np.integer, np.floating)):
+    if isinstance(v, (int, float)):
         return float(v)
     if isinstance(v, str) and _NUM.match(v):
         return float(v.strip())
-    return np.nan
+    if hasattr(v, "is_finite") and not isinstance(v, str):  # Decimal
+        return float(v)
+    return None
 
 
-def _is_null(v) -> bool:
-    if v is None:
+def values_equal(a, b, abs_tol: float, rel_tol: float) -> bool:
+    """D5 on Python values (same rules as the Column expression)."""
+    an, bn = _is_null(a), _is_null(b)
+    if an and bn:
         return True
-    try:
-        return bool(pd.isna(v))
-    except (TypeError, ValueError):
+    if an or bn:
         return False
+    x, y = _as_float(a), _as_float(b)
+    if x is not None and y is not None and not math.isnan(x) and not math.isnan(y):
+        if x == y:
+            return True
+        d = abs(x - y)
+        if d <= abs_tol:
+            return True
+        top = max(abs(x), abs(y))
+        return top > 0 and d / top <= rel_tol
+    return str(a).strip() == str(b).strip()
+
 
+def _sort_key(row):
+    return tuple((0, 0) if _is_null(v) else (1, v) for v in row)
 
-def equal_matrix(sv: list, tv: list, abs_tol: float, rel_tol: float) -> np.ndarray:
-    """len(sv) x len(tv) boolean matrix of D5 equality."""
-    sn = np.array([_is_null(v) for v in sv], dtype=bool)
-    tn = np.array([_is_null(v) for v in tv], dtype=bool)
-    sf = np.array([_as_float(v) if not n else np.nan for v, n in zip(sv, sn)], dtype=float)
-    tf = np.array([_as_float(v) if not n else np.nan for v, n in zip(tv, tn)], dtype=float)
-    st = np.array(["" if n else str(v).strip() for v, n in zip(sv, sn)], dtype=object)
-    tt = np.array(["" if n else str(v).strip() for v, n in zip(tv, tn)], dtype=object)
-    x, y = sf[:, None], tf[None, :]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        diff = np.abs(x - y)
-        top = np.maximum(np.abs(x), np.abs(y))
-        num_eq = (x == y) | (diff <= abs_tol) | ((top > 0) & (diff / top <= rel_tol))
-    both_num = ~np.isnan(x) & ~np.isnan(y)
-    text_eq = st[:, None] == tt[None, :]
-    both_null = sn[:, None] & tn[None, :]
-    one_null = sn[:, None] ^ tn[None, :]
-    return both_null | (~one_null & ~both_null & np.where(both_num, num_eq, text_eq))
-
-
-def _sort_key(v):
-    return (0, "") if _is_null(v) else (1, str(v))
-
-
-def greedy_pairs(src: pd.DataFrame, tgt: pd.DataFrame, cols: list[str],
-                 abs_tol: float, rel_tol: float) -> list[tuple[int | None, int | None]]:
-    """Pairs of positional indices into ``src`` / ``tgt``."""
-    s_order = sorted(range(len(src)), key=lambda i: [_sort_key(src[c].iat[i]) for c in cols])
-    t_order = sorted(range(len(tgt)), key=lambda i: [_sort_key(tgt[c].iat[i]) for c in cols])
-    a, b = len(s_order), len(t_order)
+
+def _score_matrix(s_rows, t_rows, abs_tol, rel_tol) -> np.ndarray:
+    a, b = len(s_rows), len(t_rows)
     score = np.zeros((a, b), dtype=np.int32)
-    for c in cols:
-        sv = [src[c].iat[i] for i in s_order]
-        tv = [tgt[c].iat[i] for i in t_order]
-        score += equal_matrix(sv, tv, abs_tol, rel_tol)
+    for i, r in enumerate(s_rows):
+        for j, q in enumerate(t_rows):
+            score[i, j] = sum(1 for x, y in zip(r, q) if values_equal(x, y, abs_tol, rel_tol))
+    return score
+
+
+def greedy_pairs(s_rows: list[tuple], t_rows: list[tuple], abs_tol: float, rel_tol: float):
+    """Pairs ``(source_row | None, target_row | None)`` of one group."""
+    s_rows = sorted(s_rows, key=_sort_key)
+    t_rows = sorted(t_rows, key=_sort_key)
+    a, b = len(s_rows), len(t_rows)
+    if a == 0 or b == 0:
+        return [(r, None) for r in s_rows] + [(None, q) for q in t_rows]
+    k = len(s_rows[0])
+    score = _score_matrix(s_rows, t_rows, abs_tol, rel_tol)
     s_free = np.ones(a, dtype=bool)
     t_free = np.ones(b, dtype=bool)
-    pairs: list[tuple[int | None, int | None]] = []
-    for level in range(len(cols), -1, -1):
+    pairs = []
+    for level in range(k, -1, -1):
         if not s_free.any() or not t_free.any():
             break
         for i in np.flatnonzero(s_free):
@@ -88,7 +91,49 @@ def greedy_pairs(src: pd.DataFrame, tgt: pd.DataFrame, cols: list[str],
                 j = int(np.argmax(cand))
                 s_free[i] = False
                 t_free[j] = False
-                pairs.append((s_order[i], t_order[j]))
-    pairs += [(s_order[i], None) for i in np.flatnonzero(s_free)]
-    pairs += [(None, t_order[j]) for j in np.flatnonzero(t_free)]
+                pairs.append((s_rows[i], t_rows[j]))
+    pairs += [(s_rows[i], None) for i in np.flatnonzero(s_free)]
+    pairs += [(None, t_rows[j]) for j in np.flatnonzero(t_free)]
     return pairs
+
+
+def make_arrow_pairer(n_keys: int, n_cols: int, out_schema: pa.Schema, abs_tol: float, rel_tol: float):
+    """``mapInArrow`` function.  Input columns: keys..., ``_bucket``,
+    ``_side`` (0 source, 1 target), value columns...; input sorted by
+    (keys, bucket) within each partition."""
+
+    def emit(group_key, s_rows, t_rows, out):
+        keys = group_key[:n_keys]
+        for s, t in greedy_pairs(s_rows, t_rows, abs_tol, rel_tol):
+            out.append(keys + (s if s is not None else (None,) * n_cols)
+                       + (t if t is not None else (None,) * n_cols) + (s is not None, t is not None))
+
+    def flush(out):
+        cols = list(zip(*out)) if out else [[] for _ in out_schema]
+        arrays = [pa.array(list(c), type=f.type) for c, f in zip(cols, out_schema)]
+        return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+
+    def fn(batches):
+        cur = None
+        s_rows: list[tuple] = []
+        t_rows: list[tuple] = []
+        out: list[tuple] = []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for r in range(batch.num_rows):
+                gk = tuple(cols[i][r] for i in range(n_keys + 1))
+                if gk != cur:
+                    if cur is not None:
+                        emit(cur, s_rows, t_rows, out)
+                    cur, s_rows, t_rows = gk, [], []
+                row = tuple(cols[n_keys + 2 + c][r] for c in range(n_cols))
+                (s_rows if cols[n_keys + 1][r] == 0 else t_rows).append(row)
+            if len(out) >= 4096:
+                yield flush(out)
+                out = []
+        if cur is not None:
+            emit(cur, s_rows, t_rows, out)
+        if out:
+            yield flush(out)
+
+    return fn

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...session import literal_rows
 from .aggregates import aggregate_check
 from .edges import edge_check
 from .rows import CompareConfig, ComparisonKeyError, compare_rows
@@ -31,8 +32,8 @@ def row_check(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
     try:
         rc = compare_rows(src, tgt, keys, cfg)
     except ComparisonKeyError as exc:
-        return spark.createDataFrame(
-            [("RowValidator", "ERROR", "HIGH", 0.0, 0, f"Row comparison key error: {exc}")], CHECK_SCHEMA)
+        return literal_rows(
+            spark, [("RowValidator", "ERROR", "HIGH", 0.0, 0, f"Row comparison key error: {exc}")], CHECK_SCHEMA)
     s = rc.summary
     return s.select(
         F.lit("RowValidator").alias("check_name"), "status",
@@ -103,8 +104,8 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
 
 
 def _error_row(spark: SparkSession, name: str, exc: Exception) -> DataFrame:
-    return spark.createDataFrame(
-        [(name, "ERROR", "HIGH", 0.0, 0, f"Validator unexpected error: {exc}")], CHECK_SCHEMA)
+    return literal_rows(spark, [(name, "ERROR", "HIGH", 0.0, 0, f"Validator unexpected error: {exc}")],
+                        CHECK_SCHEMA)
 
 
 def validate(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None = None,
@@ -131,7 +132,7 @@ def run_checks(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None =
             rows += [tuple(r) for r in df.select(*CHECK_COLUMNS).collect()]
         except Exception as exc:
             rows.append((name, "ERROR", "HIGH", 0.0, 0, f"Validator unexpected error: {exc}"))
-    return spark.createDataFrame(rows, CHECK_SCHEMA)
+    return literal_rows(spark, rows, CHECK_SCHEMA)
 
 
 def report_rollup(checks: DataFrame, id_col: str = "validation_id") -> DataFrame:

@@ -23,7 +23,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,11 +172,21 @@ class RowComparison:
             + [T.StructField("s_" + c, self.types[c]) for c in cols]
             + [T.StructField("t_" + c, self.types[c]) for c in cols]
             + [T.StructField("_has_s", T.BooleanType()), T.StructField("_has_t", T.BooleanType())])
-        fn = _make_pair_fn(keys, cols, out_schema, cfg.abs_tol, cfg.rel_tol)
+        from pyspark.sql.pandas.types import to_arrow_schema
+        fn = pairing.make_arrow_pairer(len(keys), len(cols), to_arrow_schema(out_schema), cfg.abs_tol, cfg.rel_tol)
+
+        def pair_groups(df: DataFrame) -> DataFrame:
+            # groups are contiguous after hash-partitioning on (key, bucket)
+            # and sorting each partition; one Python call per partition
+            staged = (df.repartition(*keys, "_bucket")
+                      .sortWithinPartitions(*keys, "_bucket", "_side")
+                      .select(*keys, "_bucket", "_side", *cols))
+            return staged.mapInArrow(fn, out_schema)
+
         hot = self.key_stats.filter(F.greatest("krs", "krt") > limit).limit(1).count() > 0
         if not hot:
             # every residual group fits one pairing group: exact greedy.
-            return tagged.groupBy(*keys).applyInPandas(fn, out_schema)
+            return pair_groups(tagged.withColumn("_bucket", F.lit(0)))
         row_hash = F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0)
         done = []
         current = tagged
@@ -187,8 +196,7 @@ class RowComparison:
             nb = F.greatest(F.ceil(F.greatest("krs", "krt") / F.lit(limit)).cast("long"), F.lit(1))
             last = rnd == cfg.max_rounds - 1
             bucket = F.lit(0) if last else F.pmod(row_hash + F.lit(rnd), nb)
-            paired = current.withColumn("_bucket", bucket).groupBy(*keys, "_bucket") \
-                .applyInPandas(fn, out_schema)
+            paired = pair_groups(current.withColumn("_bucket", bucket))
             if last:
                 done.append(paired)
                 break
@@ -363,24 +371,3 @@ def compare_rows(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
     both = src.select(*keys, *cols).unionByName(tgt.select(*keys, *cols))
     types = {f.name: f.dataType for f in both.schema.fields}
     return RowComparison(src, tgt, keys, cols, cfg, types)
-
-
-def _make_pair_fn(keys, cols, out_schema, abs_tol, rel_tol):
-    names = [f.name for f in out_schema.fields]
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf[pdf["_side"] == 0].reset_index(drop=True)
-        t = pdf[pdf["_side"] == 1].reset_index(drop=True)
-        kv = {k: pdf[k].iat[0] for k in keys}
-        rows = []
-        for i, j in pairing.greedy_pairs(s, t, cols, abs_tol, rel_tol):
-            r = dict(kv)
-            for c in cols:
-                r["s_" + c] = s[c].iat[i] if i is not None else None
-                r["t_" + c] = t[c].iat[j] if j is not None else None
-            r["_has_s"] = i is not None
-            r["_has_t"] = j is not None
-            rows.append(r)
-        return pd.DataFrame(rows, columns=names)
-
-    return fn

@@ -163,8 +163,9 @@ def rule_check(spark, components: DataFrame | None, null_kind: str = "null") ->
     """per migration, score ``max(0, 1 - 0.2 n)`` over the structural
     diffs; FAIL is HIGH; SKIPPED (score 1.0) when no analysis is given."""
     if components is None:
-        return spark.createDataFrame(
-            [("BusinessRuleValidator", "SKIPPED", "INFO", 1.0, 0, "SQL analysis missing for source or target query.")],
+        from ..session import literal_rows
+        return literal_rows(
+            spark, [("BusinessRuleValidator", "SKIPPED", "INFO", 1.0, 0, "SQL analysis missing for source or target query.")],
             "check_name string, status string, severity string, score double, mismatch_count long, summary string")
     s = structural_summary(components, null_kind)
     n = F.col("n_diffs")

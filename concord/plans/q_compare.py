@@ -310,3 +310,9 @@ def d20_report_rollup(spark, sf):
 def d23_validate(spark, sf):
     s, t = _orders(spark, sf)
     return validate(s, t)
+
+
+@query("d23_validate_lineitem", None)
+def d23_validate_lineitem(spark, sf):
+    s, t = _items(spark, sf)
+    return validate(s, t)

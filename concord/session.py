@@ -72,3 +72,20 @@ def register_tables(spark: SparkSession, sf_dir: str,
         df.createOrReplaceTempView(n)
         out[n] = df
     return out
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small constant table built inside the JVM (an inline generator
+    over a one-row range) instead of shipping Python objects through a
+    Python worker.  Used for metadata-sized frames only: check rows,
+    schema catalogs, dimension lists."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    if not rows:
+        return spark.createDataFrame([], st)
+    structs = []
+    for r in rows:
+        structs.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]))
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -37,7 +37,8 @@ def describe_table(df: DataFrame, table: str | None = None) -> DataFrame:
     spark = df.sparkSession
     rows = [(table, f.name, f.dataType.simpleString().upper(), bool(f.nullable), i)
             for i, f in enumerate(df.schema.fields, start=1)]
-    return spark.createDataFrame(rows, "table_name string, name string, type string, nullable boolean, ordinal int")
+    from ..session import literal_rows
+    return literal_rows(spark, rows, "table_name string, name string, type string, nullable boolean, ordinal int")
 
 
 def describe_with_count(df: DataFrame, table: str) -> DataFrame:
