@@ -328,7 +328,17 @@ class RowComparison:
             .otherwise(F.lit("MISSING_SOURCE_ROW")).alias("type"),
             keymap.alias("key"), null_s.alias("column"), null_s.alias("source_value"),
             null_s.alias("target_value"), "category")
-        ev = pres.unionByName(cells).unionByName(unp)
+        warn = (self.key_stats.agg(F.count(F.when((F.col("ks") > 0) & (F.col("kt") > 0)
+                                                  & ((F.col("ks") > 1) | (F.col("kt") > 1)), 1)).alias("_n"))
+                .filter(F.col("_n") > 0)
+                .select(F.lit(3).alias("_cls"),
+                        F.lit(None).cast(pres.schema["_k"].dataType).alias("_k"), F.lit(0).alias("_ord"),
+                        F.lit("DUPLICATE_KEY_WARNING").alias("type"),
+                        F.create_map().cast("map<string,string>").alias("key"), null_s.alias("column"),
+                        F.format_string("Comparison key %s is non-unique across %d key groups.",
+                                        F.lit(str(self.keys)), F.col("_n")).alias("source_value"),
+                        null_s.alias("target_value"), F.lit(WARNING).alias("category")))
+        ev = pres.unionByName(cells).unionByName(unp).unionByName(warn)
         top = ev.orderBy("_cls", "_k", "_ord", "column", "source_value", "target_value").limit(n)
         return top.drop("_cls", "_k", "_ord")
 
