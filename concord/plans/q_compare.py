@@ -27,7 +27,7 @@ def _items(spark, sf):
 
 
 # ---------------------------------------------------------------- D2
-@query("d02_schema_diff", derived.cte("schema_cols") + """,
+_D02_SQL = derived.cte("schema_cols") + """,
 tg(n, g) AS (VALUES ('VARCHAR','STRING'),('STRING','STRING'),('TEXT','STRING'),('CHAR','STRING'),('NVARCHAR','STRING'),
  ('INT','INTEGER'),('BIGINT','INTEGER'),('INTEGER','INTEGER'),('SMALLINT','INTEGER'),('TINYINT','INTEGER'),('INT64','INTEGER'),
  ('INT32','INTEGER'),('LONG','INTEGER'),('BYTE','INTEGER'),('SHORT','INTEGER'),('FLOAT','FLOAT'),('DOUBLE','FLOAT'),('REAL','FLOAT'),
@@ -47,12 +47,26 @@ FROM j WHERE t_pos IS NULL OR s_pos IS NULL OR s_grp <> t_grp
 UNION ALL
 SELECT pair_id, 'COLUMN_ORDER_CHANGED', NULL, NULL, NULL FROM j GROUP BY pair_id
 HAVING count(*) FILTER (WHERE s_pos IS NULL OR t_pos IS NULL) = 0 AND count(*) FILTER (WHERE s_pos <> t_pos) > 0
-""")
+"""
+
+
+@query("d02_schema_diff", _D02_SQL)
 def d02_schema_diff(spark, sf):
     return schema_diff(derived.load(spark, sf, "schema_cols"))
 
 
-@query("d02_schema_summary", None)
+_SCHEMA_J = _D02_SQL.split("SELECT pair_id, CASE WHEN t_pos IS NULL")[0]
+
+
+@query("d02_schema_summary", _SCHEMA_J + """, d AS (SELECT pair_id, count(*) AS n FROM (
+SELECT pair_id FROM j WHERE t_pos IS NULL OR s_pos IS NULL OR s_grp <> t_grp
+UNION ALL SELECT pair_id FROM j GROUP BY pair_id
+HAVING count(*) FILTER (WHERE s_pos IS NULL OR t_pos IS NULL) = 0 AND count(*) FILTER (WHERE s_pos <> t_pos) > 0) GROUP BY pair_id),
+cnt AS (SELECT pair_id, count(s_type) AS src_cols, count(t_type) AS tgt_cols, count(*) FILTER (WHERE s_grp = t_grp) AS compatible FROM j GROUP BY pair_id)
+SELECT cnt.pair_id, src_cols, tgt_cols, compatible, CAST(coalesce(d.n, 0) AS BIGINT) AS mismatch_count,
+ round(CASE WHEN greatest(src_cols, tgt_cols) = 0 THEN 1.0 ELSE compatible / greatest(src_cols, tgt_cols) END, 4) AS score,
+ CASE WHEN coalesce(d.n, 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN coalesce(d.n, 0) = 0 THEN 'INFO' ELSE 'CRITICAL' END AS severity
+FROM cnt LEFT JOIN d USING (pair_id)""")
 def d02_schema_summary(spark, sf):
     return schema_summary(derived.load(spark, sf, "schema_cols"))
 
@@ -188,15 +202,20 @@ def d11_row_summary_dupkeys(spark, sf):
     return compare_rows(s, t).summary
 
 
-@query("d12_row_check", _ORDERS_RES + _SUMMARY_SQL.format(clean=_ORDERS_CLEAN).replace(
+_ROWCHECK_CTES = _ORDERS_RES + _SUMMARY_SQL.format(clean=_ORDERS_CLEAN).replace(
     "SELECT src_rows, tgt_rows, rows_compared, rows_matched, missing_keys, extra_keys, duplicate_key_warnings, unpaired_rows,\n differing_cells, mismatch_count, one_to_one,",
     ", fin AS (SELECT rows_matched, rows_compared, mismatch_count,").replace(
     "CASE WHEN mismatch_count = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM o",
-    "CASE WHEN mismatch_count = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM o)") + """
-SELECT 'RowValidator' AS check_name, status, CASE WHEN status = 'PASS' THEN 'INFO' ELSE 'CRITICAL' END AS severity, score, mismatch_count,
+    "CASE WHEN mismatch_count = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM o)")
+_ROWCHECK_SELECT = """
+SELECT 'RowValidator' AS check_name, status, CASE WHEN status = 'PASS' THEN 'INFO' ELSE 'CRITICAL' END AS severity, score,
+ CAST(mismatch_count AS BIGINT) AS mismatch_count,
  CASE WHEN status = 'PASS' THEN printf('Row comparison: %d/%d keys matched exactly.', rows_matched, rows_compared)
  ELSE printf('Row mismatch detected: %d value/key discrepancy(ies).', mismatch_count) END AS summary FROM fin
-""")
+"""
+
+
+@query("d12_row_check", _ROWCHECK_CTES + _ROWCHECK_SELECT)
 def d12_row_check(spark, sf):
     s, t = _orders(spark, sf)
     return row_check(s, t)
@@ -286,7 +305,20 @@ def d18_boundary_keyset_diff(spark, sf):
     return boundary_keyset_diff(s, t, ["l_orderkey"], _BVALS)
 
 
-@query("d19_edge_check", None)
+@query("d19_edge_check", derived.cte("items_src", "items_tgt") + f"""
+, s AS ({_BCELLS.format(t='items_src')}), t AS ({_BCELLS.format(t='items_tgt')}),
+both_ AS (SELECT DISTINCT "column", value FROM s INTERSECT SELECT DISTINCT "column", value FROM t),
+s2 AS (SELECT * FROM s WHERE ("column", value) IN (SELECT ("column", value) FROM both_)),
+t2 AS (SELECT * FROM t WHERE ("column", value) IN (SELECT ("column", value) FROM both_)),
+bad AS (SELECT DISTINCT "column", value FROM ((SELECT * FROM s2 EXCEPT SELECT * FROM t2) UNION ALL (SELECT * FROM t2 EXCEPT SELECT * FROM s2))),
+nn AS (SELECT (SELECT count(*) FILTER (WHERE l_orderkey IS NULL) + count(*) FILTER (WHERE l_linenumber IS NULL) + count(*) FILTER (WHERE l_partkey IS NULL)
+   + count(*) FILTER (WHERE l_quantity IS NULL OR isnan(l_quantity)) FROM items_src) AS a,
+  (SELECT count(*) FILTER (WHERE l_orderkey IS NULL) + count(*) FILTER (WHERE l_linenumber IS NULL) + count(*) FILTER (WHERE l_partkey IS NULL)
+   + count(*) FILTER (WHERE l_quantity IS NULL OR isnan(l_quantity)) FROM items_tgt) AS b),
+m AS (SELECT CAST(CASE WHEN a <> b THEN 1 ELSE 0 END + (SELECT count(*) FROM bad) AS BIGINT) AS mm FROM nn)
+SELECT 'EdgeCaseValidator' AS check_name, CASE WHEN mm = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+ CASE WHEN mm = 0 THEN 'INFO' ELSE 'HIGH' END AS severity, CASE WHEN mm = 0 THEN 1.0 ELSE 0.0 END AS score, mm AS mismatch_count,
+ 'EDGE_CASE' AS scenario FROM m""")
 def d19_edge_check(spark, sf):
     s, t = _items(spark, sf)
     return edge_check(s, t, ["l_orderkey"], _BVALS)
@@ -306,7 +338,58 @@ def d20_report_rollup(spark, sf):
     return report_rollup(c)
 
 
-@query("d23_validate", None)
+_OCOLS_ALL = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_TGC = ("CASE upper(split_part({x}, '(', 1)) WHEN 'VARCHAR' THEN 'STRING' WHEN 'BIGINT' THEN 'INTEGER' "
+        "WHEN 'INTEGER' THEN 'INTEGER' WHEN 'DOUBLE' THEN 'FLOAT' ELSE upper({x}) END")
+_AGG_ITEMS = [("*", "COUNT")] + [(c, f) for c in ("o_orderkey", "o_custkey", "o_totalprice")
+                                 for f in ("SUM", "AVG", "MIN", "MAX")]
+
+
+def _agg_expr(tbl, c, f):
+    if f == "COUNT":
+        return f"(SELECT CAST(count(*) AS DOUBLE) FROM {tbl})"
+    return f"(SELECT CAST({f.lower()}({c}) AS DOUBLE) FROM {tbl})"
+
+
+_OB = " UNION ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value, o_orderkey AS key FROM {{t}} "
+    f"WHERE CAST({c} AS DOUBLE) IN (499.99, 500.0, 500.01)" for c in ("o_orderkey", "o_custkey", "o_totalprice"))
+_NUL = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL" + (" OR isnan(o_totalprice))" if c == "o_totalprice" else ")")
+                  for c in _OCOLS_ALL)
+_TY = ", ".join(f"{{'n': '{c}', 's': (SELECT typeof({c}) FROM orders_src LIMIT 1), "
+                f"'t': (SELECT typeof({c}) FROM orders_tgt LIMIT 1)}}" for c in _OCOLS_ALL)
+_AM = ", ".join(O.values_equal(_agg_expr("orders_src", c, f), "num", _agg_expr("orders_tgt", c, f), "num")
+                for c, f in _AGG_ITEMS)
+
+_D23_SQL = _ROWCHECK_CTES + f""",
+rowchk AS ({_ROWCHECK_SELECT}),
+ty AS (SELECT unnest([{_TY}]) AS x),
+sch AS (SELECT count(*) AS n, count(*) FILTER (WHERE {_TGC.format(x='x.s')} = {_TGC.format(x='x.t')}) AS ok FROM ty),
+am AS (SELECT unnest([{_AM}]) AS m),
+ag AS (SELECT count(*) AS total, count(*) FILTER (WHERE m) AS ok FROM am),
+bs AS ({_OB.format(t='orders_src')}), bt AS ({_OB.format(t='orders_tgt')}),
+both_ AS (SELECT DISTINCT "column", value FROM bs INTERSECT SELECT DISTINCT "column", value FROM bt),
+bs2 AS (SELECT * FROM bs WHERE ("column", value) IN (SELECT ("column", value) FROM both_)),
+bt2 AS (SELECT * FROM bt WHERE ("column", value) IN (SELECT ("column", value) FROM both_)),
+bad AS (SELECT DISTINCT "column", value FROM ((SELECT * FROM bs2 EXCEPT SELECT * FROM bt2)
+        UNION ALL (SELECT * FROM bt2 EXCEPT SELECT * FROM bs2))),
+ed AS (SELECT CAST(CASE WHEN (SELECT {_NUL} FROM orders_src) <> (SELECT {_NUL} FROM orders_tgt) THEN 1 ELSE 0 END
+        + (SELECT count(*) FROM bad) AS BIGINT) AS mm)
+SELECT 'SchemaValidator' AS check_name, CASE WHEN n = ok THEN 'PASS' ELSE 'FAIL' END AS status,
+ CASE WHEN n = ok THEN 'INFO' ELSE 'CRITICAL' END AS severity, round(ok / n, 4) AS score,
+ CAST(n - ok AS BIGINT) AS mismatch_count, printf('Schema comparison: %d/%d columns compatible.', ok, n) AS summary,
+ 0 AS check_order FROM sch
+UNION ALL SELECT *, 1 FROM rowchk
+UNION ALL SELECT 'AggregateValidator', CASE WHEN total = ok THEN 'PASS' ELSE 'FAIL' END,
+ CASE WHEN total = ok THEN 'INFO' ELSE 'HIGH' END, round(ok / total, 4), CAST(total - ok AS BIGINT),
+ printf('Aggregate metrics mismatched: %d', total - ok), 2 FROM ag
+UNION ALL SELECT 'BusinessRuleValidator', 'SKIPPED', 'INFO', 1.0, 0, 'SQL analysis missing for source or target query.', 3
+UNION ALL SELECT 'EdgeCaseValidator', CASE WHEN mm = 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN mm = 0 THEN 'INFO' ELSE 'HIGH' END,
+ CASE WHEN mm = 0 THEN 1.0 ELSE 0.0 END, mm, 'Edge case scenario ''EDGE_CASE''', 4 FROM ed
+"""
+
+
+@query("d23_validate", _D23_SQL)
 def d23_validate(spark, sf):
     s, t = _orders(spark, sf)
     return validate(s, t)
