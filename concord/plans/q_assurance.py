@@ -133,8 +133,8 @@ def i08(spark, sf):
                                                         F.col("verification_status")).alias("verification_path"))
 
 
-@query("i09_remaining_discrepancies", _ROLL + """SELECT migration_id, coalesce(CASE WHEN f.repair_attempted THEN f.remaining END,
- CASE WHEN r.overall <> 'PASS' THEN greatest(coalesce(r.fsum, 0), 1) END, 0) AS remaining FROM r JOIN facts f USING (migration_id)""")
+@query("i09_remaining_discrepancies", _ROLL + """SELECT migration_id, CAST(coalesce(CASE WHEN f.repair_attempted THEN f.remaining END,
+ CASE WHEN r.overall <> 'PASS' THEN greatest(coalesce(r.fsum, 0), 1) END, 0) AS BIGINT) AS remaining FROM r JOIN facts f USING (migration_id)""")
 def i09(spark, sf):
     j = _rollup_facts(spark, sf)
     return j.select("migration_id", A.remaining_discrepancies(

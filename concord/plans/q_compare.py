@@ -162,7 +162,7 @@ def d09_unpaired_duplicates(spark, sf):
 
 @query("d10_duplicate_keys", derived.cte("orders_src", "orders_tgt") + """,
 ks AS (SELECT o_orderkey, sum(a) AS ks, sum(b) AS kt FROM (SELECT o_orderkey, 1 AS a, 0 AS b FROM orders_src UNION ALL SELECT o_orderkey, 0, 1 FROM orders_tgt) GROUP BY o_orderkey)
-SELECT o_orderkey, ks, kt FROM ks WHERE ks > 0 AND kt > 0 AND (ks > 1 OR kt > 1)
+SELECT o_orderkey, CAST(ks AS BIGINT) AS ks, CAST(kt AS BIGINT) AS kt FROM ks WHERE ks > 0 AND kt > 0 AND (ks > 1 OR kt > 1)
 """)
 def d10_duplicate_keys(spark, sf):
     s, t = _orders(spark, sf)
@@ -317,7 +317,7 @@ nn AS (SELECT (SELECT count(*) FILTER (WHERE l_orderkey IS NULL) + count(*) FILT
    + count(*) FILTER (WHERE l_quantity IS NULL OR isnan(l_quantity)) FROM items_tgt) AS b),
 m AS (SELECT CAST(CASE WHEN a <> b THEN 1 ELSE 0 END + (SELECT count(*) FROM bad) AS BIGINT) AS mm FROM nn)
 SELECT 'EdgeCaseValidator' AS check_name, CASE WHEN mm = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
- CASE WHEN mm = 0 THEN 'INFO' ELSE 'HIGH' END AS severity, CASE WHEN mm = 0 THEN 1.0 ELSE 0.0 END AS score, mm AS mismatch_count,
+ CASE WHEN mm = 0 THEN 'INFO' ELSE 'HIGH' END AS severity, CAST(CASE WHEN mm = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score, mm AS mismatch_count,
  'EDGE_CASE' AS scenario FROM m""")
 def d19_edge_check(spark, sf):
     s, t = _items(spark, sf)

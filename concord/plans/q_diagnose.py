@@ -139,7 +139,7 @@ def g07b(spark, sf):
  min({{'v': source_validator, 't': st, 'p': analysis_path, 'c': category}}).c AS gcat FROM sg GROUP BY validation_id, signature),
 e AS (SELECT sg.*, fc.gcat FROM sg JOIN fc USING (validation_id, signature)
  WHERE {_ROWX} OR source_validator = 'EdgeCaseValidator' OR contains(st, 'EDGE_CASE') OR source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER'))
-SELECT validation_id, signature, ordinal, type, "column", source_result, target_result FROM (
+SELECT validation_id, signature, CAST(ordinal AS INTEGER) AS ordinal, type, "column", source_result, target_result FROM (
  SELECT validation_id, signature, row_number() OVER (PARTITION BY validation_id, signature ORDER BY source_validator, st, analysis_path, signal_id) AS ordinal,
   CASE WHEN {_ROWX} THEN 'ROW_DIFF' WHEN source_validator = 'EdgeCaseValidator' OR contains(st, 'EDGE_CASE') THEN
    CASE WHEN gcat = 'BOUNDARY_CONDITION' THEN 'BOUNDARY_CASE' ELSE 'ROW_DIFF' END ELSE 'RULE_DIFF' END AS type,

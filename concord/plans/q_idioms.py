@@ -141,7 +141,7 @@ def b10(spark, sf):
 
 @query("b11_row_number", """
 SELECT o_custkey, o_orderkey, o_totalprice,
- row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank_num FROM orders""")
+ CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank_num FROM orders""")
 def b11(spark, sf):
     o = T(spark, sf, "orders")
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
@@ -150,8 +150,8 @@ def b11(spark, sf):
 
 @query("b12_rank_vs_row_number", """
 SELECT l_orderkey, l_linenumber, l_quantity,
- rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS rnk,
- row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS rn FROM lineitem""")
+ CAST(rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS INTEGER) AS rnk,
+ CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS INTEGER) AS rn FROM lineitem""")
 def b12(spark, sf):
     l = T(spark, sf, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"))
@@ -205,8 +205,8 @@ def b17(spark, sf):
 
 
 @query("b18_conditional_aggregation", """
-SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS pass_count,
- sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS fail_count, round(avg(o_totalprice), 2) AS avg_price,
+SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS pass_count,
+ CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS BIGINT) AS fail_count, round(avg(o_totalprice), 2) AS avg_price,
  min(o_totalprice) AS min_price, max(o_totalprice) AS max_price FROM orders GROUP BY o_orderpriority""")
 def b18(spark, sf):
     o = T(spark, sf, "orders")

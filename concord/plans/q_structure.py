@@ -115,7 +115,7 @@ def f08(spark, sf):
 @query("f09_rule_check", C + f""", d AS ({_F8}), n AS (SELECT m.migration_id, coalesce(sum(d.occurrences), 0) AS n
  FROM (SELECT DISTINCT migration_id FROM components) m LEFT JOIN d ON m.migration_id = d.migration_id GROUP BY m.migration_id)
 SELECT migration_id, 'BusinessRuleValidator' AS check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
- CASE WHEN n = 0 THEN 'INFO' ELSE 'HIGH' END AS severity, round(greatest(0.0, 1.0 - n * 0.2), 4) AS score, CAST(n AS BIGINT) AS mismatch_count FROM n""")
+ CASE WHEN n = 0 THEN 'INFO' ELSE 'HIGH' END AS severity, CAST(round(greatest(0.0, 1.0 - n * 0.2), 4) AS DOUBLE) AS score, CAST(n AS BIGINT) AS mismatch_count FROM n""")
 def f09(spark, sf):
     return S.rule_check(spark, _c(spark, sf), null_kind="filter")
 
