@@ -309,3 +309,122 @@ def transformation_counts(t: DataFrame) -> DataFrame:
     d = dedupe_transformations(t)
     return d.groupBy(M).agg(F.count(F.when(F.col("type") != "ASSUMPTION", 1)).alias("transformation_count"),
                             F.count(F.when(F.col("type") == "ASSUMPTION", 1)).alias("assumption_count"))
+
+
+# ------------------------------------------------------------ F14-F16
+# Clause tables: (query_id, side BEFORE|AFTER, kind, ordinal, alias, text)
+# with kind JOIN / WHERE / GROUP BY / SELECT / TABLE.
+Q = "query_id"
+
+
+def _kind_changed(clauses: DataFrame, kind: str) -> DataFrame:
+    """Per query: does the ordered list of ``kind`` texts differ between
+    BEFORE and AFTER (full outer join on position, null-safe)."""
+    c = clauses.filter(F.col("kind") == kind)
+    b = c.filter(F.col("side") == "BEFORE").select(Q, "ordinal", F.col("text").alias("b"))
+    a = c.filter(F.col("side") == "AFTER").select(Q, "ordinal", F.col("text").alias("a"))
+    j = b.join(a, [Q, "ordinal"], "full")
+    return j.groupBy(Q).agg(F.max((~F.col("b").eqNullSafe(F.col("a"))).cast("int")).alias("_d")) \
+        .select(Q, (F.col("_d") == 1).alias(f"changed_{kind.replace(' ', '_').lower()}"))
+
+
+def _flags(clauses: DataFrame) -> DataFrame:
+    qs = clauses.select(Q).distinct()
+    for k in ("JOIN", "WHERE", "GROUP BY", "SELECT"):
+        col = f"changed_{k.replace(' ', '_').lower()}"
+        qs = qs.join(_kind_changed(clauses, k), Q, "left").fillna(False, [col])
+    return qs
+
+
+def changed_regions(clauses: DataFrame) -> DataFrame:
+    """F16: ``(query_id, regions)`` — the changed clause kinds among
+    where_clause, select_projections, group_by_clause, join_clause (in that
+    order), or ``columns`` when none changed."""
+    f = _flags(clauses)
+    arr = F.filter(F.array(F.when(F.col("changed_where"), F.lit("where_clause")),
+                           F.when(F.col("changed_select"), F.lit("select_projections")),
+                           F.when(F.col("changed_group_by"), F.lit("group_by_clause")),
+                           F.when(F.col("changed_join"), F.lit("join_clause"))), lambda x: x.isNotNull())
+    return f.select(Q, F.when(F.size(arr) == 0, F.lit("columns")).otherwise(F.array_join(arr, ",")).alias("regions"))
+
+
+def contract_check(clauses: DataFrame) -> DataFrame:
+    """output aliases (lower-case, in order) must be equal when both
+    sides have any, and the referenced table sets must be equal."""
+    sel = clauses.filter(F.col("kind") == "SELECT").withColumn("alias", F.lower("alias"))
+    b = sel.filter(F.col("side") == "BEFORE").select(Q, "ordinal", F.col("alias").alias("b"))
+    a = sel.filter(F.col("side") == "AFTER").select(Q, "ordinal", F.col("alias").alias("a"))
+    al = (b.join(a, [Q, "ordinal"], "full").groupBy(Q)
+          .agg(F.count("b").alias("_nb"), F.count("a").alias("_na"),
+               F.max((~F.col("b").eqNullSafe(F.col("a"))).cast("int")).alias("_d")))
+    tb = clauses.filter(F.col("kind") == "TABLE").select(Q, "side", F.lower("alias").alias("t")).distinct()
+    ts = (tb.filter(F.col("side") == "BEFORE").select(Q, "t", F.lit(1).alias("_b"))
+          .join(tb.filter(F.col("side") == "AFTER").select(Q, "t", F.lit(1).alias("_a")), [Q, "t"], "full")
+          .groupBy(Q).agg(F.max((F.col("_b").isNull() | F.col("_a").isNull()).cast("int")).alias("_td")))
+    j = clauses.select(Q).distinct().join(al, Q, "left").join(ts, Q, "left")
+    alias_bad = (F.coalesce(F.col("_nb"), F.lit(0)) > 0) & (F.coalesce(F.col("_na"), F.lit(0)) > 0) & (F.col("_d") == 1)
+    table_bad = F.coalesce(F.col("_td"), F.lit(0)) == 1
+    reason = F.when(alias_bad, F.lit("ALIASES_CHANGED")).when(table_bad, F.lit("TABLES_CHANGED"))
+    return j.select(Q, reason.isNull().alias("contract_valid"), reason.alias("violation"))
+
+
+def scope_check(clauses: DataFrame, regions: DataFrame) -> DataFrame:
+    """first failing rule per query, given ``regions (query_id,
+    changed_region)``: JOIN changed outside a join region, any GROUP BY
+    change, WHERE changed outside a where region, a projection of another
+    alias changed (unless the region is select/columns)."""
+    f = _flags(clauses).join(regions.select(Q, F.lower(F.coalesce("changed_region", F.lit("columns")))
+                                            .alias("region")), Q, "left") \
+        .withColumn("region", F.coalesce("region", F.lit("columns")))
+    sel = clauses.filter(F.col("kind") == "SELECT").withColumn("alias", F.lower("alias")).filter(
+        F.col("alias").isNotNull() & (F.col("alias") != ""))
+    # alias -> text per side; the last occurrence of an alias stands for it
+    last = lambda side: (sel.filter(F.col("side") == side).groupBy(Q, "alias")
+                         .agg(F.max(F.struct("ordinal", "text")).getField("text").alias(side.lower())))
+    proj = last("BEFORE").join(last("AFTER"), [Q, "alias"]).join(f.select(Q, "region"), Q) \
+        .filter((F.col("before") != F.col("after")) & ~F.col("region").contains(F.col("alias"))
+                & ~F.col("alias").contains(F.col("region")) & ~F.col("region").isin("select", "columns"))
+    bad_proj = proj.groupBy(Q).agg(F.min("alias").alias("_alias"))
+    j = f.join(bad_proj, Q, "left")
+    reason = (F.when(F.col("changed_join") & ~F.col("region").contains("join"), F.lit("JOIN_CHANGED"))
+              .when(F.col("changed_group_by"), F.lit("GROUP_BY_CHANGED"))
+              .when(F.col("changed_where") & ~F.col("region").contains("where"), F.lit("WHERE_CHANGED"))
+              .when(F.col("_alias").isNotNull(), F.lit("PROJECTION_CHANGED")))
+    return j.select(Q, "region", reason.isNull().alias("scope_valid"), reason.alias("violation"))
+
+
+# ---------------------------------------------------------------- F18
+def candidate_screen(p: DataFrame) -> DataFrame:
+    """first failure reason per proposal, else CANDIDATE_ACCEPTED.
+
+    Columns: ``proposal_id, status, proposed_sql, original_sql, stored_sql,
+    syntax_ok, read_only_ok, has_select, discrepancy_id, tables_ok,
+    contract_ok, scope_ok, proposal_fingerprint, expected_fingerprint``;
+    the parser-backed facts (syntax, read-only, select, tables, contract,
+    scope) come in as booleans."""
+    def col(c, t="string"):
+        return F.col(c) if c in p.columns else F.lit(None).cast(t)
+
+    prop = strip_col(F.coalesce(col("proposed_sql"), F.lit("")))
+    orig = strip_col(F.coalesce(col("original_sql"), F.lit("")))
+    norm = lambda x: F.regexp_replace(x, r"\s+", " ")
+    semi = lambda x: strip_col(F.regexp_replace(strip_col(x), r";+$", ""))
+    t = lambda c: F.coalesce(col(c, "boolean"), F.lit(True))
+    reason = (F.when(F.coalesce(col("status"), F.lit("")) != "PROPOSED", F.lit("STATUS_NOT_PROPOSED"))
+              .when(prop == "", F.lit("EMPTY_PROPOSED_SQL"))
+              .when(orig == "", F.lit("MISSING_ORIGINAL_TARGET_SQL"))
+              .when(norm(orig) == norm(prop), F.lit("UNCHANGED_REPAIR_SQL"))
+              .when(col("stored_sql").isNotNull() & (semi(col("stored_sql")) != semi(prop)),
+                    F.lit("REPAIR_ARTIFACT_MISMATCH"))
+              .when(~t("syntax_ok"), F.lit("SQL_SYNTAX_ERROR"))
+              .when(~t("read_only_ok"), F.lit("READ_ONLY_VIOLATION"))
+              .when(~t("has_select"), F.lit("SCHEMA_INCONSISTENCY"))
+              .when(F.coalesce(col("discrepancy_id"), F.lit("")) == "", F.lit("UNKNOWN_DISCREPANCY_MAPPING"))
+              .when(~t("tables_ok"), F.lit("MISSING_REQUIRED_TABLE"))
+              .when(~t("contract_ok"), F.lit("CONTRACT_ALIAS_MISMATCH"))
+              .when(~t("scope_ok"), F.lit("SCOPE_CONSTRAINT_VIOLATION"))
+              .when(col("expected_fingerprint").isNotNull() & col("proposal_fingerprint").isNotNull()
+                    & (col("expected_fingerprint") != col("proposal_fingerprint")),
+                    F.lit("DISCREPANCY_FINGERPRINT_MISMATCH"))
+              .otherwise(F.lit("CANDIDATE_ACCEPTED")))
+    return p.select("proposal_id", (reason == "CANDIDATE_ACCEPTED").alias("accepted"), reason.alias("reason"))

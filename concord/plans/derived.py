@@ -67,6 +67,14 @@ SELECT o_custkey % 300 AS migration_id, 'SRC' AS side,
  concat(o_orderstatus, '_', CAST((o_orderkey + CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END) % 17 AS STRING)),
  CASE WHEN o_orderkey % 29 = 0 THEN 'x >= 500' WHEN o_orderkey % 2 = 0 THEN 'x > 500' ELSE 'y <= 10' END,
  CASE WHEN o_orderkey % 31 = 0 THEN o_orderkey % 3 <> 0 ELSE o_orderkey % 3 = 0 END FROM orders WHERE o_orderkey % 37 <> 0""",
+    "clauses": """
+SELECT migration_id AS query_id, CASE side WHEN 'SRC' THEN 'BEFORE' ELSE 'AFTER' END AS side,
+ CASE kind WHEN 'join' THEN 'JOIN' WHEN 'filter' THEN 'WHERE' WHEN 'aggregation' THEN 'SELECT' WHEN 'table' THEN 'TABLE' ELSE 'GROUP BY' END AS kind,
+ ordinal, CASE WHEN kind = 'table' THEN name ELSE concat(lower(name), '_', CAST(ordinal % 4 AS STRING)) END AS alias,
+ CASE WHEN kind = 'join' THEN concat(name, ' ON ', expr) ELSE expr END AS text FROM components""",
+    "regions": """
+SELECT DISTINCT migration_id AS query_id, CASE migration_id % 5 WHEN 0 THEN 'where_clause' WHEN 1 THEN 'join_clause'
+ WHEN 2 THEN 'columns' WHEN 3 THEN 'o_1' ELSE 'f_2' END AS changed_region FROM components""",
     "facts": """
 SELECT c_custkey AS migration_id, c_custkey % 41 <> 0 AS source_ok, c_custkey % 43 <> 0 AS translation_ok, c_custkey % 47 <> 0 AS target_ok,
  c_custkey % 13 <> 0 AS schema_ok, c_custkey % 19 = 0 AS has_critical, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 ELSE 0 END AS remaining,

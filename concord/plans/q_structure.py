@@ -206,3 +206,78 @@ SELECT migration_id, count(*) FILTER (WHERE type <> 'ASSUMPTION') AS transformat
 FROM f GROUP BY migration_id""")
 def f17b(spark, sf):
     return S.transformation_counts(derived.load(spark, sf, "transformations"))
+
+
+_CL = derived.cte("components", "clauses", "regions")
+_CH = """, ch AS (SELECT coalesce(b.query_id, a.query_id) AS query_id, coalesce(b.kind, a.kind) AS kind,
+   max(CASE WHEN b.text IS DISTINCT FROM a.text THEN 1 ELSE 0 END) AS d
+  FROM (SELECT * FROM clauses WHERE side = 'BEFORE') b FULL JOIN (SELECT * FROM clauses WHERE side = 'AFTER') a
+  ON b.query_id = a.query_id AND b.kind = a.kind AND b.ordinal = a.ordinal GROUP BY 1, 2),
+fl AS (SELECT q.query_id, coalesce(max(d) FILTER (WHERE kind = 'JOIN'), 0) = 1 AS cj,
+  coalesce(max(d) FILTER (WHERE kind = 'WHERE'), 0) = 1 AS cw, coalesce(max(d) FILTER (WHERE kind = 'GROUP BY'), 0) = 1 AS cg,
+  coalesce(max(d) FILTER (WHERE kind = 'SELECT'), 0) = 1 AS cs
+  FROM (SELECT DISTINCT query_id FROM clauses) q LEFT JOIN ch USING (query_id) GROUP BY q.query_id)
+"""
+
+
+def _clauses(spark, sf):
+    derived.load(spark, sf, "components").createOrReplaceTempView("components")
+    return derived.load(spark, sf, "clauses")
+
+
+@query("f16_changed_regions", _CL + _CH + """SELECT query_id, CASE WHEN NOT (cw OR cs OR cg OR cj) THEN 'columns' ELSE
+ array_to_string(list_filter([CASE WHEN cw THEN 'where_clause' END, CASE WHEN cs THEN 'select_projections' END,
+  CASE WHEN cg THEN 'group_by_clause' END, CASE WHEN cj THEN 'join_clause' END], lambda x: x IS NOT NULL), ',') END AS regions FROM fl""")
+def f16(spark, sf):
+    return S.changed_regions(_clauses(spark, sf))
+
+
+@query("f14_contract_check", _CL + """,
+sb AS (SELECT query_id, ordinal, lower(alias) AS al FROM clauses WHERE kind = 'SELECT' AND side = 'BEFORE'),
+sa AS (SELECT query_id, ordinal, lower(alias) AS al FROM clauses WHERE kind = 'SELECT' AND side = 'AFTER'),
+al AS (SELECT coalesce(sb.query_id, sa.query_id) AS query_id, count(sb.al) AS nb, count(sa.al) AS na,
+  max(CASE WHEN sb.al IS DISTINCT FROM sa.al THEN 1 ELSE 0 END) AS d FROM sb FULL JOIN sa ON sb.query_id = sa.query_id AND sb.ordinal = sa.ordinal GROUP BY 1),
+tb AS (SELECT DISTINCT query_id, side, lower(alias) AS t FROM clauses WHERE kind = 'TABLE'),
+ts AS (SELECT coalesce(b.query_id, a.query_id) AS query_id, max(CASE WHEN b.t IS NULL OR a.t IS NULL THEN 1 ELSE 0 END) AS td
+  FROM (SELECT * FROM tb WHERE side = 'BEFORE') b FULL JOIN (SELECT * FROM tb WHERE side = 'AFTER') a ON b.query_id = a.query_id AND b.t = a.t GROUP BY 1),
+j AS (SELECT q.query_id, CASE WHEN coalesce(al.nb, 0) > 0 AND coalesce(al.na, 0) > 0 AND al.d = 1 THEN 'ALIASES_CHANGED'
+  WHEN coalesce(ts.td, 0) = 1 THEN 'TABLES_CHANGED' END AS violation
+  FROM (SELECT DISTINCT query_id FROM clauses) q LEFT JOIN al USING (query_id) LEFT JOIN ts USING (query_id))
+SELECT query_id, violation IS NULL AS contract_valid, violation FROM j""")
+def f14(spark, sf):
+    return S.contract_check(_clauses(spark, sf))
+
+
+@query("f15_scope_check", _CL + _CH + """,
+rg AS (SELECT fl.*, lower(coalesce(r.changed_region, 'columns')) AS region FROM fl LEFT JOIN regions r USING (query_id)),
+sel AS (SELECT query_id, side, lower(alias) AS alias, ordinal, text FROM clauses WHERE kind = 'SELECT' AND alias IS NOT NULL AND alias <> ''),
+lb AS (SELECT query_id, alias, max({'o': ordinal, 't': text}).t AS before FROM sel WHERE side = 'BEFORE' GROUP BY ALL),
+la AS (SELECT query_id, alias, max({'o': ordinal, 't': text}).t AS after FROM sel WHERE side = 'AFTER' GROUP BY ALL),
+bp AS (SELECT lb.query_id, min(lb.alias) AS a FROM lb JOIN la USING (query_id, alias) JOIN rg USING (query_id)
+  WHERE lb.before <> la.after AND NOT contains(rg.region, lb.alias) AND NOT contains(lb.alias, rg.region)
+  AND rg.region NOT IN ('select', 'columns') GROUP BY lb.query_id),
+j AS (SELECT rg.query_id, rg.region, CASE WHEN cj AND NOT contains(region, 'join') THEN 'JOIN_CHANGED' WHEN cg THEN 'GROUP_BY_CHANGED'
+  WHEN cw AND NOT contains(region, 'where') THEN 'WHERE_CHANGED' WHEN bp.a IS NOT NULL THEN 'PROJECTION_CHANGED' END AS violation
+  FROM rg LEFT JOIN bp USING (query_id))
+SELECT query_id, region, violation IS NULL AS scope_valid, violation FROM j""")
+def f15(spark, sf):
+    c = _clauses(spark, sf)
+    return S.scope_check(c, derived.load(spark, sf, "regions"))
+
+
+@query("f18_candidate_screen", derived.cte("artifacts") + f"""SELECT migration_id AS proposal_id, reason = 'CANDIDATE_ACCEPTED' AS accepted, reason FROM (
+ SELECT migration_id, CASE WHEN coalesce(repair_status, '') <> 'PROPOSED' THEN 'STATUS_NOT_PROPOSED'
+  WHEN trim(coalesce(proposed_sql, '')) = '' THEN 'EMPTY_PROPOSED_SQL' WHEN trim(coalesce(target_sql, '')) = '' THEN 'MISSING_ORIGINAL_TARGET_SQL'
+  WHEN regexp_replace(trim(target_sql), '\\s+', ' ', 'g') = regexp_replace(trim(proposed_sql), '\\s+', ' ', 'g') THEN 'UNCHANGED_REPAIR_SQL'
+  WHEN NOT coalesce(candidate_status = 'VALID_SYNTAX', TRUE) THEN 'SQL_SYNTAX_ERROR'
+  WHEN NOT contains(upper(proposed_sql), 'SELECT') THEN 'SCHEMA_INCONSISTENCY'
+  WHEN trim(coalesce(repair_id, '')) = '' THEN 'UNKNOWN_DISCREPANCY_MAPPING'
+  WHEN NOT coalesce(evidence_score > 0, TRUE) THEN 'CONTRACT_ALIAS_MISMATCH' ELSE 'CANDIDATE_ACCEPTED' END AS reason FROM artifacts)""")
+def f18(spark, sf):
+    a = derived.load(spark, sf, "artifacts")
+    p = a.select(F.col("migration_id").alias("proposal_id"), F.col("repair_status").alias("status"), "proposed_sql",
+                 F.col("target_sql").alias("original_sql"), F.col("proposed_sql").alias("stored_sql"),
+                 (F.col("candidate_status") == "VALID_SYNTAX").alias("syntax_ok"),
+                 F.upper("proposed_sql").contains("SELECT").alias("has_select"),
+                 F.col("repair_id").alias("discrepancy_id"), (F.col("evidence_score") > 0).alias("contract_ok"))
+    return S.candidate_screen(p)
