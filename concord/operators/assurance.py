@@ -327,3 +327,19 @@ def migration_summary(migrations: DataFrame, parts: dict[str, DataFrame]) -> Dat
         cols = [F.col(c).alias(f"{name}_{c}") for c in df.columns if c != M]
         out = out.join(df.select(M, *cols), M, "left")
     return out
+
+
+def get_discrepancies(lineage: DataFrame, reports: DataFrame) -> DataFrame:
+    """Per migration, the discrepancy report reached through the
+    lineage's diagnosis id.  ``reports``: ``(migration_id,
+    discrepancy_count)`` of stored diagnoses.  Status NO_DISCREPANCIES (no
+    diagnosis id), DIAGNOSIS_NOT_FOUND, RESOLVED (zero discrepancies) or
+    DISCREPANCIES_FOUND."""
+    r = reports.select(M, F.col("discrepancy_count").alias("_n"), F.lit(True).alias("_found"))
+    j = lineage.select(M, "diagnosis_id").join(r, M, "left")
+    has_id = F.coalesce(F.col("diagnosis_id"), F.lit("")) != ""
+    status = (F.when(~has_id, F.lit("NO_DISCREPANCIES")).when(F.col("_found").isNull(), F.lit("DIAGNOSIS_NOT_FOUND"))
+              .when(F.col("_n") == 0, F.lit("RESOLVED")).otherwise(F.lit("DISCREPANCIES_FOUND")))
+    cnt = F.when(has_id & F.col("_found").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    return j.select(M, F.when(has_id, F.col("diagnosis_id")).alias("diagnosis_id"),
+                    cnt.cast("long").alias("discrepancy_count"), status.alias("status"))

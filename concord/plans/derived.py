@@ -75,6 +75,12 @@ SELECT migration_id AS query_id, CASE side WHEN 'SRC' THEN 'BEFORE' ELSE 'AFTER'
     "regions": """
 SELECT DISTINCT migration_id AS query_id, CASE migration_id % 5 WHEN 0 THEN 'where_clause' WHEN 1 THEN 'join_clause'
  WHEN 2 THEN 'columns' WHEN 3 THEN 'o_1' ELSE 'f_2' END AS changed_region FROM components""",
+    "check_evidence": """
+SELECT user_id AS validation_id, CASE event_id % 5 WHEN 0 THEN 'SchemaValidator' WHEN 1 THEN 'RowValidator' WHEN 2 THEN 'AggregateValidator'
+ WHEN 3 THEN 'BusinessRuleValidator' ELSE 'EdgeCaseValidator' END AS check_name, event_id AS ordinal, upper(event_type) AS type,
+ CASE WHEN event_id % 3 = 0 THEN event_type END AS ev_column,
+ CASE WHEN event_id % 7 = 0 THEN 'CASE_RULE_CHANGED' WHEN event_id % 2 = 0 THEN 'VALUE_MISMATCH' END AS category,
+ event_type AS source_value, concat(event_type, '_x') AS target_value FROM events""",
     "facts": """
 SELECT c_custkey AS migration_id, c_custkey % 41 <> 0 AS source_ok, c_custkey % 43 <> 0 AS translation_ok, c_custkey % 47 <> 0 AS target_ok,
  c_custkey % 13 <> 0 AS schema_ok, c_custkey % 19 = 0 AS has_critical, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 ELSE 0 END AS remaining,

@@ -203,3 +203,69 @@ def i15(spark, sf):
     sc = A.assurance_score(_checks(spark, sf)).select("migration_id", "evidence_score", "evidence_coverage")
     return A.migration_summary(f, {"score": sc, "facts": f.select("migration_id", "repair_attempted",
                                                                    "verification_status", "remaining")})
+
+
+_ART = """
+arts AS (SELECT o_orderkey AS artifact_id, o_custkey AS record_id, CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 1 ELSE o_custkey END AS migration_id,
+  md5(o_orderpriority) AS source_hash FROM orders),
+recs AS (SELECT c_custkey AS record_id, c_custkey AS migration_id,
+  CASE WHEN c_custkey % 3 = 0 THEN md5('1-URGENT') WHEN c_custkey % 3 = 1 THEN '' ELSE md5('2-HIGH') END AS source_hash FROM customer)"""
+
+
+def _arts(spark, sf):
+    from ..session import read_table
+    o, c = read_table(spark, sf, "orders"), read_table(spark, sf, "customer")
+    arts = o.select(F.col("o_orderkey").alias("artifact_id"), F.col("o_custkey").alias("record_id"),
+                    F.when(F.col("o_orderkey") % 50 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+                    .alias("migration_id"), F.md5("o_orderpriority").alias("source_hash"))
+    recs = c.select(F.col("c_custkey").alias("record_id"), F.col("c_custkey").alias("migration_id"),
+                    F.when(F.col("c_custkey") % 3 == 0, F.md5(F.lit("1-URGENT")))
+                    .when(F.col("c_custkey") % 3 == 1, F.lit("")).otherwise(F.md5(F.lit("2-HIGH"))).alias("source_hash"))
+    return arts, recs
+
+
+@query("i12_lineage_mismatch", "WITH" + _ART + """
+SELECT a.artifact_id, a.record_id, coalesce(a.migration_id IS NOT NULL AND r.migration_id IS NOT NULL AND a.migration_id <> r.migration_id, FALSE) AS migration_mismatch,
+ coalesce(coalesce(a.source_hash, '') <> '' AND coalesce(r.source_hash, '') <> '' AND a.source_hash <> r.source_hash, FALSE) AS hash_mismatch
+FROM arts a LEFT JOIN recs r USING (record_id)
+WHERE coalesce(a.migration_id IS NOT NULL AND r.migration_id IS NOT NULL AND a.migration_id <> r.migration_id, FALSE)
+ OR coalesce(coalesce(a.source_hash, '') <> '' AND coalesce(r.source_hash, '') <> '' AND a.source_hash <> r.source_hash, FALSE)""")
+def i12(spark, sf):
+    a, r = _arts(spark, sf)
+    out = A.lineage_mismatch(a, r)
+    return out.select("artifact_id", "record_id", F.coalesce("migration_mismatch", F.lit(False)).alias("migration_mismatch"),
+                      F.coalesce("hash_mismatch", F.lit(False)).alias("hash_mismatch"))
+
+
+_RECS = """SELECT o_orderkey AS migration_id, CASE WHEN o_orderkey % 2 = 0 THEN 'teradata' ELSE 'oracle' END AS source_dialect,
+ 'spark' AS target_dialect, o_orderpriority AS dataset_id, o_orderdate AS created_at,
+ CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'BLOCKED' ELSE 'FAILED' END AS final_status,
+ CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'DISCREPANCIES_FOUND' ELSE 'FAILED' END AS state FROM orders"""
+
+
+@query("i18_list_migrations", f"""SELECT * FROM ({_RECS}) WHERE (contains(lower(CAST(migration_id AS VARCHAR)), 'urgent')
+ OR contains(lower(source_dialect), 'urgent') OR contains(lower(target_dialect), 'urgent') OR contains(lower(dataset_id), 'urgent'))
+ AND (final_status = 'VERIFIED' OR state = 'VERIFIED') ORDER BY created_at DESC""")
+def i18(spark, sf):
+    from ..session import read_table
+    read_table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return A.list_migrations(spark.sql(_RECS), search="URGENT", status="VERIFIED")
+
+
+def _i19_sql():
+    from .q_diagnose import _CONS
+    return _CONS.replace("WITH ", derived.cte("lineage").rstrip() + ",\n", 1) + """,
+rep AS (SELECT validation_id AS migration_id, count(*) AS n FROM d2 GROUP BY 1)
+SELECT l.migration_id, CASE WHEN coalesce(l.diagnosis_id, '') <> '' THEN l.diagnosis_id END AS diagnosis_id,
+ CAST(CASE WHEN coalesce(l.diagnosis_id, '') <> '' AND rep.n IS NOT NULL THEN rep.n ELSE 0 END AS BIGINT) AS discrepancy_count,
+ CASE WHEN coalesce(l.diagnosis_id, '') = '' THEN 'NO_DISCREPANCIES' WHEN rep.n IS NULL THEN 'DIAGNOSIS_NOT_FOUND'
+  WHEN rep.n = 0 THEN 'RESOLVED' ELSE 'DISCREPANCIES_FOUND' END AS status
+FROM lineage l LEFT JOIN rep USING (migration_id)"""
+
+
+@query("i19_get_discrepancies", _i19_sql())
+def i19(spark, sf):
+    from .q_diagnose import _cons
+    rep = _cons(spark, sf).groupBy(F.col("validation_id").alias("migration_id")).agg(
+        F.count("*").alias("discrepancy_count"))
+    return A.get_discrepancies(derived.load(spark, sf, "lineage"), rep)

@@ -221,3 +221,33 @@ def g09(spark, sf):
     return d.select("validation_id", "l_linenumber", "category",
                     G.severity(F.col("category"), F.col("affected_rows"), total).alias("severity"),
                     G.affected_pct(F.col("affected_rows"), total).alias("affected_percentage"))
+
+
+@query("g01_extract_signals", derived.cte("checks", "check_evidence") + """
+SELECT e.validation_id, CAST(e.ordinal AS BIGINT) AS signal_id, e.check_name AS source_validator, coalesce(e.type, '') AS signal_type,
+ e.source_value AS source_expression, e.target_value AS target_expression,
+ CASE WHEN e.ev_column IS NOT NULL AND e.ev_column <> '' THEN 'columns[' || e.ev_column || ']'
+  WHEN e.category = 'CASE_RULE_CHANGED' THEN 'business_rules[0].condition'
+  WHEN e.category IS NOT NULL AND e.category <> '' THEN 'category[' || e.category || ']' ELSE '' END AS analysis_path,
+ CAST(c.mismatch_count AS BIGINT) AS mismatch_count, e.ev_column AS "column", e.category AS payload_category
+FROM check_evidence e JOIN checks c ON c.migration_id = e.validation_id AND c.check_name = e.check_name
+WHERE c.status NOT IN ('PASS', 'SKIPPED')""")
+def g01(spark, sf):
+    c = derived.load(spark, sf, "checks").withColumnRenamed("migration_id", "validation_id")
+    e = derived.load(spark, sf, "check_evidence").withColumnRenamed("ev_column", "column")
+    return G.extract_signals(c, e)
+
+
+@query("g02_component_signals", derived.cte("components", "signals") + """,
+s AS (SELECT * FROM components WHERE side = 'SRC'), t AS (SELECT * FROM components WHERE side = 'TGT'),
+j AS (SELECT s.migration_id AS validation_id, s.kind, s.ordinal, s.expr AS s_expr, t.expr AS t_expr FROM s JOIN t
+  ON s.migration_id = t.migration_id AND s.kind = t.kind AND s.ordinal = t.ordinal
+  WHERE s.kind IN ('rule', 'filter', 'join', 'aggregation') AND (s.expr IS DISTINCT FROM t.expr OR s.name IS DISTINCT FROM t.name))
+SELECT validation_id, CAST(ordinal * 10 + CASE kind WHEN 'rule' THEN 0 WHEN 'filter' THEN 1 WHEN 'join' THEN 2 ELSE 3 END AS BIGINT) AS signal_id,
+ 'AST_ANALYZER' AS source_validator, CASE kind WHEN 'rule' THEN 'CASE_RULE_CHANGED' WHEN 'filter' THEN 'FILTER_DIFF' WHEN 'join' THEN 'JOIN_DIFF' ELSE 'AGGREGATION_DIFF' END AS signal_type,
+ s_expr AS source_expression, t_expr AS target_expression,
+ CASE kind WHEN 'rule' THEN 'business_rules' WHEN 'filter' THEN 'filters' WHEN 'join' THEN 'joins' ELSE 'aggregations' END || '[' || CAST(ordinal - 1 AS VARCHAR) || ']' AS analysis_path,
+ CAST(0 AS BIGINT) AS mismatch_count, CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS VARCHAR) AS payload_category
+FROM j WHERE validation_id NOT IN (SELECT validation_id FROM signals WHERE source_validator = 'BusinessRuleValidator')""")
+def g02(spark, sf):
+    return G.component_signals(derived.load(spark, sf, "components"), derived.load(spark, sf, "signals"))
