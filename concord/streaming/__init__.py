@@ -1,0 +1,6 @@
+"""Incremental audit of the append-only migration state log (I13) with
+Structured Streaming: the last state of each migration is kept in
+``applyInPandasWithState`` state, so chain breaks are found across
+micro-batches without re-reading the log."""
+
+from .state_audit import audit_state_stream  # noqa: F401

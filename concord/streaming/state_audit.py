@@ -1,0 +1,51 @@
+"""I13 over a stream of state events.
+
+Events ``(migration_id, event_id, ts, from_state, to_state)`` (state
+names) arrive append-only.  Per migration the stream keeps the last
+``to_state`` and the largest ``(ts, event_id)`` seen; each event is checked
+against the state graph (ILLEGAL_EDGE, FROM_TERMINAL) and against the
+previous event (CHAIN_BREAK).  Events are assumed to arrive in order per
+migration, as the log is written one event at a time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.assurance import TERMINAL, TRANSITIONS
+
+OUT = "migration_id long, event_id long, from_name string, to_name string, violation string"
+STATE = "last_to string, seen boolean"
+
+
+def _check(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    edges = {(a, b) for a, bs in TRANSITIONS.items() for b in bs}
+    last, seen = (state.get if state.exists else (None, False))
+    rows = []
+    for pdf in pdfs:
+        for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
+            frm, to = r.from_state, r.to_state
+            frm = None if pd.isna(frm) else frm
+            if frm in TERMINAL:
+                v = "FROM_TERMINAL"
+            elif frm is not None and (frm, to) not in edges:
+                v = "ILLEGAL_EDGE"
+            elif (frm != last) if seen else (frm is not None):
+                v = "CHAIN_BREAK"
+            else:
+                v = None
+            if v:
+                rows.append((int(key[0]), int(r.event_id), frm, to, v))
+            last, seen = to, True
+    state.update((last, seen))
+    yield pd.DataFrame(rows, columns=["migration_id", "event_id", "from_name", "to_name", "violation"])
+
+
+def audit_state_stream(events: DataFrame) -> DataFrame:
+    """Streaming DataFrame of violations (append output mode)."""
+    return (events.groupBy("migration_id")
+            .applyInPandasWithState(_check, OUT, STATE, "append", GroupStateTimeout.NoTimeout))
