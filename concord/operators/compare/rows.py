@@ -80,6 +80,14 @@ class RowComparison:
     cfg: CompareConfig
     types: dict[str, T.DataType] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Unpersist the cached intermediates (distinct rows, key stats,
+        pairs) once the caller is done with this comparison."""
+        for name in ("distinct_rows", "key_stats", "pairs"):
+            df = self.__dict__.pop(name, None)
+            if df is not None:
+                df.unpersist()
+
     # ------------------------------------------------------------------ prep
     def _side(self, df: DataFrame, s: int) -> DataFrame:
         exprs = [nan_to_null(F.col(c).cast(self.types[c]), self.types[c]).alias(c)
