@@ -46,16 +46,27 @@ def row_check(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
 
 
 def schema_check(src: DataFrame, tgt: DataFrame, order_matters: bool = True) -> DataFrame:
-    """Schema check of two DataFrames (D2 on their catalogs)."""
-    from ...functions.types import schema_catalog
-    from .schema import schema_summary
-    spark = src.sparkSession
-    cat = schema_catalog(spark, {("pair", "SRC"): src, ("pair", "TGT"): tgt})
-    s = schema_summary(cat, order_matters)
-    return s.select(F.lit("SchemaValidator").alias("check_name"), "status", "severity", "score",
-                    "mismatch_count",
-                    F.format_string("Schema comparison: %d/%d columns compatible.", "compatible",
-                                    F.greatest("src_cols", "tgt_cols")).alias("summary"))
+    """Schema check of two DataFrames (D2 for one pair).  Schemas are plan
+    metadata already on the driver, so the rules are applied to them
+    directly and the one check row is a literal; ``schema.schema_diff``
+    applies the same rules to catalogs of many pairs in Spark."""
+    from ...functions.types import normalize_type_name
+    s = [(f.name, f.dataType.simpleString().upper()) for f in src.schema.fields]
+    t = [(f.name, f.dataType.simpleString().upper()) for f in tgt.schema.fields]
+    sm, tm = dict(s), dict(t)
+    missing = set(sm) - set(tm)
+    extra = set(tm) - set(sm)
+    common = set(sm) & set(tm)
+    compatible = sum(1 for c in common if normalize_type_name(sm[c]) == normalize_type_name(tm[c]))
+    mismatches = len(missing) + len(extra) + (len(common) - compatible)
+    if order_matters and [n for n, _ in s] != [n for n, _ in t] and not missing and not extra:
+        mismatches += 1
+    total = max(len(s), len(t))
+    score = round(compatible / total, 4) if total else 1.0
+    status = "PASS" if mismatches == 0 else "FAIL"
+    row = ("SchemaValidator", status, "INFO" if status == "PASS" else "CRITICAL", float(score), mismatches,
+           f"Schema comparison: {compatible}/{total} columns compatible.")
+    return literal_rows(src.sparkSession, [row], CHECK_SCHEMA)
 
 
 @dataclass(frozen=True)
