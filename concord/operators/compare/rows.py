@@ -195,6 +195,8 @@ class RowComparison:
         if not hot:
             # every residual group fits one pairing group: exact greedy.
             return pair_groups(tagged.withColumn("_bucket", F.lit(0)))
+        from ...session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(tagged.sparkSession)
         row_hash = F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0)
         done = []
         current = tagged

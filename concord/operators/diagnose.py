@@ -128,9 +128,13 @@ def normalize_expression(c: Column) -> Column:
     the SQL keywords; NULL/empty -> empty."""
     s = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"\s+", " ")
     s = F.regexp_replace(s, r"(\d+)\.0+(\D|$)", "$1$2")
-    for k in NORMALIZED_KEYWORDS:
-        s = F.regexp_replace(s, rf"(?i)\b{k}\b", k.upper())
-    return s
+    # A keyword match ``\bkw\b`` is a whole word token equal to the keyword
+    # (ignoring case): split at word boundaries once, upper-case the keyword
+    # tokens and join back, instead of one regex pass per keyword.
+    kws = F.array(*[F.lit(k) for k in NORMALIZED_KEYWORDS])
+    tokens = F.split(s, r"\b", -1)
+    fixed = F.transform(tokens, lambda w: F.when(F.array_contains(kws, F.lower(w)), F.upper(w)).otherwise(w))
+    return F.array_join(fixed, "")
 
 
 def signature(category: Column, path: Column, src: Column, tgt: Column) -> Column:
