@@ -26,11 +26,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # let AQE size the partitions of persisted intermediates too
+        .config("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.eventLog.enabled", "true" if os.environ.get("CONCORD_EVENTLOG") else "false")
+        .config("spark.eventLog.dir", os.environ.get("CONCORD_EVENTLOG", "/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
