@@ -160,3 +160,14 @@ def report_rollup(checks: DataFrame, id_col: str = "validation_id") -> DataFrame
                .when(F.col("checks_errored") > 0, F.lit("ERROR"))
                .when(F.col("checks_warned") > 0, F.lit("WARN")).otherwise(F.lit("PASS")))
     return agg.withColumn("overall_status", overall)
+
+
+def compare_pair(spark: SparkSession, source_sql: str, target_sql: str,
+                 tables: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run a source query and its migrated counterpart on the same
+    tables (registered as views when ``tables`` maps names to files) and
+    return both results as lazy DataFrames for ``validate``."""
+    if tables:
+        from ...sources.catalog import register_views
+        register_views(spark, tables)
+    return spark.sql(source_sql), spark.sql(target_sql)

@@ -269,3 +269,19 @@ def i19(spark, sf):
     rep = _cons(spark, sf).groupBy(F.col("validation_id").alias("migration_id")).agg(
         F.count("*").alias("discrepancy_count"))
     return A.get_discrepancies(derived.load(spark, sf, "lineage"), rep)
+
+
+def _i10b_sql():
+    from .q_diagnose import _CONS
+    return _CONS.replace("WITH ", derived.cte("facts").rstrip() + ",\n", 1) + """,
+c AS (SELECT validation_id AS migration_id, bool_or(severity = 'CRITICAL') AS c FROM d2 GROUP BY 1)
+SELECT c.migration_id, c.c AND NOT coalesce(f.verification_status = 'VERIFIED', FALSE) AS has_unresolved_critical
+FROM c LEFT JOIN facts f USING (migration_id)"""
+
+
+@query("i10_unresolved_critical", _i10b_sql())
+def i10b(spark, sf):
+    from .q_diagnose import _cons
+    d = _cons(spark, sf).withColumnRenamed("validation_id", "migration_id")
+    v = derived.load(spark, sf, "facts").select("migration_id", "verification_status")
+    return A.unresolved_critical(d, v)

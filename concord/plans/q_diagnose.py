@@ -173,7 +173,21 @@ def g03(spark, sf):
             .select("validation_id", "signal_id", "source_expression", "target_expression", "analysis_path"))
 
 
-@query("g12_diagnosis_report", None)
+_DIMS = ", ".join([f"('category', '{c}')" for c in G.CATEGORIES] + [f"('severity', '{v}')" for v in G.SEVERITIES])
+
+
+@query("g12_diagnosis_report", _CONS + f""",
+ids AS (SELECT DISTINCT validation_id FROM d2 UNION SELECT DISTINCT validation_id FROM signals),
+dims(dimension, value) AS (VALUES {_DIMS}),
+cnt AS (SELECT validation_id, 'category' AS dimension, category AS value, count(*) AS n FROM d2 GROUP BY ALL
+  UNION ALL SELECT validation_id, 'severity', severity, count(*) FROM d2 GROUP BY ALL),
+tot AS (SELECT validation_id, count(*) AS n, coalesce(sum(affected_row_count), 0) AS aff FROM d2 GROUP BY ALL),
+sc AS (SELECT validation_id, count(*) AS n FROM signals GROUP BY ALL)
+SELECT ids.validation_id, dims.dimension, dims.value, CAST(coalesce(cnt.n, 0) AS BIGINT) AS count
+FROM ids CROSS JOIN dims LEFT JOIN cnt ON cnt.validation_id = ids.validation_id AND cnt.dimension = dims.dimension AND cnt.value = dims.value
+UNION ALL SELECT ids.validation_id, 'total', 'discrepancies', CAST(coalesce(tot.n, 0) AS BIGINT) FROM ids LEFT JOIN tot USING (validation_id)
+UNION ALL SELECT ids.validation_id, 'total', 'affected_rows', CAST(coalesce(tot.aff, 0) AS BIGINT) FROM ids LEFT JOIN tot USING (validation_id)
+UNION ALL SELECT ids.validation_id, 'total', 'signals', CAST(coalesce(sc.n, 0) AS BIGINT) FROM ids LEFT JOIN sc USING (validation_id)""")
 def g12(spark, sf):
     return G.diagnosis_report(_cons(spark, sf), _sig(spark, sf))
 

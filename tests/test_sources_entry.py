@@ -73,3 +73,23 @@ def test_entry_and_registry(spark):
     assert len(rows) == 5 and {r.check_name for r in rows} >= {"SchemaValidator", "RowValidator"}
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 90
+
+
+def test_compare_pair_and_export_parquet(spark, sf):
+    from concord.operators.compare.report import compare_pair, run_checks
+    s, t = compare_pair(spark, "SELECT n_nationkey, n_name FROM nat WHERE n_regionkey < 3",
+                        "SELECT n_nationkey, n_name FROM nat WHERE n_regionkey <= 3",
+                        {"nat": f"{sf}/nation.parquet"})
+    checks = {r.check_name: r for r in run_checks(s, t).collect()}
+    assert checks["RowValidator"].status == "FAIL" and checks["SchemaValidator"].status == "PASS"
+    d = tempfile.mkdtemp(prefix="concord-t-")
+    out = ingest.export_parquet({"nation": spark.read.parquet(f"{sf}/nation.parquet")}, d)
+    assert spark.read.parquet(out["nation"]).count() == 25
+
+
+def test_repair_confidence(spark):
+    from concord.operators.diagnose import repair_confidence
+    df = spark.createDataFrame([(0.98, True, True, True), (0.5, True, False, True), (0.9, True, True, False)],
+                               "d double, s boolean, c boolean, m boolean")
+    got = [r[0] for r in df.select(repair_confidence(F.col("d"), F.col("s"), F.col("c"), F.col("m"))).collect()]
+    assert got == [0.95, 0.0, 0.86]
