@@ -48,7 +48,7 @@ class CompareConfig:
     rel_tol: float = REL_TOL
     max_evidence: int = 100
     group_limit: int = 512
-    max_rounds: int = 12
+    max_rounds: int = 32
     persist: bool = True
 
 
