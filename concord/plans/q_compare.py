@@ -228,8 +228,12 @@ ev AS (
    NULL AS "column", NULL AS source_value, NULL AS target_value, CASE WHEN cls = 0 THEN 'MISSING_FROM_TARGET' ELSE 'EXTRA_IN_TARGET' END AS category FROM pres
  UNION ALL SELECT 2, o_orderkey, 1, 'VALUE_MISMATCH', "column", source_value, target_value, 'VALUE_MISMATCH' FROM cells
  UNION ALL SELECT 2, o_orderkey, 0, CASE WHEN category = 'MISSING_FROM_TARGET' THEN 'MISSING_TARGET_ROW' ELSE 'MISSING_SOURCE_ROW' END,
-   NULL, NULL, NULL, category FROM unp)
-SELECT type, map([ 'o_orderkey' ], [ CAST(o_orderkey AS VARCHAR) ]) AS key, "column", source_value, target_value, category
+   NULL, NULL, NULL, category FROM unp
+ UNION ALL SELECT 3, NULL, 0, 'DUPLICATE_KEY_WARNING', NULL,
+   printf('Comparison key [''o_orderkey''] is non-unique across %d key groups.', n), NULL, 'NON_UNIQUE_KEY_WARNING'
+   FROM (SELECT count(*) AS n FROM ks WHERE ks > 0 AND kt > 0 AND (ks > 1 OR kt > 1)) WHERE n > 0)
+SELECT type, CASE WHEN cls = 3 THEN CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) ELSE map([ 'o_orderkey' ], [ CAST(o_orderkey AS VARCHAR) ]) END AS key,
+ "column", source_value, target_value, category
 FROM ev ORDER BY cls, o_orderkey NULLS FIRST, ord, "column" NULLS FIRST, source_value NULLS FIRST, target_value NULLS FIRST LIMIT 100
 """)
 def d13_top_evidence(spark, sf):
