@@ -3,7 +3,7 @@
 Each row is rendered as text (with a marker for NULL, and fractional
 numbers with nine decimals so the text does not depend on a float
 printer), hashed with MD5, the first 15 hex digits read as a 60-bit
-integer and summed as ``decimal(38,0)``.  The sum and the row count do
+integer and summed (as three exact 20-bit part sums).  The sum and the row count do
 not depend on row order or partitioning and combine map-side.
 """
 
@@ -32,17 +32,26 @@ def row_text(df: DataFrame) -> Column:
     return F.concat_ws(SEP, *parts)
 
 
-def row_hash60(df: DataFrame) -> Column:
-    return F.conv(F.substring(F.md5(row_text(df)), 1, 15), 16, 10).cast("decimal(38,0)")
+def row_hash_parts(df: DataFrame) -> list[Column]:
+    """The first 15 hex digits of the row's MD5 as three 20-bit integers
+    (5 hex digits each).  Summing the parts as longs is exact for up to
+    2^43 rows and much cheaper than decimal arithmetic per row; the 60-bit
+    sum is rebuilt once from the three part sums."""
+    m = F.md5(row_text(df))
+    return [F.conv(F.substring(m, 1 + 5 * i, 5), 16, 10).cast("long") for i in range(3)]
 
 
 def table_checksum(df: DataFrame, table: str) -> DataFrame:
-    """``(table_name, row_count, checksum)``; checksum is the decimal sum
-    rendered as text."""
+    """``(table_name, row_count, checksum)``: ``"<rows>:<sum of 60-bit row
+    hashes>"``, independent of row order and partitioning."""
+    parts = row_hash_parts(df)
     a = df.agg(F.count(F.lit(1)).alias("row_count"),
-               F.coalesce(F.sum(row_hash60(df)), F.lit(0).cast("decimal(38,0)")).alias("_s"))
+               *[F.coalesce(F.sum(p), F.lit(0)).alias(f"_p{i}") for i, p in enumerate(parts)])
+    total = (F.col("_p0").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(38,0)")
+             + F.col("_p1").cast("decimal(38,0)") * F.lit(1 << 20).cast("decimal(38,0)")
+             + F.col("_p2").cast("decimal(38,0)"))
     return a.select(F.lit(table).alias("table_name"), "row_count",
-                    F.concat(F.col("row_count").cast("string"), F.lit(":"), F.col("_s").cast("string"))
+                    F.concat(F.col("row_count").cast("string"), F.lit(":"), total.cast("decimal(38,0)").cast("string"))
                     .alias("checksum"))
 
 
