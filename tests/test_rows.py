@@ -104,3 +104,15 @@ def test_tolerance_pairs_in_residual(spark):
     t = spark.createDataFrame([("K", 2.0000001, "y"), ("K", 1.0000001, "x")], "k string, v double, w string")
     out = _summary(compare_rows(s, t, ["k"]))
     assert out["mismatch_count"] == 0 and out["rows_matched"] == 2
+
+
+def test_injected_faults_found_exactly(spark, sf):
+    from concord.operators import inject
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    t = inject.null_head(o, "o_orderpriority", "o_orderkey", 11)          # 11 cells
+    t = inject.orphan_fk(t, "o_custkey", "o_orderkey", (-99999, -99998))  # +2 cells (rows 1, 2 overlap the 11)
+    t = inject.duplicate_rows(t, "o_orderkey", 1)                         # +1 surplus target row
+    out = _summary(compare_rows(o, t, ["o_orderkey"]))
+    assert out["differing_cells"] == 13 and out["unpaired_rows"] == 1
+    assert out["missing_keys"] == 0 and out["extra_keys"] == 0
+    assert out["mismatch_count"] == 14 and out["duplicate_key_warnings"] == 1
