@@ -53,12 +53,27 @@ def _stat(df: DataFrame, col: str, fn: str):
     return {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[fn](c)
 
 
+def side_profile(df: DataFrame, specs: list[Spec]) -> DataFrame:
+    """One aggregation over a side: every statistic of ``specs`` (``_v<i>``)
+    plus the NULL/NaN cell total (``_nulls``, used by the edge check).  The
+    aggregate and edge checks of one validation build this same plan, so
+    Spark reuses its exchange and each side is scanned once for both."""
+    from ...functions.values import null_like
+    items = [(col, fn.upper()) for col, fns in specs for fn in fns]
+    exprs = [_stat(df, c, f).alias(f"_v{i}") for i, (c, f) in enumerate(items)]
+    nulls = [F.coalesce(F.sum(null_like(F.col(f.name), f.dataType).cast("long")), F.lit(0))
+             for f in df.schema.fields]
+    total = nulls[0] if len(nulls) == 1 else None
+    for n in nulls:
+        total = n if total is None else total + n
+    return df.agg(*exprs, (total if total is not None else F.lit(0).cast("long")).alias("_nulls"))
+
+
 def aggregate_stats(df: DataFrame, specs: list[Spec]) -> DataFrame:
     """``(ordinal, column, function, value)``; NULL when no non-null
     input (or the column is absent)."""
     items = [(col, fn.upper()) for col, fns in specs for fn in fns]
-    exprs = [_stat(df, c, f).alias(f"_v{i}") for i, (c, f) in enumerate(items)]
-    row = df.agg(*exprs)
+    row = side_profile(df, specs)
     packed = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
                                 F.lit(f).alias("function"), F.col(f"_v{i}").alias("value"))
                        for i, (c, f) in enumerate(items)])

@@ -21,8 +21,15 @@ def null_total(df: DataFrame) -> DataFrame:
     return df.agg(total.alias("nulls"))
 
 
-def null_count_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """``(source_nulls, target_nulls, differs)``."""
+def null_count_diff(src: DataFrame, tgt: DataFrame, specs=None) -> DataFrame:
+    """``(source_nulls, target_nulls, differs)``.  With the aggregate
+    ``specs`` of the same validation the totals come from the shared
+    per-side profile aggregation (one scan per side for both checks)."""
+    if specs is not None:
+        from .aggregates import side_profile
+        s = side_profile(src, specs).select(F.col("_nulls").alias("source_nulls"))
+        t = side_profile(tgt, specs).select(F.col("_nulls").alias("target_nulls"))
+        return s.crossJoin(t).withColumn("differs", F.col("source_nulls") != F.col("target_nulls"))
     s = null_total(src).withColumnRenamed("nulls", "source_nulls")
     t = null_total(tgt).withColumnRenamed("nulls", "target_nulls")
     return s.crossJoin(t).withColumn("differs", F.col("source_nulls") != F.col("target_nulls"))
@@ -79,7 +86,7 @@ def boundary_keyset_diff(src: DataFrame, tgt: DataFrame, keys: list[str] | None
 
 
 def edge_check(src: DataFrame | None, tgt: DataFrame | None, keys: list[str] | None = None,
-               values=DEFAULT_BOUNDARIES, scenario: str = "EDGE_CASE") -> DataFrame:
+               values=DEFAULT_BOUNDARIES, scenario: str = "EDGE_CASE", specs=None) -> DataFrame:
     """D19 check row: FAIL when NULL totals differ or any boundary key set
     differs; SKIPPED with score 1.0 when a side is missing."""
     if src is None or tgt is None:
@@ -88,7 +95,7 @@ def edge_check(src: DataFrame | None, tgt: DataFrame | None, keys: list[str] | N
         return literal_rows(
             spark, [("EdgeCaseValidator", "SKIPPED", "INFO", 1.0, 0, scenario)],
             "check_name string, status string, severity string, score double, mismatch_count long, scenario string")
-    n = null_count_diff(src, tgt).select(F.col("differs").cast("long").alias("n"))
+    n = null_count_diff(src, tgt, specs).select(F.col("differs").cast("long").alias("n"))
     b = boundary_keyset_diff(src, tgt, keys, values).agg(F.count("*").alias("b"))
     mm = F.col("n") + F.col("b")
     return n.crossJoin(b).select(

@@ -90,6 +90,8 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
     config = config or ValidationConfig()
     spark = src.sparkSession
     keys = list(config.keys) if config.keys else None
+    from .aggregates import default_specs
+    specs = default_specs(src, tgt)  # shared by the aggregate and edge checks
     out: dict[str, DataFrame] = {}
     for name in config.enabled:
         try:
@@ -98,13 +100,13 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
             elif name == "RowValidator":
                 df = row_check(src, tgt, keys, config.compare)
             elif name == "AggregateValidator":
-                df = aggregate_check(src, tgt, None, config.compare.abs_tol, config.compare.rel_tol) \
+                df = aggregate_check(src, tgt, specs, config.compare.abs_tol, config.compare.rel_tol) \
                     .withColumn("summary", F.format_string("Aggregate metrics mismatched: %d", "mismatch_count"))
             elif name == "BusinessRuleValidator":
                 from ..structure import rule_check
                 df = rule_check(spark, components)
             elif name == "EdgeCaseValidator":
-                df = edge_check(src, tgt, keys, config.boundaries) \
+                df = edge_check(src, tgt, keys, config.boundaries, specs=specs) \
                     .withColumn("summary", F.concat(F.lit("Edge case scenario '"), F.col("scenario"), F.lit("'")))
             else:
                 raise ValueError(f"unknown check {name}")
