@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ...session import merge_single_rows
 from ...functions.values import ABS_TOL, REL_TOL, display_value, nan_to_null, values_equal
 from . import pairing
 
@@ -286,7 +287,7 @@ class RowComparison:
             .alias("differing_cells"),
             F.count(F.when(F.col("_has_s") & F.col("_has_t") & (F.col("n_diff") == 0), 1))
             .alias("clean_pairs"))
-        j = ks.crossJoin(ps)  # two single-row aggregates
+        j = merge_single_rows(ks, ps)  # two single-row aggregates side by side
         mismatch = (F.col("missing_keys") + F.col("extra_keys") + F.col("unpaired_rows")
                     + F.col("differing_cells"))
         one_to_one = ((F.col("missing_keys") == 0) & (F.col("extra_keys") == 0)

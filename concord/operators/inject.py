@@ -116,9 +116,10 @@ def force_group_to_first(df: DataFrame, key, parent: DataFrame, parent_key: str,
     parent key of the first parent row (a one-row lookup, cross-joined as a
     broadcast scalar) plus the fixed values."""
     keys = _keys(key)
-    first_parent = parent.select(F.col(parent_key).alias("_gk")).orderBy("_gk").limit(1)
-    firsts = first_rows(df, keys, n)
-    j = df.join(F.broadcast(firsts), keys, "left").crossJoin(F.broadcast(first_parent))
+    # the first parent key as a scalar subquery (one value)
+    gk = parent.agg(F.min(parent_key)).scalar()
+    firsts = first_rows(df, keys, n).withColumn("_gk", gk)
+    j = df.join(F.broadcast(firsts), keys, "left")
     dt = dict(df.dtypes)
     out = []
     for c in df.columns:

@@ -93,3 +93,16 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     for r in rows:
         structs.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]))
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def merge_single_rows(*frames: DataFrame) -> DataFrame:
+    """Combine one-row frames (global aggregates) side by side without a
+    join: union them with the other frames' columns as NULL and keep the
+    single non-NULL value of every column."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    cols = [c for f in frames for c in f.columns]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])

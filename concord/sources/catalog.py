@@ -44,8 +44,12 @@ def describe_table(df: DataFrame, table: str | None = None) -> DataFrame:
 def describe_with_count(df: DataFrame, table: str) -> DataFrame:
     """The column rows with the table's exact row count attached (one
     aggregation over the table, joined to the schema rows)."""
+    items = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(f.name).alias("name"),
+                               F.lit(f.dataType.simpleString().upper()).alias("type"),
+                               F.lit(bool(f.nullable)).alias("nullable"), F.lit(i).alias("ordinal"))
+                      for i, f in enumerate(df.schema.fields, start=1)])
     cnt = df.agg(F.count(F.lit(1)).alias("row_count"))
-    return describe_table(df, table).crossJoin(cnt)
+    return cnt.select(F.explode(items).alias("c"), "row_count").select("c.*", "row_count")
 
 
 def preview(tables: dict[str, DataFrame], table: str | None = None, limit: int = 100,
