@@ -109,10 +109,15 @@ class RowComparison:
     @cached_property
     def key_stats(self) -> DataFrame:
         g = self.distinct_rows
+        # For keys whose residual is one row a side (a changed value), the
+        # two rows are carried here, so pairing them needs no further join.
+        carry = ([F.first(F.when(F.col("rs") > 0, F.struct(*self.cols)), ignorenulls=True).alias("_s1"),
+                  F.first(F.when(F.col("rt") > 0, F.struct(*self.cols)), ignorenulls=True).alias("_t1")]
+                 if self.cols else [])
         ks = (g.groupBy(*self.keys)
               .agg(F.sum("ns").alias("ks"), F.sum("nt").alias("kt"),
                    F.sum("matched").alias("km"),
-                   F.sum("rs").alias("krs"), F.sum("rt").alias("krt")))
+                   F.sum("rs").alias("krs"), F.sum("rt").alias("krt"), *carry))
         return ks.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else ks
 
     # ------------------------------------------------------------ D3 / D10
@@ -134,7 +139,8 @@ class RowComparison:
     def _residual_rows(self, col: str) -> DataFrame:
         """Residual rows of one side (``rs`` or ``rt``) for shared keys,
         re-expanded to one row per copy."""
-        shared = self.key_stats.filter((F.col("ks") > 0) & (F.col("kt") > 0)).select(
+        shared = self.key_stats.filter((F.col("ks") > 0) & (F.col("kt") > 0)
+                                       & ~((F.col("krs") == 1) & (F.col("krt") == 1))).select(
             *self.keys, "krs", "krt")
         g = self.distinct_rows.filter(F.col(col) > 0)
         r = join_nullsafe(g, shared, self.keys, "inner")
@@ -149,11 +155,17 @@ class RowComparison:
         rt = self._residual_rows("rt")
         one = (F.col("krs") == 1) & (F.col("krt") == 1)
         single = (F.col("krs") == 0) | (F.col("krt") == 0)
-        # 1 x 1 residual: a plain key join pairs them.
-        s1 = rs.filter(one).select(*self.keys, *[F.col(c).alias("s_" + c) for c in self.cols])
-        t1 = rt.filter(one).select(*self.keys, *[F.col(c).alias("t_" + c) for c in self.cols])
-        direct = (join_nullsafe(s1, t1, self.keys, "inner")
-                  .withColumn("_has_s", F.lit(True)).withColumn("_has_t", F.lit(True)))
+        # 1 x 1 residual: the pair was carried through the key aggregation.
+        if self.cols:
+            direct = (self.key_stats.filter((F.col("ks") > 0) & (F.col("kt") > 0) & one)
+                      .select(*self.keys, *[F.col("_s1." + c).alias("s_" + c) for c in self.cols],
+                              *[F.col("_t1." + c).alias("t_" + c) for c in self.cols],
+                              F.lit(True).alias("_has_s"), F.lit(True).alias("_has_t")))
+        else:
+            direct = (self.key_stats.filter((F.col("ks") > 0) & (F.col("kt") > 0) & one)
+                      .select(*self.keys, F.lit(True).alias("_has_s"), F.lit(True).alias("_has_t")))
+        rs = rs.filter(~one)
+        rt = rt.filter(~one)
         # surplus on one side only: unpaired.
         s0 = rs.filter(single & (F.col("krt") == 0)).select(
             *self.keys, *[F.col(c).alias("s_" + c) for c in self.cols],
