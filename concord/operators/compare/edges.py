@@ -44,7 +44,7 @@ def _boundary_cells(df: DataFrame, cols: list[str], key: str, values) -> DataFra
                F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")))
         for c in cols])
     return (df.select(F.col(key).alias("key"), F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("b"))
-            .select("b.column", "b.value", "key").distinct())
+            .select("b.column", "b.value", "key"))
 
 
 def boundary_keyset_diff(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
@@ -60,23 +60,18 @@ def boundary_keyset_diff(src: DataFrame, tgt: DataFrame, keys: list[str] | None
     for k in keys:
         if k not in src.columns or k not in tgt.columns or not cols:
             continue
-        s = _boundary_cells(src, cols, k, values)
-        t = _boundary_cells(tgt, cols, k, values)
-        both = (s.select("column", "value").distinct()
-                .join(t.select("column", "value").distinct(), ["column", "value"]))
-        s2 = s.join(both, ["column", "value"], "left_semi").select(
-            "column", "value", F.col("key").alias("s_key"), F.lit(1).alias("_s"))
-        t2 = t.join(both, ["column", "value"], "left_semi").select(
-            F.col("column").alias("t_column"), F.col("value").alias("t_value"),
-            F.col("key").alias("t_key"), F.lit(1).alias("_t"))
-        j = (s2.join(t2, (F.col("column") == F.col("t_column")) & (F.col("value") == F.col("t_value"))
-                     & F.col("s_key").eqNullSafe(F.col("t_key")), "full")
-             .select(F.coalesce("column", "t_column").alias("column"),
-                     F.coalesce("value", "t_value").alias("value"), "_s", "_t"))
-        d = (j.groupBy("column", "value")
-             .agg(F.count(F.when(F.col("_t").isNull(), 1)).alias("source_only_keys"),
-                  F.count(F.when(F.col("_s").isNull(), 1)).alias("target_only_keys"))
-             .filter((F.col("source_only_keys") > 0) | (F.col("target_only_keys") > 0))
+        # one pass per side: cells tagged by side, then per (column, value,
+        # key) which sides have it, then per (column, value) the one-sided keys
+        cells = (_boundary_cells(src, cols, k, values).withColumn("_s", F.lit(1)).withColumn("_t", F.lit(0))
+                 .unionByName(_boundary_cells(tgt, cols, k, values).withColumn("_s", F.lit(0))
+                              .withColumn("_t", F.lit(1))))
+        per_key = cells.groupBy("column", "value", "key").agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"))
+        d = (per_key.groupBy("column", "value")
+             .agg(F.max("_s").alias("_any_s"), F.max("_t").alias("_any_t"),
+                  F.count(F.when((F.col("_s") == 1) & (F.col("_t") == 0), 1)).alias("source_only_keys"),
+                  F.count(F.when((F.col("_t") == 1) & (F.col("_s") == 0), 1)).alias("target_only_keys"))
+             .filter((F.col("_any_s") == 1) & (F.col("_any_t") == 1)
+                     & ((F.col("source_only_keys") > 0) | (F.col("target_only_keys") > 0)))
              .withColumn("key_column", F.lit(k)))
         outs.append(d.select("key_column", "column", "value", "source_only_keys", "target_only_keys"))
     if not outs:
