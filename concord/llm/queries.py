@@ -69,6 +69,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+# --- 8 SimHash near-duplicates -------------------------------------------
+
+@query("op8_simhash_groups")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 # --- 9 token files -------------------------------------------------------
 
 @query("op9_token_files")
