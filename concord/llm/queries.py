@@ -69,6 +69,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+# --- 4 quality rules -----------------------------------------------------
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("rules_run")
+
+
+# --- 6 language id -------------------------------------------------------
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .common import fold
+
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 # --- 8 SimHash near-duplicates -------------------------------------------
 
 @query("op8_simhash_groups")
