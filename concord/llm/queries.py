@@ -90,6 +90,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+# --- 7 language-model scoring --------------------------------------------
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 # --- 8 SimHash near-duplicates -------------------------------------------
 
 @query("op8_simhash_groups")
