@@ -78,6 +78,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("rules_run")
 
 
+# --- 5 suffix-array dedup ------------------------------------------------
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.digest(suffix_dedup.shared_spans(read_table(spark, sf_dir, "documents")))
+
+
 # --- 6 language id -------------------------------------------------------
 
 @query("op6_language_id")
