@@ -30,6 +30,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# --- 1 benchmark decontamination -----------------------------------------
+
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 # --- 3 chat formatting ---------------------------------------------------
 
 _EXTRA_TEXT = r"\### Assistant: </turn> ok"
