@@ -22,20 +22,28 @@ GROUP_CHARS = 12_000_000
 MIN_GROUPS = 64
 
 
-def dealt(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, int]:
-    """``(grp, doc_id, text)`` of every row, and the number of groups."""
+def dealt(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> tuple[DataFrame, int]:
+    """``(grp, doc_id, text)`` of every row, with the columns ``carry`` as
+    ``c0``, ``c1``..., and the number of groups."""
     rows = texts(docs, text, key)
     size = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     n = max(MIN_GROUPS, -(-size // GROUP_CHARS))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("grp"), "doc_id", "text"), n
+    more = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])]
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("grp"), *rows.columns), n
+
+
+def fixed_order(table: pa.Table) -> pa.Table:
+    """A group's rows in a fixed order, whatever order the shuffle
+    delivered: by id (null last), then text."""
+    ids, all_texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    return table.take(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, all_texts[i])))
 
 
 def sorted_documents(table: pa.Table) -> tuple[list[int | None], list[str]]:
-    """Ids and texts of a group in a fixed order, whatever order the
-    shuffle delivered: by id (null last), then text."""
-    pairs = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()),
-                   key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return [d for d, _ in pairs], [t for _, t in pairs]
+    """Ids and texts of a group in that order."""
+    table = fixed_order(table)
+    return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
 
 
 def bounds(parts: np.ndarray, n: int) -> np.ndarray:

@@ -39,6 +39,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+# --- 2 quality classifier ------------------------------------------------
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import weak_quality
+
+    return weak_quality.classify(read_table(spark, sf_dir, "documents"))
+
+
 # --- 3 chat formatting ---------------------------------------------------
 
 _EXTRA_TEXT = r"\### Assistant: </turn> ok"

@@ -40,7 +40,7 @@ SAMPLE = 8192          # fingerprints that shape the routing tree, at most
 LEAF_ROOT = 10         # a leaf aims at this many times the root of the count:
                        # more leaves mean more visits, larger ones more work each
 
-FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType(), False)])
+FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_no", T.LongType(), False), T.StructField("fp", T.LongType(), False)])
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -76,15 +76,16 @@ def distance(a: np.ndarray, b) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, fp bigint)`` of every row of ``docs``."""
+    """``(doc_id, text_no, fp bigint)`` of every row of ``docs``; text_no is
+    a hash of the whole text as it stands."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "text_no", "fp"])
 
-    return texts(docs, text, key).mapInArrow(run, FINGERPRINTS)
+    return texts(docs, text, key).select("doc_id", F.xxhash64("text").alias("text_no"), "text").mapInArrow(run, FINGERPRINTS)
 
 
 # --- vantage-point trees -------------------------------------------------
@@ -263,7 +264,8 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row of ``docs``."""
+    """``(doc_id, text_no, fp, component_id, root)`` of every row of
+    ``docs``; ``root`` names the group by one of its fingerprints."""
     fps = saved(fingerprints(docs, words, text, key), "fingerprints")
     # smallest id per fingerprint: copies are merged on the map side
     names = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "names")
@@ -272,7 +274,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str
     named = names.join(groups, names["fp"] == groups["node"], "left").select(
         "fp", F.coalesce("component", "fp").alias("root"), "doc_id")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    roots = saved(named.join(least, "root").select("fp", "component_id"), "roots")
+    roots = saved(named.join(least, "root").select("fp", "root", "component_id"), "roots")
     # one row per fingerprint on this side, so a hot fingerprint's documents
     # can be split by the adaptive skew join
-    return fps.join(roots, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(roots, "fp").select("doc_id", "text_no", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id
+    (null last), of several texts of that id the one of the least text_no,
+    of equal rows any one; every column stays."""
+    groups = near_duplicates(docs, words, radius, text, key)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_no")).alias("r"))
+    chosen = first.select(F.col("r.doc_id").alias("__id"), F.col("r.text_no").alias("__no")).distinct()
+    repeated = groups.groupBy("doc_id", "text_no").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_no").alias("__no"))
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("__no"))
+    stay = docs.join(chosen, same, "left_semi")
+    # rows that are repeated are few or one group's; only they are compared
+    return stay.join(repeated, same, "left_anti").unionByName(stay.join(repeated, same, "left_semi").dropDuplicates([key, text]))

@@ -40,9 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship_package
-from .groups import binary, bounds, dealt, joined, sorted_documents
+from .groups import binary, bounds, dealt, fixed_order, joined, sorted_documents
 
 SPAN = 50
 GRAM = 20
@@ -306,13 +307,15 @@ def _packed(rows: np.ndarray, length: np.ndarray) -> bytes:
     return rows[np.arange(rows.shape[1]) < length[:, None]].tobytes()
 
 
-def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``text`` (bytes), ``spans`` (packed
-    int64 pairs from, to: the maximal runs to remove)."""
+    int64 pairs from, to: the maximal runs to remove), and the columns
+    ``carry`` as ``c0``, ``c1``..."""
     if span < GRAM + 1 or 2 * span - GRAM > 255:
         raise ValueError(f"span must be {GRAM + 1} to {(255 + GRAM) // 2}")
     ship_package(docs.sparkSession)
-    rows, n = dealt(docs, text, key)
+    rows, n = dealt(docs, text, key, carry)
+    carried = [c for c in rows.columns if c not in ("grp", "doc_id", "text")]
 
     def say_anchors(table: pa.Table) -> pa.Table:
         g = Group(table, span, n)
@@ -402,14 +405,16 @@ def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str
         for s, e in zip(g.start.tolist(), g.end.tolist()):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[s:e], [False]]).astype(np.int8)))
             out.append(edge.astype("<i8").tobytes())
-        return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "text": binary(g.raw), "spans": binary(out)})
+        kept = fixed_order(docs_of) if carried else docs_of
+        return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "text": binary(g.raw), "spans": binary(out), **{c: kept.column(c) for c in carried}})
 
     masks = (rows.groupBy("grp").applyInArrow(say_anchors, "grp bigint, shard bigint, low binary, high binary, several binary")
              .groupBy("shard").applyInArrow(find_repeated, _REPLY))
     found = (rows.groupBy("grp").cogroup(masks.groupBy("grp")).applyInArrow(say_pieces, "grp bigint, shard bigint, content binary, length binary, doc binary")
              .groupBy("shard").applyInArrow(find_groups, _REPLY))
     return rows.groupBy("grp").cogroup(masks.unionByName(found).groupBy("grp")).applyInArrow(
-        cut_documents, "doc_id bigint, text binary, spans binary")
+        cut_documents, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("spans", T.BinaryType()),
+                                     *[rows.schema[c] for c in carried]]))
 
 
 _REPLY = "grp bigint, kind int, shard bigint, a binary, b binary, c binary"
@@ -435,6 +440,29 @@ def whole_characters(raw: bytes, spans: bytes) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+def without_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
+    """``docs`` with repeats cut out of the text (whole characters only) and
+    the length column, if there is one, counted anew; all rows and columns
+    stay, a null text stays null."""
+    columns = docs.columns
+    cut = shared_spans(docs, span, text, key, carry=columns)
+    place = {c: f"c{i}" for i, c in enumerate(columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.names
+            new = [None if t is None else whole_characters(raw, s) for t, raw, s in zip(
+                b.column(names.index(place[text])).to_pylist(), b.column(names.index("text")).to_pylist(), b.column(names.index("spans")).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), *[b.column(names.index(place[c])) for c in columns if c != text]],
+                                             names=["__text", *[place[c] for c in columns if c != text]])
+
+    schema = T.StructType([T.StructField("__text", T.StringType()), *[T.StructField(place[c], docs.schema[c].dataType) for c in columns if c != text]])
+    out = cut.mapInArrow(run, schema)
+    kind = {c: docs.schema[c].dataType for c in columns}
+    return out.select(*[F.col("__text").cast(kind[c]).alias(c) if c == text
+                        else F.length("__text").cast(kind[c]).alias(c) if c == n_chars else F.col(place[c]).alias(c) for c in columns])
+
+
 def digest(spans: DataFrame) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,4 +475,4 @@ def digest(spans: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),))],
                                                  names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spans.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return spans.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

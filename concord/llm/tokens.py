@@ -2,16 +2,18 @@
 
 Both tokenizers here cut a text at white space before any merge, so a text
 is the concatenation of its blank-separated words' ids, and a word's ids do
-not depend on its neighbours.  ``WordEncoder`` therefore encodes each
-distinct word once per Python worker and looks the rest up; anything outside
-the plain patterns below goes to the tokenizer whole.  The caches hold at
-most ``limit`` entries each: they only save time, never change ids.
+not depend on its neighbours.  ``WordEncoder`` therefore encodes a word
+once per Python worker and looks it up from then on; anything outside the
+plain patterns below goes to the tokenizer whole.  The caches take the first
+``word_limit`` words and ``piece_limit`` pieces they meet, which are mostly
+the frequent ones: they only save time, never change ids.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -29,13 +31,13 @@ class WordEncoder:
     otherwise white space is dropped by the tokenizer.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, limit: int = 600_000):
+    def __init__(self, path: str, blanks_matter: bool, word_limit: int = 400_000, piece_limit: int = 1_100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lead = " " if blanks_matter else ""
-        self.limit = limit
+        self.word_limit, self.piece_limit = word_limit, piece_limit
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -63,9 +65,7 @@ class WordEncoder:
         found = dict(zip(fresh, self._batch(list(fresh)))) if fresh else {}
         known = self.pieces
         out = {w: b"".join([known[p] if p in known else found[p] for p in parts]) for w, parts in cut.items()}
-        if len(known) + len(found) > self.limit:
-            known.clear()
-        known.update(found)
+        _fill(known, found, self.piece_limit)
         return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -87,16 +87,27 @@ class WordEncoder:
             for w in ws:
                 if w not in known:
                     missing[w] = None
-        if missing:
-            fresh = self._new_words(list(missing))
-            if len(known) + len(fresh) > self.limit:
-                # start again with what this call needs
-                kept = {w: known[w] for ws in split if ws for w in ws if w in known}
-                kept.update(fresh)
-                self.words = known = kept
-            else:
-                known.update(fresh)
-        return [b"".join([known[w] for w in ws]) if ws is not None else self._batch([t])[0] for t, ws in zip(texts, split)]
+        fresh = self._new_words(list(missing)) if missing else {}
+        look = known.get
+        out = []
+        for t, ws in zip(texts, split):
+            if ws is None:
+                out.append(self._batch([t])[0])
+                continue
+            codes = [look(w) for w in ws]
+            if None in codes:
+                codes = [c if c is not None else fresh[w] for c, w in zip(codes, ws)]
+            out.append(b"".join(codes))
+        _fill(known, fresh, self.word_limit)
+        return out
+
+
+def _fill(cache: dict[str, bytes], found: dict[str, bytes], limit: int) -> None:
+    room = limit - len(cache)
+    if room >= len(found):
+        cache.update(found)
+    elif room > 0:
+        cache.update(islice(found.items(), room))
 
 
 @lru_cache(maxsize=4)
