@@ -46,14 +46,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(words: Column, k: int) -> Column:
-    """Hashes of all k-word shingles (all words, if fewer; none of none)."""
+def grams(words: Column, k: int) -> Column:
+    """Hashes of all runs of exactly k words, in order."""
     n = F.size(words)
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(
+    return F.when(n < k, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))),
                     lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
 
 
+def shingles(words: Column, k: int) -> Column:
+    """Hashes of all k-word shingles (all words, if fewer; none of none)."""
+    n = F.size(words)
+    out = F.when(n >= k, grams(words, k))
+    for m in range(1, k):
+        out = out.when(n == m, F.array(F.xxhash64(*[F.get(words, F.lit(j)) for j in range(m)])))
+    return out.otherwise(F.array().cast("array<bigint>"))
+
+
 def simhash(hashes: Column) -> Column:
     """Bits that more than half of the hashes (repeats included) have."""
     def ones(b: int) -> Column:
@@ -116,8 +125,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
 
     rows = texts(docs, text, key).withColumn("text_no", F.xxhash64("text"))
     tokens = rows.select("doc_id", "text_no", words_of(F.col("text")).alias("w"))
-    # step 2: (document, start, length) of windows aligned to a shared shingle
-    found = (tokens.select("doc_id", "text_no", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), words)).alias("p", "h"))
+    # step 2: (document, start, length) of windows aligned to a shared shingle;
+    # items shorter than a shingle (the benchmark's lengths decide which of
+    # the few sizes occur) are looked up among runs of their own length
+    short = [r[0] for r in items.where(F.col("n_words") < words).select("n_words").distinct().collect()]
+    runs = tokens.select("doc_id", "text_no", F.size("w").alias("n"), F.posexplode(grams(F.col("w"), words)).alias("p", "h"))
+    for m in sorted(short):
+        runs = runs.unionByName(tokens.select("doc_id", "text_no", F.size("w").alias("n"), F.posexplode(grams(F.col("w"), m)).alias("p", "h")))
+    found = (runs
              .join(near(hits), "h").select("doc_id", "text_no", "n_words", (F.col("p") - F.col("at")).alias("start"), "n")
              .where("start >= 0 and start + n_words <= n"))
     windows = found.groupBy("doc_id", "text_no").agg(F.collect_set(F.struct("start", "n_words")).alias("windows"))
