@@ -1,21 +1,27 @@
-"""D3, D6, D7, D9, D10, D11, D12, D13 — rows compared as multisets per key.
+"""D3, D6, D7, D8, D9, D10, D11, D12, D13 — rows compared as multisets per key.
 
-Plan (one shuffle per stage, no per-key Python loop):
+One algorithm at every size, all of it DataFrame expressions:
 
 1. Both sides are unioned with a side tag and grouped on *all* columns
    (keys + common columns): identical rows pair off as
    ``least(n_src, n_tgt)`` (D7).  Grouping on all columns spreads a hot
    key over many partitions and the partial aggregate collapses exact
-   duplicates map-side.
+   duplicates map-side.  Counts are kept; copies are never written out.
 2. The distinct-row table is grouped on the keys alone for key presence
    (D3), duplicate-key warnings (D10) and residual counts.
-3. Residual rows of keys present on both sides are paired: 1x1 residual
-   groups with a plain key join in the JVM, larger ones by the greedy
-   pairing of ``pairing.py`` in ``applyInPandas`` over buckets of at most
-   ``group_limit`` rows per side (hot groups are split by a row hash and
-   their leftovers re-paired in further rounds until no bucket is needed).
-4. Cells of paired rows are compared with the D5 expression (D6); surplus
-   rows are unpaired duplicates (D9).
+3. Residual rows of keys present on both sides are paired in three levels
+   (D8), each a shuffle on the key *and* what must agree:
+   ``all`` columns agree in canonical form (numbers by six significant
+   digits), all but ``one`` column agree (the first such column in column
+   order for which the other side has a row), and the ``rest`` of a key.
+   Inside a level's group both sides are ordered by their values, and the
+   i-th copy of one meets the i-th copy of the other.
+4. Cells of paired rows are compared with the D5 expression (D6), which
+   alone decides equality; surplus rows are unpaired duplicates (D9).
+
+Columns whose types differ are folded to one type first: numbers to the
+wider number, booleans against numbers to that number, anything else to
+text, where D5 still compares numeric text as numbers.
 """
 
 from __future__ import annotations
@@ -24,13 +30,13 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...session import merge_single_rows
-from ...functions.values import ABS_TOL, REL_TOL, display_value, nan_to_null, values_equal
-from . import pairing
+from ...functions.types import is_numeric
+from ...functions.values import ABS_TOL, REL_TOL, as_number, as_text, display_value, nan_to_null, values_equal
 
 MISSING = "MISSING_FROM_TARGET"
 EXTRA = "EXTRA_IN_TARGET"
@@ -48,9 +54,7 @@ class CompareConfig:
     abs_tol: float = ABS_TOL
     rel_tol: float = REL_TOL
     max_evidence: int = 100
-    group_limit: int = 512
-    max_rounds: int = 32
-    persist: bool = True
+    persist: bool = False      # cache intermediates for several results; then call release()
 
 
 def _nsafe(left: DataFrame, right: DataFrame, cols: list[str],
@@ -108,16 +112,10 @@ class RowComparison:
 
     @cached_property
     def key_stats(self) -> DataFrame:
-        g = self.distinct_rows
-        # For keys whose residual is one row a side (a changed value), the
-        # two rows are carried here, so pairing them needs no further join.
-        carry = ([F.first(F.when(F.col("rs") > 0, F.struct(*self.cols)), ignorenulls=True).alias("_s1"),
-                  F.first(F.when(F.col("rt") > 0, F.struct(*self.cols)), ignorenulls=True).alias("_t1")]
-                 if self.cols else [])
-        ks = (g.groupBy(*self.keys)
+        ks = (self.distinct_rows.groupBy(*self.keys)
               .agg(F.sum("ns").alias("ks"), F.sum("nt").alias("kt"),
                    F.sum("matched").alias("km"),
-                   F.sum("rs").alias("krs"), F.sum("rt").alias("krt"), *carry))
+                   F.sum("rs").alias("krs"), F.sum("rt").alias("krt")))
         return ks.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else ks
 
     # ------------------------------------------------------------ D3 / D10
@@ -136,114 +134,99 @@ class RowComparison:
                          & ((F.col("ks") > 1) | (F.col("kt") > 1))).select(*self.keys, "ks", "kt")
 
     # --------------------------------------------------------- residuals
-    def _residual_rows(self, col: str) -> DataFrame:
-        """Residual rows of one side (``rs`` or ``rt``) for shared keys,
-        re-expanded to one row per copy."""
+    @cached_property
+    def residual(self) -> DataFrame:
+        """Distinct residual rows of shared keys: keys, columns, ``side``
+        (0 source, 1 target), ``n`` copies."""
         shared = self.key_stats.filter((F.col("ks") > 0) & (F.col("kt") > 0)
-                                       & ~((F.col("krs") == 1) & (F.col("krt") == 1))).select(
-            *self.keys, "krs", "krt")
-        g = self.distinct_rows.filter(F.col(col) > 0)
-        r = join_nullsafe(g, shared, self.keys, "inner")
-        return (r.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(col).cast("int"))))
-                .drop("_copy", "ns", "nt", "matched", "rs", "rt"))
+                                       & ((F.col("krs") > 0) | (F.col("krt") > 0))).select(*self.keys)
+        g = self.distinct_rows.filter((F.col("rs") > 0) | (F.col("rt") > 0))
+        return join_nullsafe(g, shared, self.keys, "left_semi").select(
+            *self.keys, *self.cols, F.when(F.col("rs") > 0, 0).otherwise(1).alias("_side"),
+            (F.col("rs") + F.col("rt")).cast("long").alias("_n"))
+
+    def _canonical(self, c: str) -> Column:
+        """Text that tells the cell's value up to about a millionth."""
+        t = self.types[c]
+        col = F.col(c)
+        if is_numeric(t) or isinstance(t, (T.StringType, T.BooleanType)):
+            x = as_number(col, t)
+            return F.coalesce(six_digits(x), as_text(col), F.lit("\x00"))
+        return F.coalesce(as_text(col), F.lit("\x00"))
+
+    def _order(self) -> list[Column]:
+        out = []
+        for c in self.cols:
+            t = self.types[c]
+            if isinstance(t, T.StringType):
+                out.append(as_number(F.col(c), t).asc_nulls_first())
+            out.append(F.col(c).asc_nulls_first())
+        return out
+
+    def _meet(self, rows: DataFrame, group: list[str]) -> DataFrame:
+        """Both sides of a group laid out in order, copies as intervals:
+        every interval start opens a segment; the rows that cover it on both
+        sides are a pair with as many copies as the segment is long.
+        ``_left`` copies of the row itself lie beyond the shorter side."""
+        whole = Window.partitionBy(*group)
+        before = Window.partitionBy(*group, "_side").orderBy(*self._order()).rowsBetween(Window.unboundedPreceding, -1)
+        along = Window.partitionBy(*group).orderBy("_from", "_side")
+        of = lambda side: F.when(F.col("_side") == side, F.struct(*self.cols, "_to"))
+        r = rows.withColumn("_m", F.least(*[F.sum(F.when(F.col("_side") == s, F.col("_n")).otherwise(0)).over(whole) for s in (0, 1)]))
+        r = r.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_to", F.col("_from") + F.col("_n"))
+        r = r.withColumns({"_s": F.last(of(0), ignorenulls=True).over(along), "_t": F.last(of(1), ignorenulls=True).over(along),
+                           "_next": F.lead("_from").over(along)})
+        return r.withColumns({
+            "_pairs": F.greatest(F.lit(0), F.when(F.col("_s").isNotNull() & F.col("_t").isNotNull(),
+                                                  F.least("_next", "_s._to", "_t._to") - F.col("_from")).otherwise(0)),
+            "_left": F.greatest(F.lit(0), F.col("_to") - F.greatest("_from", "_m"))})
+
+    def _left(self, met: DataFrame) -> DataFrame:
+        return met.filter("_left > 0").select(*self.keys, *self.cols, "_side", F.col("_left").alias("_n"))
+
+    def _paired(self, met: DataFrame) -> DataFrame:
+        return met.filter("_pairs > 0").select(
+            *self.keys, *[F.col("_s." + c).alias("s_" + c) for c in self.cols], *[F.col("_t." + c).alias("t_" + c) for c in self.cols],
+            F.lit(True).alias("_has_s"), F.lit(True).alias("_has_t"), F.col("_pairs").alias("_n"))
+
+    def _all_but_one(self, rows: DataFrame) -> DataFrame:
+        """Each row under the first column without which the other side of
+        its key has an agreeing row (``_group``; null: none)."""
+        canon = [self._canonical(c) for c in self.cols]
+        names = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64(F.lit(j), *canon[:j], *canon[j + 1:]).alias("h")) for j in range(len(canon))])
+        each = rows.withColumn("_row", F.xxhash64(*self.keys, *self.cols, "_side")).withColumn("_c", F.explode(names))
+        met = Window.partitionBy(*self.keys, "_c")
+        each = each.withColumn("_ok", F.min("_side").over(met) != F.max("_side").over(met))
+        row = Window.partitionBy(*self.keys, "_row", "_side")
+        each = each.withColumn("_j", F.min(F.when(F.col("_ok"), F.col("_c.j"))).over(row))
+        return (each.filter(F.col("_c.j") == F.coalesce("_j", F.lit(0)))
+                .withColumn("_group", F.when(F.col("_j").isNotNull(), F.col("_c.h"))).drop("_row", "_c", "_ok", "_j"))
 
     @cached_property
     def pairs(self) -> DataFrame:
         """Paired and unpaired residual rows: keys, ``s_<c>``, ``t_<c>``,
-        ``_has_s``, ``_has_t``."""
-        rs = self._residual_rows("rs")
-        rt = self._residual_rows("rt")
-        one = (F.col("krs") == 1) & (F.col("krt") == 1)
-        single = (F.col("krs") == 0) | (F.col("krt") == 0)
-        # 1 x 1 residual: the pair was carried through the key aggregation.
+        ``_has_s``, ``_has_t``, ``_n`` copies."""
+        out = []
+        rows = self.residual
         if self.cols:
-            direct = (self.key_stats.filter((F.col("ks") > 0) & (F.col("kt") > 0) & one)
-                      .select(*self.keys, *[F.col("_s1." + c).alias("s_" + c) for c in self.cols],
-                              *[F.col("_t1." + c).alias("t_" + c) for c in self.cols],
-                              F.lit(True).alias("_has_s"), F.lit(True).alias("_has_t")))
-        else:
-            direct = (self.key_stats.filter((F.col("ks") > 0) & (F.col("kt") > 0) & one)
-                      .select(*self.keys, F.lit(True).alias("_has_s"), F.lit(True).alias("_has_t")))
-        rs = rs.filter(~one)
-        rt = rt.filter(~one)
-        # surplus on one side only: unpaired.
-        s0 = rs.filter(single & (F.col("krt") == 0)).select(
-            *self.keys, *[F.col(c).alias("s_" + c) for c in self.cols],
-            *[F.lit(None).cast(self.types[c]).alias("t_" + c) for c in self.cols],
-            F.lit(True).alias("_has_s"), F.lit(False).alias("_has_t"))
-        t0 = rt.filter(single & (F.col("krs") == 0)).select(
-            *self.keys, *[F.lit(None).cast(self.types[c]).alias("s_" + c) for c in self.cols],
-            *[F.col(c).alias("t_" + c) for c in self.cols],
-            F.lit(False).alias("_has_s"), F.lit(True).alias("_has_t"))
-        many = ~one & ~single
-        greedy = self._greedy(rs.filter(many), rt.filter(many))
-        cols = [*self.keys, *["s_" + c for c in self.cols], *["t_" + c for c in self.cols],
-                "_has_s", "_has_t"]
-        out = reduce(DataFrame.unionByName,
-                     [direct.select(*cols), s0.select(*cols), t0.select(*cols), greedy.select(*cols)])
-        return out.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else out
-
-    def _greedy(self, rs: DataFrame, rt: DataFrame) -> DataFrame:
-        keys, cols, cfg = self.keys, self.cols, self.cfg
-        limit = cfg.group_limit
-        tagged = (rs.withColumn("_side", F.lit(0)).unionByName(rt.withColumn("_side", F.lit(1)))
-                  .select(*keys, *cols, "_side", "krs", "krt"))
-        out_schema = T.StructType(
-            [self._field(k) for k in keys]
-            + [T.StructField("s_" + c, self.types[c]) for c in cols]
-            + [T.StructField("t_" + c, self.types[c]) for c in cols]
-            + [T.StructField("_has_s", T.BooleanType()), T.StructField("_has_t", T.BooleanType())])
-        from pyspark.sql.pandas.types import to_arrow_schema
-        fn = pairing.make_arrow_pairer(len(keys), len(cols), to_arrow_schema(out_schema), cfg.abs_tol, cfg.rel_tol)
-
-        def pair_groups(df: DataFrame) -> DataFrame:
-            # groups are contiguous after hash-partitioning on (key, bucket)
-            # and sorting each partition; one Python call per partition
-            staged = (df.repartition(*keys, "_bucket")
-                      .sortWithinPartitions(*keys, "_bucket", "_side")
-                      .select(*keys, "_bucket", "_side", *cols))
-            return staged.mapInArrow(fn, out_schema)
-
-        hot = self.key_stats.filter(F.greatest("krs", "krt") > limit).limit(1).count() > 0
-        if not hot:
-            # every residual group fits one pairing group: exact greedy.
-            return pair_groups(tagged.withColumn("_bucket", F.lit(0)))
-        from ...session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(tagged.sparkSession)
-        row_hash = F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0)
-        done = []
-        current = tagged
-        for rnd in range(cfg.max_rounds):
-            # hash buckets per key so that a pairing group holds about
-            # `limit` rows a side; the last round pairs what is left whole.
-            nb = F.greatest(F.ceil(F.greatest("krs", "krt") / F.lit(limit)).cast("long"), F.lit(1))
-            last = rnd == cfg.max_rounds - 1
-            bucket = F.lit(0) if last else F.pmod(row_hash + F.lit(rnd), nb)
-            paired = pair_groups(current.withColumn("_bucket", bucket))
-            if last:
-                done.append(paired)
-                break
-            paired = paired.checkpoint(eager=True)
-            done.append(paired.filter(F.col("_has_s") & F.col("_has_t")))
-            left = paired.filter(~(F.col("_has_s") & F.col("_has_t")))
-            # bucket surplus: keys with leftovers on both sides go round again.
-            lk = left.groupBy(*keys).agg(
-                F.sum(F.col("_has_s").cast("long")).alias("krs"),
-                F.sum(F.col("_has_t").cast("long")).alias("krt"))
-            left = join_nullsafe(left, lk, keys, "inner")
-            final = (F.col("krs") == 0) | (F.col("krt") == 0)
-            done.append(left.filter(final).drop("krs", "krt"))
-            pending = left.filter(~final)
-            if pending.limit(1).count() == 0:
-                break
-            current = pending.select(
-                *keys, *[F.when(F.col("_has_s"), F.col("s_" + c)).otherwise(F.col("t_" + c)).alias(c)
-                         for c in cols],
-                F.when(F.col("_has_s"), F.lit(0)).otherwise(F.lit(1)).alias("_side"), "krs", "krt")
-        return reduce(DataFrame.unionByName, [d.select(*out_schema.names) for d in done])
-
-    def _field(self, name: str) -> T.StructField:
-        return T.StructField(name, self.types[name])
+            canon = [self._canonical(c) for c in self.cols]
+            met = self._meet(rows.withColumn("_group", F.xxhash64(*canon)), [*self.keys, "_group"])
+            out.append(self._paired(met))
+            rows = self._left(met)
+        if len(self.cols) > 1:
+            one = self._all_but_one(rows)
+            met = self._meet(one.filter(F.col("_group").isNotNull()), [*self.keys, "_group"])
+            out.append(self._paired(met))
+            rows = self._left(met).unionByName(one.filter(F.col("_group").isNull()).drop("_group"))
+        met = self._meet(rows, self.keys)
+        out.append(self._paired(met))
+        rest = self._left(met)
+        for side, has in ((0, "s_"), (1, "t_")):
+            out.append(rest.filter(F.col("_side") == side).select(
+                *self.keys, *[(F.col(c) if p == has else F.lit(None).cast(self.types[c])).alias(p + c) for p in ("s_", "t_") for c in self.cols],
+                F.lit(side == 0).alias("_has_s"), F.lit(side == 1).alias("_has_t"), "_n"))
+        found = reduce(DataFrame.unionByName, out)
+        return found.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else found
 
     # ---------------------------------------------------------- D6 / D9
     @cached_property
@@ -257,24 +240,26 @@ class RowComparison:
                             display_value(F.col("s_" + c), self.types[c]).alias("source_value"),
                             display_value(F.col("t_" + c), self.types[c]).alias("target_value")))
             for c in self.cols]) if self.cols else F.array().cast("array<struct<column:string,source_value:string,target_value:string>>")
-        return (p.select(*self.keys, F.explode(F.filter(diffs, lambda x: x.isNotNull())).alias("d"))
+        cells = p.select(*self.keys, "_n", F.explode(F.filter(diffs, lambda x: x.isNotNull())).alias("d"))
+        return (cells.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
                 .select(*self.keys, "d.column", "d.source_value", "d.target_value"))
 
     @cached_property
     def pair_stats(self) -> DataFrame:
-        """Per residual pair: number of differing cells (0 means matched)."""
+        """Per residual pair: number of differing cells (0 means matched)
+        and ``_n`` copies."""
         p = self.pairs
         n_diff = reduce(lambda a, b: a + b, [
             F.when(values_equal(F.col("s_" + c), self.types[c], F.col("t_" + c), self.types[c],
                                 self.cfg.abs_tol, self.cfg.rel_tol), F.lit(0)).otherwise(F.lit(1))
             for c in self.cols], F.lit(0))
-        return p.select(*self.keys, "_has_s", "_has_t", n_diff.alias("n_diff"))
+        return p.select(*self.keys, "_has_s", "_has_t", n_diff.alias("n_diff"), "_n")
 
     @cached_property
     def unpaired(self) -> DataFrame:
         """Surplus rows of shared keys."""
         p = self.pairs.filter(~(F.col("_has_s") & F.col("_has_t")))
-        return p.select(*self.keys, F.when(F.col("_has_s"), F.lit(MISSING)).otherwise(F.lit(EXTRA))
+        return p.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*self.keys, F.when(F.col("_has_s"), F.lit(MISSING)).otherwise(F.lit(EXTRA))
                         .alias("category"))
 
     # --------------------------------------------------------------- D11
@@ -294,10 +279,10 @@ class RowComparison:
             F.coalesce(F.sum(F.when((F.col("ks") > 0) & (F.col("kt") > 0), F.col("km"))), F.lit(0))
             .alias("exact_pairs"))
         ps = self.pair_stats.agg(
-            F.count(F.when(~(F.col("_has_s") & F.col("_has_t")), 1)).alias("unpaired_rows"),
-            F.coalesce(F.sum(F.when(F.col("_has_s") & F.col("_has_t"), F.col("n_diff"))), F.lit(0))
+            F.coalesce(F.sum(F.when(~(F.col("_has_s") & F.col("_has_t")), F.col("_n"))), F.lit(0)).alias("unpaired_rows"),
+            F.coalesce(F.sum(F.when(F.col("_has_s") & F.col("_has_t"), F.col("n_diff") * F.col("_n"))), F.lit(0))
             .alias("differing_cells"),
-            F.count(F.when(F.col("_has_s") & F.col("_has_t") & (F.col("n_diff") == 0), 1))
+            F.coalesce(F.sum(F.when(F.col("_has_s") & F.col("_has_t") & (F.col("n_diff") == 0), F.col("_n"))), F.lit(0))
             .alias("clean_pairs"))
         j = merge_single_rows(ks, ps)  # two single-row aggregates side by side
         mismatch = (F.col("missing_keys") + F.col("extra_keys") + F.col("unpaired_rows")
@@ -401,6 +386,35 @@ def compare_rows(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
         if k not in tgt.columns:
             raise ComparisonKeyError(f"Comparison key '{k}' not found in target schema.")
     cols = [c for c in src.columns if c in tgt.columns and c not in keys]
-    both = src.select(*keys, *cols).unionByName(tgt.select(*keys, *cols))
-    types = {f.name: f.dataType for f in both.schema.fields}
+    types = {c: common_type(src, tgt, c) for c in keys + cols}
     return RowComparison(src, tgt, keys, cols, cfg, types)
+
+
+def common_type(src: DataFrame, tgt: DataFrame, c: str) -> T.DataType:
+    """The type in which a column's two sides are compared; both sides cast
+    to it without error."""
+    a, b = src.schema[c].dataType, tgt.schema[c].dataType
+    if a == b:
+        return a
+    if isinstance(a, T.BooleanType) and is_numeric(b):
+        return b
+    if isinstance(b, T.BooleanType) and is_numeric(a):
+        return a
+    if is_numeric(a) and is_numeric(b):
+        whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+        if isinstance(a, whole) and isinstance(b, whole):
+            return T.LongType()
+        if all(isinstance(t, (*whole, T.DecimalType)) for t in (a, b)):
+            return src.select(c).union(tgt.select(c)).schema[0].dataType
+        return T.DoubleType()
+    return T.StringType()
+
+
+def six_digits(x: Column) -> Column:
+    """A number's decimal exponent and six significant digits (below a
+    tenth: millionths), as text; null for null."""
+    e = F.floor(F.log10(F.abs(x)))
+    return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("string"))
+            .when(F.abs(x) < 0.1, F.concat(F.lit("#"), F.floor(x * 1e6 + 0.5).cast("string")))
+            .when(F.abs(x) > 1e300, F.concat(F.lit("#"), x.cast("string")))
+            .otherwise(F.concat(F.lit("#"), e.cast("string"), F.lit(":"), F.floor(x / F.pow(F.lit(10.0), e) * 100000 + 0.5).cast("string"))))

@@ -33,8 +33,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.eventLog.enabled", "true" if os.environ.get("CONCORD_EVENTLOG") else "false")
-        .config("spark.eventLog.dir", os.environ.get("CONCORD_EVENTLOG", "/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,10 +41,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The folder that all executors share, as named by
+    ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when it
-    is unset (local tests) is a private folder created and registered.
+    Only a single-process local session (tests, bench) may leave it unset
+    and gets a private folder; on a cluster that would be a different disk
+    on every machine, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -56,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="concord-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

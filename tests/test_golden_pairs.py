@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concord.operators.compare import compare_rows
-from concord.sources.ranges import range_tables
+from range_tables import range_tables
 
 
 def _pairs(spark):

@@ -1,8 +1,9 @@
 """D3/D6/D7/D8/D9/D10/D11/D13 row comparison."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from concord.operators.compare import CompareConfig, compare_rows
+from concord.operators.compare import compare_rows
 from concord.operators.compare.report import row_check
 
 
@@ -87,16 +88,38 @@ def test_self_compare_and_partitioning_invariance(spark, sf):
     assert _summary(compare_rows(o, shuffled, ["o_orderkey"]))["mismatch_count"] == 0
 
 
-def test_hot_key_buckets_keep_counts(spark):
-    # one key holds every row; a tiny group limit forces several bucket rounds
+def test_hot_key_unpaired_counts(spark):
     s = spark.range(0, 300).select(F.lit("K").alias("k"), F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
     t = spark.range(0, 260).select(F.lit("K").alias("k"), (F.col("id") + 1000).alias("a"), (F.col("id") % 7).alias("b"))
-    cfg = CompareConfig(group_limit=16)
-    rc = compare_rows(s, t, ["k"], cfg)
-    out = _summary(rc)
-    assert out["unpaired_rows"] == 40            # |300 - 260| whatever the bucketing
-    assert out["differing_cells"] >= 260         # every pair differs in `a`
-    assert out["mismatch_count"] == out["unpaired_rows"] + out["differing_cells"]
+    out = _summary(compare_rows(s, t, ["k"]))
+    assert out["unpaired_rows"] == 40            # |300 - 260|
+    assert out["differing_cells"] == 260         # every pair agrees in b and differs in a
+    assert out["mismatch_count"] == 300
+
+
+@pytest.mark.parametrize("n", [300, 1500, 6000])
+def test_hot_key_tolerance_is_the_same_at_every_size(spark, n):
+    s = spark.range(n).select(F.lit("K").alias("k"), (F.col("id") * 1.37).alias("v"))
+    t = spark.range(n).select(F.lit("K").alias("k"), (F.col("id") * 1.37 + 1e-9).alias("v"))
+    out = _summary(compare_rows(s, t, ["k"]))
+    assert (out["mismatch_count"], out["rows_matched"], out["score"], out["status"]) == (0, n, 1.0, "PASS")
+
+
+def test_copies_are_counted_not_written_out(spark):
+    s = spark.createDataFrame([("K", "x")], "k string, v string").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("i")
+    t = s.limit(4990).unionByName(spark.createDataFrame([("K", "y")] * 7, "k string, v string"))
+    out = _summary(compare_rows(s, t, ["k"]))
+    assert (out["rows_matched"], out["differing_cells"], out["unpaired_rows"]) == (4990, 7, 3)
+
+
+@pytest.mark.parametrize("a,b,diff", [
+    (("abc", "string"), (5, "int"), 1), (("7.0", "string"), (7, "int"), 0), ((7, "int"), (7.0, "double"), 0), (("1.50", "decimal(10,2)"), (1.5, "double"), 0),
+    ((True, "boolean"), (1, "int"), 0), ((None, "string"), (3, "int"), 1), (("2026-01-01", "string"), ("2026-01-01", "date"), 0), (("x", "string"), (True, "boolean"), 1)])
+def test_type_drift_is_compared(spark, a, b, diff):
+    side = lambda v, t: spark.createDataFrame([(1,)], "id int").withColumn("v", F.lit(v).cast(t))
+    out = _summary(compare_rows(side(*a), side(*b), ["id"]))
+    assert out["differing_cells"] == diff and out["rows_compared"] == 1
+    assert _summary(compare_rows(side(*b), side(*a), ["v"]))["missing_keys"] in (0, 1)
 
 
 def test_tolerance_pairs_in_residual(spark):

@@ -1,14 +1,11 @@
-"""D5 value equality: the Column expression and the Python helper used in
-residual pairing must agree, and follow the NULL / tolerance rules."""
+"""D5 value equality follows the NULL and tolerance rules."""
 
 import math
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.values import values_equal
-from concord.operators.compare import pairing
 
 CASES = [
     # (a, a_type, b, b_type, expected)
@@ -33,11 +30,6 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("a,at,b,bt,exp", CASES)
-def test_python_helper(a, at, b, bt, exp):
-    assert pairing.values_equal(a, b, 1e-6, 1e-5) is exp
-
-
 def test_column_expression(spark):
     schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("ad", T.DoubleType()),
                            T.StructField("bd", T.DoubleType()), T.StructField("as_", T.StringType()),
