@@ -3,10 +3,15 @@ recipe (before = all rows, after = ``l_linenumber % 3 <> 0``) and facts."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import outcome as H
+from ..session import TABLES
 from . import derived
+from .q_sources import changed_sql, differs_sql
 from .registry import query
 
 
@@ -114,48 +119,29 @@ def h08(spark, sf):
     return H.verification_evidence(v)
 
 
+# after a run: four tables have changed rows, one another configuration
+_H07_CHANGED = ("customer", "orders", "events", "embeddings")
+
+
 def _h07_sql():
-    from .q_sources import _render_sql
-    import pyarrow.parquet as pq
-    try:
-        parts = []
-        for side, tables in (("b", {"region": "region", "nation": "nation", "customer": "customer"}),
-                             ("a", {"region": "region", "nation": "nation", "customer": "customer_after"})):
-            for name, src in tables.items():
-                schema = pq.read_schema(f"/root/testdata/sf0.01/{name}.parquet")
-                cfg = f"{name}-v2" if (side == "a" and name == "nation") else name
-                parts.append(
-                    f"SELECT '{side}' AS side, '{name}' AS migration_id, CAST(count(*) AS VARCHAR) || ':' || "
-                    f"CAST(coalesce(sum(CAST(('0x' || substr(md5({_render_sql(name, schema)}), 1, 15)) AS BIGINT)), 0) AS VARCHAR) "
-                    f"AS dataset_hash, substr(sha256('{cfg}'), 1, 16) AS config_hash FROM {src}")
-    except Exception:  # noqa: BLE001 - oracle text only
-        return None
-    return """WITH f AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS pos FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 2)),
-customer_after AS (SELECT c.c_custkey, c.c_name, c.c_nationkey,
- CASE f.pos WHEN 1 THEN CAST(-150.75 AS DOUBLE) WHEN 2 THEN CAST(0.0 AS DOUBLE) ELSE c.c_acctbal END AS c_acctbal, c.c_mktsegment
- FROM customer c LEFT JOIN f USING (c_custkey)),
-h AS (""" + " UNION ALL ".join(parts) + """)
-SELECT b.migration_id, coalesce(b.dataset_hash = a.dataset_hash, FALSE) AS dataset_unchanged,
- coalesce(b.config_hash = a.config_hash, FALSE) AS config_unchanged
-FROM (SELECT * FROM h WHERE side = 'b') b FULL JOIN (SELECT * FROM h WHERE side = 'a') a USING (migration_id)"""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS migration_id, "
+        + (f"NOT {differs_sql(f'SELECT * FROM {t}', changed_sql(t))}" if t in _H07_CHANGED else f"NOT {differs_sql(f'SELECT * FROM {t}', f'SELECT * FROM {t}')}")
+        + f" AS dataset_unchanged, {'FALSE' if t == 'nation' else 'TRUE'} AS config_unchanged" for t in TABLES)
 
 
 @query("h07_immutability", _h07_sql())
 def h07(spark, sf):
     from ..functions.text import sha16
-    from ..operators import inject
-    from ..session import read_table
+    from ..session import register_tables
     from ..sources.checksum import table_checksum
 
+    base = register_tables(spark, sf)
+    after = {t: spark.sql(changed_sql(t)) if t in _H07_CHANGED else df for t, df in base.items()}
+
     def hashes(tables, cfg_names):
-        out = None
-        for name, df in tables.items():
-            h = table_checksum(df, name).select(F.col("table_name").alias("migration_id"),
-                                                F.col("checksum").alias("dataset_hash"),
-                                                sha16(F.lit(cfg_names.get(name, name))).alias("config_hash"))
-            out = h if out is None else out.unionByName(h)
-        return out
-
-    base = {n: read_table(spark, sf, n) for n in ("region", "nation", "customer")}
-    after = dict(base, customer=inject.sign_edges(base["customer"], "c_acctbal", "c_custkey"))
+        return reduce(DataFrame.unionByName, [
+            table_checksum(df, t).select(F.col("table_name").alias("migration_id"), F.col("checksum").alias("dataset_hash"),
+                                         sha16(F.lit(cfg_names.get(t, t))).alias("config_hash")) for t, df in tables.items()])
+
     return H.immutability(hashes(base, {}), hashes(after, {"nation": "nation-v2"}))

@@ -1,58 +1,43 @@
 """A13 — order-independent table checksums and dataset fingerprints.
 
-Each row is rendered as text (with a marker for NULL, and fractional
-numbers with nine decimals so the text does not depend on a float
-printer), hashed with MD5, the first 15 hex digits read as a 60-bit
-integer and summed (as three exact 20-bit part sums).  The sum and the row count do
-not depend on row order or partitioning and combine map-side.
+Each row is rendered as JSON with every field named and NULLs written out,
+so that different rows have different texts: strings are escaped, decimals
+exact, doubles in their shortest round-trip form, timestamps to the
+microsecond.  The text is hashed with SHA-256 and 120 bits of the digest
+are added up over all rows as six 20-bit parts (exact as longs for up to
+2^43 rows).  Sums and row count do not depend on row order or partitioning
+and combine map-side.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import sha16
-from ..functions.values import display_value
 
-NULL_MARK = "\\N"
-SEP = "\x1f"
+PARTS = 6
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def row_text(df: DataFrame) -> Column:
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            v = F.to_json(c)
-        else:
-            v = display_value(c, f.dataType)
-        parts.append(F.coalesce(v, F.lit(NULL_MARK)))
-    return F.concat_ws(SEP, *parts)
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), _JSON) if df.columns else F.lit("{}")
 
 
 def row_hash_parts(df: DataFrame) -> list[Column]:
-    """The first 15 hex digits of the row's MD5 as three 20-bit integers
-    (5 hex digits each).  Summing the parts as longs is exact for up to
-    2^43 rows and much cheaper than decimal arithmetic per row; the 60-bit
-    sum is rebuilt once from the three part sums."""
-    m = F.md5(row_text(df))
-    return [F.conv(F.substring(m, 1 + 5 * i, 5), 16, 10).cast("long") for i in range(3)]
+    """The first ``5 * PARTS`` hex digits of the row's hash as 20-bit integers."""
+    m = F.sha2(row_text(df), 256)
+    return [F.conv(F.substring(m, 1 + 5 * i, 5), 16, 10).cast("long") for i in range(PARTS)]
 
 
 def table_checksum(df: DataFrame, table: str) -> DataFrame:
-    """``(table_name, row_count, checksum)``: ``"<rows>:<sum of 60-bit row
-    hashes>"``, independent of row order and partitioning."""
+    """``(table_name, row_count, checksum)``: ``"<rows>:<part sums>"``, independent of row order and partitioning."""
     parts = row_hash_parts(df)
     a = df.agg(F.count(F.lit(1)).alias("row_count"),
                *[F.coalesce(F.sum(p), F.lit(0)).alias(f"_p{i}") for i, p in enumerate(parts)])
-    total = (F.col("_p0").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(38,0)")
-             + F.col("_p1").cast("decimal(38,0)") * F.lit(1 << 20).cast("decimal(38,0)")
-             + F.col("_p2").cast("decimal(38,0)"))
+    sums = F.concat_ws("-", *[F.hex(F.col(f"_p{i}")) for i in range(PARTS)])
     return a.select(F.lit(table).alias("table_name"), "row_count",
-                    F.concat(F.col("row_count").cast("string"), F.lit(":"), total.cast("decimal(38,0)").cast("string"))
-                    .alias("checksum"))
+                    F.concat(F.col("row_count").cast("string"), F.lit(":"), sums).alias("checksum"))
 
 
 def dataset_fingerprint(checksums: DataFrame, key: str | None = None) -> DataFrame:
