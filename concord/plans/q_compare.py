@@ -10,6 +10,7 @@ from ..operators.compare.edges import boundary_keyset_diff, edge_check, null_cou
 from ..operators.compare.report import report_rollup, row_check, validate
 from ..operators.compare.rows import compare_rows
 from ..operators.compare.schema import schema_diff, schema_summary
+from ..session import read_table
 from . import derived
 from . import oracle_sql as O
 from .registry import query
@@ -135,11 +136,27 @@ def d07_multiset_exact_match(spark, sf):
     return ks.filter(F.col("km") > 0).select("l_orderkey", F.col("km").alias("exact_pairs"))
 
 
-@query("d08_residual_pairing", None)
+_ITEM_COLS = ["l_linenumber", "l_partkey", "l_quantity"]
+_ITEM_PAIRS = derived.cte("items_src", "items_tgt") + ", " + O.pairing_ctes("items_src", "items_tgt", "l_orderkey", _ITEM_COLS)
+
+
+@query("d08_residual_pairing", _ITEM_PAIRS + f"""
+SELECT l_orderkey, {", ".join(f"{p}_{c}" for p in "st" for c in _ITEM_COLS)}, CAST(n AS BIGINT) AS copies FROM pairs""")
 def d08_residual_pairing(spark, sf):
     s, t = _items(spark, sf)
-    return compare_rows(s, t).pairs.drop("_has_s", "_has_t") \
-        .withColumnRenamed("l_orderkey", "l_orderkey")
+    return compare_rows(s, t).pairs.drop("_has_s", "_has_t").withColumnRenamed("_n", "copies")
+
+
+# one key holds a seventh of all rows, and every value is a little off
+_HOT = ("SELECT l_linenumber, l_quantity, l_extendedprice{0} AS l_extendedprice, l_discount, l_tax FROM lineitem")
+_HOT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("d11_row_summary_hotkey", f"WITH src AS ({_HOT.format('')}), tgt AS ({_HOT.format(' + 0.000000001')}), "
+       + O.pairing_ctes("src", "tgt", "l_linenumber", _HOT_COLS) + O.pairing_summary("src", "tgt", _HOT_COLS))
+def d11_row_summary_hotkey(spark, sf):
+    read_table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    return compare_rows(spark.sql(_HOT.format("")), spark.sql(_HOT.format(" + 0.000000001D")), ["l_linenumber"]).summary
 
 
 _ITEMS_RES = derived.cte("items_src", "items_tgt") + """,
@@ -196,7 +213,7 @@ def d11_row_summary(spark, sf):
     return compare_rows(s, t).summary
 
 
-@query("d11_row_summary_dupkeys", None)
+@query("d11_row_summary_dupkeys", _ITEM_PAIRS + O.pairing_summary("items_src", "items_tgt", _ITEM_COLS))
 def d11_row_summary_dupkeys(spark, sf):
     s, t = _items(spark, sf)
     return compare_rows(s, t).summary
