@@ -269,6 +269,7 @@ def consistency_violations(a: DataFrame) -> DataFrame:
          & up("validation_status").isin("PASS", "FAIL", "WARN")),
         ("REPAIR_STATUS_WITHOUT_ID", blank("repair_id") & up("repair_status").isin("PROPOSED", "VERIFIED")),
         ("VERIFIED_REPAIR_WITHOUT_SQL", blank("proposed_sql") & (up("repair_status") == "VERIFIED")),
+        ("VERIFIED_WITHOUT_VERIFICATION_ID", blank("verification_id") & (up("verification_status") == "VERIFIED")),
         ("SCORE_WITHOUT_VALIDATION", ~ran & F.col("evidence_score").isNotNull()),
         ("VERIFIED_WITHOUT_VALIDATION", ~ran & (up("final_status") == "VERIFIED")),
         ("VERIFIED_WITHOUT_SCORE", ran & (up("final_status") == "VERIFIED") & F.col("evidence_score").isNull()),

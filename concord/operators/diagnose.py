@@ -169,30 +169,45 @@ def extract_signals(checks: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ G2
-_KIND_SIGNAL = {"rule": ("CASE_RULE_CHANGED", "business_rules"), "filter": ("FILTER_DIFF", "filters"),
-                "join": ("JOIN_DIFF", "joins"), "aggregation": ("AGGREGATION_DIFF", "aggregations")}
-
-
 def component_signals(components: DataFrame, signals: DataFrame | None = None) -> DataFrame:
-    """Positional differences of rules / filters / joins / aggregations
-    as AST signals; validations that already have a rule-check signal get
-    none."""
-    c = components
-    s = c.filter(F.col("side") == "SRC").select(F.col("migration_id").alias(V), "kind", "ordinal",
-                                                F.col("name").alias("s_name"), F.col("expr").alias("s_expr"))
-    t = c.filter(F.col("side") == "TGT").select(F.col("migration_id").alias(V), "kind", "ordinal",
-                                                F.col("name").alias("t_name"), F.col("expr").alias("t_expr"))
-    j = s.join(t, [V, "kind", "ordinal"]).filter(
-        F.col("kind").isin(list(_KIND_SIGNAL)) &
-        (~F.col("s_expr").eqNullSafe(F.col("t_expr")) | ~F.col("s_name").eqNullSafe(F.col("t_name"))))
-    typ = F.element_at(F.create_map(*[F.lit(x) for k, (ty, _) in _KIND_SIGNAL.items() for x in (k, ty)]), F.col("kind"))
-    base = F.element_at(F.create_map(*[F.lit(x) for k, (_, p) in _KIND_SIGNAL.items() for x in (k, p)]), F.col("kind"))
-    out = j.select(V, (F.col("ordinal") * 10 + F.when(F.col("kind") == "rule", 0).when(F.col("kind") == "filter", 1)
-                       .when(F.col("kind") == "join", 2).otherwise(3)).cast("long").alias("signal_id"),
-                   F.lit("AST_ANALYZER").alias("source_validator"), typ.alias("signal_type"),
-                   F.col("s_expr").alias("source_expression"), F.col("t_expr").alias("target_expression"),
-                   F.concat(base, F.lit("["), (F.col("ordinal") - 1).cast("string"), F.lit("]")).alias("analysis_path"),
-                   F.lit(0).cast("long").alias("mismatch_count"))
+    """Positional differences of rules / case conditions / filters /
+    joins / aggregations as AST signals; validations that already have a
+    rule-check signal get none.
+
+    A case condition (kind ``case``) whose comparison only gained or lost
+    equality is an OPERATOR_INCLUSION, any other change of it a
+    CASE_CONDITION_DIFF.  Joins are told apart by type and condition,
+    aggregations by function, argument and DISTINCT; filters by their text
+    alone."""
+    side = lambda k, p: components.filter(F.col("side") == k).select(
+        F.col("migration_id").alias(V), "kind", "ordinal", F.col("name").alias(p + "name"), F.col("expr").alias(p + "expr"),
+        F.coalesce("is_distinct", F.lit(False)).alias(p + "distinct"))
+    j = side("SRC", "s_").join(side("TGT", "t_"), [V, "kind", "ordinal"])
+    kind, differ = F.col("kind"), lambda c: ~F.col("s_" + c).eqNullSafe(F.col("t_" + c))
+    changed = (F.when(kind == "rule", differ("expr") | differ("name"))
+               .when(kind.isin("case", "filter"), differ("expr"))
+               .when(kind == "join", differ("expr") | differ("name"))
+               .when(kind == "aggregation", differ("expr") | differ("name") | differ("distinct")).otherwise(False))
+    s, t = F.col("s_expr"), F.col("t_expr")
+    inclusion = reduce(lambda a, b: a | b, [(a.contains(o) & b.contains(o + "=")) for o in "><" for a, b in ((s, t), (t, s))])
+    typ = (F.when(kind == "rule", "CASE_RULE_CHANGED").when(kind == "filter", "FILTER_DIFF").when(kind == "join", "JOIN_DIFF")
+           .when(kind == "aggregation", "AGGREGATION_DIFF").when(inclusion, "OPERATOR_INCLUSION").otherwise("CASE_CONDITION_DIFF"))
+
+    def text(p: str) -> Column:
+        return (F.when(kind == "join", F.concat(F.col(p + "name"), F.lit(" JOIN ON "), F.col(p + "expr")))
+                .when(kind == "aggregation", F.concat(F.col(p + "name"), F.lit("("), F.when(F.col(p + "distinct"), "DISTINCT ").otherwise(""), F.col(p + "expr"), F.lit(")")))
+                .otherwise(F.col(p + "expr")))
+
+    at = (F.col("ordinal") - 1).cast("string")
+    path = (F.when(kind == "rule", F.concat(F.lit("business_rules["), at, F.lit("]")))
+            .when(kind == "filter", F.concat(F.lit("filters["), at, F.lit("].expression")))
+            .when(kind == "join", F.concat(F.lit("joins["), at, F.lit("]")))
+            .when(kind == "aggregation", F.concat(F.lit("aggregations["), at, F.lit("]")))
+            .otherwise(F.coalesce(F.concat(F.lit("columns["), F.coalesce("s_name", "t_name"), F.lit("]")), F.concat(F.lit("case_expressions["), at, F.lit("].whens[0]")))))
+    rank = F.when(kind == "rule", 0).when(kind == "filter", 1).when(kind == "join", 2).when(kind == "aggregation", 3).otherwise(4)
+    out = j.filter(changed).select(
+        V, (F.col("ordinal") * 10 + rank).cast("long").alias("signal_id"), F.lit("AST_ANALYZER").alias("source_validator"), typ.alias("signal_type"),
+        text("s_").alias("source_expression"), text("t_").alias("target_expression"), path.alias("analysis_path"), F.lit(0).cast("long").alias("mismatch_count"))
     if signals is not None:
         has_rule = signals.filter(F.col("source_validator") == "BusinessRuleValidator").select(V).distinct()
         out = out.join(has_rule, V, "left_anti")

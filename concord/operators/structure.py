@@ -274,10 +274,11 @@ MUTATING_KEYWORDS = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE",
 
 def screen_read_only(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """F12 (keyword tier): ``(id, violation, keywords)``; an empty text is
-    a violation, otherwise the sorted forbidden whole tokens found."""
+    a violation, otherwise the sorted forbidden words found.  A word ends at
+    any sign that is not a letter, digit or underscore, so a verb next to a
+    bracket or semicolon counts."""
     words = F.array(*[F.lit(w) for w in FORBIDDEN_KEYWORDS + MUTATING_KEYWORDS])
-    up = F.upper(F.regexp_replace(F.col(text_col), ";", " "))
-    tokens = F.split(strip_col(up), r"\s+")
+    tokens = F.split(F.upper(F.col(text_col)), r"[^A-Z0-9_]+")
     hits = F.array_sort(F.array_distinct(F.filter(tokens, lambda x: F.array_contains(words, x))))
     empty = F.coalesce(strip_col(F.col(text_col)) == "", F.lit(True))
     return df.select(F.col(id_col), F.when(empty, F.lit("EMPTY_QUERY"))

@@ -99,7 +99,8 @@ SELECT c_custkey AS migration_id, CASE c_custkey % 6 WHEN 0 THEN 'FAILED' ELSE '
  CASE WHEN c_custkey % 8 = 0 THEN '' ELSE 'SELECT 1' END AS target_sql, CASE WHEN c_custkey % 5 <> 0 THEN 'VALID_SYNTAX' END AS candidate_status,
  CASE WHEN c_custkey % 9 = 0 THEN 'TIMEOUT' ELSE 'SUCCESS' END AS target_execution_status, CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'FAIL' ELSE 'PASS' END AS validation_status,
  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'rep' END AS repair_id, CASE c_custkey % 3 WHEN 0 THEN 'PROPOSED' WHEN 1 THEN 'VERIFIED' END AS repair_status, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'SELECT 2' END AS proposed_sql,
- CASE WHEN c_custkey % 12 = 0 THEN 'VERIFIED' ELSE 'BLOCKED' END AS final_status, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS evidence_score FROM customer""",
+ CASE WHEN c_custkey % 12 = 0 THEN 'VERIFIED' ELSE 'BLOCKED' END AS final_status, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS evidence_score,
+ CASE WHEN c_custkey % 6 = 0 THEN ' ' WHEN c_custkey % 6 <> 1 THEN 'ver' END AS verification_id, CASE WHEN c_custkey % 4 = 0 THEN 'verified' WHEN c_custkey % 4 = 1 THEN 'VERIFIED' END AS verification_status FROM customer""",
     "transformations": """
 SELECT o_custkey AS migration_id, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'TRANSLATED_RULE' WHEN 1 THEN 'STRUCTURAL_DIFFERENCE' ELSE 'ASSUMPTION' END AS type,
  CASE WHEN o_orderkey % 2 = 0 THEN ' NVL' ELSE 'NVL ' END AS source, CASE WHEN o_orderkey % 5 = 0 THEN 'COALESCE' ELSE concat('IFNULL', CAST(o_orderkey % 3 AS STRING)) END AS target FROM orders""",

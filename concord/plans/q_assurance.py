@@ -169,6 +169,7 @@ def i13(spark, sf):
  CASE WHEN upper(coalesce(target_execution_status, '')) <> 'SUCCESS' AND upper(coalesce(validation_status, '')) IN ('PASS', 'FAIL', 'WARN') THEN 'VALIDATION_WITHOUT_EXECUTION' END,
  CASE WHEN coalesce(trim(repair_id), '') = '' AND upper(coalesce(repair_status, '')) IN ('PROPOSED', 'VERIFIED') THEN 'REPAIR_STATUS_WITHOUT_ID' END,
  CASE WHEN coalesce(trim(proposed_sql), '') = '' AND upper(coalesce(repair_status, '')) = 'VERIFIED' THEN 'VERIFIED_REPAIR_WITHOUT_SQL' END,
+ CASE WHEN coalesce(trim(verification_id), '') = '' AND upper(coalesce(verification_status, '')) = 'VERIFIED' THEN 'VERIFIED_WITHOUT_VERIFICATION_ID' END,
  CASE WHEN validation_status IS NULL AND evidence_score IS NOT NULL THEN 'SCORE_WITHOUT_VALIDATION' END,
  CASE WHEN validation_status IS NULL AND upper(coalesce(final_status, '')) = 'VERIFIED' THEN 'VERIFIED_WITHOUT_VALIDATION' END,
  CASE WHEN validation_status IS NOT NULL AND upper(coalesce(final_status, '')) = 'VERIFIED' AND evidence_score IS NULL THEN 'VERIFIED_WITHOUT_SCORE' END],

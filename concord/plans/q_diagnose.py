@@ -252,16 +252,24 @@ def g01(spark, sf):
     return G.extract_signals(c, e)
 
 
+# tables of the recipe stand in for case conditions
 @query("g02_component_signals", derived.cte("components", "signals") + """,
-s AS (SELECT * FROM components WHERE side = 'SRC'), t AS (SELECT * FROM components WHERE side = 'TGT'),
-j AS (SELECT s.migration_id AS validation_id, s.kind, s.ordinal, s.expr AS s_expr, t.expr AS t_expr FROM s JOIN t
-  ON s.migration_id = t.migration_id AND s.kind = t.kind AND s.ordinal = t.ordinal
-  WHERE s.kind IN ('rule', 'filter', 'join', 'aggregation') AND (s.expr IS DISTINCT FROM t.expr OR s.name IS DISTINCT FROM t.name))
-SELECT validation_id, CAST(ordinal * 10 + CASE kind WHEN 'rule' THEN 0 WHEN 'filter' THEN 1 WHEN 'join' THEN 2 ELSE 3 END AS BIGINT) AS signal_id,
- 'AST_ANALYZER' AS source_validator, CASE kind WHEN 'rule' THEN 'CASE_RULE_CHANGED' WHEN 'filter' THEN 'FILTER_DIFF' WHEN 'join' THEN 'JOIN_DIFF' ELSE 'AGGREGATION_DIFF' END AS signal_type,
- s_expr AS source_expression, t_expr AS target_expression,
- CASE kind WHEN 'rule' THEN 'business_rules' WHEN 'filter' THEN 'filters' WHEN 'join' THEN 'joins' ELSE 'aggregations' END || '[' || CAST(ordinal - 1 AS VARCHAR) || ']' AS analysis_path,
+c AS (SELECT migration_id, side, CASE kind WHEN 'table' THEN 'case' ELSE kind END AS kind, ordinal, name, expr, is_distinct FROM components),
+j AS (SELECT s.migration_id AS validation_id, s.kind, s.ordinal, s.name AS sn, t.name AS tn, s.expr AS se, t.expr AS te, s.is_distinct AS sd, t.is_distinct AS td
+  FROM c s JOIN c t ON s.side = 'SRC' AND t.side = 'TGT' AND s.migration_id = t.migration_id AND s.kind = t.kind AND s.ordinal = t.ordinal),
+d AS (SELECT * FROM j WHERE CASE kind WHEN 'rule' THEN se <> te OR sn <> tn WHEN 'join' THEN se <> te OR sn <> tn
+  WHEN 'aggregation' THEN se <> te OR sn <> tn OR sd <> td ELSE se <> te END)
+SELECT validation_id, CAST(ordinal * 10 + CASE kind WHEN 'rule' THEN 0 WHEN 'filter' THEN 1 WHEN 'join' THEN 2 WHEN 'aggregation' THEN 3 ELSE 4 END AS BIGINT) AS signal_id,
+ 'AST_ANALYZER' AS source_validator,
+ CASE kind WHEN 'rule' THEN 'CASE_RULE_CHANGED' WHEN 'filter' THEN 'FILTER_DIFF' WHEN 'join' THEN 'JOIN_DIFF' WHEN 'aggregation' THEN 'AGGREGATION_DIFF'
+  ELSE CASE WHEN (se LIKE '%>%' AND te LIKE '%>=%') OR (se LIKE '%>=%' AND te LIKE '%>%') OR (se LIKE '%<%' AND te LIKE '%<=%') OR (se LIKE '%<=%' AND te LIKE '%<%')
+   THEN 'OPERATOR_INCLUSION' ELSE 'CASE_CONDITION_DIFF' END END AS signal_type,
+ CASE kind WHEN 'join' THEN sn || ' JOIN ON ' || se WHEN 'aggregation' THEN sn || '(' || CASE WHEN sd THEN 'DISTINCT ' ELSE '' END || se || ')' ELSE se END AS source_expression,
+ CASE kind WHEN 'join' THEN tn || ' JOIN ON ' || te WHEN 'aggregation' THEN tn || '(' || CASE WHEN td THEN 'DISTINCT ' ELSE '' END || te || ')' ELSE te END AS target_expression,
+ CASE kind WHEN 'rule' THEN printf('business_rules[%d]', ordinal - 1) WHEN 'filter' THEN printf('filters[%d].expression', ordinal - 1) WHEN 'join' THEN printf('joins[%d]', ordinal - 1)
+  WHEN 'aggregation' THEN printf('aggregations[%d]', ordinal - 1) ELSE 'columns[' || sn || ']' END AS analysis_path,
  CAST(0 AS BIGINT) AS mismatch_count, CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS VARCHAR) AS payload_category
-FROM j WHERE validation_id NOT IN (SELECT validation_id FROM signals WHERE source_validator = 'BusinessRuleValidator')""")
+FROM d WHERE validation_id NOT IN (SELECT validation_id FROM signals WHERE source_validator = 'BusinessRuleValidator')""")
 def g02(spark, sf):
-    return G.component_signals(derived.load(spark, sf, "components"), derived.load(spark, sf, "signals"))
+    c = derived.load(spark, sf, "components").withColumn("kind", F.when(F.col("kind") == "table", "case").otherwise(F.col("kind")))
+    return G.component_signals(c, derived.load(spark, sf, "signals"))

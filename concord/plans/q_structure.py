@@ -173,14 +173,21 @@ def f11b(spark, sf):
 _KW = ", ".join(f"'{w}'" for w in S.FORBIDDEN_KEYWORDS + S.MUTATING_KEYWORDS)
 
 
+# documents, some of them with a statement at the end, in all the places
+# where a forbidden word can stand
+_F12_TEXTS = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN concat(text, ' WITH a AS (DELETE FROM t) SELECT 1') WHEN 1 THEN concat(text, ';drop table t')
+ WHEN 2 THEN concat(text, ' select updated, load_date from created_items') WHEN 3 THEN ' ' ELSE text END AS text FROM documents"""
+
+
 @query("f12_screen_read_only", f"""
 SELECT doc_id, CASE WHEN e THEN 'EMPTY_QUERY' WHEN len(hits) > 0 THEN 'FORBIDDEN_KEYWORD' END AS violation,
  CASE WHEN e THEN '' ELSE array_to_string(hits, ',') END AS keywords
 FROM (SELECT doc_id, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '', TRUE) AS e,
- list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(upper(regexp_replace(text, ';', ' ', 'g')), '^\\s+|\\s+$', '', 'g'), '\\s+'),
-   lambda x: list_contains([{_KW}], x)))) AS hits FROM documents)""")
+ list_sort(list_distinct(list_filter(regexp_split_to_array(upper(text), '[^A-Z0-9_]+'),
+   lambda x: list_contains([{_KW}], x)))) AS hits FROM ({_F12_TEXTS}))""")
 def f12(spark, sf):
-    return S.screen_read_only(read_table(spark, sf, "documents"), "text", "doc_id")
+    read_table(spark, sf, "documents").createOrReplaceTempView("documents")
+    return S.screen_read_only(spark.sql(_F12_TEXTS), "text", "doc_id")
 
 
 @query("f13_query_hash", """
