@@ -105,10 +105,20 @@ FACT_COLUMNS = ("source_ok", "translation_ok", "target_ok", "schema_ok", "has_cr
                 "config_unchanged", "lineage_complete")
 
 
+# The names of the hard gates, by number.
+GATE_NAMES = (
+    "Source execution succeeded", "Target translation syntactically valid", "Target execution succeeded",
+    "No schema mismatch", "No unresolved CRITICAL discrepancy", "No new discrepancy after repair",
+    "Repair verification VERIFIED", "Dataset hash unchanged", "Validation config unchanged",
+    "Audit lineage complete", "No unresolved semantic discrepancies",
+)
+TECHNICAL_GATES = ("GATE-001", "GATE-002", "GATE-003")
+
+
 def gates(facts: DataFrame) -> DataFrame:
     """I4: the eleven hard gates per migration, ``(migration_id, gate_id,
-    outcome)`` with PASS / FAIL / NOT_APPLICABLE; gates 006–009 apply only
-    when a repair was attempted."""
+    gate_name, outcome, reason)`` with PASS / FAIL / NOT_APPLICABLE; gates
+    006–009 apply only when a repair was attempted."""
     pf = lambda ok: F.when(F.coalesce(ok, F.lit(False)), F.lit("PASS")).otherwise(F.lit("FAIL"))
     rep = F.coalesce(F.col("repair_attempted"), F.lit(False))
     na = lambda c: F.when(rep, c).otherwise(F.lit("NOT_APPLICABLE"))
@@ -121,12 +131,14 @@ def gates(facts: DataFrame) -> DataFrame:
          ("GATE-009", na(pf(F.col("config_unchanged") == True))),  # noqa: E712
          ("GATE-010", pf(F.col("lineage_complete"))),
          ("GATE-011", pf(F.coalesce(F.col("remaining"), F.lit(0)) == 0))]
-    arr = F.array(*[F.struct(F.lit(i).alias("gate_id"), o.alias("outcome")) for i, o in g])
-    return facts.select(M, F.explode(arr).alias("g")).select(M, "g.gate_id", "g.outcome")
+    arr = F.array(*[F.struct(F.lit(i).alias("gate_id"), F.lit(n).alias("gate_name"), o.alias("outcome")) for (i, o), n in zip(g, GATE_NAMES)])
+    reason = (F.when(F.col("outcome") == "PASS", F.lit("holds")).when(F.col("outcome") == "FAIL", F.lit("does not hold"))
+              .otherwise(F.lit("no repair was attempted")))
+    return facts.select(M, F.explode(arr).alias("g")).select(M, "g.*").withColumn("reason", reason)
 
 
 def gate_summary(gate_rows: DataFrame) -> DataFrame:
-    """I5 + I6: counts, ``all_passed`` (no FAIL) and the final status:
+    """Counts, ``all_passed`` (no FAIL) and the status by gates alone:
     VERIFIED when all passed, FAILED when a technical gate (001–003)
     failed, else BLOCKED."""
     o = F.col("outcome")
@@ -134,7 +146,7 @@ def gate_summary(gate_rows: DataFrame) -> DataFrame:
         F.count("*").alias("total_gates"), F.count(F.when(o == "PASS", 1)).alias("passed_count"),
         F.count(F.when(o == "FAIL", 1)).alias("failed_count"),
         F.count(F.when(o == "NOT_APPLICABLE", 1)).alias("not_applicable_count"),
-        F.count(F.when((o == "FAIL") & F.col("gate_id").isin("GATE-001", "GATE-002", "GATE-003"), 1))
+        F.count(F.when((o == "FAIL") & F.col("gate_id").isin(*TECHNICAL_GATES), 1))
         .alias("_tech"))
     final = (F.when(F.col("failed_count") == 0, F.lit("VERIFIED")).when(F.col("_tech") > 0, F.lit("FAILED"))
              .otherwise(F.lit("BLOCKED")))
@@ -142,6 +154,36 @@ def gate_summary(gate_rows: DataFrame) -> DataFrame:
                     (F.col("failed_count") == 0).alias("all_passed"), final.alias("final_status"))
 
 
+def final_status(gate_rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(migration_id, final_status, decision_reason)``.
+
+    ``runs``: ``migration_id, translation_ok, translation_error, source_ok,
+    target_ok, diagnosis_error, verification_path``.  A failed translation
+    or execution, and a provider error during diagnosis, decide before the
+    gates do; a provider's used-up token budget blocks, it does not fail."""
+    by = gate_rows.groupBy(M).agg(
+        F.sort_array(F.collect_list(F.when(F.col("outcome") == "FAIL", F.concat("gate_id", F.lit(" "), "gate_name")))).alias("failed"),
+        F.count(F.when((F.col("outcome") == "FAIL") & F.col("gate_id").isin(*TECHNICAL_GATES), 1)).alias("tech"),
+        F.count(F.when(F.col("outcome") == "PASS", 1)).alias("passed"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    code = F.when(~yes("translation_ok"), F.coalesce("translation_error", F.lit("OTHER"))).when(
+        ~(yes("source_ok") & yes("target_ok")), F.lit("EXECUTION")).when(
+        F.col("diagnosis_error").isin("PROVIDER_TOKEN_EXHAUSTED", "PROVIDER_TIMEOUT"), F.col("diagnosis_error"))
+    step = F.when(yes("translation_ok"), F.lit("diagnosis")).otherwise(F.lit("translation"))
+    status = (F.when(code == "PROVIDER_TOKEN_EXHAUSTED", F.lit("BLOCKED_PROVIDER_LIMIT")).when(code.isNotNull(), F.lit("FAILED"))
+              .when(F.size("failed") == 0, F.lit("VERIFIED")).when(F.col("tech") > 0, F.lit("FAILED")).otherwise(F.lit("BLOCKED")))
+    names = F.array_join("failed", "; ")
+    reason = (F.when(code == "PROVIDER_TOKEN_EXHAUSTED", F.concat(F.lit("provider token budget used up in "), step))
+              .when(code == "PROVIDER_TIMEOUT", F.concat(F.lit("provider timed out in "), step))
+              .when(code == "EXECUTION", F.lit("a query did not run"))
+              .when(code.isNotNull(), F.concat(F.lit("translation failed: "), code))
+              .when(F.size("failed") == 0, F.concat(
+                  F.when(F.col("verification_path") == "DIRECT_PASS", F.lit("validated directly")).otherwise(F.lit("validated again after repair")),
+                  F.lit(", gates passed: "), F.col("passed").cast("string")))
+              .when(F.col("tech") > 0, F.concat(F.lit("not evaluated: "), names)).otherwise(F.concat(F.lit("open issues: "), names)))
+    return by.join(runs, M).select(M, status.alias("final_status"), reason.alias("decision_reason"))
+
+
 def is_verified(translation_valid: Column, source_ok: Column, target_ok: Column, schema_valid: Column,
                 remaining: Column, new_count: Column, repair_passed: Column, dataset_unchanged: Column,
                 config_unchanged: Column, lineage_complete: Column) -> Column:

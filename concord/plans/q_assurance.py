@@ -81,7 +81,11 @@ gates AS (SELECT migration_id, g.gate_id, g.outcome FROM (SELECT migration_id, u
 """
 
 
-@query("i04_gates", _GATES_SQL + "SELECT * FROM gates")
+_GATE_NAME = "CASE gate_id " + " ".join(f"WHEN 'GATE-{i:03d}' THEN '{n}'" for i, n in enumerate(A.GATE_NAMES, 1)) + " END"
+
+
+@query("i04_gates", _GATES_SQL + f"""SELECT migration_id, gate_id, {_GATE_NAME} AS gate_name, outcome,
+ CASE outcome WHEN 'PASS' THEN 'holds' WHEN 'FAIL' THEN 'does not hold' ELSE 'no repair was attempted' END AS reason FROM gates""")
 def i04(spark, sf):
     return A.gates(_facts_full(spark, sf))
 
@@ -96,6 +100,36 @@ def i05(spark, sf):
     return A.gate_summary(A.gates(_facts_full(spark, sf)))
 
 
+# provider errors, by the migration's number
+_RUNS = """SELECT migration_id, translation_ok, source_ok, target_ok, verification_path,
+ CASE migration_id % 4 WHEN 0 THEN 'PROVIDER_TOKEN_EXHAUSTED' WHEN 1 THEN 'PROVIDER_TIMEOUT' WHEN 2 THEN 'INVALID_SQL' END AS translation_error,
+ CASE migration_id % 71 WHEN 0 THEN 'PROVIDER_TOKEN_EXHAUSTED' WHEN 1 THEN 'PROVIDER_TIMEOUT' WHEN 2 THEN 'BAD_JSON' END AS diagnosis_error
+FROM facts JOIN lineage USING (migration_id)"""
+
+
+@query("i06_final_status", _GATES_SQL + f""", runs AS ({_RUNS}),
+g AS (SELECT migration_id, count(*) FILTER (WHERE outcome = 'PASS') AS passed, count(*) FILTER (WHERE outcome = 'FAIL') AS failed,
+  count(*) FILTER (WHERE outcome = 'FAIL' AND gate_id <= 'GATE-003') AS tech,
+  string_agg(gate_id || ' ' || {_GATE_NAME}, '; ' ORDER BY gate_id) FILTER (WHERE outcome = 'FAIL') AS names FROM gates GROUP BY migration_id)
+SELECT migration_id, CASE
+  WHEN NOT coalesce(translation_ok, FALSE) THEN CASE WHEN translation_error = 'PROVIDER_TOKEN_EXHAUSTED' THEN 'BLOCKED_PROVIDER_LIMIT' ELSE 'FAILED' END
+  WHEN NOT coalesce(source_ok AND target_ok, FALSE) THEN 'FAILED'
+  WHEN diagnosis_error = 'PROVIDER_TOKEN_EXHAUSTED' THEN 'BLOCKED_PROVIDER_LIMIT' WHEN diagnosis_error = 'PROVIDER_TIMEOUT' THEN 'FAILED'
+  WHEN failed = 0 THEN 'VERIFIED' WHEN tech > 0 THEN 'FAILED' ELSE 'BLOCKED' END AS final_status,
+ CASE WHEN NOT coalesce(translation_ok, FALSE) THEN CASE translation_error WHEN 'PROVIDER_TOKEN_EXHAUSTED' THEN 'provider token budget used up in translation'
+   WHEN 'PROVIDER_TIMEOUT' THEN 'provider timed out in translation' ELSE 'translation failed: ' || coalesce(translation_error, 'OTHER') END
+  WHEN NOT coalesce(source_ok AND target_ok, FALSE) THEN 'a query did not run'
+  WHEN diagnosis_error = 'PROVIDER_TOKEN_EXHAUSTED' THEN 'provider token budget used up in diagnosis'
+  WHEN diagnosis_error = 'PROVIDER_TIMEOUT' THEN 'provider timed out in diagnosis'
+  WHEN failed = 0 THEN CASE WHEN verification_path = 'DIRECT_PASS' THEN 'validated directly' ELSE 'validated again after repair' END || ', gates passed: ' || passed
+  WHEN tech > 0 THEN 'not evaluated: ' || names ELSE 'open issues: ' || names END AS decision_reason
+FROM g JOIN runs USING (migration_id)""")
+def i06(spark, sf):
+    derived.load(spark, sf, "facts").createOrReplaceTempView("facts")
+    derived.load(spark, sf, "lineage").createOrReplaceTempView("lineage")
+    return A.final_status(A.gates(_facts_full(spark, sf)), spark.sql(_RUNS))
+
+
 @query("i07_is_verified", _GATES_SQL + """SELECT migration_id, coalesce(translation_ok, FALSE) AND coalesce(source_ok, FALSE) AND coalesce(target_ok, FALSE)
  AND coalesce(schema_ok, FALSE) AND coalesce(remaining, 0) = 0 AND coalesce(new_after_repair, 0) = 0
  AND coalesce(CASE WHEN repair_attempted THEN verification_status = 'VERIFIED' END, TRUE)
