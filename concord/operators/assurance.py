@@ -331,13 +331,13 @@ def limitations(scores_components: DataFrame, repairs: DataFrame | None = None)
                                            F.struct("position", "name")))).alias("_sk"))
     cov = F.round(F.col("_w").cast("double"), 1)
     text = F.when((cov < 100.0) & (F.size("_sk") > 0), F.concat(
-        F.lit("Evidence coverage is "), cov.cast("string"), F.lit("%. Skipped validators: "),
+        F.lit("evidence covers "), cov.cast("string"), F.lit("%; not run: "),
         F.array_join(F.transform("_sk", lambda x: x.getField("name")), ", "), F.lit(".")))
     out = g.select(M, F.lit(1).alias("ordinal"), text.alias("limitation")).filter(F.col("limitation").isNotNull())
     if repairs is not None:
         out = out.unionByName(repairs.filter(F.col("repair_attempted")).select(
             M, F.lit(2).alias("ordinal"),
-            F.lit("Migration required AI-assisted repair. Verified by deterministic re-validation.").alias("limitation")))
+            F.lit("repaired with model help, then validated again").alias("limitation")))
     return out
 
 

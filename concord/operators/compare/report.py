@@ -33,15 +33,15 @@ def row_check(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
         rc = compare_rows(src, tgt, keys, cfg)
     except ComparisonKeyError as exc:
         return literal_rows(
-            spark, [("RowValidator", "ERROR", "HIGH", 0.0, 0, f"Row comparison key error: {exc}")], CHECK_SCHEMA)
+            spark, [("RowValidator", "ERROR", "HIGH", 0.0, 0, f"unusable key: {exc}")], CHECK_SCHEMA)
     s = rc.summary
     return s.select(
         F.lit("RowValidator").alias("check_name"), "status",
         F.when(F.col("status") == "PASS", F.lit("INFO")).otherwise(F.lit("CRITICAL")).alias("severity"),
         "score", "mismatch_count",
         F.when(F.col("status") == "PASS",
-               F.format_string("Row comparison: %d/%d keys matched exactly.", "rows_matched", "rows_compared"))
-        .otherwise(F.format_string("Row mismatch detected: %d value/key discrepancy(ies).", "mismatch_count"))
+               F.format_string("%d rows agree over %d shared keys", "rows_matched", "rows_compared"))
+        .otherwise(F.format_string("%d rows or cells differ", "mismatch_count"))
         .alias("summary"))
 
 
@@ -65,7 +65,7 @@ def schema_check(src: DataFrame, tgt: DataFrame, order_matters: bool = True) ->
     score = round(compatible / total, 4) if total else 1.0
     status = "PASS" if mismatches == 0 else "FAIL"
     row = ("SchemaValidator", status, "INFO" if status == "PASS" else "CRITICAL", float(score), mismatches,
-           f"Schema comparison: {compatible}/{total} columns compatible.")
+           f"{compatible} of {total} columns fit")
     return literal_rows(src.sparkSession, [row], CHECK_SCHEMA)
 
 
@@ -101,13 +101,13 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
                 df = row_check(src, tgt, keys, config.compare)
             elif name == "AggregateValidator":
                 df = aggregate_check(src, tgt, specs, config.compare.abs_tol, config.compare.rel_tol) \
-                    .withColumn("summary", F.format_string("Aggregate metrics mismatched: %d", "mismatch_count"))
+                    .withColumn("summary", F.format_string("%d aggregates differ", "mismatch_count"))
             elif name == "BusinessRuleValidator":
                 from ..structure import rule_check
                 df = rule_check(spark, components)
             elif name == "EdgeCaseValidator":
                 df = edge_check(src, tgt, keys, config.boundaries, specs=specs) \
-                    .withColumn("summary", F.concat(F.lit("Edge case scenario '"), F.col("scenario"), F.lit("'")))
+                    .withColumn("summary", F.concat(F.lit("edge cases: "), F.col("scenario")))
             else:
                 raise ValueError(f"unknown check {name}")
             out[name] = _as_check(df)
@@ -117,7 +117,7 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
 
 
 def _error_row(spark: SparkSession, name: str, exc: Exception) -> DataFrame:
-    return literal_rows(spark, [(name, "ERROR", "HIGH", 0.0, 0, f"Validator unexpected error: {exc}")],
+    return literal_rows(spark, [(name, "ERROR", "HIGH", 0.0, 0, f"check stopped: {exc}")],
                         CHECK_SCHEMA)
 
 
@@ -144,7 +144,7 @@ def run_checks(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None =
         try:
             rows += [tuple(r) for r in df.select(*CHECK_COLUMNS).collect()]
         except Exception as exc:
-            rows.append((name, "ERROR", "HIGH", 0.0, 0, f"Validator unexpected error: {exc}"))
+            rows.append((name, "ERROR", "HIGH", 0.0, 0, f"check stopped: {exc}"))
     return literal_rows(spark, rows, CHECK_SCHEMA)
 
 

@@ -343,7 +343,7 @@ class RowComparison:
                         F.lit(None).cast(pres.schema["_k"].dataType).alias("_k"), F.lit(0).alias("_ord"),
                         F.lit("DUPLICATE_KEY_WARNING").alias("type"),
                         F.create_map().cast("map<string,string>").alias("key"), null_s.alias("column"),
-                        F.format_string("Comparison key %s is non-unique across %d key groups.",
+                        F.format_string("key %s repeats in %d groups",
                                         F.lit(str(self.keys)), F.col("_n")).alias("source_value"),
                         null_s.alias("target_value"), F.lit(WARNING).alias("category")))
         ev = pres.unionByName(cells).unionByName(unp).unionByName(warn)
@@ -378,13 +378,13 @@ def compare_rows(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
     keys = list(keys or cfg.keys or [])
     if not keys:
         if not src.columns:
-            raise ComparisonKeyError("Comparison key required for row-level comparison.")
+            raise ComparisonKeyError("rows need a key to be compared")
         keys = [src.columns[0]]
     for k in keys:
         if k not in src.columns:
-            raise ComparisonKeyError(f"Comparison key '{k}' not found in source schema.")
+            raise ComparisonKeyError(f"the source has no column {k!r}")
         if k not in tgt.columns:
-            raise ComparisonKeyError(f"Comparison key '{k}' not found in target schema.")
+            raise ComparisonKeyError(f"the target has no column {k!r}")
     cols = [c for c in src.columns if c in tgt.columns and c not in keys]
     types = {c: common_type(src, tgt, c) for c in keys + cols}
     return RowComparison(src, tgt, keys, cols, cfg, types)

@@ -228,6 +228,8 @@ def link_execution_to_structure(signals: DataFrame) -> DataFrame:
         V, F.col("signal_id").alias("a_id"), F.col("analysis_path").alias("a_path"),
         F.col("column").alias("a_col"), F.col("source_expression").alias("a_src"),
         F.col("target_expression").alias("a_tgt"))
+    # rule diffs that say the same are joined once, as the first of them
+    st = st.groupBy(V, "a_path", "a_col", "a_src", "a_tgt").agg(F.min("a_id").alias("a_id"))
     st = st.withColumn("a_pcol", F.when(F.col("a_path").startswith("columns[") & F.col("a_path").endswith("]"),
                                         F.regexp_extract("a_path", r"^columns\[(.*)\]$", 1)))
     ex = s.filter(F.col("source_validator").isin(*EXECUTION))

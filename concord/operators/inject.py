@@ -70,7 +70,7 @@ def flood_boundary(df: DataFrame, col: str, key, threshold: float, predicate: Co
     frame with the number of rows changed."""
     keys = _keys(key)
     if exclude is not None:
-        ex = F.broadcast(exclude.select(*keys).distinct().withColumn("_ex", F.lit(True)))
+        ex = exclude.select(*keys).distinct().withColumn("_ex", F.lit(True))
         j = df.join(ex, keys, "left")
         hit = predicate & F.col("_ex").isNull()
     else:

@@ -73,13 +73,18 @@ def target_outcome(targets: DataFrame, after: DataFrame) -> DataFrame:
     a = _prep(after).select(P, F.col("discrepancy_id").alias("a_id"), F.col("ordinal").alias("a_ord"),
                             F.col("category").alias("a_cat"), F.col("_sig").alias("a_sig"),
                             F.col("_reg").alias("a_reg"), F.col("affected_row_count").alias("a_rows"))
-    j = t.select(P, "discrepancy_id", "category", "_sig", "_reg").join(a, P)
+    # discrepancies that look alike are compared once: distinct (category,
+    # signature, region) of a pair on either side, the first of them for all
+    kinds = ["category", "_sig", "_reg"]
+    a = a.groupBy(P, "a_cat", "a_sig", "a_reg").agg(F.min(F.struct("a_ord", "a_id", "a_rows")).alias("a")).select(P, "a_cat", "a_sig", "a_reg", "a.*")
+    j = t.select(P, *kinds).distinct().join(a, P)
     region = (F.col("_reg") == F.col("a_reg")) | ((F.col("_reg") != "global") & F.col("a_reg").contains(F.col("_reg")))
     cls = (F.when(F.col("_sig") == F.col("a_sig"), F.lit(0))
            .when(region & (F.col("category") == F.col("a_cat")), F.lit(1))
            .when(region, F.lit(2)))
     best = (j.withColumn("_cls", cls).filter(F.col("_cls").isNotNull())
-            .groupBy(P, "discrepancy_id").agg(F.min(F.struct("_cls", "a_ord", "a_id", "a_rows")).alias("m")))
+            .groupBy(P, *kinds).agg(F.min(F.struct("_cls", "a_ord", "a_id", "a_rows")).alias("m")))
+    best = t.select(P, "discrepancy_id", *kinds).join(best, [P, *kinds]).groupBy(P, "discrepancy_id").agg(F.min("m").alias("m"))
     o = t.join(best, [P, "discrepancy_id"], "left")
     status = (F.when(F.col("m._cls") <= 1, F.lit("PERSISTS")).when(F.col("m._cls") == 2, F.lit("CHANGED"))
               .otherwise(F.lit("RESOLVED")))

@@ -32,7 +32,7 @@ def pk_unique(df: DataFrame, col: str, table: str) -> DataFrame:
     return d.select(F.lit(f"{table}_pk_unique").alias("check_name"), F.lit(table).alias("table_name"),
                     (F.col("violations") == 0).alias("passed"), "violations",
                     F.when(F.col("violations") > 0,
-                           F.lit(f"Duplicate {col} values found in {table} table")).alias("message"))
+                           F.lit(f"{table}.{col} is not unique")).alias("message"))
 
 
 def fk_orphan_keys(child: DataFrame, parent: DataFrame, col: str, parent_col: str | None = None,
@@ -56,7 +56,7 @@ def fk_check(child: DataFrame, parent: DataFrame, col: str, name: str, child_tab
     return o.select(F.lit(name).alias("check_name"), F.lit(child_table).alias("table_name"),
                     (F.col("violations") == 0).alias("passed"), "violations",
                     F.when(F.col("violations") > 0, F.format_string(
-                        f"{child_table} table contains %d orphan {col} references", "violations"))
+                        f"{child_table}.{col}: %d keys without a parent", "violations"))
                     .alias("message"))
 
 

@@ -165,7 +165,7 @@ def rule_check(spark, components: DataFrame | None, null_kind: str = "null") ->
     if components is None:
         from ..session import literal_rows
         return literal_rows(
-            spark, [("BusinessRuleValidator", "SKIPPED", "INFO", 1.0, 0, "SQL analysis missing for source or target query.")],
+            spark, [("BusinessRuleValidator", "SKIPPED", "INFO", 1.0, 0, "no components of both queries to compare")],
             "check_name string, status string, severity string, score double, mismatch_count long, summary string")
     s = structural_summary(components, null_kind)
     n = F.col("n_diffs")

@@ -215,9 +215,9 @@ def i14(spark, sf):
 @query("i16_limitations", _COMP.replace("WITH ", derived.cte("facts").rstrip() + ",\n", 1) + """,
 g AS (SELECT migration_id, round(CAST(sum(CASE WHEN status IN ('SCORED', 'ERROR') THEN points ELSE 0 END) AS DOUBLE), 1) AS cov,
   list(name ORDER BY position) FILTER (WHERE status = 'NOT_APPLICABLE') AS sk FROM comp GROUP BY migration_id)
-SELECT migration_id, 1 AS ordinal, 'Evidence coverage is ' || CAST(cov AS VARCHAR) || '%. Skipped validators: ' || array_to_string(sk, ', ') || '.' AS limitation
+SELECT migration_id, 1 AS ordinal, 'evidence covers ' || CAST(cov AS VARCHAR) || '%; not run: ' || array_to_string(sk, ', ') || '.' AS limitation
 FROM g WHERE cov < 100.0 AND len(sk) > 0
-UNION ALL SELECT migration_id, 2, 'Migration required AI-assisted repair. Verified by deterministic re-validation.' FROM facts WHERE repair_attempted""")
+UNION ALL SELECT migration_id, 2, 'repaired with model help, then validated again' FROM facts WHERE repair_attempted""")
 def i16(spark, sf):
     return A.limitations(A.component_scores(_checks(spark, sf)), derived.load(spark, sf, "facts"))
 

@@ -227,8 +227,8 @@ _ROWCHECK_CTES = _ORDERS_RES + _SUMMARY_SQL.format(clean=_ORDERS_CLEAN).replace(
 _ROWCHECK_SELECT = """
 SELECT 'RowValidator' AS check_name, status, CASE WHEN status = 'PASS' THEN 'INFO' ELSE 'CRITICAL' END AS severity, score,
  CAST(mismatch_count AS BIGINT) AS mismatch_count,
- CASE WHEN status = 'PASS' THEN printf('Row comparison: %d/%d keys matched exactly.', rows_matched, rows_compared)
- ELSE printf('Row mismatch detected: %d value/key discrepancy(ies).', mismatch_count) END AS summary FROM fin
+ CASE WHEN status = 'PASS' THEN printf('%d rows agree over %d shared keys', rows_matched, rows_compared)
+ ELSE printf('%d rows or cells differ', mismatch_count) END AS summary FROM fin
 """
 
 
@@ -247,7 +247,7 @@ ev AS (
  UNION ALL SELECT 2, o_orderkey, 0, CASE WHEN category = 'MISSING_FROM_TARGET' THEN 'MISSING_TARGET_ROW' ELSE 'MISSING_SOURCE_ROW' END,
    NULL, NULL, NULL, category FROM unp
  UNION ALL SELECT 3, NULL, 0, 'DUPLICATE_KEY_WARNING', NULL,
-   printf('Comparison key [''o_orderkey''] is non-unique across %d key groups.', n), NULL, 'NON_UNIQUE_KEY_WARNING'
+   printf('key [''o_orderkey''] repeats in %d groups', n), NULL, 'NON_UNIQUE_KEY_WARNING'
    FROM (SELECT count(*) AS n FROM ks WHERE ks > 0 AND kt > 0 AND (ks > 1 OR kt > 1)) WHERE n > 0)
 SELECT type, CASE WHEN cls = 3 THEN CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) ELSE map([ 'o_orderkey' ], [ CAST(o_orderkey AS VARCHAR) ]) END AS key,
  "column", source_value, target_value, category
@@ -398,15 +398,15 @@ ed AS (SELECT CAST(CASE WHEN (SELECT {_NUL} FROM orders_src) <> (SELECT {_NUL} F
         + (SELECT count(*) FROM bad) AS BIGINT) AS mm)
 SELECT 'SchemaValidator' AS check_name, CASE WHEN n = ok THEN 'PASS' ELSE 'FAIL' END AS status,
  CASE WHEN n = ok THEN 'INFO' ELSE 'CRITICAL' END AS severity, round(ok / n, 4) AS score,
- CAST(n - ok AS BIGINT) AS mismatch_count, printf('Schema comparison: %d/%d columns compatible.', ok, n) AS summary,
+ CAST(n - ok AS BIGINT) AS mismatch_count, printf('%d of %d columns fit', ok, n) AS summary,
  0 AS check_order FROM sch
 UNION ALL SELECT *, 1 FROM rowchk
 UNION ALL SELECT 'AggregateValidator', CASE WHEN total = ok THEN 'PASS' ELSE 'FAIL' END,
  CASE WHEN total = ok THEN 'INFO' ELSE 'HIGH' END, round(ok / total, 4), CAST(total - ok AS BIGINT),
- printf('Aggregate metrics mismatched: %d', total - ok), 2 FROM ag
-UNION ALL SELECT 'BusinessRuleValidator', 'SKIPPED', 'INFO', 1.0, 0, 'SQL analysis missing for source or target query.', 3
+ printf('%d aggregates differ', total - ok), 2 FROM ag
+UNION ALL SELECT 'BusinessRuleValidator', 'SKIPPED', 'INFO', 1.0, 0, 'no components of both queries to compare', 3
 UNION ALL SELECT 'EdgeCaseValidator', CASE WHEN mm = 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN mm = 0 THEN 'INFO' ELSE 'HIGH' END,
- CASE WHEN mm = 0 THEN 1.0 ELSE 0.0 END, mm, 'Edge case scenario ''EDGE_CASE''', 4 FROM ed
+ CASE WHEN mm = 0 THEN 1.0 ELSE 0.0 END, mm, 'edge cases: EDGE_CASE', 4 FROM ed
 """
 
 

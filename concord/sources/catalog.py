@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +20,14 @@ def register_views(spark: SparkSession, tables: dict[str, str], fmt: str = "parq
     created)."""
     if not tables:
         raise DatasetError("dataset has no tables")
-    for name, path in tables.items():
-        if "://" not in path and not os.path.exists(path):
-            raise DatasetError(f"table file for '{name}' not found: {path}")
     out = {}
     for name, path in tables.items():
-        df = spark.read.format(fmt).load(path)
+        try:  # Spark looks where its readers would, on any file system
+            out[name] = spark.read.format(fmt).load(path)
+        except AnalysisException as exc:
+            raise DatasetError(f"no table {name!r} at {path}") from exc
+    for name, df in out.items():
         df.createOrReplaceTempView(name)
-        out[name] = df
     return out
 
 
