@@ -32,4 +32,4 @@ def query(name: str, oracle: str | None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_compare, q_idioms, q_inject, q_quality, q_structure, q_diagnose, q_outcome, q_assurance, q_sources  # noqa: F401
+    from . import q_compare, q_idioms, q_inject, q_quality, q_structure, q_diagnose, q_outcome, q_assurance, q_sources, q_lifecycle  # noqa: F401

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class TableNameCollision(ValueError):
@@ -50,9 +51,11 @@ def ingest_files(spark: SparkSession, paths: list[str], out_dir: str) -> dict[st
     return out
 
 
-def ingest_csv(spark: SparkSession, path: str, dest: str) -> DataFrame:
-    """A3: header + type inference, rewritten as Parquet."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+def ingest_csv(spark: SparkSession, path: str, dest: str, schema: StructType | str | None = None) -> DataFrame:
+    """A3: CSV with a header rewritten as Parquet.  With a schema the files
+    are read once; without one Spark reads them a first time to infer it."""
+    reader = spark.read.option("header", True)
+    df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
     df.write.mode("overwrite").parquet(dest)
     return spark.read.parquet(dest)
 
