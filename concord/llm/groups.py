@@ -22,12 +22,12 @@ GROUP_CHARS = 12_000_000
 MIN_GROUPS = 64
 
 
-def dealt(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> tuple[DataFrame, int]:
+def dealt(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None, chars: int = GROUP_CHARS) -> tuple[DataFrame, int]:
     """``(grp, doc_id, text)`` of every row, with the columns ``carry`` as
-    ``c0``, ``c1``..., and the number of groups."""
+    ``c0``, ``c1``..., and the number of groups of about ``chars`` each."""
     rows = texts(docs, text, key)
     size = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    n = max(MIN_GROUPS, -(-size // GROUP_CHARS))
+    n = max(MIN_GROUPS, -(-size // chars))
     more = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])]
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
     return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("grp"), *rows.columns), n
@@ -46,9 +46,12 @@ def sorted_documents(table: pa.Table) -> tuple[list[int | None], list[str]]:
     return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
 
 
-def bounds(parts: np.ndarray, n: int) -> np.ndarray:
-    """Starts of each of n values in a sorted array, and its end."""
-    return np.searchsorted(parts, np.arange(n + 1))
+def runs(parts: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """The distinct values of a sorted array, and where each stands.  Only
+    shards that a group has keys for get a row, so the rows never outnumber
+    the keys, however many groups and shards there are."""
+    values, starts = np.unique(parts, return_index=True)
+    return values, [slice(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)])]
 
 
 def binary(values: list[bytes]) -> pa.Array:

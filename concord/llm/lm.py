@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, ship_package
-from .groups import binary, bounds, dealt, joined, sorted_documents
+from .groups import binary, dealt, joined, sorted_documents
 
 K0, GAMMA = 2.0, 0.9
 SPLITS = 16
@@ -173,8 +173,7 @@ class Group:
         pair_shard = (self.context % np.uint64(shards)).astype(np.int64)
         self.word_order = np.argsort(word_shard, kind="stable")
         self.pair_order = np.lexsort((self.successor, self.context, pair_shard))
-        self.word_at = bounds(word_shard[self.word_order], shards)
-        self.pair_at = bounds(pair_shard[self.pair_order], shards)
+        self.word_shard, self.pair_shard = word_shard[self.word_order], pair_shard[self.pair_order]
 
     def training_counts(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         taught = np.repeat(learn, self.lengths)
@@ -198,9 +197,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", ke
         g = Group(ids, all_texts, n)
         word_n, pair_n = g.training_counts(~held_out_fold(ids, folds, held))
         out = {k: [] for k in ("words", "word_n", "contexts", "context_n", "successors", "pair_n")}
-        for s in range(n):
-            w = g.word_order[g.word_at[s]:g.word_at[s + 1]]
-            p = g.pair_order[g.pair_at[s]:g.pair_at[s + 1]]
+        shards = np.union1d(g.word_shard, g.pair_shard)      # only those with keys
+        for s in shards.tolist():
+            w = g.word_order[np.searchsorted(g.word_shard, s):np.searchsorted(g.word_shard, s + 1)]
+            p = g.pair_order[np.searchsorted(g.pair_shard, s):np.searchsorted(g.pair_shard, s + 1)]
             contexts, repeats = np.unique(g.context[p], return_counts=True)
             out["words"].append(g.hash[w].tobytes())
             out["word_n"].append(word_n[w].astype(np.uint32).tobytes())
@@ -208,7 +208,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", ke
             out["context_n"].append(repeats.astype(np.uint32).tobytes())
             out["successors"].append(g.successor[p].astype(np.uint32).tobytes())
             out["pair_n"].append(pair_n[p].astype(np.uint32).tobytes())
-        return pa.table({"grp": pa.array([table.column("grp")[0].as_py()] * n, pa.int64()), "shard": pa.array(np.arange(n)),
+        return pa.table({"grp": pa.array([table.column("grp")[0].as_py()] * len(shards), pa.int64()), "shard": pa.array(shards),
                          **{k: binary(v) for k, v in out.items()}})
 
     def answer(table: pa.Table) -> pa.Table:

@@ -43,13 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship_package
-from .groups import binary, bounds, dealt, fixed_order, joined, sorted_documents
+from .groups import binary, dealt, fixed_order, joined, runs, sorted_documents
 
 SPAN = 50
 GRAM = 20
 LAST = np.iinfo(np.int64).max       # stands for a null doc_id
 _PLACE = np.uint64((1 << 24) - 1)
-_SEGMENT = 4_000_000                # windows whose anchors are searched at once
+_SEGMENT = 1_000_000                # windows whose anchors are searched at once
+CHARS = 6_000_000                   # of a group of documents
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -270,7 +271,7 @@ class Group:
         self.first, self.last, self.anchor, self.owner = pieces(self.buffer, self.start, self.end, span)
         self.shard = ((self.anchor >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
 
-    def anchors(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (shard, 40 bits of the anchor) in shard order, whether
         two documents of the group have it, its number for each piece."""
         key = self.anchor & np.uint64(0xFFFFFFFFFF)
@@ -283,12 +284,13 @@ class Group:
         number[order] = np.cumsum(new) - 1
         return k[new], s[new], several, number
 
-    def repeated(self, masks: list[bytes], shards: int) -> np.ndarray:
+    def repeated(self, masks: dict[int, bytes]) -> np.ndarray:
         """Numbers of the pieces whose anchor the shards called repeated."""
-        key, shard, _, number = self.anchors(shards)
-        at = bounds(shard, shards)
-        flags = [np.unpackbits(np.frombuffer(m, np.uint8), count=int(at[i + 1] - at[i])) for i, m in enumerate(masks)]
-        return np.flatnonzero(np.concatenate(flags).astype(bool)[number]) if len(key) else np.zeros(0, np.int64)
+        key, shard, _, number = self.anchors()
+        if not len(key):
+            return np.zeros(0, np.int64)
+        flags = [np.unpackbits(np.frombuffer(masks[s], np.uint8), count=at.stop - at.start) for s, at in zip(*_listed(shard))]
+        return np.flatnonzero(np.concatenate(flags).astype(bool)[number])
 
     def distinct(self, chosen: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
         """Distinct contents of chosen pieces, in shard order: (rows,
@@ -303,6 +305,11 @@ class Group:
         return rows[first][order], length[first][order], doc[order], shard[order], place[number]
 
 
+def _listed(shard: np.ndarray) -> tuple[list[int], list[slice]]:
+    values, places = runs(shard)
+    return values.tolist(), places
+
+
 def _packed(rows: np.ndarray, length: np.ndarray) -> bytes:
     return rows[np.arange(rows.shape[1]) < length[:, None]].tobytes()
 
@@ -314,15 +321,15 @@ def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str
     if span < GRAM + 1 or 2 * span - GRAM > 255:
         raise ValueError(f"span must be {GRAM + 1} to {(255 + GRAM) // 2}")
     ship_package(docs.sparkSession)
-    rows, n = dealt(docs, text, key, carry)
+    rows, n = dealt(docs, text, key, carry, CHARS)
     carried = [c for c in rows.columns if c not in ("grp", "doc_id", "text")]
 
     def say_anchors(table: pa.Table) -> pa.Table:
         g = Group(table, span, n)
-        keys, shard, several, _ = g.anchors(n)
-        at = bounds(shard, n)
-        parts = [(keys[at[s]:at[s + 1]], several[at[s]:at[s + 1]]) for s in range(n)]
-        return pa.table({"grp": pa.array([table.column("grp")[0].as_py()] * n, pa.int64()), "shard": pa.array(np.arange(n)),
+        keys, shard, several, _ = g.anchors()
+        shards, places = _listed(shard)
+        parts = [(keys[at], several[at]) for at in places]
+        return pa.table({"grp": pa.array([table.column("grp")[0].as_py()] * len(parts), pa.int64()), "shard": pa.array(shards, pa.int64()),
                          "low": binary([k.astype("<u4").tobytes() for k, _ in parts]),
                          "high": binary([(k >> np.uint64(32)).astype("u1").tobytes() for k, _ in parts]),
                          "several": binary([np.packbits(m).tobytes() for _, m in parts])})
@@ -338,17 +345,15 @@ def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str
                          "a": binary([np.packbits(f).tobytes() for f in np.split(found, np.cumsum(cut)[:-1])]),
                          "b": binary([b""] * len(cut)), "c": binary([b""] * len(cut))})
 
-    def masks_of(replies: pa.Table) -> list[bytes]:
-        by = dict(zip(replies.column("shard").to_pylist(), replies.column("a").to_pylist()))
-        return [by[s] for s in range(n)]
+    def masks_of(replies: pa.Table) -> dict[int, bytes]:
+        return dict(zip(replies.column("shard").to_pylist(), replies.column("a").to_pylist()))
 
     def say_pieces(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
         g = Group(docs_of, span, n)
-        chosen = g.repeated(masks_of(replies), n)
+        chosen = g.repeated(masks_of(replies))
         content, length, doc, shard, _ = g.distinct(chosen, span)
-        at = bounds(shard, n)
-        cut = [slice(at[s], at[s + 1]) for s in range(n)]
-        return pa.table({"grp": pa.array([docs_of.column("grp")[0].as_py()] * n, pa.int64()), "shard": pa.array(np.arange(n)),
+        shards, cut = _listed(shard)
+        return pa.table({"grp": pa.array([docs_of.column("grp")[0].as_py()] * len(cut), pa.int64()), "shard": pa.array(shards, pa.int64()),
                          "content": binary([_packed(content[c], length[c]) for c in cut]),
                          "length": binary([length[c].astype("u1").tobytes() for c in cut]),
                          "doc": binary([doc[c].astype("<i8").tobytes() for c in cut])})
@@ -378,10 +383,10 @@ def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str
 
     def cut_documents(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
         g = Group(docs_of, span, n)
-        kinds = np.array(replies.column("kind").to_pylist())
-        chosen = g.repeated(masks_of(replies.filter(pa.array(kinds == 0))), n)
+        kinds = np.array(replies.column("kind").to_pylist(), dtype=np.int64)
+        chosen = g.repeated(masks_of(replies.filter(pa.array(kinds == 0, pa.bool_()))))
         _, _, _, _, number = g.distinct(chosen, span)
-        found = replies.filter(pa.array(kinds == 1)).sort_by("shard")
+        found = replies.filter(pa.array(kinds == 1, pa.bool_())).sort_by("shard")
         least, _ = joined(found.column("a"), "<i8")
         reps, _ = joined(found.column("b"), "<u4")
         spans = joined(found.column("c"), "<i8")[0].reshape(-1, 3)
