@@ -1,9 +1,8 @@
 """E — data quality and profiling.
 
 Checks return small frames (one row per check or per offending value);
-profiles are long frames, one row per (table, column[, value]).  Each
-table is scanned by one aggregation per pass; NULL-rate, distinct count
-and min/max share that pass.
+profiles are long frames, one row per (table, column[, value]), all of them
+from one count of every column's values per table.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.types import is_numeric
 from ..functions.values import null_like
+from ..session import literal_rows
 
 CHECK_COLS = "check_name string, table_name string, passed boolean, violations long, message string"
 
@@ -138,87 +138,93 @@ def integrity_valid(report: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- profiles
-def profile_basic(df: DataFrame, table: str, approx: bool = False) -> DataFrame:
-    """E7 + E8 in one aggregation: row count, NULL rate (4 dp), distinct
-    non-null count (exact, or HyperLogLog when ``approx``), min/max as
-    double for numeric columns."""
-    fields = df.schema.fields
-    exprs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(fields):
-        c = F.col(f.name)
-        exprs.append(F.sum(null_like(c, f.dataType).cast("long")).alias(f"_nul{i}"))
-        v = F.when(~null_like(c, f.dataType), c)
-        exprs.append((F.approx_count_distinct(v) if approx else F.count_distinct(v)).alias(f"_d{i}"))
-        if is_numeric(f.dataType):
-            exprs.append(F.min(v.cast("double")).alias(f"_min{i}"))
-            exprs.append(F.max(v.cast("double")).alias(f"_max{i}"))
-    row = df.agg(*exprs)
-    n = F.col("_n")
-    packed = F.array(*[F.struct(
-        F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"),
-        F.coalesce(F.col(f"_nul{i}"), F.lit(0)).alias("null_count"),
-        F.col(f"_d{i}").cast("long").alias("distinct_count"),
-        (F.col(f"_min{i}") if is_numeric(f.dataType) else F.lit(None).cast("double")).alias("min_val"),
-        (F.col(f"_max{i}") if is_numeric(f.dataType) else F.lit(None).cast("double")).alias("max_val"))
-        for i, f in enumerate(fields)])
-    out = row.select(n.alias("row_count"), F.explode(packed).alias("p"))
-    return out.select(F.lit(table).alias("table_name"), "p.column_name", "p.ordinal", "row_count",
-                      "p.null_count",
-                      F.when(F.col("row_count") > 0, F.round(F.col("p.null_count") / F.col("row_count"), 4))
-                      .otherwise(F.lit(0.0)).alias("null_rate"),
-                      "p.distinct_count", "p.min_val", "p.max_val")
-
-
-def profile_categorical(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """Value shares (4 dp, over non-null values) of the given string
-    columns.  Callers pass only columns with at most 20 distinct values
-    (see ``categorical_columns``), so the unpivoted group-by is small."""
-    if not columns:
-        return df.sparkSession.createDataFrame(
-            [], "table_name string, column_name string, value string, share double")
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-                      for c in columns])
-    long = df.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("value").isNotNull())
-    g = long.groupBy("column_name", "value").agg(F.count("*").alias("_c"))
-    tot = g.groupBy("column_name").agg(F.sum("_c").alias("_t"))
-    return (g.join(F.broadcast(tot), "column_name")  # one row per column
-            .select(F.lit(table).alias("table_name"), "column_name", "value",
-                    F.round(F.col("_c") / F.col("_t"), 4).alias("share")))
-
-
-def categorical_columns(df: DataFrame, basic: DataFrame, limit: int = 20) -> list[str]:
-    """String columns with at most ``limit`` distinct values.  Reads the
-    one-row-per-column profile only (metadata-sized)."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not strings:
-        return []
-    rows = (basic.filter(F.col("column_name").isin(strings) & (F.col("distinct_count") <= limit))
-            .select("column_name", "ordinal").collect())
-    return [r["column_name"] for r in sorted(rows, key=lambda r: r["ordinal"])]
-
-
-def dataset_profile(tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:
+SHARE_LIMIT = 20        # distinct values up to which a text column gets shares
+LABEL_CHARS = 256       # longer values are told apart by their hash
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """``(ordinal, value, n, min_val, max_val)``: how often each value of
+    each column occurs, in one pass over the table.  NULL and float NaN are
+    the null value; -0.0 is 0.0; a value longer than ``LABEL_CHARS`` is its
+    first characters and its SHA-256.  Counting is two-stage: map tasks add
+    up what they have before the shuffle on (column, value), which spreads
+    every column over all partitions."""
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.when(c.isNotNull(), F.to_json(F.struct(c)))
+        elif isinstance(f.dataType, T.BinaryType):
+            text = F.hex(c)
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            text = F.when(~null_like(c, f.dataType), (c + F.lit(0.0)).cast("string"))
+        else:
+            text = c.cast("string")
+        text = F.when(F.length(text) > LABEL_CHARS, F.concat(F.substring(text, 1, 64), F.lit("#"), F.sha2(text, 256))).otherwise(text)
+        num = F.when(~null_like(c, f.dataType), c.cast("double")) if is_numeric(f.dataType) else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value"), num.alias("num")))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "ordinal int, value string, n long, min_val double, max_val double")
+    return (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+            .groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("min_val"), F.max("num").alias("max_val")))
+
+
+def _columns(df: DataFrame, table: str) -> DataFrame:
+    """One row per column, from the schema alone."""
+    return literal_rows(df.sparkSession, [(table, f.name, i, isinstance(f.dataType, T.StringType)) for i, f in enumerate(df.schema.fields)],
+                        "table_name string, column_name string, ordinal int, is_text boolean")
+
+
+def _basic(columns: DataFrame, counts: DataFrame) -> DataFrame:
+    per = counts.groupBy("ordinal").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
+        F.count("value").alias("distinct_count"), F.min("min_val").alias("min_val"), F.max("max_val").alias("max_val"))
+    b = columns.join(per, "ordinal", "left").fillna(0, ["row_count", "null_count", "distinct_count"])
+    return b.withColumn("null_rate", F.when(F.col("row_count") > 0, F.round(F.col("null_count") / F.col("row_count"), 4)).otherwise(F.lit(0.0)))
+
+
+def profile_basic(df: DataFrame, table: str) -> DataFrame:
+    """E7 + E8: row count, NULL rate (4 dp), exact distinct non-null count,
+    min/max as double for numeric columns; one row per column."""
+    return _basic(_columns(df, table), value_counts(df)).select(
+        "table_name", "column_name", "ordinal", "row_count", "null_count", "null_rate", "distinct_count", "min_val", "max_val")
+
+
+def _shares(basic: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+    few = basic.filter(F.col("is_text") & (F.col("distinct_count") <= limit)).select(
+        "ordinal", "table_name", "column_name", (F.col("row_count") - F.col("null_count")).alias("total"))
+    return counts.filter(F.col("value").isNotNull()).join(few, "ordinal").select(
+        "table_name", "column_name", "value", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+
+
+def profile_categorical(df: DataFrame, table: str, limit: int = SHARE_LIMIT) -> DataFrame:
+    """Value shares (4 dp, over non-null values) of the string columns
+    with at most ``limit`` distinct values; ``dataset_profile`` names the
+    columns that have more."""
+    counts = value_counts(df)
+    return _shares(_basic(_columns(df, table), counts), counts, limit)
+
+
+def dataset_profile(tables: dict[str, DataFrame], limit: int = SHARE_LIMIT) -> DataFrame:
     """Long form ``(table_name, column_name, metric, label, value)``
-    over every table: row_count, null_rate, distinct_count, min, max and
-    one ``share`` row per category of low-cardinality string columns."""
+    over every table: row_count, null_rate, distinct_count, min, max, one
+    ``share`` row per value of the text columns with at most ``limit``
+    distinct values, and ``shares_omitted`` (their number) for the others.
+    Nothing runs while the plan is built; each table is scanned once."""
     parts = []
     for name, df in tables.items():
-        b = profile_basic(df, name, approx)
-        b = b.persist()
-        cats = categorical_columns(df, b)
+        counts = value_counts(df)
+        b = _basic(_columns(df, name), counts)
         metrics = F.array(
             F.struct(F.lit("row_count").alias("metric"), F.col("row_count").cast("double").alias("value")),
             F.struct(F.lit("null_rate").alias("metric"), F.col("null_rate").alias("value")),
             F.struct(F.lit("distinct_count").alias("metric"), F.col("distinct_count").cast("double").alias("value")),
+            F.struct(F.lit("shares_omitted").alias("metric"), F.when(F.col("is_text") & (F.col("distinct_count") > limit), F.col("distinct_count").cast("double")).alias("value")),
             F.struct(F.lit("min").alias("metric"), F.col("min_val").alias("value")),
             F.struct(F.lit("max").alias("metric"), F.col("max_val").alias("value")))
-        long = (b.select("table_name", "column_name", F.explode(metrics).alias("m"))
-                .select("table_name", "column_name", "m.metric", F.lit(None).cast("string").alias("label"),
-                        "m.value").filter(F.col("value").isNotNull()))
-        parts.append(long)
-        parts.append(profile_categorical(df, name, cats).select(
-            "table_name", "column_name", F.lit("share").alias("metric"), F.col("value").alias("label"),
-            F.col("share").alias("value")))
+        parts.append(b.select("table_name", "column_name", F.explode(metrics).alias("m"))
+                     .select("table_name", "column_name", "m.metric", F.lit(None).cast("string").alias("label"), "m.value")
+                     .filter(F.col("value").isNotNull()))
+        parts.append(_shares(b, counts, limit).select(
+            "table_name", "column_name", F.lit("share").alias("metric"), F.col("value").alias("label"), F.col("share").alias("value")))
     return reduce(DataFrame.unionByName, parts)
-
-

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import inject, quality
 from ..operators.quality import Rule
-from ..session import read_table
+from ..session import TABLES, read_table
 from . import derived
+from .q_sources import COLUMNS
 from .registry import query
 
-# (name, kind) with kind num / str / ts, in table order
-SCHEMAS = {
-    "customer": [("c_custkey", "num"), ("c_name", "str"), ("c_nationkey", "num"), ("c_acctbal", "dbl"),
-                 ("c_mktsegment", "str")],
-    "orders": [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "str"), ("o_totalprice", "dbl"),
-               ("o_orderdate", "ts"), ("o_orderpriority", "str")],
-    "part": [("p_partkey", "num"), ("p_name", "str"), ("p_brand", "str"), ("p_type", "str"), ("p_size", "num"),
-             ("p_retailprice", "dbl")],
-}
-
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY")
 
 
@@ -104,68 +98,70 @@ def e06(spark, sf):
     return quality.integrity_report(tables, _E06_RULES).drop("message")
 
 
+def _kind(column: str) -> str:
+    """num, dbl, str or other, by the driver tables' schemas."""
+    if column in ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"):
+        return "dbl"
+    if column in ("o_orderdate", "l_shipdate", "ts", "embedding"):
+        return "other"
+    if column.endswith(("key", "_id", "turn", "label", "n_chars", "p_size", "l_linenumber", "quality", "toxic")):
+        return "num"
+    return "str"
+
+
 def _profile_sql(table: str) -> str:
     parts = []
-    for i, (c, k) in enumerate(SCHEMAS[table]):
+    for i, c in enumerate(COLUMNS[table].split()):
+        k = _kind(c)
         nul = f"count(*) FILTER (WHERE {c} IS NULL" + (f" OR isnan({c}))" if k == "dbl" else ")")
         mn = f"CAST(min({c}) AS DOUBLE)" if k in ("num", "dbl") else "CAST(NULL AS DOUBLE)"
         mx = f"CAST(max({c}) AS DOUBLE)" if k in ("num", "dbl") else "CAST(NULL AS DOUBLE)"
         parts.append(
             f"SELECT '{table}' AS table_name, '{c}' AS column_name, {i} AS ordinal, count(*) AS row_count, {nul} AS null_count, "
             f"CASE WHEN count(*) > 0 THEN round({nul} / count(*), 4) ELSE 0.0 END AS null_rate, "
-            f"count(DISTINCT {c}) AS distinct_count, {mn} AS min_val, {mx} AS max_val FROM {table}")
+            f"count(DISTINCT {c}) AS distinct_count, {mn} AS min_val, {mx} AS max_val, {k == 'str'} AS is_text FROM {table}")
     return " UNION ALL ".join(parts)
 
 
-@query("e07_profile_basic", _profile_sql("customer") + " UNION ALL " + _profile_sql("orders"))
+_ALL_PROFILES = " UNION ALL ".join(_profile_sql(t) for t in TABLES)
+
+
+@query("e07_profile_basic", f"SELECT * EXCLUDE (is_text) FROM ({_ALL_PROFILES})")
 def e07(spark, sf):
-    return quality.profile_basic(read_table(spark, sf, "customer"), "customer").unionByName(
-        quality.profile_basic(read_table(spark, sf, "orders"), "orders"))
+    return reduce(DataFrame.unionByName, [quality.profile_basic(read_table(spark, sf, t), t) for t in TABLES])
 
 
-@query("e08_profile_numeric", "SELECT table_name, column_name, min_val, max_val FROM (" + _profile_sql("part")
-       + ") WHERE min_val IS NOT NULL")
+@query("e08_profile_numeric", f"SELECT table_name, column_name, min_val, max_val FROM ({_ALL_PROFILES}) WHERE min_val IS NOT NULL")
 def e08(spark, sf):
-    return (quality.profile_basic(read_table(spark, sf, "part"), "part")
-            .filter(F.col("min_val").isNotNull()).select("table_name", "column_name", "min_val", "max_val"))
+    return e07(spark, sf).filter(F.col("min_val").isNotNull()).select("table_name", "column_name", "min_val", "max_val")
 
 
 def _cat_sql(table: str) -> str:
     parts = []
-    for c, k in SCHEMAS[table]:
-        if k != "str":
-            continue
-        parts.append(
-            f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, "
-            f"round(count(*) / sum(count(*)) OVER (), 4) AS share FROM {table} WHERE {c} IS NOT NULL "
-            f"AND (SELECT count(DISTINCT {c}) FROM {table}) <= 20 GROUP BY {c}")
+    for c in COLUMNS[table].split():
+        if _kind(c) == "str":
+            parts.append(
+                f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, "
+                f"round(count(*) / sum(count(*)) OVER (), 4) AS share FROM {table} WHERE {c} IS NOT NULL "
+                f"AND (SELECT count(DISTINCT {c}) FROM {table}) <= 20 GROUP BY {c}")
     return " UNION ALL ".join(parts)
 
 
-@query("e09_profile_categorical", _cat_sql("orders") + " UNION ALL " + _cat_sql("part"))
+_ALL_SHARES = " UNION ALL ".join(x for x in map(_cat_sql, TABLES) if x)
+
+
+@query("e09_profile_categorical", _ALL_SHARES)
 def e09(spark, sf):
-    out = None
-    for t in ("orders", "part"):
-        df = read_table(spark, sf, t)
-        cats = quality.categorical_columns(df, quality.profile_basic(df, t))
-        p = quality.profile_categorical(df, t, cats)
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def _e10_sql() -> str:
-    base = " UNION ALL ".join(_profile_sql(t) for t in ("customer", "orders", "part"))
-    cats = " UNION ALL ".join(_cat_sql(t) for t in ("customer", "orders", "part"))
-    return f"""WITH b AS ({base}), m AS (
+    return reduce(DataFrame.unionByName, [quality.profile_categorical(read_table(spark, sf, t), t) for t in TABLES])
+
+
+@query("e10_dataset_profile", f"""WITH b AS ({_ALL_PROFILES})
  SELECT table_name, column_name, 'row_count' AS metric, CAST(NULL AS VARCHAR) AS label, CAST(row_count AS DOUBLE) AS value FROM b
  UNION ALL SELECT table_name, column_name, 'null_rate', NULL, CAST(null_rate AS DOUBLE) FROM b
  UNION ALL SELECT table_name, column_name, 'distinct_count', NULL, CAST(distinct_count AS DOUBLE) FROM b
+ UNION ALL SELECT table_name, column_name, 'shares_omitted', NULL, CAST(distinct_count AS DOUBLE) FROM b WHERE is_text AND distinct_count > 20
  UNION ALL SELECT table_name, column_name, 'min', NULL, min_val FROM b WHERE min_val IS NOT NULL
  UNION ALL SELECT table_name, column_name, 'max', NULL, max_val FROM b WHERE max_val IS NOT NULL
- UNION ALL SELECT table_name, column_name, 'share', value, share FROM ({cats}))
-SELECT * FROM m"""
-
-
-@query("e10_dataset_profile", _e10_sql())
+ UNION ALL SELECT table_name, column_name, 'share', value, share FROM ({_ALL_SHARES})""")
 def e10(spark, sf):
-    return quality.dataset_profile({t: read_table(spark, sf, t) for t in ("customer", "orders", "part")})
+    return quality.dataset_profile({t: read_table(spark, sf, t) for t in TABLES})
