@@ -116,6 +116,60 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
     return out
 
 
+EVIDENCE_SCHEMA = ("check_name string, type string, key map<string,string>, column string, source_value string, "
+                   "target_value string, category string")
+
+
+def schema_evidence(src: DataFrame, tgt: DataFrame, order_matters: bool = True) -> DataFrame:
+    """Evidence of the schema check, from schema metadata alone."""
+    from ...functions.types import normalize_type_name
+    s = {f.name: f.dataType.simpleString().upper() for f in src.schema.fields}
+    t = {f.name: f.dataType.simpleString().upper() for f in tgt.schema.fields}
+    rows = [(c, s[c], None, "COLUMN_MISSING") for c in s if c not in t] + [(c, None, t[c], "COLUMN_EXTRA") for c in t if c not in s]
+    rows += [(c, s[c], t[c], "TYPE_CHANGED") for c in s if c in t and normalize_type_name(s[c]) != normalize_type_name(t[c])]
+    if order_matters and set(s) == set(t) and list(s) != list(t):
+        rows.append((None, ",".join(s), ",".join(t), "COLUMN_ORDER_CHANGED"))
+    return literal_rows(src.sparkSession, rows, "column string, source_value string, target_value string, category string").withColumns(
+        {"check_name": F.lit("SchemaValidator"), "type": F.lit("SCHEMA_MISMATCH")})
+
+
+def evidence(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None = None) -> DataFrame:
+    """All evidence of the schema, row, aggregate and edge checks of a pair
+    in one table (``EVIDENCE_SCHEMA``).  Aggregates are written with eleven
+    significant digits, as sums depend on the order of adding."""
+    from .aggregates import aggregate_diff, default_specs
+    from .edges import boundary_keyset_diff, null_count_diff
+    config = config or ValidationConfig()
+    keys = list(config.keys) if config.keys else None
+    specs = default_specs(src, tgt)
+    digits = lambda c: F.format_string("%.10e", c)
+    parts = [
+        schema_evidence(src, tgt, config.order_matters),
+        compare_rows(src, tgt, keys, config.compare).evidence_rows.withColumn("check_name", F.lit("RowValidator")),
+        aggregate_diff(src, tgt, specs, config.compare.abs_tol, config.compare.rel_tol).filter(~F.col("matched")).select(
+            F.lit("AggregateValidator").alias("check_name"), F.lit("AGGREGATE_MISMATCH").alias("type"), "column",
+            digits("source_value").alias("source_value"), digits("target_value").alias("target_value"), F.col("function").alias("category")),
+        null_count_diff(src, tgt, specs).filter("differs").select(
+            F.lit("EdgeCaseValidator").alias("check_name"), F.lit("EDGE_CASE_FAILURE").alias("type"),
+            F.col("source_nulls").cast("string").alias("source_value"), F.col("target_nulls").cast("string").alias("target_value"), F.lit("NULL_SEMANTICS").alias("category")),
+        boundary_keyset_diff(src, tgt, keys, config.boundaries).select(
+            F.lit("EdgeCaseValidator").alias("check_name"), F.lit("EDGE_CASE_FAILURE").alias("type"),
+            F.create_map(F.col("key_column"), F.format_string("%.2f", "value")).alias("key"), "column",
+            F.col("source_only_keys").cast("string").alias("source_value"), F.col("target_only_keys").cast("string").alias("target_value"),
+            F.lit("BOUNDARY_VALUE").alias("category"))]
+    out = None
+    for p in parts:
+        p = _shaped(p)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _shaped(df: DataFrame) -> DataFrame:
+    cols = [x.split() for x in EVIDENCE_SCHEMA.split(", ")]
+    empty = {"key": F.create_map().cast("map<string,string>")}
+    return df.select(*[(F.col(c) if c in df.columns else empty.get(c, F.lit(None))).cast(t).alias(c) for c, t in cols])
+
+
 def _error_row(spark: SparkSession, name: str, exc: Exception) -> DataFrame:
     return literal_rows(spark, [(name, "ERROR", "HIGH", 0.0, 0, f"check stopped: {exc}")],
                         CHECK_SCHEMA)

@@ -308,12 +308,26 @@ class RowComparison:
                           "differing_cells", "mismatch_count", "one_to_one", "score", "status")
 
     # --------------------------------------------------------------- D13
+    @property
+    def evidence_rows(self) -> DataFrame:
+        """All evidence: ``type``, ``key``, ``column``,
+        ``source_value``, ``target_value``, ``category``."""
+        return self._ranked_evidence.drop("_cls", "_k", "_ord")
+
     def evidence(self, n: int | None = None) -> DataFrame:
-        """Deterministic top-n evidence plus the full count.
+        """The first n of ``evidence_rows``, with the number of all
+        (``total_count``) and whether some are left out (``truncated``).
 
         Order: missing keys, extra keys, then cells and unpaired rows by
         key, then the duplicate-key warning."""
         n = self.cfg.max_evidence if n is None else n
+        ev = self._ranked_evidence
+        total = ev.agg(F.count(F.lit(1)).alias("n")).scalar()
+        top = ev.orderBy("_cls", "_k", "_ord", "column", "source_value", "target_value").limit(n)
+        return top.drop("_cls", "_k", "_ord").withColumns({"total_count": total, "truncated": total > n})
+
+    @cached_property
+    def _ranked_evidence(self) -> DataFrame:
         keymap = F.create_map(*[x for k in self.keys for x in (F.lit(k), F.col(k).cast("string"))]) \
             if self.keys else F.create_map().cast("map<string,string>")
         null_s = F.lit(None).cast("string")
@@ -346,9 +360,7 @@ class RowComparison:
                         F.format_string("key %s repeats in %d groups",
                                         F.lit(str(self.keys)), F.col("_n")).alias("source_value"),
                         null_s.alias("target_value"), F.lit(WARNING).alias("category")))
-        ev = pres.unionByName(cells).unionByName(unp).unionByName(warn)
-        top = ev.orderBy("_cls", "_k", "_ord", "column", "source_value", "target_value").limit(n)
-        return top.drop("_cls", "_k", "_ord")
+        return pres.unionByName(cells).unionByName(unp).unionByName(warn)
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

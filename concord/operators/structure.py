@@ -225,7 +225,8 @@ def resolve_references(refs: DataFrame, catalog: DataFrame, ctes: DataFrame | No
     unresolved table reports only its tables (kind ``TABLE``); otherwise
     qualified columns must exist in their table and unqualified columns in
     at least one referenced table (kind ``COLUMN``); duplicates removed.
-    ``ctes``: optional ``(query_id, name)`` exempt from the table check."""
+    ``ctes``: optional ``(query_id, name)``; their names and the columns
+    they qualify are not checked."""
     r = refs.select("query_id", F.lower("table_name").alias("t"), F.lower("column_name").alias("c"),
                     F.col("table_name"), F.col("column_name"), F.lower("scope_table").alias("scope"))
     cat = catalog.select(F.lower("table_name").alias("ct"), F.lower("column_name").alias("cc")).distinct()
@@ -239,8 +240,10 @@ def resolve_references(refs: DataFrame, catalog: DataFrame, ctes: DataFrame | No
                               F.lit(None).cast("string").alias("column_name"))
     ok_q = r.select("query_id").distinct().join(unresolved.select("query_id").distinct(), "query_id", "left_anti")
     rr = r.join(ok_q, "query_id", "left_semi")
-    qual = (rr.filter(F.col("t").isNotNull())
-            .join(cat, (F.col("t") == F.col("ct")) & (F.col("c") == F.col("cc")), "left_anti")
+    qual = rr.filter(F.col("t").isNotNull())
+    if ctes is not None:
+        qual = qual.join(ctes.select("query_id", F.lower("name").alias("t")), ["query_id", "t"], "left_anti")
+    qual = (qual.join(cat, (F.col("t") == F.col("ct")) & (F.col("c") == F.col("cc")), "left_anti")
             .select("query_id", F.lit("COLUMN").alias("kind"), F.col("t").alias("table_name"), "column_name"))
     # unqualified: the column must exist in one of the query's tables
     qs = scopes.join(ok_q, "query_id", "left_semi")
@@ -253,17 +256,23 @@ def resolve_references(refs: DataFrame, catalog: DataFrame, ctes: DataFrame | No
     return bad_t.unionByName(cols)
 
 
-def preflight_status(refs: DataFrame, catalog: DataFrame, ctes: DataFrame | None = None) -> DataFrame:
-    """F11 per query: PASS or FAILED with ``INPUT_SCHEMA_MISMATCH``."""
+def preflight_status(refs: DataFrame, catalog: DataFrame, ctes: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """F11 per query: PASS, or FAILED with ``INPUT_SCHEMA_MISMATCH``, or with
+    ``DATASET_NOT_FOUND`` (nothing else checked) for a query that is not in
+    ``known``, the queries whose dataset exists."""
     d = resolve_references(refs, catalog, ctes)
     per = d.groupBy("query_id").agg(F.count(F.when(F.col("kind") == "TABLE", 1)).alias("unresolved_tables"),
                                     F.count(F.when(F.col("kind") == "COLUMN", 1)).alias("missing_columns"))
     q = refs.select("query_id").distinct().join(per, "query_id", "left").fillna(0, ["unresolved_tables",
                                                                                      "missing_columns"])
-    bad = (F.col("unresolved_tables") + F.col("missing_columns")) > 0
+    if known is not None:
+        q = q.join(known.select("query_id").distinct().withColumn("_known", F.lit(True)), "query_id", "left")
+    lost = F.col("_known").isNull() if known is not None else F.lit(False)
+    bad = lost | ((F.col("unresolved_tables") + F.col("missing_columns")) > 0)
+    count = lambda c: F.when(lost, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
     return q.select("query_id", F.when(bad, F.lit("FAILED")).otherwise(F.lit("PASS")).alias("status"),
-                    F.when(bad, F.lit("INPUT_SCHEMA_MISMATCH")).alias("failure_category"),
-                    "unresolved_tables", "missing_columns", (~bad).alias("execution_allowed"))
+                    F.when(lost, F.lit("DATASET_NOT_FOUND")).when(bad, F.lit("INPUT_SCHEMA_MISMATCH")).alias("failure_category"),
+                    count("unresolved_tables"), count("missing_columns"), (~bad).alias("execution_allowed"))
 
 
 # ---------------------------------------------------------------- F12

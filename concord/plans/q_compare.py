@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.values import display_value  # noqa: F401
 from ..operators.compare.aggregates import aggregate_diff, aggregate_stats, default_specs
 from ..operators.compare.edges import boundary_keyset_diff, edge_check, null_count_diff
-from ..operators.compare.report import report_rollup, row_check, validate
+from ..operators.compare.report import evidence, report_rollup, row_check, validate
 from ..operators.compare.rows import compare_rows
 from ..operators.compare.schema import schema_diff, schema_summary
 from ..session import read_table
@@ -238,7 +238,7 @@ def d12_row_check(spark, sf):
     return row_check(s, t)
 
 
-@query("d13_top_evidence", _ORDERS_RES + """,
+_EV = _ORDERS_RES + """,
 pres AS (SELECT o_orderkey, CASE WHEN kt = 0 THEN 0 ELSE 1 END AS cls FROM ks WHERE ks = 0 OR kt = 0),
 ev AS (
  SELECT cls, o_orderkey, 0 AS ord, CASE WHEN cls = 0 THEN 'MISSING_TARGET_ROW' ELSE 'MISSING_SOURCE_ROW' END AS type,
@@ -249,8 +249,13 @@ ev AS (
  UNION ALL SELECT 3, NULL, 0, 'DUPLICATE_KEY_WARNING', NULL,
    printf('key [''o_orderkey''] repeats in %d groups', n), NULL, 'NON_UNIQUE_KEY_WARNING'
    FROM (SELECT count(*) AS n FROM ks WHERE ks > 0 AND kt > 0 AND (ks > 1 OR kt > 1)) WHERE n > 0)
-SELECT type, CASE WHEN cls = 3 THEN CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) ELSE map([ 'o_orderkey' ], [ CAST(o_orderkey AS VARCHAR) ]) END AS key,
- "column", source_value, target_value, category
+"""
+_EV_KEY = "CASE WHEN cls = 3 THEN CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) ELSE map([ 'o_orderkey' ], [ CAST(o_orderkey AS VARCHAR) ]) END"
+
+
+@query("d13_top_evidence", _EV + f"""
+SELECT type, {_EV_KEY} AS key, "column", source_value, target_value, category,
+ (SELECT count(*) FROM ev) AS total_count, (SELECT count(*) > 100 FROM ev) AS truncated
 FROM ev ORDER BY cls, o_orderkey NULLS FIRST, ord, "column" NULLS FIRST, source_value NULLS FIRST, target_value NULLS FIRST LIMIT 100
 """)
 def d13_top_evidence(spark, sf):
@@ -258,6 +263,24 @@ def d13_top_evidence(spark, sf):
     return compare_rows(s, t).evidence(100)
 
 
+# every type drifts: whole to text (some no number), broken to decimal,
+# time to text, text stays
+_DRIFT = """SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'none' ELSE CAST(o_custkey AS STRING) END AS o_custkey,
+ CAST(CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS DECIMAL(18, 4)) AS o_totalprice,
+ CASE WHEN o_orderkey % 83 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS STRING) AS o_orderdate FROM orders"""
+
+
+@query("d06_type_drift", """
+SELECT o_orderkey, 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS source_value, 'none' AS target_value FROM orders WHERE o_orderkey % 97 = 0
+UNION ALL SELECT o_orderkey, 'o_totalprice', CAST(CAST(o_totalprice AS DECIMAL(38, 9)) AS VARCHAR), CAST(CAST(CAST(o_totalprice * 2 AS DECIMAL(18, 4)) AS DECIMAL(38, 9)) AS VARCHAR) FROM orders WHERE o_orderkey % 89 = 0
+UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, NULL FROM orders WHERE o_orderkey % 83 = 0 AND o_orderstatus IS NOT NULL""")
+def d06_type_drift(spark, sf):
+    orders = read_table(spark, sf, "orders")
+    orders.createOrReplaceTempView("orders")
+    src = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"))
+    return compare_rows(src, spark.sql(_DRIFT)).cells
+
+
 # ---------------------------------------------------------- D14-D16
 _ICOLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
 
@@ -416,6 +439,26 @@ def d23_validate(spark, sf):
     return validate(s, t)
 
 
+_AGG_ROWS = " UNION ALL ".join(
+    f"SELECT '{c}' AS col, '{f}' AS fn, {_agg_expr('orders_src', c, f)} AS s, {_agg_expr('orders_tgt', c, f)} AS t" for c, f in _AGG_ITEMS)
+
+
+@query("d23_evidence", _EV + f""",
+ag AS ({_AGG_ROWS}), nn AS (SELECT (SELECT {_NUL} FROM orders_src) AS s, (SELECT {_NUL} FROM orders_tgt) AS t),
+bs AS ({_OB.format(t='orders_src')}), bt AS ({_OB.format(t='orders_tgt')}),
+bk AS (SELECT coalesce(bs."column", bt."column") AS col, coalesce(bs.value, bt.value) AS value, bs.key AS sk, bt.key AS tk
+  FROM bs FULL JOIN bt ON bs."column" = bt."column" AND bs.value = bt.value AND bs.key = bt.key),
+bd AS (SELECT col, value, count(*) FILTER (WHERE tk IS NULL) AS so, count(*) FILTER (WHERE sk IS NULL) AS tg FROM bk GROUP BY ALL
+  HAVING count(sk) > 0 AND count(tk) > 0 AND (so > 0 OR tg > 0))
+SELECT 'RowValidator' AS check_name, type, {_EV_KEY} AS key, "column", source_value, target_value, category FROM ev
+UNION ALL SELECT 'AggregateValidator', 'AGGREGATE_MISMATCH', CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)), col, printf('%.10e', s), printf('%.10e', t), fn FROM ag WHERE NOT {O.values_equal('s', 'num', 't', 'num')}
+UNION ALL SELECT 'EdgeCaseValidator', 'EDGE_CASE_FAILURE', CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)), NULL, CAST(s AS VARCHAR), CAST(t AS VARCHAR), 'NULL_SEMANTICS' FROM nn WHERE s <> t
+UNION ALL SELECT 'EdgeCaseValidator', 'EDGE_CASE_FAILURE', map(['o_orderkey'], [printf('%.2f', value)]), col, CAST(so AS VARCHAR), CAST(tg AS VARCHAR), 'BOUNDARY_VALUE' FROM bd""")
+def d23_evidence(spark, sf):
+    s, t = _orders(spark, sf)
+    return evidence(s, t)
+
+
 @query("d23_validate_lineitem", None)
 def d23_validate_lineitem(spark, sf):
     s, t = _items(spark, sf)

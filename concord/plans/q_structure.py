@@ -143,7 +143,8 @@ def f10(spark, sf):
 _F11 = derived.cte("refs", "catalog") + """,
 r AS (SELECT query_id, lower(table_name) AS t, lower(column_name) AS c, table_name, column_name, lower(scope_table) AS scope FROM refs),
 cat AS (SELECT DISTINCT lower(table_name) AS ct, lower(column_name) AS cc FROM catalog),
-scopes AS (SELECT DISTINCT query_id, scope FROM r),
+ctes AS (SELECT DISTINCT query_id, scope AS name FROM r WHERE query_id % 4 = 0),
+scopes AS (SELECT DISTINCT query_id, scope FROM r WHERE (query_id, scope) NOT IN (SELECT (query_id, name) FROM ctes)),
 unres AS (SELECT * FROM scopes WHERE scope NOT IN (SELECT ct FROM cat)),
 okq AS (SELECT DISTINCT query_id FROM r WHERE query_id NOT IN (SELECT query_id FROM unres)),
 rr AS (SELECT * FROM r WHERE query_id IN (SELECT query_id FROM okq)),
@@ -151,23 +152,31 @@ have AS (SELECT DISTINCT s.query_id, cat.cc AS c FROM scopes s JOIN cat ON s.sco
 d AS (
  SELECT query_id, 'TABLE' AS kind, scope AS table_name, CAST(NULL AS VARCHAR) AS column_name FROM unres
  UNION ALL SELECT DISTINCT query_id, 'COLUMN', t, column_name FROM rr WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cat WHERE ct = rr.t AND cc = rr.c)
+   AND NOT EXISTS (SELECT 1 FROM ctes WHERE ctes.query_id = rr.query_id AND ctes.name = rr.t)
  UNION ALL SELECT DISTINCT query_id, 'COLUMN', NULL, column_name FROM rr WHERE t IS NULL AND NOT EXISTS (SELECT 1 FROM have h WHERE h.query_id = rr.query_id AND h.c = rr.c))
 """
 
 
 @query("f11_resolve_references", _F11 + "SELECT * FROM d")
 def f11(spark, sf):
-    return S.resolve_references(derived.load(spark, sf, "refs"), derived.load(spark, sf, "catalog"))
+    refs = derived.load(spark, sf, "refs")
+    return S.resolve_references(refs, derived.load(spark, sf, "catalog"), _ctes(refs))
+
+
+def _ctes(refs):
+    return refs.filter("query_id % 4 = 0").select("query_id", F.col("scope_table").alias("name")).distinct()
 
 
 @query("f11_preflight_status", _F11 + """
 , per AS (SELECT query_id, count(*) FILTER (WHERE kind = 'TABLE') AS u, count(*) FILTER (WHERE kind = 'COLUMN') AS m FROM d GROUP BY query_id),
-q AS (SELECT DISTINCT r.query_id, coalesce(per.u, 0) AS unresolved_tables, coalesce(per.m, 0) AS missing_columns FROM r LEFT JOIN per USING (query_id))
-SELECT query_id, CASE WHEN unresolved_tables + missing_columns > 0 THEN 'FAILED' ELSE 'PASS' END AS status,
- CASE WHEN unresolved_tables + missing_columns > 0 THEN 'INPUT_SCHEMA_MISMATCH' END AS failure_category,
- unresolved_tables, missing_columns, unresolved_tables + missing_columns = 0 AS execution_allowed FROM q""")
+q AS (SELECT DISTINCT r.query_id, r.query_id % 11 = 0 AS lost, CASE WHEN lost THEN 0 ELSE coalesce(per.u, 0) END AS unresolved_tables,
+  CASE WHEN lost THEN 0 ELSE coalesce(per.m, 0) END AS missing_columns FROM r LEFT JOIN per USING (query_id))
+SELECT query_id, CASE WHEN lost OR unresolved_tables + missing_columns > 0 THEN 'FAILED' ELSE 'PASS' END AS status,
+ CASE WHEN lost THEN 'DATASET_NOT_FOUND' WHEN unresolved_tables + missing_columns > 0 THEN 'INPUT_SCHEMA_MISMATCH' END AS failure_category,
+ unresolved_tables, missing_columns, NOT lost AND unresolved_tables + missing_columns = 0 AS execution_allowed FROM q""")
 def f11b(spark, sf):
-    return S.preflight_status(derived.load(spark, sf, "refs"), derived.load(spark, sf, "catalog"))
+    refs = derived.load(spark, sf, "refs")
+    return S.preflight_status(refs, derived.load(spark, sf, "catalog"), _ctes(refs), refs.filter("query_id % 11 <> 0"))
 
 
 _KW = ", ".join(f"'{w}'" for w in S.FORBIDDEN_KEYWORDS + S.MUTATING_KEYWORDS)
