@@ -229,15 +229,27 @@ def i17(spark, sf):
     return a.select("migration_id", "final_status", A.status_to_state(F.col("final_status")).alias("state"))
 
 
-@query("i15_migration_summary", _SCORE.replace("WITH ", derived.cte("facts").rstrip() + ",\n", 1) + """
-SELECT f.migration_id, sc.evidence_score AS score_evidence_score, sc.evidence_coverage AS score_evidence_coverage,
- f.repair_attempted AS facts_repair_attempted, f.verification_status AS facts_verification_status, f.remaining AS facts_remaining
-FROM facts f LEFT JOIN sc USING (migration_id)""")
+# the seven step summaries and the score: {summary: (frame, columns)}
+_SUMMARIES = {
+    "translation": ("artifacts", ("translation_status", "candidate_status")), "execution": ("artifacts", ("target_execution_status",)),
+    "discrepancy": ("facts", ("has_critical", "remaining")), "diagnosis": ("lineage", ("diagnosis_id", "ai_diagnosis_id")),
+    "repair": ("artifacts", ("repair_id", "repair_status")), "verification": ("facts", ("verification_status", "rows_before", "rows_after")),
+}
+
+
+@query("i15_migration_summary", _SCORE.replace("WITH ", derived.cte("facts", "artifacts", "lineage").rstrip() + ",\n", 1) + """,
+v AS (SELECT migration_id, count(*) AS checks_run, count(*) FILTER (WHERE status = 'FAIL') AS checks_failed FROM checks GROUP BY migration_id)
+SELECT f.migration_id, """ + ", ".join(f"{t}.{c} AS {k}_{c}" for k, (t, cs) in _SUMMARIES.items() for c in cs) + """,
+ v.checks_run AS validation_checks_run, v.checks_failed AS validation_checks_failed, sc.evidence_score AS score_evidence_score, sc.evidence_coverage AS score_evidence_coverage
+FROM facts f LEFT JOIN facts ON facts.migration_id = f.migration_id LEFT JOIN artifacts ON artifacts.migration_id = f.migration_id
+ LEFT JOIN lineage ON lineage.migration_id = f.migration_id LEFT JOIN v ON v.migration_id = f.migration_id LEFT JOIN sc ON sc.migration_id = f.migration_id""")
 def i15(spark, sf):
-    f = derived.load(spark, sf, "facts")
-    sc = A.assurance_score(_checks(spark, sf)).select("migration_id", "evidence_score", "evidence_coverage")
-    return A.migration_summary(f, {"score": sc, "facts": f.select("migration_id", "repair_attempted",
-                                                                   "verification_status", "remaining")})
+    frames = {t: derived.load(spark, sf, t) for t in ("facts", "artifacts", "lineage")}
+    parts = {k: frames[t].select("migration_id", *cs) for k, (t, cs) in _SUMMARIES.items()}
+    checks = report_rollup(_checks(spark, sf).withColumnRenamed("migration_id", "validation_id")).withColumnRenamed("validation_id", "migration_id")
+    parts["validation"] = checks.select("migration_id", "checks_run", "checks_failed")
+    parts["score"] = A.assurance_score(_checks(spark, sf)).select("migration_id", "evidence_score", "evidence_coverage")
+    return A.migration_summary(frames["facts"].select("migration_id"), parts)
 
 
 _ART = """
