@@ -85,11 +85,30 @@ def g06(spark, sf):
     return G.signed_signals(_sig(spark, sf), link=False).select("validation_id", "signal_id", "signature")
 
 
+_LINK_CTES = """, st AS (SELECT validation_id, signal_id AS a_id, analysis_path AS a_path, source_expression AS a_src, target_expression AS a_tgt,
+  CASE WHEN starts_with(analysis_path, 'columns[') AND ends_with(analysis_path, ']') THEN regexp_extract(analysis_path, '^columns\\[(.*)\\]$', 1) END AS a_pcol
+  FROM signals WHERE source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER')),
+ex AS (SELECT *, CASE WHEN starts_with(analysis_path, 'columns[') AND ends_with(analysis_path, ']') THEN regexp_extract(analysis_path, '^columns\\[(.*)\\]$', 1) END AS pcol
+  FROM signals WHERE source_validator IN ('RowValidator', 'EdgeCaseValidator')),
+m AS (SELECT ex.validation_id, ex.signal_id, min({'i': st.a_id, 'p': st.a_path, 's': st.a_src, 't': st.a_tgt}) AS m
+  FROM ex JOIN st ON ex.validation_id = st.validation_id
+  WHERE NOT (ex.pcol IS NOT NULL AND ex.pcol <> '' AND st.a_pcol IS NOT NULL AND st.a_pcol <> '' AND ex.pcol <> st.a_pcol)
+   AND (ex.analysis_path = '' OR st.a_path = '' OR ex.analysis_path = st.a_path OR starts_with(ex.analysis_path, st.a_path) OR starts_with(st.a_path, ex.analysis_path))
+  GROUP BY ex.validation_id, ex.signal_id)"""
+# signals with the linkage applied, then classified as above
+_LINKED = _LINK_CTES + """,
+lsignals AS (SELECT * FROM signals WHERE source_validator NOT IN ('RowValidator', 'EdgeCaseValidator') UNION ALL BY NAME
+ SELECT ex.* EXCLUDE (pcol) REPLACE (coalesce(m.m.s, ex.source_expression) AS source_expression, coalesce(m.m.t, ex.target_expression) AS target_expression,
+  CASE WHEN m.m.i IS NOT NULL AND coalesce(m.m.p, '') <> '' THEN m.m.p ELSE ex.analysis_path END AS analysis_path)
+ FROM ex LEFT JOIN m ON ex.validation_id = m.validation_id AND ex.signal_id = m.signal_id)"""
+_CLS_LINKED = _CLS.replace(SIG, SIG + _LINKED, 1).replace("FROM signals)", "FROM lsignals)", 1)
+
+
 _ROWX = "(source_validator = 'RowValidator' OR contains(st, 'VALUE_MISMATCH') OR contains(st, 'mismatch'))"
 _EDGEX = f"(NOT {_ROWX} AND (source_validator = 'EdgeCaseValidator' OR contains(st, 'EDGE_CASE')))"
 _TOTAL = 400
 
-_CONS = _CLS + f""", g AS (
+_CONS = _CLS_LINKED + f""", g AS (
  SELECT validation_id, signature,
   min({{'v': source_validator, 't': st, 'p': analysis_path, 'c': category, 'sub': subcategory, 'rp': rule_path,
         's': source_expression, 'g': target_expression}}) AS f,
@@ -120,7 +139,7 @@ _CONS_COLS = ("validation_id, signature, category, subcategory, analysis_path, s
 
 
 def _cons(spark, sf):
-    return G.consolidate(_sig(spark, sf), total_rows=_TOTAL, link=False)
+    return G.consolidate(_sig(spark, sf), total_rows=_TOTAL)
 
 
 @query("g07_consolidate", _CONS + f"SELECT {_CONS_COLS} FROM d2")
@@ -135,7 +154,7 @@ def g07b(spark, sf):
     return _cons(spark, sf).select("validation_id", "signature", F.array_join("validator_checks", ",").alias("validator_checks"))
 
 
-@query("g08_typed_evidence", _CLS + f""", fc AS (SELECT validation_id, signature,
+@query("g08_typed_evidence", _CLS_LINKED + f""", fc AS (SELECT validation_id, signature,
  min({{'v': source_validator, 't': st, 'p': analysis_path, 'c': category}}).c AS gcat FROM sg GROUP BY validation_id, signature),
 e AS (SELECT sg.*, fc.gcat FROM sg JOIN fc USING (validation_id, signature)
  WHERE {_ROWX} OR source_validator = 'EdgeCaseValidator' OR contains(st, 'EDGE_CASE') OR source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER'))
@@ -148,19 +167,10 @@ SELECT validation_id, signature, CAST(ordinal AS INTEGER) AS ordinal, type, "col
   CASE WHEN source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER') THEN target_expression END AS target_result FROM e)
 WHERE ordinal <= 100""")
 def g08(spark, sf):
-    return G.typed_evidence(_sig(spark, sf), 100, link=False)
+    return G.typed_evidence(_sig(spark, sf), 100)
 
 
-_LINK = SIG + """, st AS (SELECT validation_id, signal_id AS a_id, analysis_path AS a_path, source_expression AS a_src, target_expression AS a_tgt,
-  CASE WHEN starts_with(analysis_path, 'columns[') AND ends_with(analysis_path, ']') THEN regexp_extract(analysis_path, '^columns\\[(.*)\\]$', 1) END AS a_pcol
-  FROM signals WHERE source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER')),
-ex AS (SELECT *, CASE WHEN starts_with(analysis_path, 'columns[') AND ends_with(analysis_path, ']') THEN regexp_extract(analysis_path, '^columns\\[(.*)\\]$', 1) END AS pcol
-  FROM signals WHERE source_validator IN ('RowValidator', 'EdgeCaseValidator')),
-m AS (SELECT ex.validation_id, ex.signal_id, min({'i': st.a_id, 'p': st.a_path, 's': st.a_src, 't': st.a_tgt}) AS m
-  FROM ex JOIN st ON ex.validation_id = st.validation_id
-  WHERE NOT (ex.pcol IS NOT NULL AND ex.pcol <> '' AND st.a_pcol IS NOT NULL AND st.a_pcol <> '' AND ex.pcol <> st.a_pcol)
-   AND (ex.analysis_path = '' OR st.a_path = '' OR ex.analysis_path = st.a_path OR starts_with(ex.analysis_path, st.a_path) OR starts_with(st.a_path, ex.analysis_path))
-  GROUP BY ex.validation_id, ex.signal_id)
+_LINK = SIG + _LINK_CTES + """
 SELECT ex.validation_id, ex.signal_id, coalesce(m.m.s, ex.source_expression) AS source_expression, coalesce(m.m.t, ex.target_expression) AS target_expression,
  CASE WHEN m.m.i IS NOT NULL AND coalesce(m.m.p, '') <> '' THEN m.m.p ELSE ex.analysis_path END AS analysis_path
 FROM ex LEFT JOIN m ON ex.validation_id = m.validation_id AND ex.signal_id = m.signal_id"""
