@@ -12,6 +12,8 @@ the frequent ones: they only save time, never change ids.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -28,77 +30,83 @@ class WordEncoder:
     """ids as little-endian unsigned 32-bit bytes.
 
     ``blanks_matter``: a word keeps the blank before it (byte-level files);
-    otherwise white space is dropped by the tokenizer.
+    otherwise the tokenizer drops white space and lower-cases.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, word_limit: int = 400_000, piece_limit: int = 1_100_000):
+    def __init__(self, path: str, blanks_matter: bool, word_limit: int = 200_000, piece_limit: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lead = " " if blanks_matter else ""
         self.word_limit, self.piece_limit = word_limit, piece_limit
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}       # a word that follows a blank
         self.pieces: dict[str, bytes] = {}
 
     def _batch(self, strings: list[str]) -> list[bytes]:
         encoded = self.tok.encode_batch(strings, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
-
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        """ids of words (each with its lead) that are not cached."""
-        cut: dict[str, list[str]] = {}
-        fresh: dict[str, None] = {}
-        lead = self.lead
-        for w in words:
-            body = w[len(lead):] if lead and w.startswith(lead) else w
-            if _PLAIN.fullmatch(body):
-                parts = _PIECE.findall(body)
-                if len(body) != len(w):
-                    parts[0] = lead + parts[0]
-            else:
-                parts = [w]
-            cut[w] = parts
-            for p in parts:
-                if p not in self.pieces:
-                    fresh[p] = None
-        found = dict(zip(fresh, self._batch(list(fresh)))) if fresh else {}
+        return [np.array(e.ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes() for e in encoded]
+
+    def _cut(self, word: str, lead: str) -> list[str]:
+        """Pieces of a word whose codes together are those of the word."""
+        last = word[-1:]
+        if (last == "," or last == ".") and word[:-1].isalpha() and word.isascii():
+            parts = [word[:-1], last]
+        elif word.isalpha() and word.isascii():
+            parts = [word]
+        elif _PLAIN.fullmatch(word):
+            parts = _PIECE.findall(word)
+        else:
+            return [lead + word]
+        if not self.lead:
+            return [p.lower() for p in parts]
+        parts[0] = lead + parts[0]
+        return parts
+
+    def _new(self, words: dict[str, list[str]]) -> dict[str, bytes]:
+        """Codes of words given by their pieces."""
         known = self.pieces
-        out = {w: b"".join([known[p] if p in known else found[p] for p in parts]) for w, parts in cut.items()}
+        fresh = list(dict.fromkeys([p for parts in words.values() for p in parts if p not in known]))
+        found = dict(zip(fresh, self._batch(fresh))) if fresh else {}
+        out = {w: b"".join([known[p] if p in known else found[p] for p in parts]) for w, parts in words.items()}
         _fill(known, found, self.piece_limit)
         return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text, without any end token."""
-        lead = self.lead
-        split: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        known = self.words
+        known, lead = self.words, self.lead
+        words_of: list[list[str] | None] = []
+        met: set[str] = set()
+        firsts: set[str] = set()
         for t in texts:
             if lead and _DOUBLE_SPACE.search(t):
-                split.append(None)
+                words_of.append(None)
                 continue
+            if not lead and t.isascii():
+                t = t.lower()
             ws = t.split(" ")
             if lead:
-                first = ws[0]
-                ws = [lead + w for w in ws]
-                ws[0] = first
-            split.append(ws)
-            for w in ws:
-                if w not in known:
-                    missing[w] = None
-        fresh = self._new_words(list(missing)) if missing else {}
-        look = known.get
+                firsts.add(ws[0])            # nothing stands before the first word
+                met.update(ws[1:])
+            else:
+                met.update(ws)
+            words_of.append(ws)
+        fresh = self._new({w: self._cut(w, lead) for w in met.difference(known)})
+        first = self._new({w: self._cut(w, "") for w in firsts})
+        over = len(known) + len(fresh) - self.word_limit
+        known.update(fresh)
+        look = known.__getitem__
         out = []
-        for t, ws in zip(texts, split):
+        for t, ws in zip(texts, words_of):
             if ws is None:
                 out.append(self._batch([t])[0])
-                continue
-            codes = [look(w) for w in ws]
-            if None in codes:
-                codes = [c if c is not None else fresh[w] for c, w in zip(codes, ws)]
-            out.append(b"".join(codes))
-        _fill(known, fresh, self.word_limit)
+            elif lead:
+                out.append(first[ws[0]] + b"".join(map(look, ws[1:])))
+            else:
+                out.append(b"".join(map(look, ws)))
+        if over > 0:
+            for w in islice(reversed(fresh), over):
+                del known[w]
         return out
 
 
@@ -116,7 +124,7 @@ def encoder(path: str, blanks_matter: bool) -> WordEncoder:
     return WordEncoder(path, blanks_matter)
 
 
-def chunks(items: list[str], chars: int = 4_000_000):
+def chunks(items: list[str], chars: int = 1_500_000):
     """Slices of a list of texts of about ``chars`` characters each (a
     longer text stands alone), as (first, last + 1)."""
     start = size = 0
