@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.values import display_value  # noqa: F401
 from ..operators.compare.aggregates import aggregate_diff, aggregate_stats, default_specs
 from ..operators.compare.edges import boundary_keyset_diff, edge_check, null_count_diff
 from ..operators.compare.report import evidence, report_rollup, row_check, validate
