@@ -165,7 +165,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sample = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()] if SAMPLE else []
+    sample = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()]
     names = [r.name for r, _, _ in order_rules(sample, rules)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

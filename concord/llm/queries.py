@@ -89,11 +89,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 4 quality rules -----------------------------------------------------
 
-@query("op4_quality_rules")
+_RULES_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, r, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, string_split(t, '') AS cs FROM d),
+g AS (SELECT r, i, ws[i:i + 2] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+n AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM g),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM n WHERE c > 1) GROUP BY r),
+top AS (SELECT r, max(c) AS n FROM (SELECT r, x, count(*) AS c FROM (SELECT r, unnest(ws) AS x FROM w) GROUP BY r, x) GROUP BY r),
+c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, coalesce(top.n, 0) AS top_word,
+  length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, len(list_filter(cs, lambda x: lower(x) <> upper(x))) AS cased,
+  len(list_filter(cs, lambda x: x <> lower(x))) AS upper_
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN top USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR 4 * n_symbols > n_words OR (cased > 0 AND 2 * upper_ > cased) OR 2 * n_dup_lines > n_lines OR 10 * top_word > 3 * n_words
+  OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 2 * letters < word_chars) AS kept FROM b
+"""
+
+
+@query("op4_quality_rules", _RULES_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
-    return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("rules_run")
+    # which rule came first depends on the measured order; verdicts do not
+    return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("rules_run", "rejected_by")
 
 
 # --- 5 suffix-array dedup ------------------------------------------------
