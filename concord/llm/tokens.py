@@ -15,7 +15,6 @@ import re
 import sys
 from array import array
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 
@@ -26,6 +25,49 @@ _PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?|#$%&*()]+|\n(?=\S))+")
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
+class _Pieces(dict):
+    """piece -> code; a piece that is not there is encoded, and kept while
+    there is room."""
+
+    def __init__(self, tok, limit: int):
+        self.tok, self.limit = tok, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.tok.encode(piece, add_special_tokens=False).ids
+        code = np.array(ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+        if len(self) < self.limit:
+            self[piece] = code
+        return code
+
+
+class _Words(dict):
+    """word -> code, put together from its pieces."""
+
+    def __init__(self, pieces: _Pieces, blanks_matter: bool, limit: int):
+        self.pieces, self.lead, self.fold, self.limit = pieces, " " if blanks_matter else "", not blanks_matter, limit
+
+    def __missing__(self, word: str) -> bytes:
+        pieces = self.pieces
+        code = b"".join([pieces[p] for p in cut(word, self.lead, self.fold)])
+        if len(self) < self.limit:
+            self[word] = code
+        return code
+
+
+def cut(word: str, lead: str, fold: bool = False) -> list[str]:
+    """Pieces of a word whose codes together are those of the word after
+    ``lead``; a word of other signs than the plain ones is one piece.
+    ``fold``: the tokenizer lower-cases, so plain letters may be before."""
+    last = word[-1:]
+    if (last == "," or last == ".") and word[:-1].isalpha() and word.isascii():
+        return [lead + word[:-1], last]
+    if word.isascii() and word.isalpha() or not _PLAIN.fullmatch(word):
+        return [lead + word]
+    parts = _PIECE.findall(word.lower() if fold else word)
+    parts[0] = lead + parts[0]
+    return parts
+
+
 class WordEncoder:
     """ids as little-endian unsigned 32-bit bytes.
 
@@ -33,89 +75,29 @@ class WordEncoder:
     otherwise the tokenizer drops white space and lower-cases.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, word_limit: int = 200_000, piece_limit: int = 450_000):
+    def __init__(self, path: str, blanks_matter: bool, word_limit: int = 250_000, piece_limit: int = 450_000):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.lead = " " if blanks_matter else ""
-        self.word_limit, self.piece_limit = word_limit, piece_limit
-        self.words: dict[str, bytes] = {}       # a word that follows a blank
-        self.pieces: dict[str, bytes] = {}
-
-    def _batch(self, strings: list[str]) -> list[bytes]:
-        encoded = self.tok.encode_batch(strings, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes() for e in encoded]
-
-    def _cut(self, word: str, lead: str) -> list[str]:
-        """Pieces of a word whose codes together are those of the word."""
-        last = word[-1:]
-        if (last == "," or last == ".") and word[:-1].isalpha() and word.isascii():
-            parts = [word[:-1], last]
-        elif word.isalpha() and word.isascii():
-            parts = [word]
-        elif _PLAIN.fullmatch(word):
-            parts = _PIECE.findall(word)
-        else:
-            return [lead + word]
-        if not self.lead:
-            return [p.lower() for p in parts]
-        parts[0] = lead + parts[0]
-        return parts
-
-    def _new(self, words: dict[str, list[str]]) -> dict[str, bytes]:
-        """Codes of words given by their pieces."""
-        known = self.pieces
-        fresh = list(dict.fromkeys([p for parts in words.values() for p in parts if p not in known]))
-        found = dict(zip(fresh, self._batch(fresh))) if fresh else {}
-        out = {w: b"".join([known[p] if p in known else found[p] for p in parts]) for w, parts in words.items()}
-        _fill(known, found, self.piece_limit)
-        return out
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        self.blanks_matter = blanks_matter
+        self.pieces = _Pieces(tok, piece_limit)
+        self.words = _Words(self.pieces, blanks_matter, word_limit)
+
+    def encode(self, text: str) -> bytes:
+        """ids of a whole text, without any end token."""
+        if not self.blanks_matter:
+            words = (text.lower() if text.isascii() else text).split(" ")
+            return b"".join(map(self.words.__getitem__, words))
+        if _DOUBLE_SPACE.search(text):
+            return _Pieces(self.pieces.tok, 0)[text]
+        words = text.split(" ")
+        pieces = self.pieces
+        first = b"".join([pieces[p] for p in cut(words[0], "")])     # nothing stands before it
+        return first + b"".join(map(self.words.__getitem__, words[1:]))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """ids of each whole text, without any end token."""
-        known, lead = self.words, self.lead
-        words_of: list[list[str] | None] = []
-        met: set[str] = set()
-        firsts: set[str] = set()
-        for t in texts:
-            if lead and _DOUBLE_SPACE.search(t):
-                words_of.append(None)
-                continue
-            if not lead and t.isascii():
-                t = t.lower()
-            ws = t.split(" ")
-            if lead:
-                firsts.add(ws[0])            # nothing stands before the first word
-                met.update(ws[1:])
-            else:
-                met.update(ws)
-            words_of.append(ws)
-        fresh = self._new({w: self._cut(w, lead) for w in met.difference(known)})
-        first = self._new({w: self._cut(w, "") for w in firsts})
-        over = len(known) + len(fresh) - self.word_limit
-        known.update(fresh)
-        look = known.__getitem__
-        out = []
-        for t, ws in zip(texts, words_of):
-            if ws is None:
-                out.append(self._batch([t])[0])
-            elif lead:
-                out.append(first[ws[0]] + b"".join(map(look, ws[1:])))
-            else:
-                out.append(b"".join(map(look, ws)))
-        if over > 0:
-            for w in islice(reversed(fresh), over):
-                del known[w]
-        return out
-
-
-def _fill(cache: dict[str, bytes], found: dict[str, bytes], limit: int) -> None:
-    room = limit - len(cache)
-    if room >= len(found):
-        cache.update(found)
-    elif room > 0:
-        cache.update(islice(found.items(), room))
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
