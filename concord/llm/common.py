@@ -54,5 +54,13 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def hash_sample(df: DataFrame, by: list[str], n: int, total: int) -> DataFrame:
+    """About n of ``total`` rows, 2 n at most, chosen by a hash of columns
+    on the executors: no task sends more than the rows it contributes."""
+    grid = 1 << 30
+    share = min(grid, grid * n // max(1, total) + 1)
+    return df.where(F.pmod(F.xxhash64(*by, F.lit(n)), F.lit(grid)) < share).limit(2 * n)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

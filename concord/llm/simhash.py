@@ -6,7 +6,7 @@ smallest doc_id that links reach.
 
 Equal fingerprints are merged first, so copies cost one row.  Distinct
 fingerprints are dealt to shards by a small vantage-point tree (built on a
-bounded sample of ``SAMPLE`` fingerprints; the tree only decides where rows
+bounded sample of about ``SAMPLE`` fingerprints; the tree only decides where rows
 go, never which pairs count): a fingerprint's home is one leaf, and it also
 visits every leaf that its ball of ``radius`` overlaps, by the triangle
 bounds |d(v, x) - mu|.  In a leaf a vantage-point tree over the residents
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, ship_package, texts
+from .common import hash_sample, saved, ship_package, texts
 from .components import connected
 
-SAMPLE = 8192          # fingerprints that shape the routing tree, at most
+SAMPLE = 4096          # fingerprints, about, that shape the routing tree; twice as many at most
 LEAF_ROOT = 10         # a leaf aims at this many times the root of the count:
                        # more leaves mean more visits, larger ones more work each
 
@@ -221,7 +221,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     spark = fps.sparkSession
     ship_package(spark)
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array(sorted(r[0] for r in hash_sample(fps.select("fp"), ["fp"], SAMPLE, n).collect()), dtype=np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(n, 1) ** 0.5 / LEAF_ROOT))))
     tree = routing_tree(sample, depth) if len(sample) else 0
 

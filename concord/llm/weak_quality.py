@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, texts
+from .common import hash_sample, ship_package, texts
 from .quality_rules import Text
 
 TRAIN = 4000        # documents whose soft labels train the scorer, at most twice as many
@@ -168,8 +168,7 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names=["y", "at", "x"])
 
     total = max(1, int(counts.sum()))
-    grid = 1 << 30
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(grid)) < min(grid, grid * TRAIN // total + 1)).limit(2 * TRAIN)
+    chosen = hash_sample(rows, ["doc_id", "text"], TRAIN, total)
     sample = sorted(tuple(r) for r in chosen.select("text").mapInArrow(sampled, "y double, at binary, x binary").collect())
     w = train_scorer([(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(np.float64)) for _, a, x in sample], np.array([y for y, _, _ in sample]))
 
