@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokens
 from .common import ship_package
 from .groups import binary, dealt, fixed_order, joined, runs, sorted_documents
 
@@ -49,8 +50,8 @@ SPAN = 50
 GRAM = 20
 LAST = np.iinfo(np.int64).max       # stands for a null doc_id
 _PLACE = np.uint64((1 << 24) - 1)
-_SEGMENT = 1_000_000                # windows whose anchors are searched at once
-CHARS = 6_000_000                   # of a group of documents
+_SEGMENT = 500_000                  # windows whose anchors are searched at once
+CHARS = 4_000_000                   # of a group of documents
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -261,6 +262,7 @@ class Group:
     """Bytes and pieces of a group of documents."""
 
     def __init__(self, table: pa.Table, span: int, shards: int):
+        tokens.encoder.cache_clear()        # a reused worker may still hold words of a packing task
         self.ids, all_texts = sorted_documents(table)
         self.raw = [t.encode("utf-8", "surrogatepass") for t in all_texts]
         self.size = np.array([len(r) for r in self.raw], np.int64)
