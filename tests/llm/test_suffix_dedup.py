@@ -116,3 +116,27 @@ def test_cut_text_keeps_whole_characters_and_all_columns(docs_of):
     assert sd.without_repeats(df).columns == df.columns
     assert got[2].text == "bç" and got[2].n_chars == 2 and got[1].text == "a" + shared
     assert got[3].text is None and got[3].n_chars is None and got[2].start == 7 and got[2].ids == "x" and got[4].text == "x"
+
+
+@pytest.mark.parametrize("segment", [1, 7, 97, 10_000])
+def test_segments_do_not_matter(monkeypatch, segment):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sd, "_SEGMENT", segment)
+    span, rng = 24, np.random.default_rng(segment)
+    rows = list(enumerate(["", *low_entropy(rng, 25), "", "a" * 90, "a" * 70]))
+    g = sd.Group(pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]}), span, 5)
+    windows = sum(max(0, len(t.encode()) - span + 1) for _, t in rows)
+    assert (g.last - g.first - span + 1).sum() == windows          # every window lies in one piece
+    chosen = np.arange(len(g.first))
+    content, length, doc, _, number = g.distinct(chosen, span)
+    gone = np.zeros(len(g.buffer), bool)
+    mine = g.doc[g.owner]
+    spans = list(zip(*sd.coverage(content, length, doc, span)))
+    for i in chosen.tolist():
+        cuts = [(0, length[number[i]], doc[number[i]])] + [s[1:] for s in spans if s[0] == number[i]]
+        for a, b, least in cuts:
+            if least < mine[i]:
+                gone[g.first[i] + a:g.first[i] + b] = True
+    got = [(d, len(t.encode()), int(gone[s:e].sum())) for (d, t), s, e in zip(rows, g.start, g.end)]
+    assert got == [(d, n, removed) for _, d, n, removed, _, _ in brute(rows, span)]
