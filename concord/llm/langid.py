@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package
-from .tokens import chunks
+from .tokens import chunks, encoder
 
 HASHES = 4
 _BLANK = 0
@@ -119,6 +119,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     ship_package(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()        # a reused worker may still hold words of a packing task
         for b in batches:
             all_texts, all_langs = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), dtype=object)
             for lo, hi in chunks(all_texts, 1_000_000):
@@ -143,6 +144,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         for b in batches:
             all_texts = b.column(at).to_pylist()
             langs, scores = [], [np.zeros(0)]

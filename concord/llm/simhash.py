@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from .common import hash_sample, saved, ship_package, texts
 from .components import connected
+from .tokens import encoder
 
 SAMPLE = 4096          # fingerprints, about, that shape the routing tree; twice as many at most
 LEAF_ROOT = 10         # a leaf aims at this many times the root of the count:
@@ -81,6 +82,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", key: str =
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()        # a reused worker may still hold words of a packing task
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "text_no", "fp"])
