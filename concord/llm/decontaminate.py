@@ -4,12 +4,13 @@ A document is contaminated by a benchmark item if some window of the item's
 number of words has a weighted shingle similarity of ``similarity`` or more
 with it (multiset Jaccard over ``words``-word shingles: sum of least counts
 over sum of greatest counts).  Texts are lower-cased; words are maximal runs
-of letters and digits.
+of letters and digits.  A text with fewer words than an item is one window.
 
 1. Items get their shingle hashes and a 64-bit SimHash, weighted by count.
-2. Only windows that share a shingle with an item, in the item's alignment,
-   can be similar at all; the documents' shingles are looked up among the
-   items' and each hit names a window: start and item-sized length.
+2. The documents' shingles are looked up among the items'.  Of m shingles a
+   window needs at least 2 m s / (1 + s) that an item of that length has, in
+   any order, to reach similarity s (8 of 9 for 0.8); every window with that
+   many is a candidate, wherever in the item its shingles stand.
 3. Each window gets its SimHash.  Two fingerprints within ``radius`` bits
    agree, in one of ``blocks`` blocks, up to radius // blocks bits; items
    are indexed under every such variant of every block, windows look up
@@ -109,6 +110,16 @@ def _numbered(hashes: Column) -> Column:
     return F.transform(F.array_sort(hashes), lambda h, i: F.struct(h.alias("h"), (i - F.array_position(F.array_sort(hashes), h).cast("int")).alias("n")))
 
 
+def starts_of(places: Column, shingles_: Column, need: Column, last: Column) -> Column:
+    """Starts 0..last of the windows of ``shingles_`` places that hold at
+    least ``need`` of the sorted ``places``: between one place and the next
+    a window's first hit is the same, so its starts are one run."""
+    run = F.transform(places, lambda p, i: F.struct(
+        F.greatest(F.coalesce(F.get(places, i - 1) + 1, F.lit(0)), F.get(places, i + need - 1) - shingles_ + 1, F.lit(0)).alias("a"),
+        F.least(p, last).alias("b"), (i + need <= F.size(places)).alias("enough")))
+    return F.flatten(F.transform(F.filter(run, lambda r: r["enough"] & (r["a"] <= r["b"])), lambda r: F.sequence(r["a"], r["b"])))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, blocks: int = BLOCKS,
                text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per contaminated document and item: ``doc_id``, ``item_id``,
@@ -119,29 +130,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
              .withColumn("item_hashes", shingles(F.col("w"), words))
              .withColumn("item_no", F.xxhash64("item_id", F.col("w"))))
     items = saved(items.select("item_id", "item_no", "n_words", "item_hashes", simhash(F.col("item_hashes")).alias("item_fp")).dropDuplicates(["item_id", "item_no"]), "items")
-    hits = items.select("n_words", F.posexplode("item_hashes").alias("at", "h")).distinct()
+    hits = items.select("n_words", F.explode("item_hashes").alias("h")).distinct()
     small = (items.agg(F.sum(F.size("item_hashes"))).first()[0] or 0) <= BROADCAST_SHINGLES
     near = F.broadcast if small else (lambda df: df)
 
     rows = texts(docs, text, key).withColumn("text_no", F.xxhash64("text"))
     tokens = rows.select("doc_id", "text_no", words_of(F.col("text")).alias("w"))
-    # step 2: (document, start, length) of windows aligned to a shared shingle;
+    # step 2: (document, start, length) of windows with enough shared shingles;
     # items shorter than a shingle (the benchmark's lengths decide which of
     # the few sizes occur) are looked up among runs of their own length
     short = [r[0] for r in items.where(F.col("n_words") < words).select("n_words").distinct().collect()]
     runs = tokens.select("doc_id", "text_no", F.size("w").alias("n"), F.posexplode(grams(F.col("w"), words)).alias("p", "h"))
     for m in sorted(short):
         runs = runs.unionByName(tokens.select("doc_id", "text_no", F.size("w").alias("n"), F.posexplode(grams(F.col("w"), m)).alias("p", "h")))
-    found = (runs
-             .join(near(hits), "h").select("doc_id", "text_no", "n_words", (F.col("p") - F.col("at")).alias("start"), "n")
-             .where("start >= 0 and start + n_words <= n"))
-    windows = found.groupBy("doc_id", "text_no").agg(F.collect_set(F.struct("start", "n_words")).alias("windows"))
+    found = (runs.join(near(hits), "h").groupBy("doc_id", "text_no", "n", "n_words").agg(F.array_sort(F.collect_set("p")).alias("places"))
+             .withColumn("size", F.least("n", "n_words"))
+             .withColumn("m", F.greatest(F.col("size") - (words - 1), F.lit(1)))
+             .withColumn("of", F.greatest(F.col("n_words") - (words - 1), F.lit(1)))
+             .withColumn("need", F.ceil(similarity * (F.col("m") + F.col("of")) / (1 + similarity) - 1e-9).cast("int"))
+             .where(F.size("places") >= F.col("need"))
+             .withColumn("starts", starts_of(F.col("places"), F.col("m"), F.greatest("need", F.lit(1)), F.col("n") - F.col("size")))
+             .where(F.size("starts") > 0))
+    windows = found.groupBy("doc_id", "text_no").agg(F.flatten(F.collect_list(F.transform(
+        "starts", lambda p: F.struct(p.alias("start"), F.col("n_words"), F.col("size"))))).alias("windows"))
     # step 3: their fingerprints; documents are read again, for the few that have windows
     again = rows.alias("r").join(windows.alias("v"), F.col("r.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("r.text_no") == F.col("v.text_no")))
     placed = (again.select("r.doc_id", "r.text_no", words_of(F.col("r.text")).alias("w"), "windows").dropDuplicates(["doc_id", "text_no"])
               .select("doc_id", F.explode(F.transform("windows", lambda s: F.struct(
-                  s["start"].alias("start"), s["n_words"].alias("n_words"),
-                  shingles(F.slice(F.col("w"), s["start"] + 1, s["n_words"]), words).alias("hashes")))).alias("s"))
+                  s["start"].alias("start"), s["n_words"].alias("n_words"), s["size"].alias("size"),
+                  shingles(F.slice(F.col("w"), s["start"] + 1, s["size"]), words).alias("hashes")))).alias("s"))
               .select("doc_id", "s.*").withColumn("fp", simhash(F.col("hashes"))))
     index = items.select("item_id", "item_no", "n_words", "item_hashes", "item_fp",
                          F.explode(block_keys(F.col("item_fp"), blocks, radius // blocks)).alias("k")).select("*", "k.*").drop("k")
@@ -152,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
              .withColumn("similarity", similarity_of(F.col("hashes"), F.col("item_hashes")))
              .where(F.col("similarity") >= similarity))
     best = pairs.groupBy("doc_id", "item_id").agg(F.min(F.struct(
-        (-F.col("similarity")).alias("s"), "start", "n_words", "distance")).alias("b"))
+        (-F.col("similarity")).alias("s"), "start", F.col("size").alias("n_words"), "distance")).alias("b"))
     return best.select("doc_id", "item_id", "b.start", "b.n_words", "b.distance", (-F.col("b.s")).alias("similarity"))
 
 

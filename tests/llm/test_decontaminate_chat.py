@@ -70,6 +70,24 @@ def test_copies_and_changes(spark, docs_of, items):
     assert kept.columns == docs_of(docs).columns
 
 
+def test_windows_at_the_edges_short_texts_and_moved_parts(spark, docs_of):
+    long = " ".join(f"w{i}" for i in range(50))
+    ws = long.split()
+    other = [f"other{i}" for i in range(60)]
+    docs = [(1, " ".join(ws[1:] + other)), (2, " ".join(other + ws[:-1])), (3, " ".join(ws[25:] + ws[:25])), (4, " ".join(other[:7] + ws[26:] + ws[:26] + other[7:])),
+            (5, " ".join(ws[2:] + other)), (6, " ".join(ws[:20] + other)), (7, " ".join(ws[:24] + ["x"] + ws[24:] + other))]
+    bench = spark.createDataFrame([(1, long)], "item_id bigint, text string")
+    want = brute(docs, [(1, long)])
+    assert {d for d, _ in want} == {1, 2, 3, 4, 5, 7}
+    cut = [(11, " ".join(ws[1:])), (12, " ".join(ws[:-1])), (13, " ".join(ws[:30])), (14, " ".join(ws[:24] + ws[25:])), (15, "w1 w2")]
+    for d, t in cut:                  # shorter than the item: the whole text is the window
+        s = similarity(grams(words(t)), grams(ws))
+        if s >= 0.8:
+            want[d, 1] = (s, 0, len(words(t)))
+    assert {d for d, _ in want} == {1, 2, 3, 4, 5, 7, 11, 12, 14}
+    same(found(decontaminate.find_leaks(docs_of(docs + cut), bench)), want)
+
+
 def test_odd_and_empty_tables(spark, docs_of, odd_rows, items):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     same(found(decontaminate.find_leaks(docs_of(odd_rows), bench)), brute(odd_rows, items))
