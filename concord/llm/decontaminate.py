@@ -99,15 +99,16 @@ def _variants(block: int, value: Column, masks: list[int]) -> Column:
 
 
 def similarity_of(a: Column, b: Column) -> Column:
-    """Multiset Jaccard of two sorted arrays of hashes: with repeats
-    numbered, least counts are an intersection."""
-    both = F.size(F.array_intersect(_numbered(a), _numbered(b)))
+    """Multiset Jaccard of two arrays of hashes as ``numbered`` gives them:
+    least counts are an intersection."""
+    both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _numbered(hashes: Column) -> Column:
-    """(hash, how many equal ones stood before it), all distinct."""
-    return F.transform(F.array_sort(hashes), lambda h, i: F.struct(h.alias("h"), (i - F.array_position(F.array_sort(hashes), h).cast("int")).alias("n")))
+def numbered(hashes: Column) -> Column:
+    """Of a sorted array, hashes of (hash, how many equal ones stood before
+    it), all distinct."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, i - F.array_position(hashes, h).cast("int")))
 
 
 def starts_of(places: Column, shingles_: Column, need: Column, last: Column) -> Column:
@@ -120,14 +121,12 @@ def starts_of(places: Column, shingles_: Column, need: Column, last: Column) ->
     return F.flatten(F.transform(F.filter(run, lambda r: r["enough"] & (r["a"] <= r["b"])), lambda r: F.sequence(r["a"], r["b"])))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, blocks: int = BLOCKS,
+def similar_windows(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, blocks: int = BLOCKS,
                text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """One row per contaminated document and item: ``doc_id``, ``item_id``,
-    ``start`` and ``n_words`` of its best window, ``distance`` of the
-    fingerprints, ``similarity``."""
+    """The windows (of the text ``text_no``) that contaminate, by item."""
     items = (benchmark.select(F.col(item_key).alias("item_id"), words_of(F.coalesce(F.col(item_text), F.lit(""))).alias("w"))
              .withColumn("n_words", F.size("w")).where("n_words > 0")
-             .withColumn("item_hashes", shingles(F.col("w"), words))
+             .withColumn("item_hashes", F.array_sort(shingles(F.col("w"), words)))
              .withColumn("item_no", F.xxhash64("item_id", F.col("w"))))
     items = saved(items.select("item_id", "item_no", "n_words", "item_hashes", simhash(F.col("item_hashes")).alias("item_fp")).dropDuplicates(["item_id", "item_no"]), "items")
     hits = items.select("n_words", F.explode("item_hashes").alias("h")).distinct()
@@ -156,11 +155,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
     # step 3: their fingerprints; documents are read again, for the few that have windows
     again = rows.alias("r").join(windows.alias("v"), F.col("r.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("r.text_no") == F.col("v.text_no")))
     placed = (again.select("r.doc_id", "r.text_no", words_of(F.col("r.text")).alias("w"), "windows").dropDuplicates(["doc_id", "text_no"])
-              .select("doc_id", F.explode(F.transform("windows", lambda s: F.struct(
+              .select("doc_id", "text_no", F.explode(F.transform("windows", lambda s: F.struct(
                   s["start"].alias("start"), s["n_words"].alias("n_words"), s["size"].alias("size"),
-                  shingles(F.slice(F.col("w"), s["start"] + 1, s["size"]), words).alias("hashes")))).alias("s"))
-              .select("doc_id", "s.*").withColumn("fp", simhash(F.col("hashes"))))
-    index = items.select("item_id", "item_no", "n_words", "item_hashes", "item_fp",
+                  F.array_sort(shingles(F.slice(F.col("w"), s["start"] + 1, s["size"]), words)).alias("hashes")))).alias("s"))
+              .select("doc_id", "text_no", "s.*").withColumn("fp", simhash(F.col("hashes"))).withColumn("hashes", numbered(F.col("hashes"))))
+    index = items.select("item_id", "item_no", "n_words", numbered(F.col("item_hashes")).alias("item_hashes"), "item_fp",
                          F.explode(block_keys(F.col("item_fp"), blocks, radius // blocks)).alias("k")).select("*", "k.*").drop("k")
     asked = placed.withColumn("k", F.explode(block_keys(F.col("fp"), blocks, 0))).select("*", "k.*").drop("k")
     pairs = (asked.join(near(index.select("block", "value", "n_words", "item_id", "item_no", "item_hashes", "item_fp")), ["block", "value", "n_words"])
@@ -168,6 +167,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
              .where(F.col("distance") <= radius)
              .withColumn("similarity", similarity_of(F.col("hashes"), F.col("item_hashes")))
              .where(F.col("similarity") >= similarity))
+    return pairs
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row per contaminated document and item: ``doc_id``, ``item_id``,
+    ``start`` and ``n_words`` of its best window, ``distance`` of the
+    fingerprints, ``similarity``."""
+    pairs = similar_windows(docs, benchmark, **options)
     best = pairs.groupBy("doc_id", "item_id").agg(F.min(F.struct(
         (-F.col("similarity")).alias("s"), "start", F.col("size").alias("n_words"), "distance")).alias("b"))
     return best.select("doc_id", "item_id", "b.start", "b.n_words", "b.distance", (-F.col("b.s")).alias("similarity"))
