@@ -182,8 +182,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that any item contaminates; every
-    column stays."""
-    leaks = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    key = options.get("key", "doc_id")
-    marked = leaks.withColumnRenamed("doc_id", "__leak")
-    return docs.join(marked, F.col(key).cast("bigint").eqNullSafe(F.col("__leak")), "left_anti")
+    column stays.  Rows without a doc_id are each a document of their own,
+    told apart by their texts."""
+    key, text = F.col(options.get("key", "doc_id")).cast("bigint"), F.col(options.get("text", "text")).cast("string")
+    marked = similar_windows(docs, benchmark, **options).select(
+        F.col("doc_id").alias("__leak"), F.when(F.col("doc_id").isNull(), F.col("text_no")).alias("__no")).distinct()
+    own = F.when(key.isNull(), F.xxhash64(F.coalesce(text, F.lit(""))))
+    return docs.join(marked, key.eqNullSafe(F.col("__leak")) & own.eqNullSafe(F.col("__no")), "left_anti")

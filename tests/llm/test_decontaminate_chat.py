@@ -88,6 +88,13 @@ def test_windows_at_the_edges_short_texts_and_moved_parts(spark, docs_of):
     same(found(decontaminate.find_leaks(docs_of(docs + cut), bench)), want)
 
 
+def test_clean_tells_rows_without_an_id_apart(spark, docs_of):
+    docs = [(None, f"null {ITEM}"), (None, "a clean text"), (None, None), (1, f"x {ITEM}"), (2, "another clean text")]
+    bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    kept = {(r.doc_id, r.text) for r in decontaminate.clean(docs_of(docs), bench).collect()}
+    assert kept == {(None, "a clean text"), (None, None), (2, "another clean text")}
+
+
 def test_odd_and_empty_tables(spark, docs_of, odd_rows, items):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     same(found(decontaminate.find_leaks(docs_of(odd_rows), bench)), brute(odd_rows, items))
