@@ -165,7 +165,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    token_files.write(read_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    token_files.write(read_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2, added_tokens=True)
     return token_files.read(spark, path)
 
 
@@ -175,4 +175,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, keep_ids=False)
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, keep_ids=False, added_tokens=True)

@@ -73,19 +73,29 @@ class WordEncoder:
 
     ``blanks_matter``: a word keeps the blank before it (byte-level files);
     otherwise the tokenizer drops white space and lower-cases.
+    ``added_tokens``: a text that spells an added token (<|endoftext|>) gets
+    that token's id, as by the tokenizer's plain call; otherwise it is text.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, word_limit: int = 250_000, piece_limit: int = 450_000):
+    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = False, word_limit: int = 250_000, piece_limit: int = 450_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok.encode_special_tokens = True         # words put together after lower-casing must not become one
+        self.added = [t.content for t in tok.get_added_tokens_decoder().values()] if added_tokens else []
         self.blanks_matter = blanks_matter
         self.pieces = _Pieces(tok, piece_limit)
         self.words = _Words(self.pieces, blanks_matter, word_limit)
 
     def encode(self, text: str) -> bytes:
         """ids of a whole text, without any end token."""
+        if any(t in text for t in self.added):
+            tok = self.pieces.tok
+            tok.encode_special_tokens = False
+            try:
+                return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            finally:
+                tok.encode_special_tokens = True
         if not self.blanks_matter:
             words = (text.lower() if text.isascii() else text).split(" ")
             return b"".join(map(self.words.__getitem__, words))
@@ -101,9 +111,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, blanks_matter: bool) -> WordEncoder:
+def encoder(path: str, blanks_matter: bool, added_tokens: bool = False) -> WordEncoder:
     """One encoder per Python worker and file."""
-    return WordEncoder(path, blanks_matter)
+    return WordEncoder(path, blanks_matter, added_tokens)
 
 
 def chunks(items: list[str], chars: int = 1_500_000):

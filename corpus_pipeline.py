@@ -49,7 +49,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, keep_ids=False)
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, keep_ids=False, added_tokens=True)
 
 
 STAGES = [

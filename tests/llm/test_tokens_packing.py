@@ -110,3 +110,34 @@ def test_packing_of_no_rows(docs_of):
 def test_packing_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check_pieces(rows, QUERIES["op10_packing"](spark, SF).collect())
+
+
+ADDED = ["foo <|endoftext|> bar", "foo<|endoftext|>bar  x", "<|startoftext|>A b", "<|EndOfText|> Plain TEXT", "no token at all"]
+
+
+@pytest.mark.parametrize("name,blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_as_by_the_plain_call(name, blanks):
+    from tokenizers import Tokenizer
+
+    from concord.llm.tokens import WordEncoder
+
+    tok = Tokenizer.from_file(tokenizer_file(name))
+    enc = WordEncoder(tokenizer_file(name), blanks, added_tokens=True)
+    for t in ADDED * 2:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_queries_give_added_tokens_their_ids(spark, docs_of, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from concord.llm import queries
+
+    monkeypatch.setattr(queries, "read_table", lambda *_: docs_of(list(enumerate(ADDED))))
+    for query, name, end in (("op9_token_files", "word_bpe_49k.json", 2), ("op10_packing", "byte_bpe_50k.json", 1)):
+        tok = Tokenizer.from_file(tokenizer_file(name))
+        want = {i: tok.encode(t, add_special_tokens=False).ids + [end] for i, t in enumerate(ADDED)}
+        got = QUERIES[query](spark, SF).collect()
+        if query == "op9_token_files":
+            assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {i: (len(w), crc(w)) for i, w in want.items()}
+        else:
+            assert all(r.doc_tokens == len(want[r.doc_id]) and crc(want[r.doc_id][r.start:r.start + r.length]) == r.ids_crc32 for r in got)
