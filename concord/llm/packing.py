@@ -123,7 +123,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, op
          blanks_matter: bool = True, merge_fanin: int = 256, keep_ids: bool = True, text: str = "text", key: str = "doc_id", added_tokens: bool = False) -> DataFrame:
     """One row per piece: which ids of which document stand where in which
     sequence (``sequence_id``, ``offset``), with the ids themselves as
-    little-endian unsigned 32-bit ``ids`` unless ``keep_ids`` is false."""
+    little-endian unsigned 32-bit ``ids`` unless ``keep_ids`` is false.
+    With ids, every sequence is written, and ``length`` and ``ids_crc32`` are
+    those of the ids read back."""
     spark = docs.sparkSession
     ship_package(spark)
     end = end_id.to_bytes(4, "little")
@@ -178,8 +180,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, op
     merged = (tails.repartition(group)
               .sortWithinPartitions(group, "part", F.col("doc_id").asc_nulls_first(), "start", "doc_tokens", "ids_crc32")
               .mapInArrow(merge, PIECES))
-    out = packed.where("sequence_id <> -1").unionByName(merged).drop("part")
-    return out if keep_ids else out.drop("ids")
+    if not keep_ids:
+        return packed.where("sequence_id <> -1").unionByName(merged).drop("part", "ids")
+    out = packed.where("sequence_id <> -1").unionByName(saved(merged, "pack-merged")).drop("part")
+    return out.withColumn("length", F.floor(F.length("ids") / 4)).withColumn("ids_crc32", F.crc32("ids"))
 
 
 def _head(pieces: list[Piece], n: int) -> list[Piece]:

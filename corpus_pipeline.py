@@ -11,7 +11,8 @@ folder and reads it back as the next one's input.
 3. ``suffix_dedup``: byte strings of 50 or more that a smaller doc_id has as
    well are cut out; ``n_chars`` is counted anew; no row goes.
 4. ``decontaminate``: documents that hold a benchmark passage go.
-5. ``packing``: token ids in sequences of at most 2048 (one row per piece).
+5. ``packing``: token ids in sequences of at most 2048 (one row per piece,
+   with its ids).
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, keep_ids=False, added_tokens=True)
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, added_tokens=True)
 
 
 STAGES = [

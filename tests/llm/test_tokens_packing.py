@@ -141,3 +141,21 @@ def test_queries_give_added_tokens_their_ids(spark, docs_of, monkeypatch):
             assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {i: (len(w), crc(w)) for i, w in want.items()}
         else:
             assert all(r.doc_tokens == len(want[r.doc_id]) and crc(want[r.doc_id][r.start:r.start + r.length]) == r.ids_crc32 for r in got)
+
+
+def test_packing_writes_and_returns_all_ids(spark, docs_of, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    text = "words to pack " * 1500                # full sequences and a remainder
+    kept = corpus_pipeline.pack(spark, docs_of([(1, text), (2, "short")]), SF).collect()
+    ids = {}
+    for r in sorted(kept, key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        ids[r.doc_id] = ids.get(r.doc_id, b"") + bytes(r.ids)
+    assert {d: np.frombuffer(b, "<u4").tolist() for d, b in ids.items()} == {1: direct("byte_bpe_50k.json", text, 1), 2: direct("byte_bpe_50k.json", "short", 1)}
+    # the query's digests come from ids that were written
+    written = []
+    monkeypatch.setattr(packing, "saved", lambda df, label, plain=packing.saved: written.append(plain(df, label)) or written[-1])
+    n = QUERIES["op10_packing"](spark, SF).agg(F.sum("length")).first()[0]
+    assert n == sum(w.where("sequence_id <> -1").agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] for w in written) // 4
