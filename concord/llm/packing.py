@@ -120,7 +120,7 @@ def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, open_windows: int = 32,
-         blanks_matter: bool = True, merge_fanin: int = 256, keep_ids: bool = True, text: str = "text", key: str = "doc_id", added_tokens: bool = False) -> DataFrame:
+         blanks_matter: bool = True, merge_fanin: int = 256, keep_ids: bool = True, text: str = "text", key: str = "doc_id", added_tokens: bool = True) -> DataFrame:
     """One row per piece: which ids of which document stand where in which
     sequence (``sequence_id``, ``offset``), with the ids themselves as
     little-endian unsigned 32-bit ``ids`` unless ``keep_ids`` is false.

@@ -149,7 +149,7 @@ def _rank(bitmap: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, blanks_matter: bool = False,
-          segment_ids: int = 2_000_000, text: str = "text", key: str = "doc_id", added_tokens: bool = False) -> None:
+          segment_ids: int = 2_000_000, text: str = "text", key: str = "doc_id", added_tokens: bool = True) -> None:
     """Encode every document and write the token files to ``path``, in
     ascending document order across and within files."""
     spark = docs.sparkSession

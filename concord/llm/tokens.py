@@ -21,51 +21,68 @@ import numpy as np
 # letters and signs for which every boundary between the two classes (and
 # around a single line feed) is also a boundary of both pre-tokenizers
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?|#$%&*()]+|\n")
-_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?|#$%&*()]+|\n(?=\S))+")
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
-class _Pieces(dict):
-    """piece -> code; a piece that is not there is encoded, and kept while
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+
+class _Codes(dict):
+    """text -> code; a text that is not there is encoded, and kept while
     there is room."""
 
     def __init__(self, tok, limit: int):
         self.tok, self.limit = tok, limit
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tok.encode(piece, add_special_tokens=False).ids
-        code = np.array(ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+    def __missing__(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        code = _packed(ids)
         if len(self) < self.limit:
-            self[piece] = code
+            self[text] = code
         return code
 
 
 class _Words(dict):
-    """word -> code, put together from its pieces."""
+    """word -> code after ``lead``.  A word of several pieces is put together
+    from its first piece, which is a word too, and the other pieces.  A piece
+    of letters is one pre-token, so the library's model takes it without the
+    steps before; everything else takes the library's plain call."""
+
+    def __init__(self, tok, lead: str, fold: bool, word_limit: int, piece_limit: int):
+        from tokenizers.pre_tokenizers import ByteLevel
 
-    def __init__(self, pieces: _Pieces, blanks_matter: bool, limit: int):
-        self.pieces, self.lead, self.fold, self.limit = pieces, " " if blanks_matter else "", not blanks_matter, limit
+        self.tok, self.model, self.lead, self.fold, self.limit = tok, tok.model, lead, fold, word_limit
+        self.pieces, self.plain = _Codes(tok, piece_limit), _Codes(tok, 0)
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = str.maketrans({c: shown(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        self.shown_lead = shown(lead)[0][0] if lead else ""
 
     def __missing__(self, word: str) -> bytes:
-        pieces = self.pieces
-        code = b"".join([pieces[p] for p in cut(word, self.lead, self.fold)])
+        parts = cut(word, self.fold)
+        if len(parts) > 1:
+            pieces = self.pieces
+            code = self[parts[0]] + b"".join([pieces[p] for p in parts[1:]])
+        elif parts and word[0].isalpha():
+            code = _packed([t.id for t in self.model.tokenize(self.shown_lead + parts[0].translate(self.letters))])
+        else:
+            code = self.plain[self.lead + word]
         if len(self) < self.limit:
             self[word] = code
         return code
 
 
-def cut(word: str, lead: str, fold: bool = False) -> list[str]:
-    """Pieces of a word whose codes together are those of the word after
-    ``lead``; a word of other signs than the plain ones is one piece.
-    ``fold``: the tokenizer lower-cases, so plain letters may be before."""
-    last = word[-1:]
-    if (last == "," or last == ".") and word[:-1].isalpha() and word.isascii():
-        return [lead + word[:-1], last]
-    if word.isascii() and word.isalpha() or not _PLAIN.fullmatch(word):
-        return [lead + word]
-    parts = _PIECE.findall(word.lower() if fold else word)
-    parts[0] = lead + parts[0]
-    return parts
+def cut(word: str, fold: bool = False) -> list[str]:
+    """Pieces of a word whose codes together are the word's; none for a word
+    with other signs than the plain ones.  One pass over the word, whatever
+    it holds.  ``fold``: the tokenizer lower-cases, so plain letters may be
+    before."""
+    if word.isascii() and word.isalpha():
+        return [word.lower() if fold else word]
+    parts = _PIECE.findall(word)
+    if "".join(parts) != word or "\n" in word and (word[-1] == "\n" or "\n\n" in word):
+        return []
+    return [p.lower() for p in parts] if fold else parts
 
 
 class WordEncoder:
@@ -74,23 +91,23 @@ class WordEncoder:
     ``blanks_matter``: a word keeps the blank before it (byte-level files);
     otherwise the tokenizer drops white space and lower-cases.
     ``added_tokens``: a text that spells an added token (<|endoftext|>) gets
-    that token's id, as by the tokenizer's plain call; otherwise it is text.
+    that token's id, as by the tokenizer's plain call; if false, it is text.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = False, word_limit: int = 250_000, piece_limit: int = 450_000):
+    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = True, word_limit: int = 600_000, piece_limit: int = 100_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True         # words put together after lower-casing must not become one
         self.added = [t.content for t in tok.get_added_tokens_decoder().values()] if added_tokens else []
         self.blanks_matter = blanks_matter
-        self.pieces = _Pieces(tok, piece_limit)
-        self.words = _Words(self.pieces, blanks_matter, word_limit)
+        self.plain = _Codes(tok, 0)
+        self.words = _Words(tok, " " if blanks_matter else "", not blanks_matter, word_limit, piece_limit)
 
     def encode(self, text: str) -> bytes:
         """ids of a whole text, without any end token."""
         if any(t in text for t in self.added):
-            tok = self.pieces.tok
+            tok = self.plain.tok
             tok.encode_special_tokens = False
             try:
                 return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -100,10 +117,10 @@ class WordEncoder:
             words = (text.lower() if text.isascii() else text).split(" ")
             return b"".join(map(self.words.__getitem__, words))
         if _DOUBLE_SPACE.search(text):
-            return _Pieces(self.pieces.tok, 0)[text]
+            return self.plain[text]
         words = text.split(" ")
-        pieces = self.pieces
-        first = b"".join([pieces[p] for p in cut(words[0], "")])     # nothing stands before it
+        pieces = self.words.pieces
+        first = b"".join([pieces[p] for p in cut(words[0]) or words[:1]])        # nothing stands before it
         return first + b"".join(map(self.words.__getitem__, words[1:]))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -111,7 +128,7 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, blanks_matter: bool, added_tokens: bool = False) -> WordEncoder:
+def encoder(path: str, blanks_matter: bool, added_tokens: bool = True) -> WordEncoder:
     """One encoder per Python worker and file."""
     return WordEncoder(path, blanks_matter, added_tokens)
 

@@ -15,7 +15,6 @@ def direct(name, text, end):
     from tokenizers import Tokenizer
 
     tok = direct.cache.setdefault(name, Tokenizer.from_file(tokenizer_file(name)))
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -112,6 +111,25 @@ def test_packing_query(spark):
     check_pieces(rows, QUERIES["op10_packing"](spark, SF).collect())
 
 
+def test_long_words_take_one_pass():
+    from tokenizers import Tokenizer
+
+    from concord.llm.tokens import WordEncoder
+
+    texts = [a * 10_000 + b for a in ("a", "é", "Word", "a.") for b in ("_", "-", "7", ",", "")]
+    texts += ["a" * 5000 + "\n" + "b" * 5000 + c for c in ("", "_", "\n", "\n\nz")] + [" ".join(["conclusion.\nInternational-"] * 200), "ª º µ ÷ × a÷b"]
+    for name, blanks in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        tok, enc = Tokenizer.from_file(tokenizer_file(name)), WordEncoder(tokenizer_file(name), blanks)
+        for t in texts:
+            assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_a_text_of_five_megabytes(docs_of):
+    text = " ".join(f"word{i} paragraphical,\nnext" for i in range(180_000))
+    got = packing.pack(docs_of([(1, text)]), tokenizer_file("byte_bpe_50k.json"), 1).drop("ids").collect()
+    assert len(text) > 5_000_000 and sum(r.length for r in got) == len(direct("byte_bpe_50k.json", text, 1))
+
+
 ADDED = ["foo <|endoftext|> bar", "foo<|endoftext|>bar  x", "<|startoftext|>A b", "<|EndOfText|> Plain TEXT", "no token at all"]
 
 
