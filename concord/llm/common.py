@@ -43,6 +43,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``saved`` frame that no later step reads."""
+    spark = df.sparkSession
+    home = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(home).toUri().getPath() + "/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(doc_id bigint, text string)`` of ``df``; null texts become empty,
     every other column is left behind (so clashing names cannot matter)."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
+from .common import saved
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -165,7 +166,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    token_files.write(read_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2, added_tokens=True)
+    token_files.write(read_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
     return token_files.read(spark, path)
 
 
@@ -175,4 +176,70 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, added_tokens=True).drop("ids")
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1).drop("ids")
+
+
+# --- 11 hard-negative mining ---------------------------------------------
+
+_NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INT AS "rank",
+       n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 5
+"""
+
+
+@query("op11_hard_negatives", _NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hard_negatives
+
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(hard_negatives.integer_rows(vectors, 256, moved, F.col("vec_id") % 100 == 0))
+
+
+# --- 13 vector code compression ------------------------------------------
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every part compared with every entry, round after round."""
+    sql = f"""
+WITH r AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, len(embedding) // {parts} AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (SELECT vec_id, p, v[p * w + 1:(p + 1) * w] AS v FROM r, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM r ORDER BY vec_id LIMIT {entries}) USING (vec_id))"""
+    distance = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for k in range(rounds + 1):
+        sql += f""",
+a{k} AS MATERIALIZED (SELECT vec_id, x.p, any_value(x.v) AS v, min({distance} * {entries} + b.e) AS m FROM x JOIN b{k} b ON b.p = x.p GROUP BY vec_id, x.p)"""
+        if k < rounds:
+            sql += f""",
+u{k} AS (SELECT p, e, list(c ORDER BY i) AS v FROM (SELECT p, m % {entries} AS e, i, floor(sum(v[i + 1]) / count(*))::BIGINT AS c
+  FROM (SELECT p, m, v, unnest(range(len(v))) AS i FROM a{k}) GROUP BY p, m % {entries}, i) GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(u.v, b.v) AS v FROM b{k} b LEFT JOIN u{k} u ON u.p = b.p AND u.e = b.e)"""
+    return sql + f""",
+f AS (SELECT vec_id, string_agg(printf('%02x', (m % {entries})::INT), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN r USING (vec_id), h
+"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ball_kmeans
+
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    coded, books = ball_kmeans.BallKMeans().encode(ball_kmeans.integer_vectors(vectors, 4096))
+    digest = F.lit(None if books is None else books.sha256()).cast("string")
+    return ball_kmeans.with_label_error(saved(coded, "vector-codes")).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
