@@ -50,7 +50,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, added_tokens=True)
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1)
 
 
 STAGES = [
