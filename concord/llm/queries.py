@@ -209,6 +209,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.integer_rows(vectors, 256, moved, F.col("vec_id") % 100 == 0))
 
 
+# --- 12 substring dedup --------------------------------------------------
+
+@query("op12_substring_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    return substring_dedup.digest(substring_dedup.without_repeats(read_table(spark, sf_dir, "documents")))
+
+
 # --- 13 vector code compression ------------------------------------------
 
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
