@@ -94,7 +94,7 @@ class WordEncoder:
     that token's id, as by the tokenizer's plain call; if false, it is text.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = True, word_limit: int = 600_000, piece_limit: int = 100_000):
+    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = True, word_limit: int = 300_000, piece_limit: int = 100_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -129,7 +129,9 @@ class WordEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, blanks_matter: bool, added_tokens: bool = True) -> WordEncoder:
-    """One encoder per Python worker and file."""
+    """One encoder per Python worker and file.  A task that is done with it
+    calls ``encoder.cache_clear()``: a worker that is reused must not hold its
+    words, and a task's own words repay the start within its first documents."""
     return WordEncoder(path, blanks_matter, added_tokens)
 
 
