@@ -9,13 +9,8 @@ One algorithm at every size, all of it DataFrame expressions:
    duplicates map-side.  Counts are kept; copies are never written out.
 2. The distinct-row table is grouped on the keys alone for key presence
    (D3), duplicate-key warnings (D10) and residual counts.
-3. Residual rows of keys present on both sides are paired in three levels
-   (D8), each a shuffle on the key *and* what must agree:
-   ``all`` columns agree in canonical form (numbers by six significant
-   digits), all but ``one`` column agree (the first such column in column
-   order for which the other side has a row), and the ``rest`` of a key.
-   Inside a level's group both sides are ordered by their values, and the
-   i-th copy of one meets the i-th copy of the other.
+3. Residual rows of keys present on both sides are paired by most equal
+   columns (D8, ``pairing.py``).
 4. Cells of paired rows are compared with the D5 expression (D6), which
    alone decides equality; surplus rows are unpaired duplicates (D9).
 
@@ -30,13 +25,14 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...session import merge_single_rows
 from ...functions.types import is_numeric
 from ...functions.values import ABS_TOL, REL_TOL, as_number, as_text, display_value, nan_to_null, values_equal
+from .pairing import PAIRS, Pairing
 
 MISSING = "MISSING_FROM_TARGET"
 EXTRA = "EXTRA_IN_TARGET"
@@ -54,6 +50,7 @@ class CompareConfig:
     abs_tol: float = ABS_TOL
     rel_tol: float = REL_TOL
     max_evidence: int = 100
+    max_pairs: int = PAIRS     # possible pairs of a key up to which its residual rows meet in one row
     persist: bool = False      # cache intermediates for several results; then call release()
 
 
@@ -163,86 +160,30 @@ class RowComparison:
             out.append(F.col(c).asc_nulls_first())
         return out
 
-    def _meet(self, rows: DataFrame, group: list[str]) -> DataFrame:
-        """Both sides of a group laid out in order, copies as intervals:
-        every interval start opens a segment; the rows that cover it on both
-        sides are a pair with as many copies as the segment is long.
-        ``_left`` copies of the row itself lie beyond the shorter side."""
-        whole = Window.partitionBy(*group)
-        before = Window.partitionBy(*group, "_side").orderBy(*self._order()).rowsBetween(Window.unboundedPreceding, -1)
-        along = Window.partitionBy(*group).orderBy("_from", "_side")
-        of = lambda side: F.when(F.col("_side") == side, F.struct(*self.cols, "_to"))
-        r = rows.withColumn("_m", F.least(*[F.sum(F.when(F.col("_side") == s, F.col("_n")).otherwise(0)).over(whole) for s in (0, 1)]))
-        r = r.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_to", F.col("_from") + F.col("_n"))
-        r = r.withColumns({"_s": F.last(of(0), ignorenulls=True).over(along), "_t": F.last(of(1), ignorenulls=True).over(along),
-                           "_next": F.lead("_from").over(along)})
-        return r.withColumns({
-            "_pairs": F.greatest(F.lit(0), F.when(F.col("_s").isNotNull() & F.col("_t").isNotNull(),
-                                                  F.least("_next", "_s._to", "_t._to") - F.col("_from")).otherwise(0)),
-            "_left": F.greatest(F.lit(0), F.col("_to") - F.greatest("_from", "_m"))})
-
-    def _left(self, met: DataFrame) -> DataFrame:
-        return met.filter("_left > 0").select(*self.keys, *self.cols, "_side", F.col("_left").alias("_n"))
-
-    def _paired(self, met: DataFrame) -> DataFrame:
-        return met.filter("_pairs > 0").select(
-            *self.keys, *[F.col("_s." + c).alias("s_" + c) for c in self.cols], *[F.col("_t." + c).alias("t_" + c) for c in self.cols],
-            F.lit(True).alias("_has_s"), F.lit(True).alias("_has_t"), F.col("_pairs").alias("_n"))
-
-    def _all_but_one(self, rows: DataFrame) -> DataFrame:
-        """Each row under the first column without which the other side of
-        its key has an agreeing row (``_group``; null: none)."""
-        canon = [self._canonical(c) for c in self.cols]
-        names = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64(F.lit(j), *canon[:j], *canon[j + 1:]).alias("h")) for j in range(len(canon))])
-        each = rows.withColumn("_row", F.xxhash64(*self.keys, *self.cols, "_side")).withColumn("_c", F.explode(names))
-        met = Window.partitionBy(*self.keys, "_c")
-        each = each.withColumn("_ok", F.min("_side").over(met) != F.max("_side").over(met))
-        row = Window.partitionBy(*self.keys, "_row", "_side")
-        each = each.withColumn("_j", F.min(F.when(F.col("_ok"), F.col("_c.j"))).over(row))
-        return (each.filter(F.col("_c.j") == F.coalesce("_j", F.lit(0)))
-                .withColumn("_group", F.when(F.col("_j").isNotNull(), F.col("_c.h"))).drop("_row", "_c", "_ok", "_j"))
-
     @cached_property
     def pairs(self) -> DataFrame:
-        """Paired and unpaired residual rows: keys, ``s_<c>``, ``t_<c>``,
+        """Paired and unpaired residual rows: keys, ``s_<c>``, ``t_<c>``,
         ``_has_s``, ``_has_t``, ``_n`` copies."""
-        out = []
-        rows = self.residual
-        if self.cols:
-            canon = [self._canonical(c) for c in self.cols]
-            met = self._meet(rows.withColumn("_group", F.xxhash64(*canon)), [*self.keys, "_group"])
-            out.append(self._paired(met))
-            rows = self._left(met)
-        if len(self.cols) > 1:
-            one = self._all_but_one(rows)
-            met = self._meet(one.filter(F.col("_group").isNotNull()), [*self.keys, "_group"])
-            out.append(self._paired(met))
-            rows = self._left(met).unionByName(one.filter(F.col("_group").isNull()).drop("_group"))
-        met = self._meet(rows, self.keys)
-        out.append(self._paired(met))
-        rest = self._left(met)
-        for side, has in ((0, "s_"), (1, "t_")):
-            out.append(rest.filter(F.col("_side") == side).select(
-                *self.keys, *[(F.col(c) if p == has else F.lit(None).cast(self.types[c])).alias(p + c) for p in ("s_", "t_") for c in self.cols],
-                F.lit(side == 0).alias("_has_s"), F.lit(side == 1).alias("_has_t"), "_n"))
-        found = reduce(DataFrame.unionByName, out)
+        rule = Pairing(self.keys, self.cols, self.types, self._equal, self._canonical, self._order(), self.cfg.max_pairs)
+        found = rule.pairs(self.residual)
         return found.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else found
 
+    def _equal(self, c: str, a: Column, b: Column) -> Column:
+        return values_equal(a, self.types[c], b, self.types[c], self.cfg.abs_tol, self.cfg.rel_tol)
+
     # ---------------------------------------------------------- D6 / D9
     @cached_property
     def cells(self) -> DataFrame:
         """One row per differing cell of a paired row."""
         p = self.pairs.filter(F.col("_has_s") & F.col("_has_t"))
         diffs = F.array(*[
-            F.when(~values_equal(F.col("s_" + c), self.types[c], F.col("t_" + c), self.types[c],
-                                 self.cfg.abs_tol, self.cfg.rel_tol),
+            F.when(~self._equal(c, F.col("s_" + c), F.col("t_" + c)),
                    F.struct(F.lit(c).alias("column"),
                             display_value(F.col("s_" + c), self.types[c]).alias("source_value"),
                             display_value(F.col("t_" + c), self.types[c]).alias("target_value")))
             for c in self.cols]) if self.cols else F.array().cast("array<struct<column:string,source_value:string,target_value:string>>")
         cells = p.select(*self.keys, "_n", F.explode(F.filter(diffs, lambda x: x.isNotNull())).alias("d"))
-        return (cells.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-                .select(*self.keys, "d.column", "d.source_value", "d.target_value"))
+        return each_copy(cells).select(*self.keys, "d.column", "d.source_value", "d.target_value")
 
     @cached_property
     def pair_stats(self) -> DataFrame:
@@ -250,8 +191,7 @@ class RowComparison:
         and ``_n`` copies."""
         p = self.pairs
         n_diff = reduce(lambda a, b: a + b, [
-            F.when(values_equal(F.col("s_" + c), self.types[c], F.col("t_" + c), self.types[c],
-                                self.cfg.abs_tol, self.cfg.rel_tol), F.lit(0)).otherwise(F.lit(1))
+            F.when(self._equal(c, F.col("s_" + c), F.col("t_" + c)), F.lit(0)).otherwise(F.lit(1))
             for c in self.cols], F.lit(0))
         return p.select(*self.keys, "_has_s", "_has_t", n_diff.alias("n_diff"), "_n")
 
@@ -259,8 +199,7 @@ class RowComparison:
     def unpaired(self) -> DataFrame:
         """Surplus rows of shared keys."""
         p = self.pairs.filter(~(F.col("_has_s") & F.col("_has_t")))
-        return p.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*self.keys, F.when(F.col("_has_s"), F.lit(MISSING)).otherwise(F.lit(EXTRA))
-                        .alias("category"))
+        return each_copy(p).select(*self.keys, F.when(F.col("_has_s"), F.lit(MISSING)).otherwise(F.lit(EXTRA)).alias("category"))
 
     # --------------------------------------------------------------- D11
     @cached_property
@@ -363,6 +302,13 @@ class RowComparison:
         return pres.unionByName(cells).unionByName(unp).unionByName(warn)
 
 
+def each_copy(rows: DataFrame, step: int = 1 << 16) -> DataFrame:
+    """A row for each of ``_n`` copies, in two levels, so that no array grows
+    with the number of copies beyond a 65,536th of it."""
+    whole = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / step))))
+    return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col("_n") - F.col("_block") * step))))
+
+
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (``<=>``); Spark plans
     null-safe keys as ordinary hash / sort-merge join keys.  The result

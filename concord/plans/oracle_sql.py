@@ -91,6 +91,33 @@ pairs AS (SELECT * FROM al_p UNION ALL SELECT * FROM on1_p UNION ALL SELECT * FR
  UNION ALL SELECT {key}, {', '.join('NULL' for _ in cols)}, {cl}, 1, n FROM re_l WHERE side = 1)"""
 
 
+def greedy_ctes(src: str, tgt: str, key: str, cols: list[str]) -> str:
+    """The same tables by the rule itself, for a WITH RECURSIVE: of a key's
+    residual rows the pair with the most equal columns goes first (ties:
+    first source row, then first target row, in value order), then the
+    next."""
+    cl, order = ", ".join(cols), ", ".join(f"{c} NULLS FIRST" for c in cols)
+    rest = lambda a, b, n: f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS {n} FROM (SELECT {key}, {cl} FROM {a} EXCEPT ALL SELECT {key}, {cl} FROM {b})
+ WHERE {key} IN (SELECT {key} FROM key_counts WHERE ks > 0 AND kt > 0)"""
+    n_equal = " + ".join(f"CASE WHEN {values_equal('rs.' + c, 'num', 'rt.' + c, 'num')} THEN 1 ELSE 0 END" for c in cols)
+    none = ", ".join("NULL" for _ in cols)
+    return f"""key_counts AS (SELECT {key}, sum(a) AS ks, sum(b) AS kt FROM (SELECT {key}, 1 AS a, 0 AS b FROM {src} UNION ALL SELECT {key}, 0, 1 FROM {tgt}) GROUP BY {key}),
+rs AS MATERIALIZED ({rest(src, tgt, 'i')}),
+rt AS MATERIALIZED ({rest(tgt, src, 'j')}),
+ed AS MATERIALIZED (SELECT rs.{key} AS k, i, j, {n_equal} AS n FROM rs JOIN rt ON rs.{key} = rt.{key}),
+walk(k, us, ut, i, j) AS (
+  SELECT DISTINCT k, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM ed
+  UNION ALL SELECT k, list_append(us, i), list_append(ut, j), i, j FROM (
+    SELECT w.k, w.us, w.ut, e.i, e.j, row_number() OVER (PARTITION BY w.k ORDER BY e.n DESC, e.i, e.j) AS r
+    FROM walk w JOIN ed e ON e.k = w.k WHERE NOT list_contains(w.us, e.i) AND NOT list_contains(w.ut, e.j)) WHERE r = 1),
+taken AS (SELECT k, i, j FROM walk WHERE i IS NOT NULL),
+pairs AS (SELECT *, count(*) AS n FROM (
+  SELECT rs.{key}, {', '.join(f'rs.{c} AS s_{c}' for c in cols)}, {', '.join(f'rt.{c} AS t_{c}' for c in cols)}, 2 AS side
+  FROM taken JOIN rs ON rs.{key} = k AND rs.i = taken.i JOIN rt ON rt.{key} = k AND rt.j = taken.j
+  UNION ALL SELECT {key}, {cl}, {none}, 0 FROM rs WHERE NOT EXISTS (SELECT 1 FROM taken WHERE k = rs.{key} AND taken.i = rs.i)
+  UNION ALL SELECT {key}, {none}, {cl}, 1 FROM rt WHERE NOT EXISTS (SELECT 1 FROM taken WHERE k = rt.{key} AND taken.j = rt.j)) GROUP BY ALL)"""
+
+
 def pairing_summary(src: str, tgt: str, cols: list[str]) -> str:
     """The D11 row from the tables of ``pairing_ctes``."""
     equal = [values_equal("s_" + c, "num", "t_" + c, "num") for c in cols]

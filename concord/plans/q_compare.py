@@ -136,7 +136,7 @@ def d07_multiset_exact_match(spark, sf):
 
 
 _ITEM_COLS = ["l_linenumber", "l_partkey", "l_quantity"]
-_ITEM_PAIRS = derived.cte("items_src", "items_tgt") + ", " + O.pairing_ctes("items_src", "items_tgt", "l_orderkey", _ITEM_COLS)
+_ITEM_PAIRS = derived.cte("items_src", "items_tgt").replace("WITH", "WITH RECURSIVE", 1) + ", " + O.greedy_ctes("items_src", "items_tgt", "l_orderkey", _ITEM_COLS)
 
 
 @query("d08_residual_pairing", _ITEM_PAIRS + f"""

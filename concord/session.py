@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: several
+    results that start from it do not compute it again, and a lost executor
+    does not either.  The folder belongs to the session's checkpoints."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

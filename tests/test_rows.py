@@ -139,3 +139,66 @@ def test_injected_faults_found_exactly(spark, sf):
     assert out["differing_cells"] == 13 and out["unpaired_rows"] == 1
     assert out["missing_keys"] == 0 and out["extra_keys"] == 0
     assert out["mismatch_count"] == 14 and out["duplicate_key_warnings"] == 1
+
+
+def _greedy_cells(src, tgt):
+    """Differing cells of one key's rows by the rule, on Python values."""
+    order = lambda row: [(x is not None, x) for x in row]
+    s, t, cells = sorted(src, key=order), sorted(tgt, key=order), 0
+    while s and t:
+        n, i, j = max(((sum(a == b for a, b in zip(x, y)), -i, -j) for i, x in enumerate(s) for j, y in enumerate(t)))
+        cells += len(s[-i]) - n
+        del s[-i], t[-j]
+    return cells, len(s) + len(t)
+
+
+def _pairs_of(spark, src, tgt, max_pairs):
+    from concord.operators.compare.rows import CompareConfig
+    schema = "k int, a int, b string, c int, d string"
+    return compare_rows(spark.createDataFrame(src, schema), spark.createDataFrame(tgt, schema), ["k"], CompareConfig(max_pairs=max_pairs))
+
+
+@pytest.mark.parametrize("max_pairs", [4096, 1])
+def test_most_equal_columns_pair_first(spark, max_pairs):
+    rc = _pairs_of(spark, [(1, 1, "m", 7, "u"), (1, 5, "n", 8, "v")], [(1, 0, "n", 8, "w"), (1, 6, "m", 7, "z")], max_pairs)
+    assert rc.cells.count() == 4 and rc.unpaired.count() == 0
+
+
+def test_pairing_by_the_rule_on_many_keys(spark):
+    import random
+    rnd = random.Random(6)
+    row = lambda k: (k, rnd.choice([None, 1, 2, 3]), rnd.choice("xyz"), rnd.choice([4, 5]), rnd.choice(["p", "q", None]))
+    src, tgt = ([row(k) for k in range(30) for _ in range(rnd.randrange(1, 9))] for _ in range(2))
+    out = _summary(_pairs_of(spark, src, tgt, 4096))
+    want = [0, 0]
+    for k in {r[0] for r in src} & {r[0] for r in tgt}:
+        for i, n in enumerate(_greedy_cells([r[1:] for r in src if r[0] == k], [r[1:] for r in tgt if r[0] == k])):
+            want[i] += n
+    assert [out["differing_cells"], out["unpaired_rows"]] == want
+
+
+def test_pairing_of_a_hot_key_leaves_no_better_pair(spark, monkeypatch):
+    import random
+
+    from concord.operators.compare import pairing
+    rnd = random.Random(7)
+    monkeypatch.setattr(pairing.Pairing, "block", 16)
+    row = lambda: (1, rnd.randrange(30), rnd.choice("uvwxyz"), rnd.randrange(12), rnd.choice("pqrst"))
+    src, tgt = [row() for _ in range(150)], [row() for _ in range(130)]
+    rc = _pairs_of(spark, src, tgt, 10)
+    pairs = rc.pairs.collect()
+    cols = "abcd"
+    both = [(tuple(r["s_" + c] for c in cols), tuple(r["t_" + c] for c in cols)) for r in pairs if r._has_s and r._has_t for _ in range(r._n)]
+    same = sum(n for n in (min(src.count(r), tgt.count(r)) for r in set(src)))
+    assert len(both) + same == 130 and sum(r._n for r in pairs if not r._has_t) == 20
+    equal = lambda x, y: sum(a == b for a, b in zip(x, y))
+    for s1, t1 in both:                                  # no two rows agree in more columns than both do with their partners
+        for s2, t2 in both:
+            assert equal(s1, t2) <= max(equal(s1, t1), equal(s2, t2))
+    assert rc.cells.count() == sum(4 - equal(s, t) for s, t in both)
+
+
+def test_many_copies_without_long_arrays(spark):
+    from concord.operators.compare.rows import each_copy
+    assert each_copy(spark.createDataFrame([("a", 200_001), ("b", 1), ("c", 65_536)], "k string, _n bigint")).groupBy("k").count().orderBy("k").collect() \
+        == [("a", 200_001), ("b", 1), ("c", 65_536)]
