@@ -31,3 +31,26 @@ def query_hash(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
+
+
+GRAM = 8
+
+
+def leading_gram(c: Column) -> Column:
+    """The first ``GRAM`` characters of a non-empty text (fewer, if it has
+    fewer): a text that contains it has this among its ``grams``."""
+    return F.when(F.length(c) > 0, F.substring(c, 1, GRAM))
+
+
+def grams(c: Column) -> Column:
+    """Distinct substrings of 1 to ``GRAM`` characters.  Joining these with
+    ``leading_gram`` finds every pair of a text and a text within it."""
+    at = F.sequence(F.lit(1), F.length(c))
+    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(c) - i + 1)), lambda n: F.substr(c, i, n))))
+    return F.when(F.length(c) > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def prefixes(c: Column) -> Column:
+    """All non-empty prefixes, the text itself included."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substr(c, F.lit(1), n))
+    return F.when(F.length(c) > 0, cut).otherwise(F.array().cast("array<string>"))

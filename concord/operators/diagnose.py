@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sha16, strip
+from ..functions.text import grams, leading_gram, prefixes, sha16, strip
 
 V = "validation_id"
 STRUCTURAL = ("BusinessRuleValidator", "AST_ANALYZER")
@@ -220,39 +220,52 @@ def link_execution_to_structure(signals: DataFrame) -> DataFrame:
     (lowest ``signal_id``) compatible structural signal of its validation:
     paths equal or one a prefix of the other (or either empty), same
     column, or its column named in the structural expressions; signals
-    about two different explicit columns never link.  The join is scoped
-    to one validation, whose structural signals are the rule diffs of a
-    single query pair."""
+    about two different explicit columns never link.
+
+    Every way to match is a key that both sides write out: a path's
+    prefixes, an empty path, a column.  Structural signals are reduced to the
+    first one per key and column first, so a lookup is one row whatever a
+    validation holds, and signals that ask the same are looked up once."""
     s = normalize_signals(signals)
+    path_column = lambda p: F.when(F.col(p).startswith("columns[") & F.col(p).endswith("]"), F.regexp_extract(p, r"^columns\[(.*)\]$", 1))
+    said = lambda c: F.when(c != "", c)
     st = s.filter(F.col("source_validator").isin(*STRUCTURAL)).select(
-        V, F.col("signal_id").alias("a_id"), F.col("analysis_path").alias("a_path"),
-        F.col("column").alias("a_col"), F.col("source_expression").alias("a_src"),
-        F.col("target_expression").alias("a_tgt"))
-    # rule diffs that say the same are joined once, as the first of them
-    st = st.groupBy(V, "a_path", "a_col", "a_src", "a_tgt").agg(F.min("a_id").alias("a_id"))
-    st = st.withColumn("a_pcol", F.when(F.col("a_path").startswith("columns[") & F.col("a_path").endswith("]"),
-                                        F.regexp_extract("a_path", r"^columns\[(.*)\]$", 1)))
+        V, F.col("signal_id").alias("a_id"), F.col("analysis_path").alias("a_path"), said(F.col("column")).alias("a_col"),
+        F.coalesce(said(F.col("column")), said(path_column("analysis_path"))).alias("a_of"),
+        F.col("source_expression").alias("a_src"), F.col("target_expression").alias("a_tgt"))
     ex = s.filter(F.col("source_validator").isin(*EXECUTION))
-    ex = ex.withColumn("_pcol", F.when(F.col("analysis_path").startswith("columns[") & F.col("analysis_path").endswith("]"),
-                                       F.regexp_extract("analysis_path", r"^columns\[(.*)\]$", 1)))
-    col1 = F.coalesce(F.col("column"), F.col("_pcol"))
-    col2 = F.coalesce(F.col("a_col"), F.col("a_pcol"))
-    p, ap = F.col("analysis_path"), F.col("a_path")
-    path_match = (p == "") | (ap == "") | (p == ap) | p.startswith(ap) | ap.startswith(p)
-    col_match = F.col("column").isNotNull() & F.col("a_col").isNotNull() & (F.col("column") == F.col("a_col"))
-    ast_expr = F.concat(F.coalesce("a_src", F.lit("")), F.lit(" "), F.coalesce("a_tgt", F.lit("")))
-    expr_match = F.coalesce(F.col("column").isNotNull() & (F.col("column") != "") & ast_expr.contains(F.col("column")),
-                            F.lit(False))
-    compatible = ~(col1.isNotNull() & (col1 != "") & col2.isNotNull() & (col2 != "") & (col1 != col2))
-    cand = (ex.select(V, "signal_id", "analysis_path", "column", "_pcol")
-            .join(st, V).filter(compatible & (path_match | col_match | expr_match))
-            .groupBy(V, "signal_id").agg(F.min(F.struct("a_id", "a_path", "a_src", "a_tgt")).alias("m")))
-    linked = ex.drop("_pcol").join(cand, [V, "signal_id"], "left").select(
-        *[F.col(c) for c in ex.columns if c not in ("source_expression", "target_expression", "analysis_path", "_pcol")],
-        F.coalesce(F.col("m.a_src"), F.col("source_expression")).alias("source_expression"),
-        F.coalesce(F.col("m.a_tgt"), F.col("target_expression")).alias("target_expression"),
-        F.when(F.col("m.a_id").isNotNull() & (F.coalesce(F.col("m.a_path"), F.lit("")) != ""), F.col("m.a_path"))
-        .otherwise(F.col("analysis_path")).alias("analysis_path"))
+    asked = ex.select(V, F.col("analysis_path").alias("path"), said(F.col("column")).alias("col"),
+                      F.coalesce(said(F.col("column")), said(path_column("analysis_path"))).alias("of")).distinct()
+
+    key = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    one = lambda kind, text: F.when(text.isNotNull(), F.array(key(kind, text))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    each = lambda kind, texts: F.transform(texts, lambda t: key(kind, t))
+    empty = lambda c: F.when(F.col(c) == "", F.lit(""))
+    # signals about a column meet those about it and those about none; signals about none meet all
+    lanes = lambda of: F.array(F.lit("*"), F.coalesce(F.concat(F.lit("="), of), F.lit("")))
+    st_keys = F.concat(one("all", F.lit("")), one("bare", empty("a_path")), one("under", said(F.col("a_path"))),
+                       each("over", prefixes(F.col("a_path"))), one("column", F.col("a_col")))
+    ex_keys = F.concat(one("all", empty("path")), one("bare", F.lit("")), each("under", prefixes(F.col("path"))),
+                       one("over", said(F.col("path"))), one("column", F.col("col")), one("named", F.col("col")))
+    by = [V, "key", "lane"]
+    first = st.select(V, "a_id", F.explode(st_keys).alias("key"), "a_of").select(V, "a_id", "key", F.explode(lanes(F.col("a_of"))).alias("lane")).groupBy(*by).agg(F.min("a_id").alias("a_id"))
+    # columns named in expressions: found through the grams of the text, then checked
+    text = F.concat(F.coalesce("a_src", F.lit("")), F.lit(" "), F.coalesce("a_tgt", F.lit("")))
+    texts = st.groupBy(V, text.alias("text"), "a_of").agg(F.min("a_id").alias("a_id"))
+    columns = asked.filter(F.col("col").isNotNull()).select(V, "col", leading_gram(F.col("col")).alias("gram")).distinct()
+    named = (texts.withColumn("gram", F.explode(grams(F.col("text")))).join(columns, [V, "gram"]).filter(F.col("text").contains(F.col("col")))
+             .select(V, "a_id", key("named", F.col("col")).alias("key"), F.explode(lanes(F.col("a_of"))).alias("lane")).groupBy(*by).agg(F.min("a_id").alias("a_id")))
+
+    wanted = F.when(F.col("of").isNull(), F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), F.col("of")), F.lit("")))
+    kind = [V, "path", "col"]
+    looked = asked.select(*kind, F.explode(ex_keys).alias("key"), wanted.alias("lanes")).select(*kind, "key", F.explode("lanes").alias("lane"))
+    found = looked.join(first.unionByName(named), by).groupBy(*kind).agg(F.min("a_id").alias("a_id"))
+    found = found.join(st.select(V, "a_id", "a_path", "a_src", "a_tgt"), [V, "a_id"]).withColumnRenamed(V, "_v")
+    same = (ex[V] == found["_v"]) & (ex["analysis_path"] == found["path"]) & said(ex["column"]).eqNullSafe(found["col"])
+    linked = ex.join(found, same, "left").select(
+        *[ex[c] for c in ex.columns if c not in ("source_expression", "target_expression", "analysis_path")],
+        F.coalesce("a_src", "source_expression").alias("source_expression"), F.coalesce("a_tgt", "target_expression").alias("target_expression"),
+        F.when(F.coalesce("a_path", F.lit("")) != "", F.col("a_path")).otherwise(F.col("analysis_path")).alias("analysis_path"))
     rest = s.filter(~F.col("source_validator").isin(*EXECUTION))
     return rest.unionByName(linked.select(*s.columns))
 

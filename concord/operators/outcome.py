@@ -10,9 +10,11 @@ before/after report pair of a single migration.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import grams, leading_gram
+
 P = "pair_id"
 COLUMNS = {"pair_id": "long", "discrepancy_id": "string", "ordinal": "long", "category": "string",
            "analysis_path": "string", "source_expression": "string", "target_expression": "string",
@@ -70,21 +72,26 @@ def target_outcome(targets: DataFrame, after: DataFrame) -> DataFrame:
     ``global``) match of the same category -> PERSISTS; a same-region match
     of another category -> CHANGED; none -> RESOLVED."""
     t = _prep(targets)
-    a = _prep(after).select(P, F.col("discrepancy_id").alias("a_id"), F.col("ordinal").alias("a_ord"),
-                            F.col("category").alias("a_cat"), F.col("_sig").alias("a_sig"),
-                            F.col("_reg").alias("a_reg"), F.col("affected_row_count").alias("a_rows"))
-    # discrepancies that look alike are compared once: distinct (category,
-    # signature, region) of a pair on either side, the first of them for all
-    kinds = ["category", "_sig", "_reg"]
-    a = a.groupBy(P, "a_cat", "a_sig", "a_reg").agg(F.min(F.struct("a_ord", "a_id", "a_rows")).alias("a")).select(P, "a_cat", "a_sig", "a_reg", "a.*")
-    j = t.select(P, *kinds).distinct().join(a, P)
-    region = (F.col("_reg") == F.col("a_reg")) | ((F.col("_reg") != "global") & F.col("a_reg").contains(F.col("_reg")))
-    cls = (F.when(F.col("_sig") == F.col("a_sig"), F.lit(0))
-           .when(region & (F.col("category") == F.col("a_cat")), F.lit(1))
-           .when(region, F.lit(2)))
-    best = (j.withColumn("_cls", cls).filter(F.col("_cls").isNotNull())
-            .groupBy(P, *kinds).agg(F.min(F.struct("_cls", "a_ord", "a_id", "a_rows")).alias("m")))
-    best = t.select(P, "discrepancy_id", *kinds).join(best, [P, *kinds]).groupBy(P, "discrepancy_id").agg(F.min("m").alias("m"))
+    first = Window.partitionBy(P).orderBy("ordinal", "discrepancy_id", "affected_row_count")
+    a = _prep(after).select(P, F.row_number().over(first).alias("a_no"), F.col("discrepancy_id").alias("a_id"), F.col("category").alias("a_cat"),
+                            F.col("_sig").alias("a_sig"), F.col("_reg").alias("a_reg"), F.col("affected_row_count").alias("a_rows"))
+    least = lambda d, *by: d.groupBy(P, *by).agg(F.min("a_no").alias("a_no"))
+    # regions that lie in others: met through the grams of the after region, then checked
+    mine = t.select(P, "_reg").distinct()
+    others = a.select(P, "a_reg").distinct().withColumn("gram", F.explode(grams(F.col("a_reg"))))
+    within = mine.withColumn("gram", leading_gram(F.col("_reg"))).join(others, [P, "gram"]).filter(
+        (F.col("_reg") == F.col("a_reg")) | ((F.col("_reg") != "global") & F.col("a_reg").contains(F.col("_reg")))).select(P, "_reg", "a_reg")
+    there = within.join(least(a, "a_reg", "a_cat"), [P, "a_reg"])
+    signed = least(a, "a_sig").select(P, F.col("a_sig").alias("_sig"), F.col("a_no").alias("_no0"))
+    alike = least(there, "_reg", "a_cat").select(P, "_reg", F.col("a_cat").alias("category"), F.col("a_no").alias("_no1"))
+    near = least(there, "_reg").select(P, "_reg", F.col("a_no").alias("_no2"))
+    best = (t.select(P, "discrepancy_id", "_sig", "_reg", "category").join(signed, [P, "_sig"], "left").join(alike, [P, "_reg", "category"], "left")
+            .join(near, [P, "_reg"], "left").filter(F.coalesce("_no0", "_no1", "_no2").isNotNull()))
+    # the best class, then the first record: one number, so that rows of one id are reduced by a hash aggregate
+    far = 1 << 40
+    best = best.groupBy(P, "discrepancy_id").agg(F.min(F.coalesce(F.col("_no0").cast("long"), F.col("_no1") + far, F.col("_no2") + 2 * far)).alias("m"))
+    best = (best.select(P, "discrepancy_id", F.floor(F.col("m") / far).alias("_cls"), (F.col("m") % far).alias("a_no"))
+            .join(a.select(P, "a_no", "a_id", "a_rows"), [P, "a_no"]).select(P, "discrepancy_id", F.struct("_cls", "a_id", "a_rows").alias("m")))
     o = t.join(best, [P, "discrepancy_id"], "left")
     status = (F.when(F.col("m._cls") <= 1, F.lit("PERSISTS")).when(F.col("m._cls") == 2, F.lit("CHANGED"))
               .otherwise(F.lit("RESOLVED")))
@@ -106,21 +113,19 @@ def classify_before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     (before ids), REMAINING or NEW (after ids).  Signatures match first,
     then equal regions; when several records share a signature the last
     one in list order stands for it.  Equi-joins only."""
-    b, a = _prep(before), _prep(after)
-    last = lambda d: d.groupBy(P, "_sig").agg(F.max(F.struct("ordinal", "discrepancy_id", "_reg")).alias("r"))
-    bs = last(b).select(P, "_sig", F.col("r.discrepancy_id").alias("b_id"), F.col("r._reg").alias("b_reg"))
-    as_ = last(a).select(P, "_sig", F.col("r.discrepancy_id").alias("a_id"))
-    first_reg = a.groupBy(P, "_reg").agg(F.min(F.struct("ordinal", "discrepancy_id")).getField("discrepancy_id")
-                                         .alias("ar_id"))
-    j = (bs.join(as_, [P, "_sig"], "left")
-         .join(first_reg.withColumnRenamed("_reg", "b_reg"), [P, "b_reg"], "left"))
-    remaining = F.coalesce(F.col("a_id"), F.col("ar_id"))
-    res = j.select(P, F.when(remaining.isNull(), F.lit("RESOLVED")).otherwise(F.lit("REMAINING")).alias("outcome"),
-                   F.coalesce(remaining, F.col("b_id")).alias("discrepancy_id"))
-    new = (a.join(b.select(P, "_sig").distinct(), [P, "_sig"], "left_anti")
-           .join(b.select(P, "_reg").distinct(), [P, "_reg"], "left_anti")
-           .select(P, F.lit("NEW").alias("outcome"), "discrepancy_id"))
-    return res.unionByName(new).distinct()
+    both = _prep(before).withColumn("_after", F.lit(False)).unionByName(_prep(after).withColumn("_after", F.lit(True)), allowMissingColumns=True)
+    d = both.select(P, "discrepancy_id", "ordinal", "_sig", "_reg", "_after")
+    of = lambda after, c: F.when(F.col("_after") == after, F.col(c))
+    listed = lambda by: Window.partitionBy(P, by).orderBy("ordinal", "discrepancy_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the last before record and the last after record of a signature stand for it
+    d = d.withColumns({"b_last": F.last(of(False, "discrepancy_id"), ignorenulls=True).over(listed("_sig")),
+                       "a_id": F.last(of(True, "discrepancy_id"), ignorenulls=True).over(listed("_sig"))})
+    d = d.withColumns({"ar_id": F.first(of(True, "discrepancy_id"), ignorenulls=True).over(listed("_reg")),
+                       "br_id": F.first(of(False, "discrepancy_id"), ignorenulls=True).over(listed("_reg"))})
+    left = F.coalesce("a_id", "ar_id")
+    return d.filter(F.when(F.col("_after"), F.col("b_last").isNull() & F.col("br_id").isNull()).otherwise(F.col("discrepancy_id") == F.col("b_last"))).select(
+        P, F.when(F.col("_after"), F.lit("NEW")).when(left.isNull(), F.lit("RESOLVED")).otherwise(F.lit("REMAINING")).alias("outcome"),
+        F.when(F.col("_after"), F.col("discrepancy_id")).otherwise(F.coalesce(left, F.col("discrepancy_id"))).alias("discrepancy_id")).distinct()
 
 
 def verification_status(candidate_valid: Column, execution_succeeded: Column, dataset_unchanged: Column,
