@@ -142,17 +142,32 @@ SHARE_LIMIT = 20        # distinct values up to which a text column gets shares
 LABEL_CHARS = 256       # longer values are told apart by their hash
 
 
-def value_counts(df: DataFrame) -> DataFrame:
-    """``(ordinal, value, n, min_val, max_val)``: how often each value of
-    each column occurs, in one pass over the table.  NULL and float NaN are
-    the null value; -0.0 is 0.0; a value longer than ``LABEL_CHARS`` is its
-    first characters and its SHA-256.  Counting is two-stage: map tasks add
-    up what they have before the shuffle on (column, value), which spreads
-    every column over all partitions."""
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.BooleanType)
+
+
+def value_counts(df: DataFrame, skip: frozenset[str] = frozenset()) -> DataFrame:
+    """``(ordinal, place, value, n, bits, min_val, max_val)``: how often the
+    values of each column (but ``skip``) occur, in one pass over the table.
+
+    Whole numbers, dates and booleans travel as bitmaps of 64 neighbouring
+    values (``place`` is the value divided by 64, ``bits`` the or of their
+    bits), so a key column that is nearly unique shuffles a row for 64 values;
+    any other value is a row of its own text.  NULL and float NaN are the null
+    value (neither place nor value); -0.0 is 0.0; a text longer than
+    ``LABEL_CHARS`` is its first characters and its SHA-256.  Map tasks add up
+    what they have before the shuffle, which spreads every column over all
+    partitions."""
     cells = []
+    null = lambda t: F.lit(None).cast(t)
     for i, f in enumerate(df.schema.fields):
+        if f.name in skip:
+            continue
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        place, bits, text, num = null("long"), null("long"), null("string"), null("double")
+        if isinstance(f.dataType, _WHOLE):
+            x = (F.unix_date(c) if isinstance(f.dataType, T.DateType) else c).cast("long")
+            place, bits = F.shiftright(x, 6), F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             text = F.when(c.isNotNull(), F.to_json(F.struct(c)))
         elif isinstance(f.dataType, T.BinaryType):
             text = F.hex(c)
@@ -161,12 +176,42 @@ def value_counts(df: DataFrame) -> DataFrame:
         else:
             text = c.cast("string")
         text = F.when(F.length(text) > LABEL_CHARS, F.concat(F.substring(text, 1, 64), F.lit("#"), F.sha2(text, 256))).otherwise(text)
-        num = F.when(~null_like(c, f.dataType), c.cast("double")) if is_numeric(f.dataType) else F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value"), num.alias("num")))
+        if is_numeric(f.dataType):
+            num = F.when(~null_like(c, f.dataType), c.cast("double"))
+        cells.append(F.struct(F.lit(i).alias("ordinal"), place.alias("place"), text.alias("value"), bits.alias("bits"), num.alias("num")))
     if not cells:
-        return df.sparkSession.createDataFrame([], "ordinal int, value string, n long, min_val double, max_val double")
-    return (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-            .groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("min_val"), F.max("num").alias("max_val")))
+        return df.sparkSession.createDataFrame([], "ordinal int, place long, value string, n long, bits long, min_val double, max_val double")
+    return (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").groupBy("ordinal", "place", "value")
+            .agg(F.count(F.lit(1)).alias("n"), F.bit_or("bits").alias("bits"), F.min("num").alias("min_val"), F.max("num").alias("max_val")))
+
+
+@dataclass(frozen=True)
+class Sketched:
+    """Columns of a table that are nearly unique, by ordinal: (rows, nulls,
+    estimated distinct values, min, max)."""
+
+    names: frozenset[str]
+    figures: dict[int, tuple]
+
+
+def near_unique(df: DataFrame, share: float = 0.5) -> Sketched:
+    """One pass of mergeable sketches over the columns that no bitmap holds:
+    those with more distinct values than ``share`` of their rows.  A map task
+    sends one sketch a column, whatever its rows."""
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, (T.StringType, T.FloatType, T.DoubleType, T.DecimalType, T.TimestampType, T.BinaryType))]
+    if not fields:
+        return Sketched(frozenset(), {})
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in fields:
+        c = F.col(f"`{f.name}`")
+        known = F.when(~null_like(c, f.dataType), c)
+        held = known.cast("string") if not isinstance(f.dataType, (T.StringType, T.BinaryType)) else known
+        num = known.cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
+        aggs += [F.count(known).alias(f"k{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(held, 14)).alias(f"d{i}"), F.min(num).alias(f"a{i}"), F.max(num).alias(f"b{i}")]
+    row = df.agg(*aggs).first()
+    found = {i: (row["n"], row["n"] - row[f"k{i}"], row[f"d{i}"] or 0, row[f"a{i}"], row[f"b{i}"])
+             for i, _ in fields if (row[f"d{i}"] or 0) > share * max(row["n"], 1)}
+    return Sketched(frozenset(df.schema.fields[i].name for i in found), found)
 
 
 def _columns(df: DataFrame, table: str) -> DataFrame:
@@ -175,10 +220,15 @@ def _columns(df: DataFrame, table: str) -> DataFrame:
                         "table_name string, column_name string, ordinal int, is_text boolean")
 
 
-def _basic(columns: DataFrame, counts: DataFrame) -> DataFrame:
+def _basic(columns: DataFrame, counts: DataFrame, sketched: Sketched | None = None) -> DataFrame:
+    null = F.col("value").isNull() & F.col("place").isNull()
+    values = F.when(F.col("place").isNotNull(), F.bit_count("bits")).when(F.col("value").isNotNull(), 1).otherwise(0)
     per = counts.groupBy("ordinal").agg(
-        F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
-        F.count("value").alias("distinct_count"), F.min("min_val").alias("min_val"), F.max("max_val").alias("max_val"))
+        F.sum("n").alias("row_count"), F.sum(F.when(null, F.col("n")).otherwise(0)).alias("null_count"),
+        F.sum(values).alias("distinct_count"), F.min("min_val").alias("min_val"), F.max("max_val").alias("max_val"))
+    if sketched is not None and sketched.figures:
+        rows = [(i, n, nulls, d, a, b) for i, (n, nulls, d, a, b) in sketched.figures.items()]
+        per = per.unionByName(literal_rows(columns.sparkSession, rows, "ordinal int, row_count long, null_count long, distinct_count long, min_val double, max_val double"))
     b = columns.join(per, "ordinal", "left").fillna(0, ["row_count", "null_count", "distinct_count"])
     return b.withColumn("null_rate", F.when(F.col("row_count") > 0, F.round(F.col("null_count") / F.col("row_count"), 4)).otherwise(F.lit(0.0)))
 
@@ -191,9 +241,11 @@ def profile_basic(df: DataFrame, table: str) -> DataFrame:
 
 
 def _shares(basic: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
-    few = basic.filter(F.col("is_text") & (F.col("distinct_count") <= limit)).select(
+    few = basic.filter(F.col("is_text") & (F.col("distinct_count") <= limit) & F.col("min_val").isNull() & F.col("max_val").isNull()).select(
         "ordinal", "table_name", "column_name", (F.col("row_count") - F.col("null_count")).alias("total"))
-    return counts.filter(F.col("value").isNotNull()).join(few, "ordinal").select(
+    # asked of the sums, the filter stays above the shuffle: all readers of the counts share the one shuffle
+    text = F.when((F.col("n") > 0) & F.col("min_val").isNull() & F.col("max_val").isNull() & F.col("bits").isNull(), F.col("value"))
+    return counts.withColumn("value", text).filter(F.col("value").isNotNull()).join(few, "ordinal").select(
         "table_name", "column_name", "value", F.round(F.col("n") / F.col("total"), 4).alias("share"))
 
 
@@ -205,20 +257,27 @@ def profile_categorical(df: DataFrame, table: str, limit: int = SHARE_LIMIT) ->
     return _shares(_basic(_columns(df, table), counts), counts, limit)
 
 
-def dataset_profile(tables: dict[str, DataFrame], limit: int = SHARE_LIMIT) -> DataFrame:
+def dataset_profile(tables: dict[str, DataFrame], limit: int = SHARE_LIMIT, sketch_near_unique: bool = False) -> DataFrame:
     """Long form ``(table_name, column_name, metric, label, value)``
     over every table: row_count, null_rate, distinct_count, min, max, one
     ``share`` row per value of the text columns with at most ``limit``
     distinct values, and ``shares_omitted`` (their number) for the others.
-    Nothing runs while the plan is built; each table is scanned once."""
+    Each table is scanned once: its value counts feed all figures.  All
+    figures are exact, unless ``sketch_near_unique``: then a first pass of
+    sketches names the columns that are nearly unique (no bitmap holds them,
+    and their exact count would shuffle every value); their distinct counts
+    are estimates, and marked by a row ``distinct_is_estimate``."""
     parts = []
     for name, df in tables.items():
-        counts = value_counts(df)
-        b = _basic(_columns(df, name), counts)
+        sketched = near_unique(df) if sketch_near_unique else Sketched(frozenset(), {})
+        counts = value_counts(df, sketched.names)
+        b = _basic(_columns(df, name), counts, sketched)
+        guessed = F.col("ordinal").isin(*sketched.figures) if sketched.figures else F.lit(False)
         metrics = F.array(
             F.struct(F.lit("row_count").alias("metric"), F.col("row_count").cast("double").alias("value")),
             F.struct(F.lit("null_rate").alias("metric"), F.col("null_rate").alias("value")),
             F.struct(F.lit("distinct_count").alias("metric"), F.col("distinct_count").cast("double").alias("value")),
+            F.struct(F.lit("distinct_is_estimate").alias("metric"), F.when(guessed, F.lit(1.0)).alias("value")),
             F.struct(F.lit("shares_omitted").alias("metric"), F.when(F.col("is_text") & (F.col("distinct_count") > limit), F.col("distinct_count").cast("double")).alias("value")),
             F.struct(F.lit("min").alias("metric"), F.col("min_val").alias("value")),
             F.struct(F.lit("max").alias("metric"), F.col("max_val").alias("value")))

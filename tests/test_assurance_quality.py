@@ -90,3 +90,28 @@ def test_structure_and_transformations(spark):
     assert dd == {"TRANSLATED_RULE": 2, "ASSUMPTION": 1}
     cnt = S.transformation_counts(tr).collect()[0]
     assert (cnt.transformation_count, cnt.assumption_count) == (1, 1)
+
+
+def test_profiles_share_one_scan_and_bitmaps_are_exact(spark):
+    rows = [(i - 70, i % 2 == 0, f"t{i % 3}", None if i % 5 else i * 1e10) for i in range(200)] + [(None, None, None, float("nan")), (2**62, True, "t0", -0.0)]
+    df = spark.createDataFrame(rows, "k long, b boolean, t string, d double").withColumn("day", F.date_add(F.lit("1969-11-01"), F.coalesce(F.col("k") % 97, F.lit(0)).cast("int")))
+    got = {r.column_name: r for r in quality.profile_basic(df, "x").collect()}
+    want = df.agg(*[F.countDistinct(F.when(~F.isnan("d"), F.col("d")) if c == "d" else c).alias(c) for c in df.columns]).first()
+    assert {c: got[c].distinct_count for c in df.columns} == want.asDict()
+    assert (got["k"].min_val, got["k"].max_val, got["k"].null_count, got["b"].distinct_count) == (-70.0, float(2**62), 1, 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = quality.dataset_profile({"x": spark.read.parquet("/root/testdata/sf0.001/orders.parquet")})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1
+
+
+def test_sketched_columns_are_marked(spark, sf):
+    df = spark.range(20_000).select("id", F.concat(F.lit("name"), "id").alias("name"), (F.col("id") % 4).cast("string").alias("few"), (F.col("id") / 7).alias("x"))
+    exact, guess = ({(r.column_name, r.metric, r.label): r.value for r in quality.dataset_profile({"x": df}, sketch_near_unique=s).collect()} for s in (False, True))
+    marked = {k[0] for k in guess if k[1] == "distinct_is_estimate"}
+    assert marked == {"name", "x"} and not any(k[1] == "distinct_is_estimate" for k in exact)
+    for k, v in exact.items():
+        near = k[0] in marked and k[1] in ("distinct_count", "shares_omitted")
+        assert abs(guess[k] - v) <= 0.05 * v if near else guess[k] == v
