@@ -1,6 +1,9 @@
 """A sources and the driver contract."""
 
 import os
+import shutil
+import subprocess
+import sys
 import tempfile
 
 import pytest
@@ -75,6 +78,17 @@ def test_entry_and_registry(spark):
     assert set(o) <= set(q) and len(q) >= 90
 
 
+@pytest.mark.parametrize("without", [("concord/llm", "tests/llm"), ("concord/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_loads_without_the_corpus_operators(tmp_path, without):
+    import __spark_entry__ as e
+    here = os.path.dirname(os.path.abspath(e.__file__))
+    gone = {os.path.join(here, w) for w in without}
+    shutil.copytree(here, tmp_path / "copy", ignore=lambda d, names: [n for n in names if n in (".git", "__pycache__") or os.path.join(d, n) in gone])
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(e.__file__, len(q), set(o) <= set(q), 'pipeline' in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True).stdout.split()
+    assert out[0].startswith(str(tmp_path)) and int(out[1]) >= 90 and out[2:] == ["True", "False"]
+
+
 def test_compare_pair_and_export_parquet(spark, sf):
     from concord.operators.compare.report import compare_pair, run_checks
     s, t = compare_pair(spark, "SELECT n_nationkey, n_name FROM nat WHERE n_regionkey < 3",
