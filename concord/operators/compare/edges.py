@@ -48,10 +48,11 @@ def _boundary_cells(df: DataFrame, cols: list[str], key: str, values) -> DataFra
 
 
 def boundary_keyset_diff(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
-                         values=DEFAULT_BOUNDARIES, cols: list[str] | None = None) -> DataFrame:
+                         values=DEFAULT_BOUNDARIES, cols: list[str] | None = None, rows=None) -> DataFrame:
     """Per (numeric column, boundary value present on both sides, key
     column) whose key sets differ: one row with the counts of keys found on
-    one side only."""
+    one side only.  ``rows``: a row comparison of the two sides that kept
+    these boundary cells, so that neither side is read again."""
     keys = keys or [src.columns[0]]
     if cols is None:
         tcols = set(tgt.columns)
@@ -62,9 +63,11 @@ def boundary_keyset_diff(src: DataFrame, tgt: DataFrame, keys: list[str] | None
             continue
         # one pass per side: cells tagged by side, then per (column, value,
         # key) which sides have it, then per (column, value) the one-sided keys
-        cells = (_boundary_cells(src, cols, k, values).withColumn("_s", F.lit(1)).withColumn("_t", F.lit(0))
-                 .unionByName(_boundary_cells(tgt, cols, k, values).withColumn("_s", F.lit(0))
-                              .withColumn("_t", F.lit(1))))
+        if rows is not None:
+            cells = rows.boundary_cells(k)
+        else:
+            cells = (_boundary_cells(src, cols, k, values).withColumn("_s", F.lit(1)).withColumn("_t", F.lit(0)).unionByName(
+                _boundary_cells(tgt, cols, k, values).withColumn("_s", F.lit(0)).withColumn("_t", F.lit(1))))
         per_key = cells.groupBy("column", "value", "key").agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"))
         d = (per_key.groupBy("column", "value")
              .agg(F.max("_s").alias("_any_s"), F.max("_t").alias("_any_t"),
@@ -82,7 +85,7 @@ def boundary_keyset_diff(src: DataFrame, tgt: DataFrame, keys: list[str] | None
 
 
 def edge_check(src: DataFrame | None, tgt: DataFrame | None, keys: list[str] | None = None,
-               values=DEFAULT_BOUNDARIES, scenario: str = "EDGE_CASE", specs=None) -> DataFrame:
+               values=DEFAULT_BOUNDARIES, scenario: str = "EDGE_CASE", specs=None, rows=None) -> DataFrame:
     """D19 check row: FAIL when NULL totals differ or any boundary key set
     differs; SKIPPED with score 1.0 when a side is missing."""
     if src is None or tgt is None:
@@ -92,7 +95,7 @@ def edge_check(src: DataFrame | None, tgt: DataFrame | None, keys: list[str] | N
             spark, [("EdgeCaseValidator", "SKIPPED", "INFO", 1.0, 0, scenario)],
             "check_name string, status string, severity string, score double, mismatch_count long, scenario string")
     n = null_count_diff(src, tgt, specs).select(F.col("differs").cast("long").alias("n"))
-    b = boundary_keyset_diff(src, tgt, keys, values).agg(F.count("*").alias("b"))
+    b = boundary_keyset_diff(src, tgt, keys, values, rows=rows).agg(F.count("*").alias("b"))
     mm = F.col("n") + F.col("b")
     return merge_single_rows(n, b).select(
         F.lit("EdgeCaseValidator").alias("check_name"),

@@ -7,15 +7,16 @@ one so that a failing check becomes an ERROR row and the others go on.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...functions.types import is_numeric
 from ...session import literal_rows
 from .aggregates import aggregate_check
 from .edges import edge_check
-from .rows import CompareConfig, ComparisonKeyError, compare_rows
+from .rows import CompareConfig, ComparisonKeyError, RowComparison, compare_rows
 
 CHECK_SCHEMA = ("check_name string, status string, severity string, score double, "
                 "mismatch_count long, summary string")
@@ -25,12 +26,12 @@ DEFAULT_CHECKS = ("SchemaValidator", "RowValidator", "AggregateValidator",
 
 
 def row_check(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
-              cfg: CompareConfig | None = None) -> DataFrame:
+              cfg: CompareConfig | None = None, rows: RowComparison | None = None) -> DataFrame:
     """PASS iff no mismatch; FAIL is CRITICAL; a key problem is an
     ERROR row with score 0."""
     spark = src.sparkSession
     try:
-        rc = compare_rows(src, tgt, keys, cfg)
+        rc = rows or compare_rows(src, tgt, keys, cfg)
     except ComparisonKeyError as exc:
         return literal_rows(
             spark, [("RowValidator", "ERROR", "HIGH", 0.0, 0, f"unusable key: {exc}")], CHECK_SCHEMA)
@@ -45,6 +46,22 @@ def row_check(src: DataFrame, tgt: DataFrame, keys: list[str] | None = None,
         .alias("summary"))
 
 
+def _shared_rows(src: DataFrame, tgt: DataFrame, config: "ValidationConfig") -> RowComparison | None:
+    """The row comparison that the row and edge checks share: it keeps the
+    boundary cells as it reads the sides.  None where it is not wanted or
+    fails; each check then works, or fails, for itself."""
+    if not {"RowValidator", "EdgeCaseValidator"} <= set(config.enabled):
+        return None
+    try:
+        rows = compare_rows(src, tgt, list(config.keys) if config.keys else None, replace(config.compare, boundaries=config.boundaries))
+        if any(is_numeric(src.schema[c].dataType) != is_numeric(tgt.schema[c].dataType) for c in rows.types):
+            return None
+        rows.distinct_rows
+        return rows
+    except Exception:
+        return None
+
+
 def schema_check(src: DataFrame, tgt: DataFrame, order_matters: bool = True) -> DataFrame:
     """Schema check of two DataFrames (D2 for one pair).  Schemas are plan
     metadata already on the driver, so the rules are applied to them
@@ -92,13 +109,14 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
     keys = list(config.keys) if config.keys else None
     from .aggregates import default_specs
     specs = default_specs(src, tgt)  # shared by the aggregate and edge checks
+    rows = _shared_rows(src, tgt, config)
     out: dict[str, DataFrame] = {}
     for name in config.enabled:
         try:
             if name == "SchemaValidator":
                 df = schema_check(src, tgt, config.order_matters)
             elif name == "RowValidator":
-                df = row_check(src, tgt, keys, config.compare)
+                df = row_check(src, tgt, keys, config.compare, rows)
             elif name == "AggregateValidator":
                 df = aggregate_check(src, tgt, specs, config.compare.abs_tol, config.compare.rel_tol) \
                     .withColumn("summary", F.format_string("%d aggregates differ", "mismatch_count"))
@@ -106,7 +124,7 @@ def check_frames(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None
                 from ..structure import rule_check
                 df = rule_check(spark, components)
             elif name == "EdgeCaseValidator":
-                df = edge_check(src, tgt, keys, config.boundaries, specs=specs) \
+                df = edge_check(src, tgt, keys, config.boundaries, specs=specs, rows=rows) \
                     .withColumn("summary", F.concat(F.lit("edge cases: "), F.col("scenario")))
             else:
                 raise ValueError(f"unknown check {name}")
@@ -143,16 +161,17 @@ def evidence(src: DataFrame, tgt: DataFrame, config: ValidationConfig | None = N
     keys = list(config.keys) if config.keys else None
     specs = default_specs(src, tgt)
     digits = lambda c: F.format_string("%.10e", c)
+    rows = _shared_rows(src, tgt, config)
     parts = [
         schema_evidence(src, tgt, config.order_matters),
-        compare_rows(src, tgt, keys, config.compare).evidence_rows.withColumn("check_name", F.lit("RowValidator")),
+        (rows or compare_rows(src, tgt, keys, config.compare)).evidence_rows.withColumn("check_name", F.lit("RowValidator")),
         aggregate_diff(src, tgt, specs, config.compare.abs_tol, config.compare.rel_tol).filter(~F.col("matched")).select(
             F.lit("AggregateValidator").alias("check_name"), F.lit("AGGREGATE_MISMATCH").alias("type"), "column",
             digits("source_value").alias("source_value"), digits("target_value").alias("target_value"), F.col("function").alias("category")),
         null_count_diff(src, tgt, specs).filter("differs").select(
             F.lit("EdgeCaseValidator").alias("check_name"), F.lit("EDGE_CASE_FAILURE").alias("type"),
             F.col("source_nulls").cast("string").alias("source_value"), F.col("target_nulls").cast("string").alias("target_value"), F.lit("NULL_SEMANTICS").alias("category")),
-        boundary_keyset_diff(src, tgt, keys, config.boundaries).select(
+        boundary_keyset_diff(src, tgt, keys, config.boundaries, rows=rows).select(
             F.lit("EdgeCaseValidator").alias("check_name"), F.lit("EDGE_CASE_FAILURE").alias("type"),
             F.create_map(F.col("key_column"), F.format_string("%.2f", "value")).alias("key"), "column",
             F.col("source_only_keys").cast("string").alias("source_value"), F.col("target_only_keys").cast("string").alias("target_value"),

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...session import merge_single_rows
+from ...session import merge_single_rows, written
 from ...functions.types import is_numeric
 from ...functions.values import ABS_TOL, REL_TOL, as_number, as_text, display_value, nan_to_null, values_equal
 from .pairing import PAIRS, Pairing
@@ -50,6 +50,7 @@ class CompareConfig:
     abs_tol: float = ABS_TOL
     rel_tol: float = REL_TOL
     max_evidence: int = 100
+    boundaries: tuple[float, ...] = ()   # values whose cells are kept for the edge check
     max_pairs: int = PAIRS     # possible pairs of a key up to which its residual rows meet in one row
     persist: bool = False      # cache intermediates for several results; then call release()
 
@@ -83,9 +84,9 @@ class RowComparison:
     types: dict[str, T.DataType] = field(default_factory=dict)
 
     def release(self) -> None:
-        """Unpersist the cached intermediates (distinct rows, key stats,
-        pairs) once the caller is done with this comparison."""
-        for name in ("distinct_rows", "key_stats", "pairs"):
+        """Unpersist the cached intermediates (key stats, pairs) once the
+        caller is done with this comparison."""
+        for name in ("key_stats", "pairs"):
             df = self.__dict__.pop(name, None)
             if df is not None:
                 df.unpersist()
@@ -98,14 +99,36 @@ class RowComparison:
 
     @cached_property
     def distinct_rows(self) -> DataFrame:
-        """One row per distinct (keys, columns) with counts per side."""
+        """One row per distinct (keys, columns) with counts per side (D7),
+        written once: every result starts from it, so each side is read once.
+        Rows that pair off completely keep their keys and counts only; that
+        is most of them.  ``_b``: the row's cells that equal one of
+        ``cfg.boundaries``."""
         u = self._side(self.src, 1).unionByName(self._side(self.tgt, 0))
         g = (u.groupBy(*self.keys, *self.cols)
              .agg(F.sum("_ns").alias("ns"), F.sum("_nt").alias("nt"))
              .withColumn("matched", F.least("ns", "nt"))
              .withColumn("rs", F.col("ns") - F.col("matched"))
              .withColumn("rt", F.col("nt") - F.col("matched")))
-        return g.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else g
+        left = (F.col("rs") > 0) | (F.col("rt") > 0)
+        return written(g.select(*self.keys, *[F.when(left, F.col(c)).alias(c) for c in self.cols], "ns", "nt", "matched", "rs", "rt",
+                                self._boundary_cells().alias("_b")), "distinct-rows")
+
+    def _boundary_cells(self) -> Column:
+        cells = [F.when(F.col(c).cast("double").isin(*map(float, self.cfg.boundaries)),
+                        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")))
+                 for c in self.src.columns if self.cfg.boundaries and c in self.types and is_numeric(self.types[c])]
+        if not cells:
+            return F.lit(None).cast("array<struct<column:string,value:double>>")
+        found = F.filter(F.array(*cells), lambda x: x.isNotNull())
+        return F.when(F.size(found) > 0, found)
+
+    def boundary_cells(self, key: str) -> DataFrame:
+        """``(column, value, key, _s, _t)`` of the boundary cells: which
+        sides have them."""
+        return self.distinct_rows.filter(F.col("_b").isNotNull()).select(
+            F.explode("_b").alias("b"), F.col(key).alias("key"), F.when(F.col("ns") > 0, 1).otherwise(0).alias("_s"),
+            F.when(F.col("nt") > 0, 1).otherwise(0).alias("_t")).select("b.column", "b.value", "key", "_s", "_t")
 
     @cached_property
     def key_stats(self) -> DataFrame:
@@ -256,14 +279,15 @@ class RowComparison:
     def evidence(self, n: int | None = None) -> DataFrame:
         """The first n of ``evidence_rows``, with the number of all
         (``total_count``) and whether some are left out (``truncated``).
+        The evidence is written once; tasks keep a heap of n rows each.
 
         Order: missing keys, extra keys, then cells and unpaired rows by
         key, then the duplicate-key warning."""
         n = self.cfg.max_evidence if n is None else n
-        ev = self._ranked_evidence
-        total = ev.agg(F.count(F.lit(1)).alias("n")).scalar()
+        ev = written(self._ranked_evidence, "evidence")
+        total = ev.count()                                   # from the files' footers
         top = ev.orderBy("_cls", "_k", "_ord", "column", "source_value", "target_value").limit(n)
-        return top.drop("_cls", "_k", "_ord").withColumns({"total_count": total, "truncated": total > n})
+        return top.drop("_cls", "_k", "_ord").withColumns({"total_count": F.lit(total).cast("long"), "truncated": F.lit(total > n)})
 
     @cached_property
     def _ranked_evidence(self) -> DataFrame:
