@@ -348,7 +348,7 @@ def status_to_state(status: Column) -> Column:
 
 
 def list_migrations(records: DataFrame, search: str | None = None, status: str | None = None) -> DataFrame:
-    """Newest first; case-insensitive substring over id, dialects and
+    """Newest first (ties by id); case-insensitive substring over id, dialects and
     dataset; status matches final status or state."""
     r = records
     if search:
@@ -358,7 +358,7 @@ def list_migrations(records: DataFrame, search: str | None = None, status: str |
                                                            "dataset_id") if c in records.columns]))
     if status:
         r = r.filter((F.col("final_status") == status) | (F.col("state") == status))
-    return r.orderBy(F.desc("created_at"))
+    return r.orderBy(F.desc("created_at"), "migration_id")
 
 
 def migration_summary(migrations: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:

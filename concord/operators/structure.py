@@ -70,28 +70,24 @@ def diff_filters(c: DataFrame) -> DataFrame:
 OPERATORS = (">", ">=", "<", "<=", "=", "!=")
 
 
-def _op_signature(e: Column) -> Column:
-    return reduce(lambda a, b: a + b,
-                  [F.when(e.contains(op), F.lit(1 << i)).otherwise(F.lit(0)) for i, op in enumerate(OPERATORS)])
-
-
 def operator_changed(c: DataFrame, scope: str = "name") -> DataFrame:
     """a (source filter, target filter) pair of the same scope is an
-    OPERATOR_CHANGED when some operator occurs in the source text and not
-    in the target text.  Only the six-bit operator signature of a target
-    matters, so targets are grouped per (migration, scope, signature) and
-    each source filter meets at most 64 signature groups: one output row
-    per source filter and signature group, with the number of pairs."""
-    s = (_side(c, "filter", "SRC").select(M, F.col(scope).alias("_scope"), F.col("expr").alias("source_value"))
-         .withColumn("_ss", _op_signature(F.col("source_value"))))
-    t = (_side(c, "filter", "TGT").select(M, F.col(scope).alias("_scope"), F.col("expr").alias("_te"))
-         .withColumn("_ts", _op_signature(F.col("_te")))
-         .groupBy(M, "_scope", "_ts").agg(F.count("*").alias("_n")))
-    j = s.join(t, [M, "_scope"]).filter(F.col("_ss").bitwiseAND(F.bitwise_not(F.col("_ts"))) != 0)
-    return (j.groupBy(M, "source_value")
-            .agg(F.sum("_n").alias("occurrences"))
-            .select(M, F.lit("OPERATOR_CHANGED").alias("category"), "source_value",
-                    F.lit(None).cast("string").alias("target_value"), F.col("occurrences").cast("long")))
+    OPERATOR_CHANGED when some operator occurs in the source text and not in
+    the target text (the texts then differ).  Filters of equal text are one
+    row with their number; a source text is listed under the operators it
+    has, a target text under those it lacks, and the two meet under an
+    operator; one row per pair of texts, ``occurrences`` is the number of
+    pairs of filters."""
+    def texts(side: str, n: str, listed: bool) -> DataFrame:
+        expr = F.col("expr")
+        ops = F.filter(F.array(*[F.when(expr.contains(op) == F.lit(listed), F.lit(i)) for i, op in enumerate(OPERATORS)]), lambda x: x.isNotNull())
+        return (_side(c, "filter", side).groupBy(M, F.col(scope).alias("_scope"), "expr").agg(F.count(F.lit(1)).alias(n))
+                .select(M, "_scope", F.col("expr").alias(f"{n}_text"), n, F.explode(ops).alias("_op")))
+
+    pairs = texts("SRC", "_ns", True).join(texts("TGT", "_nt", False), [M, "_scope", "_op"])
+    one = pairs.groupBy(M, "_scope", "_ns_text", "_nt_text").agg(F.max(F.col("_ns") * F.col("_nt")).alias("_n"))
+    return one.groupBy(M, F.col("_ns_text").alias("source_value"), F.col("_nt_text").alias("target_value")).agg(F.sum("_n").alias("occurrences")).select(
+        M, F.lit("OPERATOR_CHANGED").alias("category"), "source_value", "target_value", F.col("occurrences").cast("long"))
 
 
 def diff_aggregations(c: DataFrame) -> DataFrame:
@@ -145,10 +141,48 @@ def diff_null_semantics(c: DataFrame, kind: str = "null") -> DataFrame:
 
 
 def structural_diff(c: DataFrame, null_kind: str = "null") -> DataFrame:
-    """F8: union of F1–F7."""
-    parts = [diff_tables(c), diff_joins(c), diff_filters(c), operator_changed(c), diff_aggregations(c),
-             diff_rules(c), diff_null_semantics(c, null_kind)]
-    return reduce(DataFrame.unionByName, [p.select(*DIFF_COLS) for p in parts])
+    """F8: union of F1–F7.
+
+    All but F4 in one pass: a component is written under each rule that
+    looks at it, with the key by which that rule compares the sides; one
+    aggregation per (migration, rule, key) sees both sides, and the rows
+    follow from its counts.  Only what a rule must show is carried: the texts
+    of a position (F2, F6) and the null predicates of a query (F7)."""
+    kind, name, expr = F.col("kind"), F.col("name"), F.col("expr")
+    lane = lambda rule, k, key: F.when(kind == k, F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(None).cast("string").alias("key2")))
+    label = F.concat(name, F.lit("("), expr, F.lit(")"))
+    pair = F.when(kind == "aggregation", F.struct(F.lit("distinct").alias("rule"), name.alias("key"), expr.alias("key2")))
+    lanes = F.array(lane("table", "table", name), lane("filter", "filter", expr), lane("aggregation", "aggregation", label), pair, lane("join", "join", F.col("ordinal")),
+                    lane("rule", "rule", F.col("ordinal")), lane("rules", "rule", F.lit("")), lane("null", null_kind, F.lit("")))
+    each = c.filter(F.col("side").isin("SRC", "TGT")).select(M, "side", "name", "expr", "is_distinct", F.explode(F.filter(lanes, lambda x: x.isNotNull())).alias("l"))
+    of = lambda side, cond=None: F.count(F.when((F.col("side") == side) if cond is None else (F.col("side") == side) & cond, 1))
+    shown = lambda side: F.collect_set(F.when((F.col("side") == side) & F.col("l.rule").isin("join", "rule", "null"), F.struct("name", "expr")))
+    flag = F.col("is_distinct")
+    g = each.groupBy(M, "l").agg(of("SRC").alias("ns"), of("TGT").alias("nt"), of("SRC", flag).alias("st"), of("SRC", ~flag).alias("sf"),
+                                 of("TGT", flag).alias("tt"), of("TGT", ~flag).alias("tf"), shown("SRC").alias("s"), shown("TGT").alias("t"))
+    rule, key = F.col("l.rule"), F.col("l.key")
+    null = F.lit(None).cast("string")
+    row = lambda when, category, s, t, n=F.lit(1).cast("long"): F.when(when, F.struct(
+        F.lit(category).alias("category"), s.cast("string").alias("source_value"), t.cast("string").alias("target_value"), n.cast("long").alias("occurrences")))
+    gone, new = F.col("nt") == 0, F.col("ns") == 0
+    rows = []
+    for k in ("table", "filter", "aggregation"):
+        rows += [row((rule == k) & gone, f"{k.upper()}_REMOVED", key, null), row((rule == k) & new, f"{k.upper()}_ADDED", null, key)]
+    both = (F.size("s") > 0) & (F.size("t") > 0)
+    s, t = F.get("s", F.lit(0)), F.get("t", F.lit(0))
+    other = lambda c: ~s[c].eqNullSafe(t[c])
+    then = lambda x: F.concat_ws(" THEN ", x["expr"], x["name"])
+    dist = lambda v: F.lit(f"distinct={v}")
+    rows += [
+        row((rule == "join") & both & other("name"), "JOIN_TYPE_CHANGED", s["name"], t["name"]),
+        row((rule == "join") & both & other("expr"), "JOIN_CONDITION_CHANGED", s["expr"], t["expr"]),
+        row((rule == "rule") & both & (other("name") | other("expr")), "CASE_RULE_CHANGED", then(s), then(t)),
+        row((rule == "rules") & (F.col("ns") != F.col("nt")), "CASE_RULE_CHANGED", F.col("ns"), F.col("nt")),
+        row((rule == "distinct") & (F.col("st") * F.col("tf") > 0), "AGGREGATION_CHANGED", dist("true"), dist("false"), F.col("st") * F.col("tf")),
+        row((rule == "distinct") & (F.col("sf") * F.col("tt") > 0), "AGGREGATION_CHANGED", dist("false"), dist("true"), F.col("sf") * F.col("tt")),
+        row((rule == "null") & (F.array_sort("s") != F.array_sort("t")), "NULL_SEMANTICS_CHANGED", null, null)]
+    found = g.select(M, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("d")).select(M, "d.*")
+    return found.select(*DIFF_COLS).unionByName(operator_changed(c).select(*DIFF_COLS))
 
 
 def structural_summary(c: DataFrame, null_kind: str = "null") -> DataFrame:
@@ -327,23 +361,15 @@ def transformation_counts(t: DataFrame) -> DataFrame:
 Q = "query_id"
 
 
-def _kind_changed(clauses: DataFrame, kind: str) -> DataFrame:
-    """Per query: does the ordered list of ``kind`` texts differ between
-    BEFORE and AFTER (full outer join on position, null-safe)."""
-    c = clauses.filter(F.col("kind") == kind)
-    b = c.filter(F.col("side") == "BEFORE").select(Q, "ordinal", F.col("text").alias("b"))
-    a = c.filter(F.col("side") == "AFTER").select(Q, "ordinal", F.col("text").alias("a"))
-    j = b.join(a, [Q, "ordinal"], "full")
-    return j.groupBy(Q).agg(F.max((~F.col("b").eqNullSafe(F.col("a"))).cast("int")).alias("_d")) \
-        .select(Q, (F.col("_d") == 1).alias(f"changed_{kind.replace(' ', '_').lower()}"))
-
-
 def _flags(clauses: DataFrame) -> DataFrame:
-    qs = clauses.select(Q).distinct()
-    for k in ("JOIN", "WHERE", "GROUP BY", "SELECT"):
-        col = f"changed_{k.replace(' ', '_').lower()}"
-        qs = qs.join(_kind_changed(clauses, k), Q, "left").fillna(False, [col])
-    return qs
+    """Per query: which of four clause kinds have another text at some
+    position, in one pass: both sides of a position meet, then a query's
+    positions."""
+    kinds = ("JOIN", "WHERE", "GROUP BY", "SELECT")
+    at = lambda side: F.collect_set(F.when(F.col("kind").isin(*kinds) & (F.col("side") == side), F.col("text")))
+    place = clauses.groupBy(Q, "kind", "ordinal").agg(at("BEFORE").alias("b"), at("AFTER").alias("a"))
+    place = place.select(Q, "kind", (F.array_sort("b") != F.array_sort("a")).alias("differs"))
+    return place.groupBy(Q).agg(*[F.coalesce(F.max((F.col("kind") == k) & F.col("differs")), F.lit(False)).alias(f"changed_{k.replace(' ', '_').lower()}") for k in kinds])
 
 
 def changed_regions(clauses: DataFrame) -> DataFrame:
@@ -389,9 +415,8 @@ def scope_check(clauses: DataFrame, regions: DataFrame) -> DataFrame:
     sel = clauses.filter(F.col("kind") == "SELECT").withColumn("alias", F.lower("alias")).filter(
         F.col("alias").isNotNull() & (F.col("alias") != ""))
     # alias -> text per side; the last occurrence of an alias stands for it
-    last = lambda side: (sel.filter(F.col("side") == side).groupBy(Q, "alias")
-                         .agg(F.max(F.struct("ordinal", "text")).getField("text").alias(side.lower())))
-    proj = last("BEFORE").join(last("AFTER"), [Q, "alias"]).join(f.select(Q, "region"), Q) \
+    last = lambda side: F.array_max(F.collect_list(F.when(F.col("side") == side, F.struct("ordinal", "text"))))["text"]
+    proj = sel.groupBy(Q, "alias").agg(last("BEFORE").alias("before"), last("AFTER").alias("after")).join(f.select(Q, "region"), Q) \
         .filter((F.col("before") != F.col("after")) & ~F.col("region").contains(F.col("alias"))
                 & ~F.col("alias").contains(F.col("region")) & ~F.col("region").isin("select", "columns"))
     bad_proj = proj.groupBy(Q).agg(F.min("alias").alias("_alias"))

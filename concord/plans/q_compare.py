@@ -458,7 +458,31 @@ def d23_evidence(spark, sf):
     return evidence(s, t)
 
 
-@query("d23_validate_lineitem", None)
+_LI_B = _BCELLS.replace("24.0, 25.0, 26.0", "499.99, 500.0, 500.01")
+_LI_NULLS = "(SELECT " + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL" + (" OR isnan(l_quantity))" if c == "l_quantity" else ")") for c in _ICOLS) + " FROM {t})"
+_LI_ITEMS = [("*", "COUNT")] + [(c, f) for c in _ICOLS for f in ("SUM", "AVG", "MIN", "MAX")]
+_LI_AM = ", ".join(O.values_equal(_agg_expr("items_src", c, f), "num", _agg_expr("items_tgt", c, f), "num") for c, f in _LI_ITEMS)
+_LI_TY = ", ".join(f"{{'s': (SELECT typeof({c}) FROM items_src LIMIT 1), 't': (SELECT typeof({c}) FROM items_tgt LIMIT 1)}}" for c in _ICOLS)
+_LI_FIN = O.pairing_summary("items_src", "items_tgt", _ITEM_COLS).replace("SELECT src_rows, tgt_rows, rows_compared, CAST(", ", fin AS (SELECT src_rows, tgt_rows, rows_compared, CAST(") + ")"
+
+
+@query("d23_validate_lineitem", _ITEM_PAIRS + _LI_FIN + f""",
+ty AS (SELECT unnest([{_LI_TY}]) AS x),
+sch AS (SELECT count(*) AS n, count(*) FILTER (WHERE {_TGC.format(x='x.s')} = {_TGC.format(x='x.t')}) AS ok FROM ty),
+ag AS (SELECT count(*) AS total, count(*) FILTER (WHERE m) AS ok FROM (SELECT unnest([{_LI_AM}]) AS m)),
+bs AS ({_LI_B.format(t='items_src')}), bt AS ({_LI_B.format(t='items_tgt')}),
+bad AS (SELECT DISTINCT "column", value FROM ((SELECT * FROM bs EXCEPT SELECT * FROM bt) UNION ALL (SELECT * FROM bt EXCEPT SELECT * FROM bs))
+  WHERE ("column", value) IN (SELECT ("column", value) FROM bs) AND ("column", value) IN (SELECT ("column", value) FROM bt)),
+edge AS (SELECT CAST(CASE WHEN {_LI_NULLS.format(t="items_src")} <> {_LI_NULLS.format(t="items_tgt")} THEN 1 ELSE 0 END + (SELECT count(*) FROM bad) AS BIGINT) AS mm)
+SELECT 'SchemaValidator' AS check_name, CASE WHEN n = ok THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN n = ok THEN 'INFO' ELSE 'CRITICAL' END AS severity,
+ round(ok / n, 4) AS score, CAST(n - ok AS BIGINT) AS mismatch_count, printf('%d of %d columns fit', ok, n) AS summary, 0 AS check_order FROM sch
+UNION ALL SELECT 'RowValidator', status, CASE WHEN status = 'PASS' THEN 'INFO' ELSE 'CRITICAL' END, score, mismatch_count,
+ CASE WHEN status = 'PASS' THEN printf('%d rows agree over %d shared keys', rows_matched, rows_compared) ELSE printf('%d rows or cells differ', mismatch_count) END, 1 FROM fin
+UNION ALL SELECT 'AggregateValidator', CASE WHEN total = ok THEN 'PASS' ELSE 'FAIL' END, CASE WHEN total = ok THEN 'INFO' ELSE 'HIGH' END, round(ok / total, 4),
+ CAST(total - ok AS BIGINT), printf('%d aggregates differ', total - ok), 2 FROM ag
+UNION ALL SELECT 'BusinessRuleValidator', 'SKIPPED', 'INFO', 1.0, 0, 'no components of both queries to compare', 3
+UNION ALL SELECT 'EdgeCaseValidator', CASE WHEN mm = 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN mm = 0 THEN 'INFO' ELSE 'HIGH' END,
+ CASE WHEN mm = 0 THEN 1.0 ELSE 0.0 END, mm, 'edge cases: EDGE_CASE', 4 FROM edge""")
 def d23_validate_lineitem(spark, sf):
     s, t = _items(spark, sf)
     return validate(s, t)

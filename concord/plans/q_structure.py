@@ -31,10 +31,10 @@ _F3 = _F1.replace("'table'", "'filter'").replace("name AS v", "expr AS v").repla
     "TABLE_REMOVED", "FILTER_REMOVED").replace("TABLE_ADDED", "FILTER_ADDED")
 
 _OPS = " OR ".join(f"(contains(s.expr, '{o}') AND NOT contains(t.expr, '{o}'))" for o in S.OPERATORS)
-_F4 = f"""SELECT s.migration_id, 'OPERATOR_CHANGED' AS category, s.expr AS source_value, CAST(NULL AS VARCHAR) AS target_value, count(*) AS occurrences
- FROM components s JOIN components t ON s.migration_id = t.migration_id AND s.name = t.name
+_F4 = f"""SELECT s.migration_id, 'OPERATOR_CHANGED' AS category, s.expr AS source_value, t.expr AS target_value, count(*) AS occurrences
+ FROM components s JOIN components t ON s.migration_id = t.migration_id AND s.name = t.name AND s.expr <> t.expr
  WHERE s.kind = 'filter' AND t.kind = 'filter' AND s.side = 'SRC' AND t.side = 'TGT' AND ({_OPS})
- GROUP BY s.migration_id, s.expr"""
+ GROUP BY s.migration_id, s.expr, t.expr"""
 
 _F5 = """SELECT migration_id, 'AGGREGATION_REMOVED' AS category, v AS source_value, CAST(NULL AS VARCHAR) AS target_value, CAST(1 AS BIGINT) AS occurrences
  FROM (SELECT DISTINCT migration_id, name || '(' || expr || ')' AS v FROM components WHERE kind = 'aggregation' AND side = 'SRC'
