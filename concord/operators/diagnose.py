@@ -63,7 +63,8 @@ NORMALIZED_KEYWORDS = ("select", "from", "where", "join", "left", "right", "inne
 SIGNAL_COLUMNS = {"validation_id": "long", "signal_id": "long", "source_validator": "string",
                   "signal_type": "string", "source_expression": "string", "target_expression": "string",
                   "analysis_path": "string", "mismatch_count": "long", "column": "string",
-                  "payload_category": "string"}
+                  "payload_category": "string", "row_key": "string", "value": "string", "source_value": "string",
+                  "target_value": "string", "detail": "string"}
 
 
 def normalize_signals(s: DataFrame) -> DataFrame:
@@ -358,26 +359,33 @@ def consolidate(signals: DataFrame, totals: DataFrame | None = None, total_rows:
 
 def typed_evidence(signals: DataFrame, cap: int = 100, link: bool = True) -> DataFrame:
     """ROW_DIFF / BOUNDARY_CASE / RULE_DIFF evidence per discrepancy,
-    ordered by (validator, type, path) and capped at ``cap`` per group
-    (Spark applies the ``row_number <= cap`` limit per partition before the
-    shuffle, so a hot group is cut map-side)."""
+    ordered by (validator, type, path).  A row difference carries its column,
+    key, value and both results; a rule difference both expressions; every
+    item a detail.  The first ``cap`` of a group are listed (the limit is
+    applied per partition before the shuffle, so a hot group is cut there);
+    ``total_count`` is the number of all, ``truncated`` says if some are left
+    out."""
     s = signed_signals(signals, link)
     is_row = ((F.col("source_validator") == "RowValidator") | F.col("signal_type").contains("VALUE_MISMATCH")
               | F.col("signal_type").contains("mismatch"))
     is_edge = (F.col("source_validator") == "EdgeCaseValidator") | F.col("signal_type").contains("EDGE_CASE")
     is_rule = F.col("source_validator").isin(*STRUCTURAL)
-    first_cat = s.groupBy(V, "signature").agg(
-        F.min(F.struct("source_validator", "signal_type", "analysis_path", "category")).getField("category")
-        .alias("_gcat"))
-    e = s.join(first_cat, [V, "signature"]).filter(is_row | is_edge | is_rule)
+    of_group = s.groupBy(V, "signature").agg(
+        F.min(F.struct("source_validator", "signal_type", "analysis_path", "category")).getField("category").alias("_gcat"),
+        F.count(F.when(is_row | is_edge | is_rule, 1)).alias("total_count"))
+    e = s.join(of_group, [V, "signature"]).filter(is_row | is_edge | is_rule)
     typ = (F.when(is_row, F.lit("ROW_DIFF"))
            .when(is_edge, F.when(F.col("_gcat") == "BOUNDARY_CONDITION", F.lit("BOUNDARY_CASE")).otherwise(F.lit("ROW_DIFF")))
            .otherwise(F.lit("RULE_DIFF")))
+    said = (F.when(is_row, F.concat(F.lit("rows differ in "), F.coalesce("column", F.lit("a column"))))
+            .when(is_edge, F.lit("an edge case gives another result")).otherwise(F.lit("the rules differ")))
     w = Window.partitionBy(V, "signature").orderBy("source_validator", "signal_type", "analysis_path", "signal_id")
     return (e.withColumn("ordinal", F.row_number().over(w)).filter(F.col("ordinal") <= cap)
             .select(V, "signature", "ordinal", typ.alias("type"), "column",
-                    F.when(is_rule, F.col("source_expression")).alias("source_result"),
-                    F.when(is_rule, F.col("target_expression")).alias("target_result")))
+                    F.when(is_row, F.col("row_key")).alias("row_key"), F.when(is_row, F.col("value")).alias("value"),
+                    F.when(is_row, F.col("source_value")).when(is_edge, F.lit(None)).when(is_rule, F.col("source_expression")).alias("source_result"),
+                    F.when(is_row, F.col("target_value")).when(is_edge, F.lit(None)).when(is_rule, F.col("target_expression")).alias("target_result"),
+                    F.coalesce("detail", said).alias("detail"), "total_count", (F.col("total_count") > cap).alias("truncated")))
 
 
 # ------------------------------------------------------------------ G12

@@ -41,9 +41,12 @@ SELECT user_id AS migration_id, event_id, ts, event_id % 14 AS to_state,
     "signals": """
 SELECT user_id AS validation_id, event_id AS signal_id,
  CASE event_id % 4 WHEN 0 THEN 'RowValidator' WHEN 1 THEN 'AggregateValidator' WHEN 2 THEN 'BusinessRuleValidator' ELSE 'EdgeCaseValidator' END AS source_validator,
- CASE event_id % 6 WHEN 0 THEN 'amount > 500' WHEN 1 THEN 'COALESCE(x, 0)' WHEN 2 THEN 'LEFT JOIN a' WHEN 3 THEN 'SUM(x)' WHEN 4 THEN 'a  =  1.00' ELSE 'UNION' END AS source_expression,
- CASE event_id % 6 WHEN 0 THEN 'amount >= 500' WHEN 1 THEN 'x' WHEN 2 THEN 'INNER JOIN a' WHEN 3 THEN 'AVG(x)' WHEN 4 THEN 'a  =  2.00' ELSE 'UNION ALL' END AS target_expression,
- concat('columns[', event_type, ']') AS analysis_path, event_id % 40 AS mismatch_count FROM events""",
+ CASE event_id % 11 WHEN 0 THEN 'amount > 500' WHEN 1 THEN 'COALESCE(x, 0)' WHEN 2 THEN 'LEFT JOIN a' WHEN 3 THEN 'SUM(x)' WHEN 4 THEN 'a  =  1.00' WHEN 5 THEN 'UNION'
+  WHEN 6 THEN 'DATE_TRUNC(month, d)' WHEN 7 THEN 'CAST(x AS INT)' WHEN 8 THEN 'CASE WHEN a = 1 THEN 1 ELSE 0 END' WHEN 9 THEN 'region = 1' ELSE 'total' END AS source_expression,
+ CASE event_id % 11 WHEN 0 THEN 'amount >= 500' WHEN 1 THEN 'x' WHEN 2 THEN 'INNER JOIN a' WHEN 3 THEN 'AVG(x)' WHEN 4 THEN 'a  =  2.00' WHEN 5 THEN 'UNION ALL'
+  WHEN 6 THEN 'd' WHEN 7 THEN 'x' WHEN 8 THEN 'CASE WHEN a = 2 THEN 1 ELSE 0 END' WHEN 9 THEN 'region = 2' ELSE 'amount' END AS target_expression,
+ CASE event_id % 11 WHEN 9 THEN 'filters[0].expression' WHEN 10 THEN 'columns[mapping]' ELSE concat('columns[', event_type, ']') END AS analysis_path,
+ event_id % 40 AS mismatch_count, concat('user ', CAST(user_id AS STRING)) AS row_key, CAST(event_id % 7 AS STRING) AS source_value, CAST(event_id % 5 AS STRING) AS target_value FROM events""",
     "discrepancies": """
 SELECT l_orderkey AS validation_id, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 'BOUNDARY_CONDITION' WHEN 1 THEN 'JOIN_SEMANTICS' WHEN 2 THEN 'NULL_SEMANTICS' ELSE 'FILTER_LOGIC' END AS category,
  concat('columns[c', CAST(l_suppkey % 5 AS STRING), ']') AS analysis_path, CAST(l_quantity AS BIGINT) AS affected_rows FROM lineitem""",

@@ -157,14 +157,17 @@ def g07b(spark, sf):
 @query("g08_typed_evidence", _CLS_LINKED + f""", fc AS (SELECT validation_id, signature,
  min({{'v': source_validator, 't': st, 'p': analysis_path, 'c': category}}).c AS gcat FROM sg GROUP BY validation_id, signature),
 e AS (SELECT sg.*, fc.gcat FROM sg JOIN fc USING (validation_id, signature)
- WHERE {_ROWX} OR source_validator = 'EdgeCaseValidator' OR contains(st, 'EDGE_CASE') OR source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER'))
-SELECT validation_id, signature, CAST(ordinal AS INTEGER) AS ordinal, type, "column", source_result, target_result FROM (
+ WHERE {_ROWX} OR {_EDGEX} OR source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER')),
+x AS (SELECT e.* EXCLUDE (row_key, source_value, target_value), raw.row_key, raw.source_value, raw.target_value
+ FROM e JOIN signals raw ON raw.validation_id = e.validation_id AND raw.signal_id = e.signal_id)
+SELECT validation_id, signature, CAST(ordinal AS INTEGER) AS ordinal, type, "column", row_key, value, source_result, target_result, detail, total_count, total_count > 100 AS truncated FROM (
  SELECT validation_id, signature, row_number() OVER (PARTITION BY validation_id, signature ORDER BY source_validator, st, analysis_path, signal_id) AS ordinal,
-  CASE WHEN {_ROWX} THEN 'ROW_DIFF' WHEN source_validator = 'EdgeCaseValidator' OR contains(st, 'EDGE_CASE') THEN
-   CASE WHEN gcat = 'BOUNDARY_CONDITION' THEN 'BOUNDARY_CASE' ELSE 'ROW_DIFF' END ELSE 'RULE_DIFF' END AS type,
-  CAST(NULL AS VARCHAR) AS "column",
-  CASE WHEN source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER') THEN source_expression END AS source_result,
-  CASE WHEN source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER') THEN target_expression END AS target_result FROM e)
+  CASE WHEN {_ROWX} THEN 'ROW_DIFF' WHEN {_EDGEX} THEN CASE WHEN gcat = 'BOUNDARY_CONDITION' THEN 'BOUNDARY_CASE' ELSE 'ROW_DIFF' END ELSE 'RULE_DIFF' END AS type,
+  CAST(NULL AS VARCHAR) AS "column", CASE WHEN {_ROWX} THEN row_key END AS row_key, CAST(NULL AS VARCHAR) AS value,
+  CASE WHEN {_ROWX} THEN source_value WHEN {_EDGEX} THEN NULL ELSE source_expression END AS source_result,
+  CASE WHEN {_ROWX} THEN target_value WHEN {_EDGEX} THEN NULL ELSE target_expression END AS target_result,
+  CASE WHEN {_ROWX} THEN 'rows differ in a column' WHEN {_EDGEX} THEN 'an edge case gives another result' ELSE 'the rules differ' END AS detail,
+  count(*) OVER (PARTITION BY validation_id, signature) AS total_count FROM x)
 WHERE ordinal <= 100""")
 def g08(spark, sf):
     return G.typed_evidence(_sig(spark, sf), 100)
@@ -282,4 +285,5 @@ SELECT validation_id, CAST(ordinal * 10 + CASE kind WHEN 'rule' THEN 0 WHEN 'fil
 FROM d WHERE validation_id NOT IN (SELECT validation_id FROM signals WHERE source_validator = 'BusinessRuleValidator')""")
 def g02(spark, sf):
     c = derived.load(spark, sf, "components").withColumn("kind", F.when(F.col("kind") == "table", "case").otherwise(F.col("kind")))
-    return G.component_signals(c, derived.load(spark, sf, "signals"))
+    # structural signals have no rows to show
+    return G.component_signals(c, derived.load(spark, sf, "signals")).drop("row_key", "value", "source_value", "target_value", "detail")

@@ -100,3 +100,34 @@ def test_new_discrepancy_and_zero_rows(spark):
                                              F.col("new"), F.col("ts"), F.col("rows_before"), F.col("pct")).alias("s"))
     got = {r.k: r.s for r in st.collect()}
     assert got[1] == "NEW_DISCREPANCIES" and got[2] == "FAILED_VERIFICATION"
+
+
+def test_all_classes_occur_in_the_classified_signals(spark, sf):
+    from concord.operators.diagnose import CATEGORIES
+    from concord.plans import registry
+    registry.load_all()
+    got = {r.category for r in registry.QUERIES["g04_classify"](spark, sf).select("category").distinct().collect()}
+    assert got == set(CATEGORIES)
+
+
+def test_evidence_carries_values_and_totals(spark):
+    from concord.operators.diagnose import typed_evidence
+    rows = [(1, i, "RowValidator", "VALUE_MISMATCH", "columns[a]", "a", f"k{i}", "1", "2") for i in range(5)] + [(1, 9, "BusinessRuleValidator", "X", "rules[0]", None, None, None, None)]
+    df = spark.createDataFrame(rows, "validation_id long, signal_id long, source_validator string, signal_type string, analysis_path string, column string, "
+                                     "row_key string, source_value string, target_value string")
+    got = typed_evidence(df, cap=3, link=False).collect()
+    diffs = sorted((r.ordinal, r.row_key, r.source_result, r.target_result, r.detail, r.total_count, r.truncated) for r in got if r.type == "ROW_DIFF")
+    assert diffs == [(i + 1, f"k{i}", "1", "2", "rows differ in a", 5, True) for i in range(3)]
+    rule = [r for r in got if r.type == "RULE_DIFF"]
+    assert len(rule) == 1 and rule[0].total_count == 1 and not rule[0].truncated and rule[0].detail
+
+
+def test_containment_keys_find_what_contains_finds(spark):
+    from concord.functions.text import grams, leading_gram, prefixes
+    texts = ["", "a", "columns[a]", "columns[a].x", "lumns[a]", "filters[0].expression", "filters[0]", "ers[0].expr", "xx" * 12]
+    a = spark.createDataFrame([(t,) for t in texts], "a string")
+    b = a.withColumnRenamed("a", "b")
+    met = a.withColumn("g", leading_gram(F.col("a"))).join(b.withColumn("g", F.explode(grams(F.col("b")))), "g").filter(F.col("b").contains(F.col("a")))
+    assert {tuple(r) for r in met.select("a", "b").collect()} == {(x, y) for x in texts for y in texts if x and x in y}
+    pre = a.withColumn("p", F.explode(prefixes(F.col("a")))).join(b, F.col("p") == F.col("b"))
+    assert {(r.a, r.b) for r in pre.collect()} == {(x, y) for x in texts for y in texts if y and x.startswith(y)}
