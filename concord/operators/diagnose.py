@@ -419,34 +419,48 @@ def diagnosis_report(discrepancies: DataFrame, signals: DataFrame | None = None)
 # ------------------------------------------------------------------ G13
 def evidence_pack(discrepancies: DataFrame, examples: DataFrame | None = None,
                   structural: DataFrame | None = None) -> DataFrame:
-    """Stable evidence ids per discrepancy.  E-001 source expression,
-    E-002 target expression (present only when given), E-003 impact
-    (always), E-004 representative example (when ``examples`` has one for
-    the discrepancy), E-005 structural difference (when ``structural``
-    has one).  Inputs are keyed by ``(validation_id, discrepancy_id)``."""
+    """Stable evidence ids per discrepancy, with their ``details`` (a
+    map of texts).  E-001 source expression, E-002 target expression (present
+    only when given), E-003 impact (always), E-004 representative example
+    (``example`` of ``examples``, the first in order), E-005 structural
+    differences (all ``difference`` texts of ``structural``).  Inputs are
+    keyed by ``(validation_id, discrepancy_id)``."""
     d = discrepancies
     keys = [V, "discrepancy_id"]
+    no_text = F.lit(None).cast("string")
     if examples is not None:
-        d = d.join(examples.select(*keys).distinct().withColumn("_ex", F.lit(True)), keys, "left")
+        d = d.join(examples.groupBy(*keys).agg(F.array_min(F.collect_set("example")).alias("_ex")), keys, "left")
     else:
-        d = d.withColumn("_ex", F.lit(None).cast("boolean"))
+        d = d.withColumn("_ex", no_text)
     if structural is not None:
-        d = d.join(structural.select(*keys).distinct().withColumn("_st", F.lit(True)), keys, "left")
+        d = d.join(structural.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("difference")), "; ").alias("_st")), keys, "left")
     else:
-        d = d.withColumn("_st", F.lit(None).cast("boolean"))
+        d = d.withColumn("_st", no_text)
     nonempty = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    texts = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))])
+    item = lambda i, t, details: F.struct(F.lit(i).alias("evidence_id"), F.lit(t).alias("evidence_type"), details.alias("details"))
+    rule = lambda c: texts(expression=F.col(c), path=F.coalesce("analysis_path", F.lit("")))
+    columns = {"affected_columns": F.array_join("affected_columns", ",")} if "affected_columns" in d.columns else {}
+    impact = texts(category=F.col("category"), severity=F.col("severity"), affected_row_count=F.coalesce("affected_row_count", F.lit(0)),
+                   affected_percentage=F.format_string("%.3f", F.coalesce("affected_percentage", F.lit(0.0))), **columns)
     items = F.array(
-        F.when(nonempty("source_expression"), F.struct(F.lit("E-001").alias("evidence_id"),
-                                                       F.lit("SOURCE_EXPRESSION").alias("evidence_type"))),
-        F.when(nonempty("target_expression"), F.struct(F.lit("E-002").alias("evidence_id"),
-                                                       F.lit("TARGET_EXPRESSION").alias("evidence_type"))),
-        F.struct(F.lit("E-003").alias("evidence_id"), F.lit("DISCREPANCY_IMPACT").alias("evidence_type")),
-        F.when(F.coalesce(F.col("_ex"), F.lit(False)), F.struct(F.lit("E-004").alias("evidence_id"),
-                                                               F.lit("REPRESENTATIVE_EXAMPLE").alias("evidence_type"))),
-        F.when(F.coalesce(F.col("_st"), F.lit(False)), F.struct(F.lit("E-005").alias("evidence_id"),
-                                                               F.lit("STRUCTURAL_DIFFERENCE").alias("evidence_type"))))
+        F.when(nonempty("source_expression"), item("E-001", "SOURCE_EXPRESSION", rule("source_expression"))),
+        F.when(nonempty("target_expression"), item("E-002", "TARGET_EXPRESSION", rule("target_expression"))),
+        item("E-003", "DISCREPANCY_IMPACT", impact),
+        F.when(F.col("_ex").isNotNull(), item("E-004", "REPRESENTATIVE_EXAMPLE", texts(example=F.col("_ex")))),
+        F.when(F.col("_st").isNotNull(), item("E-005", "STRUCTURAL_DIFFERENCE", texts(structural_differences=F.col("_st")))))
     return (d.select(*keys, F.explode(F.filter(items, lambda x: x.isNotNull())).alias("i"))
-            .select(*keys, "i.evidence_id", "i.evidence_type"))
+            .select(*keys, "i.evidence_id", "i.evidence_type", "i.details"))
+
+
+def pack_inputs(discrepancies: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Examples and structural differences of discrepancies from their typed
+    evidence (G8): the first row or boundary item, and every rule item."""
+    e = discrepancies.select(V, "signature", "discrepancy_id").join(evidence, [V, "signature"])
+    rule = F.col("type") == "RULE_DIFF"
+    first = e.filter(~rule).withColumn("_no", F.row_number().over(Window.partitionBy(V, "discrepancy_id").orderBy("ordinal"))).filter("_no = 1")
+    return (first.select(V, "discrepancy_id", F.concat_ws(" | ", "type", "row_key", "source_result", "target_result").alias("example")),
+            e.filter(rule).select(V, "discrepancy_id", F.concat_ws(" -> ", "source_result", "target_result").alias("difference")))
 
 
 # ------------------------------------------------------------------ G14

@@ -159,17 +159,22 @@ def immutability(before: DataFrame, after: DataFrame, key: str = "migration_id")
 def verification_evidence(v: DataFrame) -> DataFrame:
     """H8: EV-001..EV-007 rows from one verification row per key with
     ``validation_id_before, validation_id_after, rows_before, rows_after,
-    signature_before, signature_after, new_count``."""
+    signature_before, signature_after, new_count`` and, where there are any,
+    the texts ``resolved_ids`` and ``new_ids``; ``details`` holds what an item
+    is about (a map of texts)."""
     has = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
-    ev = lambda i, t: F.struct(F.lit(i).alias("evidence_id"), F.lit(t).alias("evidence_type"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in v.columns else F.lit("")
+    ev = lambda i, t, key, c: F.struct(F.lit(i).alias("evidence_id"), F.lit(t).alias("evidence_type"), F.create_map(F.lit(key), said(c)).alias("details"))
+    new = ev("EV-007", "NEW_DISCREPANCIES_INTRODUCED", "new_discrepancy_ids", "new_ids") if "new_ids" in v.columns \
+        else ev("EV-007", "NEW_DISCREPANCIES_INTRODUCED", "new_discrepancies", "new_count")
     items = F.array(
-        ev("EV-001", "BEFORE_VALIDATION_REF"),
-        F.when(has("validation_id_after"), ev("EV-002", "AFTER_VALIDATION_REF")),
-        ev("EV-003", "AFFECTED_ROWS_BEFORE"), ev("EV-004", "AFFECTED_ROWS_AFTER"),
-        ev("EV-005", "TARGET_SIGNATURE_BEFORE"),
-        F.when(F.col("signature_after").isNull(), ev("EV-006", "TARGET_DISCREPANCY_RESOLVED"))
-        .otherwise(ev("EV-006", "TARGET_DISCREPANCY_PERSISTS")),
-        F.when(F.coalesce(F.col("new_count"), F.lit(0)) > 0, ev("EV-007", "NEW_DISCREPANCIES_INTRODUCED")))
+        ev("EV-001", "BEFORE_VALIDATION_REF", "validation_id_before", "validation_id_before"),
+        F.when(has("validation_id_after"), ev("EV-002", "AFTER_VALIDATION_REF", "validation_id_after", "validation_id_after")),
+        ev("EV-003", "AFFECTED_ROWS_BEFORE", "affected_rows_before", "rows_before"), ev("EV-004", "AFFECTED_ROWS_AFTER", "affected_rows_after", "rows_after"),
+        ev("EV-005", "TARGET_SIGNATURE_BEFORE", "signature_before", "signature_before"),
+        F.when(F.col("signature_after").isNull(), ev("EV-006", "TARGET_DISCREPANCY_RESOLVED", "resolved_discrepancy_ids", "resolved_ids"))
+        .otherwise(ev("EV-006", "TARGET_DISCREPANCY_PERSISTS", "signature_after", "signature_after")),
+        F.when(F.coalesce(F.col("new_count"), F.lit(0)) > 0, new))
     keys = [c for c in v.columns if c in ("migration_id", "pair_id")]
     return (v.select(*keys, F.explode(F.filter(items, lambda x: x.isNotNull())).alias("e"))
-            .select(*keys, "e.evidence_id", "e.evidence_type"))
+            .select(*keys, "e.evidence_id", "e.evidence_type", "e.details"))

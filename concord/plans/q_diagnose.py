@@ -154,13 +154,13 @@ def g07b(spark, sf):
     return _cons(spark, sf).select("validation_id", "signature", F.array_join("validator_checks", ",").alias("validator_checks"))
 
 
-@query("g08_typed_evidence", _CLS_LINKED + f""", fc AS (SELECT validation_id, signature,
+_TYPED = f""", fc AS (SELECT validation_id, signature,
  min({{'v': source_validator, 't': st, 'p': analysis_path, 'c': category}}).c AS gcat FROM sg GROUP BY validation_id, signature),
 e AS (SELECT sg.*, fc.gcat FROM sg JOIN fc USING (validation_id, signature)
  WHERE {_ROWX} OR {_EDGEX} OR source_validator IN ('BusinessRuleValidator', 'AST_ANALYZER')),
 x AS (SELECT e.* EXCLUDE (row_key, source_value, target_value), raw.row_key, raw.source_value, raw.target_value
- FROM e JOIN signals raw ON raw.validation_id = e.validation_id AND raw.signal_id = e.signal_id)
-SELECT validation_id, signature, CAST(ordinal AS INTEGER) AS ordinal, type, "column", row_key, value, source_result, target_result, detail, total_count, total_count > 100 AS truncated FROM (
+ FROM e JOIN signals raw ON raw.validation_id = e.validation_id AND raw.signal_id = e.signal_id),
+typed AS (SELECT validation_id, signature, CAST(ordinal AS INTEGER) AS ordinal, type, "column", row_key, value, source_result, target_result, detail, total_count, total_count > 100 AS truncated FROM (
  SELECT validation_id, signature, row_number() OVER (PARTITION BY validation_id, signature ORDER BY source_validator, st, analysis_path, signal_id) AS ordinal,
   CASE WHEN {_ROWX} THEN 'ROW_DIFF' WHEN {_EDGEX} THEN CASE WHEN gcat = 'BOUNDARY_CONDITION' THEN 'BOUNDARY_CASE' ELSE 'ROW_DIFF' END ELSE 'RULE_DIFF' END AS type,
   CAST(NULL AS VARCHAR) AS "column", CASE WHEN {_ROWX} THEN row_key END AS row_key, CAST(NULL AS VARCHAR) AS value,
@@ -168,7 +168,10 @@ SELECT validation_id, signature, CAST(ordinal AS INTEGER) AS ordinal, type, "col
   CASE WHEN {_ROWX} THEN target_value WHEN {_EDGEX} THEN NULL ELSE target_expression END AS target_result,
   CASE WHEN {_ROWX} THEN 'rows differ in a column' WHEN {_EDGEX} THEN 'an edge case gives another result' ELSE 'the rules differ' END AS detail,
   count(*) OVER (PARTITION BY validation_id, signature) AS total_count FROM x)
-WHERE ordinal <= 100""")
+WHERE ordinal <= 100)"""
+
+
+@query("g08_typed_evidence", _CLS_LINKED + _TYPED + "SELECT * FROM typed")
 def g08(spark, sf):
     return G.typed_evidence(_sig(spark, sf), 100)
 
@@ -205,13 +208,23 @@ def g12(spark, sf):
     return G.diagnosis_report(_cons(spark, sf), _sig(spark, sf))
 
 
-@query("g13_evidence_pack", _CONS + """SELECT validation_id, discrepancy_id, i.evidence_id, i.evidence_type FROM (
+@query("g13_evidence_pack", _CONS + _TYPED + """,
+exa AS (SELECT validation_id, signature, arg_min(concat_ws(' | ', type, row_key, source_result, target_result), ordinal) AS example FROM typed WHERE type <> 'RULE_DIFF' GROUP BY ALL),
+sdf AS (SELECT validation_id, signature, string_agg(DISTINCT concat_ws(' -> ', source_result, target_result), '; ' ORDER BY concat_ws(' -> ', source_result, target_result)) AS diffs
+  FROM typed WHERE type = 'RULE_DIFF' GROUP BY ALL),
+pk AS (SELECT d2.*, exa.example, sdf.diffs FROM d2 LEFT JOIN exa USING (validation_id, signature) LEFT JOIN sdf USING (validation_id, signature))
+SELECT validation_id, discrepancy_id, i.evidence_id, i.evidence_type, i.details FROM (
  SELECT validation_id, discrepancy_id, unnest(list_filter([
-   CASE WHEN coalesce(source_expression, '') <> '' THEN {'evidence_id': 'E-001', 'evidence_type': 'SOURCE_EXPRESSION'} END,
-   CASE WHEN coalesce(target_expression, '') <> '' THEN {'evidence_id': 'E-002', 'evidence_type': 'TARGET_EXPRESSION'} END,
-   {'evidence_id': 'E-003', 'evidence_type': 'DISCREPANCY_IMPACT'}], lambda x: x IS NOT NULL)) AS i FROM d2)""")
+   CASE WHEN coalesce(source_expression, '') <> '' THEN {'evidence_id': 'E-001', 'evidence_type': 'SOURCE_EXPRESSION', 'details': MAP {'expression': source_expression, 'path': coalesce(analysis_path, '')}} END,
+   CASE WHEN coalesce(target_expression, '') <> '' THEN {'evidence_id': 'E-002', 'evidence_type': 'TARGET_EXPRESSION', 'details': MAP {'expression': target_expression, 'path': coalesce(analysis_path, '')}} END,
+   {'evidence_id': 'E-003', 'evidence_type': 'DISCREPANCY_IMPACT', 'details': MAP {'category': category, 'severity': severity,
+     'affected_row_count': CAST(coalesce(affected_row_count, 0) AS VARCHAR), 'affected_percentage': printf('%.3f', coalesce(affected_percentage, 0.0))}},
+   CASE WHEN example IS NOT NULL THEN {'evidence_id': 'E-004', 'evidence_type': 'REPRESENTATIVE_EXAMPLE', 'details': MAP {'example': example}} END,
+   CASE WHEN diffs IS NOT NULL THEN {'evidence_id': 'E-005', 'evidence_type': 'STRUCTURAL_DIFFERENCE', 'details': MAP {'structural_differences': diffs}} END],
+   lambda x: x IS NOT NULL)) AS i FROM pk)""")
 def g13(spark, sf):
-    return G.evidence_pack(_cons(spark, sf))
+    d = _cons(spark, sf)
+    return G.evidence_pack(d, *G.pack_inputs(d, G.typed_evidence(_sig(spark, sf), 100)))
 
 
 @query("g14_grounding_check", derived.cte("claims", "evidence") + """,

@@ -99,14 +99,14 @@ def h06(spark, sf):
         F.col("schema_ok"), F.col("new_after_repair"), tstat, F.col("rows_before"), pct).alias("status"))
 
 
-@query("h08_verification_evidence", _FACTS + """SELECT migration_id, e.evidence_id, e.evidence_type FROM (SELECT migration_id, unnest(list_filter([
- {'evidence_id': 'EV-001', 'evidence_type': 'BEFORE_VALIDATION_REF'},
- CASE WHEN repair_attempted THEN {'evidence_id': 'EV-002', 'evidence_type': 'AFTER_VALIDATION_REF'} END,
- {'evidence_id': 'EV-003', 'evidence_type': 'AFFECTED_ROWS_BEFORE'}, {'evidence_id': 'EV-004', 'evidence_type': 'AFFECTED_ROWS_AFTER'},
- {'evidence_id': 'EV-005', 'evidence_type': 'TARGET_SIGNATURE_BEFORE'},
- CASE WHEN coalesce(rows_after, 0) = 0 THEN {'evidence_id': 'EV-006', 'evidence_type': 'TARGET_DISCREPANCY_RESOLVED'}
-  ELSE {'evidence_id': 'EV-006', 'evidence_type': 'TARGET_DISCREPANCY_PERSISTS'} END,
- CASE WHEN coalesce(new_after_repair, 0) > 0 THEN {'evidence_id': 'EV-007', 'evidence_type': 'NEW_DISCREPANCIES_INTRODUCED'} END],
+@query("h08_verification_evidence", _FACTS + """SELECT migration_id, e.evidence_id, e.evidence_type, e.details FROM (SELECT migration_id, unnest(list_filter([
+ {'evidence_id': 'EV-001', 'evidence_type': 'BEFORE_VALIDATION_REF', 'details': MAP {'validation_id_before': 'val-' || migration_id}},
+ CASE WHEN repair_attempted THEN {'evidence_id': 'EV-002', 'evidence_type': 'AFTER_VALIDATION_REF', 'details': MAP {'validation_id_after': 'val-after-' || migration_id}} END,
+ {'evidence_id': 'EV-003', 'evidence_type': 'AFFECTED_ROWS_BEFORE', 'details': MAP {'affected_rows_before': coalesce(CAST(rows_before AS VARCHAR), '')}}, {'evidence_id': 'EV-004', 'evidence_type': 'AFFECTED_ROWS_AFTER', 'details': MAP {'affected_rows_after': coalesce(CAST(rows_after AS VARCHAR), '')}},
+ {'evidence_id': 'EV-005', 'evidence_type': 'TARGET_SIGNATURE_BEFORE', 'details': MAP {'signature_before': 'sig'}},
+ CASE WHEN coalesce(rows_after, 0) = 0 THEN {'evidence_id': 'EV-006', 'evidence_type': 'TARGET_DISCREPANCY_RESOLVED', 'details': MAP {'resolved_discrepancy_ids': ''}}
+  ELSE {'evidence_id': 'EV-006', 'evidence_type': 'TARGET_DISCREPANCY_PERSISTS', 'details': MAP {'signature_after': 'sig'}} END,
+ CASE WHEN coalesce(new_after_repair, 0) > 0 THEN {'evidence_id': 'EV-007', 'evidence_type': 'NEW_DISCREPANCIES_INTRODUCED', 'details': MAP {'new_discrepancies': coalesce(CAST(new_after_repair AS VARCHAR), '')}} END],
  lambda x: x IS NOT NULL)) AS e FROM facts)""")
 def h08(spark, sf):
     f = derived.load(spark, sf, "facts")

@@ -40,12 +40,25 @@ def a09(spark, sf):
     return catalog.preview(tables, "ORDERS", limit=1000, order_by=["o_orderkey"])
 
 
-@query("a10_catalog_summary", f"""
-SELECT 'driver' AS dataset_id, 'driver' AS display_name, CAST(sum(row_count) AS BIGINT) AS total_rows,
- count(DISTINCT table_name) AS table_count, CAST([] AS VARCHAR[]) AS tags, '' AS dataset_hash FROM ({_counts_sql(TABLES)})""")
+# three data sets; one has no display name, one neither tags nor hash
+DATASETS = {"sales": TABLES[:7], "stream": ("events",), "corpus": TABLES[8:]}
+_MANIFEST = " UNION ALL ".join(f"SELECT '{d}' AS dataset_id, * FROM ({_counts_sql(t)})" for d, t in DATASETS.items())
+
+
+@query("a10_catalog_summary", f"""WITH m AS ({_MANIFEST})
+SELECT dataset_id, CASE WHEN dataset_id = 'corpus' THEN dataset_id ELSE upper(dataset_id) END AS display_name, CAST(sum(row_count) AS BIGINT) AS total_rows,
+ count(DISTINCT table_name) AS table_count, CASE WHEN dataset_id = 'stream' THEN CAST([] AS VARCHAR[]) ELSE list_sort(list(table_name)) END AS tags,
+ CASE WHEN dataset_id = 'stream' THEN '' ELSE sha256(string_agg(table_name || ':' || row_count, ',' ORDER BY table_name)) END AS dataset_hash FROM m GROUP BY dataset_id""")
 def a10(spark, sf):
-    m = catalog.table_manifest({t: read_table(spark, sf, t) for t in TABLES}, "driver")
-    return catalog.catalog_summary(m)
+    parts = [catalog.table_manifest({t: read_table(spark, sf, t) for t in names}, d) for d, names in DATASETS.items()]
+    m = reduce(DataFrame.unionByName, parts)
+    known = F.col("dataset_id") != "stream"
+    about = m.groupBy("dataset_id").agg(
+        F.array_sort(F.collect_set("table_name")).alias("tags"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "table_name", F.col("row_count").cast("string")))), ","), 256).alias("dataset_hash"))
+    datasets = about.select("dataset_id", F.when(F.col("dataset_id") != "corpus", F.upper("dataset_id")).alias("display_name"),
+                            F.when(known, F.col("tags")).alias("tags"), F.when(known, F.col("dataset_hash")).alias("dataset_hash"))
+    return catalog.catalog_summary(m, datasets)
 
 
 # One small change per table, in SQL of both engines: (column, new value,
