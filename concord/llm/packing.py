@@ -143,7 +143,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, op
                     packer.add(doc, code + end)
                 yield from _batches(packer.rows)
                 packer.rows = []
-        encoder.cache_clear()
+        enc.trim()
         tail = packer.merge_open()
         packer.rows += [(doc, start, len(i) // 4, zlib.crc32(i), total, -1, 0, i, pid) for doc, start, i, total in tail]
         yield from _batches(packer.rows)

@@ -181,7 +181,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, blanks_m
                     held += len(code) // 4 + 1
                     if held >= segment_ids:
                         yield close()
-        encoder.cache_clear()
+        enc.trim()
         if names:
             yield close()
 

@@ -15,6 +15,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -94,7 +95,7 @@ class WordEncoder:
     that token's id, as by the tokenizer's plain call; if false, it is text.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = True, word_limit: int = 300_000, piece_limit: int = 100_000):
+    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = True, word_limit: int = 500_000, piece_limit: int = 100_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -123,15 +124,23 @@ class WordEncoder:
         first = b"".join([pieces[p] for p in cut(words[0]) or words[:1]])        # nothing stands before it
         return first + b"".join(map(self.words.__getitem__, words[1:]))
 
+    def trim(self, keep: int = 60_000) -> None:
+        """Called at the end of a task: a worker that is reused holds the
+        first ``keep`` words, which are mostly frequent, and the file's tables."""
+        for held in (self.words, self.words.pieces):
+            if len(held) > keep:
+                first = list(islice(held.items(), keep))
+                held.clear()
+                held.update(first)
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, blanks_matter: bool, added_tokens: bool = True) -> WordEncoder:
-    """One encoder per Python worker and file.  A task that is done with it
-    calls ``encoder.cache_clear()``: a worker that is reused must not hold its
-    words, and a task's own words repay the start within its first documents."""
+    """One encoder per Python worker and file; a task that is done with it
+    calls ``trim``."""
     return WordEncoder(path, blanks_matter, added_tokens)
 
 
