@@ -22,7 +22,13 @@ import numpy as np
 # letters and signs for which every boundary between the two classes (and
 # around a single line feed) is also a boundary of both pre-tokenizers
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?|#$%&*()]+|\n")
-_DOUBLE_SPACE = re.compile(r"\s\s")
+# white space next to a blank (or no word between two blanks), or twice in a row
+_LOOSE = re.compile(r"^\s|\s$|\s\s|^$")
+_TWO = re.compile(r"\s\s")
+
+
+class _LooseSpace(Exception):
+    pass
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -60,14 +66,19 @@ class _Words(dict):
         self.shown_lead = shown(lead)[0][0] if lead else ""
 
     def __missing__(self, word: str) -> bytes:
-        parts = cut(word, self.fold)
-        if len(parts) > 1:
-            pieces = self.pieces
-            code = self[parts[0]] + b"".join([pieces[p] for p in parts[1:]])
-        elif parts and word[0].isalpha():
-            code = _packed([t.id for t in self.model.tokenize(self.shown_lead + parts[0].translate(self.letters))])
+        if word.isascii() and word.isalpha():
+            code = _packed([t.id for t in self.model.tokenize(self.shown_lead + (word.lower() if self.fold else word))])
+        elif self.lead and _LOOSE.search(word):
+            raise _LooseSpace                                    # not a word of a text that is cut at blanks
         else:
-            code = self.plain[self.lead + word]
+            parts = cut(word, self.fold)
+            if len(parts) > 1:
+                pieces = self.pieces
+                code = self[parts[0]] + b"".join([pieces[p] for p in parts[1:]])
+            elif parts and word[0].isalpha():
+                code = _packed([t.id for t in self.model.tokenize(self.shown_lead + parts[0].translate(self.letters))])
+            else:
+                code = self.plain[self.lead + word]
         if len(self) < self.limit:
             self[word] = code
         return code
@@ -95,7 +106,7 @@ class WordEncoder:
     that token's id, as by the tokenizer's plain call; if false, it is text.
     """
 
-    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = True, word_limit: int = 500_000, piece_limit: int = 100_000):
+    def __init__(self, path: str, blanks_matter: bool, added_tokens: bool = True, word_limit: int = 600_000, piece_limit: int = 100_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -117,14 +128,18 @@ class WordEncoder:
         if not self.blanks_matter:
             words = (text.lower() if text.isascii() else text).split(" ")
             return b"".join(map(self.words.__getitem__, words))
-        if _DOUBLE_SPACE.search(text):
-            return self.plain[text]
         words = text.split(" ")
+        # nothing stands before the first word; white space next to a blank belongs to no word
+        if len(words) > 1 and _LOOSE.search(words[0]) and words[0] or _TWO.search(words[0]):
+            return self.plain[text]
+        try:
+            rest = b"".join(map(self.words.__getitem__, words[1:]))
+        except _LooseSpace:
+            return self.plain[text]
         pieces = self.words.pieces
-        first = b"".join([pieces[p] for p in cut(words[0]) or words[:1]])        # nothing stands before it
-        return first + b"".join(map(self.words.__getitem__, words[1:]))
+        return b"".join([pieces[p] for p in cut(words[0]) or words[:1]]) + rest
 
-    def trim(self, keep: int = 60_000) -> None:
+    def trim(self, keep: int = 200_000) -> None:
         """Called at the end of a task: a worker that is reused holds the
         first ``keep`` words, which are mostly frequent, and the file's tables."""
         for held in (self.words, self.words.pieces):
