@@ -34,7 +34,7 @@ each other, nor do repeated rows of one doc_id; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .common import ship_package
-from .groups import binary, dealt, fixed_order, joined, runs, sorted_documents
+from .groups import binary, dealt, fixed_order, joined, runs
 
 SPAN = 50
 GRAM = 20
@@ -263,8 +263,9 @@ class Group:
 
     def __init__(self, table: pa.Table, span: int, shards: int):
         tokens.encoder.cache_clear()        # a reused worker may still hold words of a packing task
-        self.ids, all_texts = sorted_documents(table)
-        self.raw = [t.encode("utf-8", "surrogatepass") for t in all_texts]
+        self.table = fixed_order(table)
+        self.ids = self.table.column("doc_id").to_pylist()
+        self.raw = [t.encode("utf-8", "surrogatepass") for t in self.table.column("text").to_pylist()]
         self.size = np.array([len(r) for r in self.raw], np.int64)
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
@@ -320,6 +321,16 @@ def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str
     """One row per document: ``doc_id``, ``text`` (bytes), ``spans`` (packed
     int64 pairs from, to: the maximal runs to remove), and the columns
     ``carry`` as ``c0``, ``c1``..."""
+    def finish(ids: list[int | None], raw: list[bytes], spans: list[bytes], carried: dict[str, pa.ChunkedArray]) -> pa.Table:
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": binary(raw), "spans": binary(spans), **carried})
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("spans", T.BinaryType())])
+    return _cut(docs, span, text, key, carry, finish, schema)
+
+
+def _cut(docs: DataFrame, span: int, text: str, key: str, carry: list[str] | None, finish: Callable[..., pa.Table], schema: T.StructType) -> DataFrame:
+    """What ``finish`` makes of the ids, bytes, packed spans and carried
+    columns of a group of documents: rows of ``schema`` and these columns."""
     if span < GRAM + 1 or 2 * span - GRAM > 255:
         raise ValueError(f"span must be {GRAM + 1} to {(255 + GRAM) // 2}")
     ship_package(docs.sparkSession)
@@ -412,16 +423,14 @@ def shared_spans(docs: DataFrame, span: int = SPAN, text: str = "text", key: str
         for s, e in zip(g.start.tolist(), g.end.tolist()):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[s:e], [False]]).astype(np.int8)))
             out.append(edge.astype("<i8").tobytes())
-        kept = fixed_order(docs_of) if carried else docs_of
-        return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "text": binary(g.raw), "spans": binary(out), **{c: kept.column(c) for c in carried}})
+        return finish(g.ids, g.raw, out, {c: g.table.column(c) for c in carried})
 
     masks = (rows.groupBy("grp").applyInArrow(say_anchors, "grp bigint, shard bigint, low binary, high binary, several binary")
              .groupBy("shard").applyInArrow(find_repeated, _REPLY))
     found = (rows.groupBy("grp").cogroup(masks.groupBy("grp")).applyInArrow(say_pieces, "grp bigint, shard bigint, content binary, length binary, doc binary")
              .groupBy("shard").applyInArrow(find_groups, _REPLY))
     return rows.groupBy("grp").cogroup(masks.unionByName(found).groupBy("grp")).applyInArrow(
-        cut_documents, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("spans", T.BinaryType()),
-                                     *[rows.schema[c] for c in carried]]))
+        cut_documents, T.StructType([*schema, *[rows.schema[c] for c in carried]]))
 
 
 _REPLY = "grp bigint, kind int, shard bigint, a binary, b binary, c binary"
@@ -452,19 +461,19 @@ def without_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key:
     the length column, if there is one, counted anew; all rows and columns
     stay, a null text stays null."""
     columns = docs.columns
-    cut = shared_spans(docs, span, text, key, carry=columns)
-    place = {c: f"c{i}" for i, c in enumerate(columns)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            new = [None if t is None else whole_characters(raw, s) for t, raw, s in zip(
-                b.column(names.index(place[text])).to_pylist(), b.column(names.index("text")).to_pylist(), b.column(names.index("spans")).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), *[b.column(names.index(place[c])) for c in columns if c != text]],
-                                             names=["__text", *[place[c] for c in columns if c != text]])
-
-    schema = T.StructType([T.StructField("__text", T.StringType()), *[T.StructField(place[c], docs.schema[c].dataType) for c in columns if c != text]])
-    out = cut.mapInArrow(run, schema)
+    others = [c for c in columns if c != text]
+    place = {c: f"c{i}" for i, c in enumerate(others)}
+    unset, flag = f"c{len(others)}", "__unset"
+    while flag in columns:
+        flag += "_"
+
+    # the text travels once, and is cut in the task that found its spans
+    def finish(ids: list[int | None], raw: list[bytes], spans: list[bytes], carried: dict[str, pa.ChunkedArray]) -> pa.Table:
+        new = [None if gone else whole_characters(r, s) for gone, r, s in zip(carried[unset].to_pylist(), raw, spans)]
+        return pa.table({"__text": pa.array(new, pa.string()), **carried})
+
+    flagged = docs.withColumn(flag, F.col(text).isNull())
+    out = _cut(flagged, span, text, key, [*others, flag], finish, T.StructType([T.StructField("__text", T.StringType())]))
     kind = {c: docs.schema[c].dataType for c in columns}
     return out.select(*[F.col("__text").cast(kind[c]).alias(c) if c == text
                         else F.length("__text").cast(kind[c]).alias(c) if c == n_chars else F.col(place[c]).alias(c) for c in columns])

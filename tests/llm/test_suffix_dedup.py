@@ -140,3 +140,19 @@ def test_segments_do_not_matter(monkeypatch, segment):
                 gone[g.first[i] + a:g.first[i] + b] = True
     got = [(d, len(t.encode()), int(gone[s:e].sum())) for (d, t), s, e in zip(rows, g.start, g.end)]
     assert got == [(d, n, removed) for _, d, n, removed, _, _ in brute(rows, span)]
+
+
+def test_cut_texts_pass_one_python_task_and_travel_once(docs_of):
+    """A second Python step over whole texts doubled the workers of a task slot."""
+    docs = docs_of([(1, "a" * 90), (2, "b" + "a" * 90), (3, None)])
+    plan = sd.without_repeats(docs)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 0 and plan.count("FlatMapCoGroupsInArrow") >= 2
+    seen = []
+    dealt = sd.dealt
+    try:
+        sd.dealt = lambda rows, text, key, carry, chars: seen.append(carry) or dealt(rows, text, key, carry, chars)
+        out = sd.without_repeats(docs.withColumnRenamed("ids", "__unset"))
+    finally:
+        sd.dealt = dealt
+    assert "text" not in seen[0]
+    assert {(r.doc_id, r.text, r["__unset"]) for r in out.collect()} == {(1, "a" * 90, "x"), (2, "b", "x"), (3, None, "x")}
