@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import grams, leading_gram
+from ..functions.text import gram_length, grams, leading_gram
 
 P = "pair_id"
 COLUMNS = {"pair_id": "long", "discrepancy_id": "string", "ordinal": "long", "category": "string",
@@ -65,34 +65,41 @@ def reduction(before: Column, after: Column) -> tuple[Column, Column]:
     return cnt, pct
 
 
+def _held_regions(t: DataFrame, a: DataFrame) -> DataFrame:
+    """The first after record of each (target region, category) whose region
+    is longer and holds the target's: ``(pair_id, category, _reg, _at)``.
+    Only regions longer than the shortest of the pair's targets are cut into
+    grams, and only into lengths that these start with."""
+    mine = t.filter(F.col("_reg") != "global")
+    asked = mine.groupBy(P).agg(F.min(F.length("_reg")).alias("_short"), F.bit_or(gram_length(F.col("_reg"))).alias("_lengths"))
+    longer = a.withColumnRenamed("_reg", "a_reg").join(asked, P).filter(F.length("a_reg") > F.col("_short"))
+    longer = longer.groupBy(P, "a_reg", "category", "_lengths").agg(F.min("_at").alias("_at"))
+    met = longer.withColumn("gram", F.explode(grams(F.col("a_reg"), F.col("_lengths")))).join(
+        mine.select(P, "_reg").distinct().withColumn("gram", leading_gram(F.col("_reg"))), [P, "gram"])
+    return (met.filter(F.col("a_reg").contains(F.col("_reg")) & (F.col("a_reg") != F.col("_reg")))
+            .groupBy(P, "_reg", "category").agg(F.min("_at").alias("_at")))
+
+
 def target_outcome(targets: DataFrame, after: DataFrame) -> DataFrame:
     """H3: outcome of each targeted before-discrepancy against the after
     list of its pair: an exact signature match, else a same-region
     (equal, or the before region contained in the after region unless
     ``global``) match of the same category -> PERSISTS; a same-region match
     of another category -> CHANGED; none -> RESOLVED."""
-    t = _prep(targets)
-    first = Window.partitionBy(P).orderBy("ordinal", "discrepancy_id", "affected_row_count")
-    a = _prep(after).select(P, F.row_number().over(first).alias("a_no"), F.col("discrepancy_id").alias("a_id"), F.col("category").alias("a_cat"),
-                            F.col("_sig").alias("a_sig"), F.col("_reg").alias("a_reg"), F.col("affected_row_count").alias("a_rows"))
-    least = lambda d, *by: d.groupBy(P, *by).agg(F.min("a_no").alias("a_no"))
-    # regions that lie in others: met through the grams of the after region, then checked
-    mine = t.select(P, "_reg").distinct()
-    others = a.select(P, "a_reg").distinct().withColumn("gram", F.explode(grams(F.col("a_reg"))))
-    within = mine.withColumn("gram", leading_gram(F.col("_reg"))).join(others, [P, "gram"]).filter(
-        (F.col("_reg") == F.col("a_reg")) | ((F.col("_reg") != "global") & F.col("a_reg").contains(F.col("_reg")))).select(P, "_reg", "a_reg")
-    there = within.join(least(a, "a_reg", "a_cat"), [P, "a_reg"])
-    signed = least(a, "a_sig").select(P, F.col("a_sig").alias("_sig"), F.col("a_no").alias("_no0"))
-    alike = least(there, "_reg", "a_cat").select(P, "_reg", F.col("a_cat").alias("category"), F.col("a_no").alias("_no1"))
-    near = least(there, "_reg").select(P, "_reg", F.col("a_no").alias("_no2"))
-    best = (t.select(P, "discrepancy_id", "_sig", "_reg", "category").join(signed, [P, "_sig"], "left").join(alike, [P, "_reg", "category"], "left")
-            .join(near, [P, "_reg"], "left").filter(F.coalesce("_no0", "_no1", "_no2").isNotNull()))
-    # the best class, then the first record: one number, so that rows of one id are reduced by a hash aggregate
-    far = 1 << 40
-    best = best.groupBy(P, "discrepancy_id").agg(F.min(F.coalesce(F.col("_no0").cast("long"), F.col("_no1") + far, F.col("_no2") + 2 * far)).alias("m"))
-    best = (best.select(P, "discrepancy_id", F.floor(F.col("m") / far).alias("_cls"), (F.col("m") % far).alias("a_no"))
-            .join(a.select(P, "a_no", "a_id", "a_rows"), [P, "a_no"]).select(P, "discrepancy_id", F.struct("_cls", "a_id", "a_rows").alias("m")))
-    o = t.join(best, [P, "discrepancy_id"], "left")
+    t, a = _prep(targets), _prep(after)
+    a = a.select(P, "category", "_sig", "_reg", F.struct("ordinal", F.col("discrepancy_id").alias("a_id"), F.col("affected_row_count").alias("a_rows")).alias("_at"))
+    # an after record counts for every region of a target that lies in its own
+    a = a.unionByName(_held_regions(t, a), allowMissingColumns=True)
+    d = t.select(P, "discrepancy_id", "category", "_sig", "_reg", "affected_row_count", F.lit(True).alias("_target")).unionByName(a, allowMissingColumns=True)
+    first = lambda *by: F.min("_at").over(Window.partitionBy(P, *by))
+    d = d.withColumn("_same", first("_sig"))
+    d = d.withColumn("_alike", first("_reg", "category")).withColumn("_near", first("_reg")).filter("_target")
+    found = lambda cls, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(cls).alias("_cls"), F.col(c).alias("_at")))
+    best = F.coalesce(found(0, "_same"), F.when(F.col("category").isNotNull(), found(1, "_alike")), found(2, "_near"))
+    # rows of one id share the best class, then the first record
+    d = d.withColumn("_best", F.min(best).over(Window.partitionBy(P, "discrepancy_id")))
+    known = F.col(P).isNotNull() & F.col("discrepancy_id").isNotNull()
+    o = d.withColumn("m", F.when(known & F.col("_best").isNotNull(), F.struct("_best._cls", "_best._at.a_id", "_best._at.a_rows")))
     status = (F.when(F.col("m._cls") <= 1, F.lit("PERSISTS")).when(F.col("m._cls") == 2, F.lit("CHANGED"))
               .otherwise(F.lit("RESOLVED")))
     before = F.col("affected_row_count")

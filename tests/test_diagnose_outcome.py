@@ -131,3 +131,43 @@ def test_containment_keys_find_what_contains_finds(spark):
     assert {tuple(r) for r in met.select("a", "b").collect()} == {(x, y) for x in texts for y in texts if x and x in y}
     pre = a.withColumn("p", F.explode(prefixes(F.col("a")))).join(b, F.col("p") == F.col("b"))
     assert {(r.a, r.b) for r in pre.collect()} == {(x, y) for x in texts for y in texts if y and x.startswith(y)}
+
+
+def test_only_longer_regions_are_cut_and_only_into_lengths_asked_for(spark):
+    """Every after region used to give all its substrings of up to 8 characters."""
+    from concord.functions.text import gram_length, grams
+    b = spark.createDataFrame([(1, "D-1", 1, "A", "columns[c1]", 1), (2, "D-1", 1, "A", "columns[c1]", 1), (2, "D-2", 2, "A", "c1]", 1)], D)
+    a = spark.createDataFrame([(1, "D-3", 1, "A", "columns[c2]", 1), (1, "D-4", 2, "A", "columns[c1]", 1), (2, "D-3", 1, "B", "columns[c1]", 1)], D)
+    t, after = H._prep(b), H._prep(a).select("pair_id", "category", "_reg", F.struct("ordinal").alias("_at"))
+    assert [(r.pair_id, r._reg, r.category) for r in H._held_regions(t, after).collect()] == [(2, "c1]", "B")]
+    texts = spark.createDataFrame([("columns[c1]", "columns[",), ("abc", "ab")], "held string, of string")
+    got = {r.held: sorted(r.g) for r in texts.select("held", grams(F.col("held"), gram_length(F.col("of"))).alias("g")).collect()}
+    assert got == {"columns[c1]": sorted(["columns[", "olumns[c", "lumns[c1", "umns[c1]"]), "abc": ["ab", "bc"]}
+
+
+def test_target_outcome_follows_its_rule(spark):
+    import random
+    rnd = random.Random(5)
+    paths = ["", "columns[a]", "columns[ab]", "columns[a].x", "a]", "s", "filters[0]", "filters[0].expression", "expression", "global"]
+    row = lambda: (rnd.choice([1, 2, 3, None]), rnd.choice(["d1", "d2", "d3", None]), rnd.choice([1, 2, 3, None]),
+                   rnd.choice(["A", "B", None]), rnd.choice(paths), rnd.choice([0, 4, 9, None]))
+    before, after = [row() for _ in range(60)], [row() for _ in range(25)]
+    sig = lambda r: f"{r[3] or ''}|{r[4]}||"
+    region = lambda r: r[4] or "global"
+    order = lambda r: tuple((v is not None, v if v is not None else 0) for v in (r[2],)) + tuple((v is not None, v or "") for v in (r[1],)) + ((r[5] is not None, r[5] or 0),)
+    best = {}
+    for t in before:
+        for a in after:
+            if t[0] is None or t[1] is None or t[0] != a[0]:
+                continue
+            near = region(t) == region(a) or region(t) != "global" and region(t) in region(a)
+            cls = 0 if sig(t) == sig(a) else 1 if near and t[3] is not None and t[3] == a[3] else 2 if near else None
+            if cls is not None:
+                best[t[:2]] = min(best.get(t[:2], (9,)), (cls, order(a), a[1], a[5]), key=lambda m: m[:2])
+    want = []
+    for t in before:
+        m = best.get(t[:2])
+        want.append((t[0], t[1], t[3], region(t), "RESOLVED" if m is None else "CHANGED" if m[0] == 2 else "PERSISTS", t[5], 0 if m is None else m[3], m and m[2]))
+    got = [(r.pair_id, r.discrepancy_id_before, r.category, r.affected_region, r.status, r.affected_rows_before, r.affected_rows_after, r.matching_after_id)
+           for r in H.target_outcome(spark.createDataFrame(before, D), spark.createDataFrame(after, D)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
