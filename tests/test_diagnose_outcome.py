@@ -171,3 +171,31 @@ def test_target_outcome_follows_its_rule(spark):
     got = [(r.pair_id, r.discrepancy_id_before, r.category, r.affected_region, r.status, r.affected_rows_before, r.affected_rows_after, r.matching_after_id)
            for r in H.target_outcome(spark.createDataFrame(before, D), spark.createDataFrame(after, D)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_packs_sign_their_signals_once(spark, sf, monkeypatch):
+    """Linking, classifying and signing ran anew for discrepancies and for their evidence."""
+    from concord.plans import derived, registry
+    registry.load_all()
+    signed, calls = G.signed_signals, []
+    monkeypatch.setattr(G, "signed_signals", lambda *a: calls.append(a) or signed(*a))
+    got = registry.QUERIES["g13_evidence_pack"](spark, sf)
+    assert len(calls) == 1
+    s = derived.load(spark, sf, "signals")
+    d = G.consolidate(s, total_rows=400)
+    want = G.evidence_pack(d, *G.pack_inputs(d, G.typed_evidence(s, 100)))
+    rows = lambda df: sorted((r.validation_id, r.discrepancy_id, r.evidence_id, r.evidence_type, sorted(r.details.items())) for r in df.collect())
+    assert rows(got) == rows(want)
+
+
+def test_columns_named_in_expressions_link(spark):
+    s = spark.createDataFrame([
+        (1, 1, "BusinessRuleValidator", "X", "sum(amt) > 5", "sum(amt) >= 5", "rules[1]", 0, None),
+        (1, 2, "BusinessRuleValidator", "X", "x", "max(total_amount)", "rules[2]", 0, None),
+        (1, 3, "RowValidator", "Y", "a", "b", "p", 1, "amt"),
+        (1, 4, "RowValidator", "Y", "a", "b", "p", 1, "total_amount"),
+        (1, 5, "RowValidator", "Y", "a", "b", "p", 1, "other"),
+        (2, 6, "RowValidator", "Y", "a", "b", "p", 1, "amt"),
+        (1, 7, "RowValidator", "Y", "a", "b", "p", 1, "")], SIG)
+    got = {r.signal_id: r.target_expression for r in G.link_execution_to_structure(s).collect()}
+    assert got == {1: "sum(amt) >= 5", 2: "max(total_amount)", 3: "sum(amt) >= 5", 4: "max(total_amount)", 5: "b", 6: "b", 7: "b"}
